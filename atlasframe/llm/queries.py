@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, secret_scan
+from . import ann_tree, language_id, license_scan, line_spread, minhash, secret_scan
 from .storage import workers_import_us
 
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -25,5 +33,21 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_secret_scan, op8_line_spread)}
+def op9_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents declare a language and name a source as host; their sources have no address suffix."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where there is all evidence: pages have an html element's lang and an address."""
+    return language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages")), ("page_id",))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_license_scan, op4_minhash, op7_secret_scan, op8_line_spread, op9_ann_tree, op10_language_id, op10_language_id_pages)
+}
 ORACLES: dict[str, str] = {"op7_secret_scan": secret_scan.oracle(), "op8_line_spread": line_spread.ORACLE}

@@ -105,3 +105,26 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(width):
         acc = mix(acc * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n - width + 1])
     return np.unique(acc.view(np.int64))
+
+
+def map_text(df, text: str, keep: tuple[str, ...], fields: str, make):
+    """The keep columns of df and new fields, computed from whole texts by chunks.
+
+    make() runs once in each task and returns f(data, offsets) -> list of Arrow arrays, one for each of fields,
+    with a value for each row of the chunk. keep may hold names or columns with aliases.
+    """
+    from pyspark.sql import types as T
+
+    picked = df.select(*keep)
+    names = picked.columns
+    new = T.StructType.fromDDL(fields)
+    schema = T.StructType([*picked.schema.fields, *new.fields])
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            texts = batch.column(len(names))
+            for a, b, data, offsets in text_chunks(texts):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(names))), *f(data, offsets)], names=schema.names)
+
+    return df.select(*keep, df[text].alias("af_text")).mapInArrow(run, schema)
