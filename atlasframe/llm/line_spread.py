@@ -56,7 +56,7 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     first = hits.groupBy("line_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos", "row_key")).alias("first")).select("line_hash", F.col("first.row_key").alias("first_key"), F.col("first.pos").alias("first_pos"))
     gone = hits.join(first, "line_hash").where((F.col("row_key") != F.col("first_key")) | (F.col("pos") != F.col("first_pos")))
     gone = materialize(gone.groupBy("row_key").agg(F.array_distinct(F.collect_list("pos")).alias("af_gone")).withColumnRenamed("row_key", "af_key"))
-    joined = docs.withColumn("af_key", F.xxhash64(doc_id, text)).join(gone, "af_key", "left")
+    joined = docs.withColumn("af_key", F.xxhash64(doc_id, text)).join(gone.hint("merge"), "af_key", "left")  # one plan at every size: texts meet their decisions once
     rows = F.split(text, "\n")
     kept = F.array_join(F.filter(rows, lambda x, i: ~F.array_contains("af_gone", i)), "\n")
     n_gone = F.coalesce(F.size("af_gone"), F.lit(0))
