@@ -138,6 +138,14 @@ def identify(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", dec
     )
 
 
+def remove_rejected(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """docs without the rows whose language identify rejects; all columns pass through."""
+    key = F.xxhash64(text, declared, host)
+    found = identify(docs, (key.alias("af_key"),), text, declared, host, languages)
+    rejected = materialize(found.where("not accepted").select("af_key").distinct())
+    return docs.withColumn("af_key", key).join(rejected, "af_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def page_evidence(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), url: str = "url", html: str = "html") -> DataFrame:
     """keep columns with text (tags, scripts and styles taken out), lang (of the html element) and host of web pages, for identify."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, language_id, license_scan, line_spread, minhash, secret_scan
+from . import ann_tree, html_extract, katz, language_id, license_scan, line_spread, minhash, packing, secret_scan, spaced_seed
 from .storage import workers_import_us
 
 
@@ -20,10 +20,31 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.train_and_score(table(spark, sf_dir, "documents"))
+
+
+def op3_spaced_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -48,6 +69,7 @@ def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op4_minhash, op7_secret_scan, op8_line_spread, op9_ann_tree, op10_language_id, op10_language_id_pages)
+    f.__name__: f
+    for f in (op1_license_scan, op2_katz, op3_spaced_seed, op4_minhash, op5_packing, op6_html_extract, op7_secret_scan, op8_line_spread, op9_ann_tree, op10_language_id, op10_language_id_pages)
 }
 ORACLES: dict[str, str] = {"op7_secret_scan": secret_scan.oracle(), "op8_line_spread": line_spread.ORACLE}
