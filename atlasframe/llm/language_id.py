@@ -94,7 +94,7 @@ def identify(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", dec
             rows = len(offsets) - 1
             size = np.maximum(np.bincount(row, minlength=rows), 1)
             logs = np.stack([np.bincount(row, table[k][bucket], rows) for k in range(n_lang)], 1)
-            logs *= (np.minimum(size, EVIDENCE) / size)[:, None]
+            logs = logs * (np.minimum(size, EVIDENCE) / size)[:, None]  # bincount of no trigrams at all gives integers
             return [pa.array(letters.astype(np.int64)), pa.array(list(logs), pa.list_(pa.float64()))]
 
         return f
