@@ -1,10 +1,6 @@
-"""Named queries over the sample tables, with DuckDB SQL for the same rows where SQL can express them."""
+"""All named queries: importing this module fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import imports, locations, maps, routes, scalars, spatial, tracks  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
