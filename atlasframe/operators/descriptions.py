@@ -16,26 +16,31 @@ STRAIGHT, SLIGHT, TURN = 10.0, 45.0, 120.0
 #: For curves: degrees at which one may begin, degrees that a further node must add, metres between its nodes and in all.
 CURVE_FROM, CURVE_TO, CURVE_ADD, CURVE_STEP, CURVE_MOST = 5.0, 10.0, 5.0, 20.0, 300.0
 
-_along = Window.partitionBy("route").orderBy("idx")
-_so_far = _along.rowsBetween(Window.unboundedPreceding, 0)
+
+def _along():
+    return Window.partitionBy("route").orderBy("idx")
+
+
+def _so_far():
+    return _along().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def start_and_target(route: DataFrame) -> DataFrame:
     """is_start, is_target."""
-    return route.withColumns({"is_start": F.lag("idx").over(_along).isNull(), "is_target": F.lead("idx").over(_along).isNull()})
+    return route.withColumns({"is_start": F.lag("idx").over(_along()).isNull(), "is_target": F.lead("idx").over(_along()).isNull()})
 
 
 def distance_and_time(route: DataFrame, speed: Column) -> DataFrame:
     """distance (metres) and time (seconds) from the start, at the speed (km/h) of the way that led here."""
-    step = F.coalesce(spherical_distance(F.lag("lat").over(_along), F.lag("lon").over(_along), F.col("lat"), F.col("lon")), F.lit(0.0))
-    timed = route.withColumns({"af_step": step, "af_speed": speed}).withColumn("af_time", F.coalesce(F.col("af_step") / (F.lag("af_speed").over(_along) / 3.6), F.lit(0.0)))
-    return timed.withColumns({"distance": F.sum("af_step").over(_so_far), "time": F.sum("af_time").over(_so_far)}).drop("af_step", "af_speed", "af_time")
+    step = F.coalesce(spherical_distance(F.lag("lat").over(_along()), F.lag("lon").over(_along()), F.col("lat"), F.col("lon")), F.lit(0.0))
+    timed = route.withColumns({"af_step": step, "af_speed": speed}).withColumn("af_time", F.coalesce(F.col("af_step") / (F.lag("af_speed").over(_along()) / 3.6), F.lit(0.0)))
+    return timed.withColumns({"distance": F.sum("af_step").over(_so_far()), "time": F.sum("af_time").over(_so_far())}).drop("af_step", "af_speed", "af_time")
 
 
 def way_changes(route: DataFrame) -> DataFrame:
     """changed_name, changed_type and changed_maxspeed: the new value where it differs from the one before, null where it stays. A name that only toggles between name and reference doesn't change."""
-    same = lambda c: F.lag(c).over(_along).eqNullSafe(F.col(c))
-    inner = F.lag("idx").over(_along).isNotNull() & F.col("way_id").isNotNull()
+    same = lambda c: F.lag(c).over(_along()).eqNullSafe(F.col(c))
+    inner = F.lag("idx").over(_along()).isNotNull() & F.col("way_id").isNotNull()
     renamed = inner & ~same("name") & ~same("ref")
     return route.withColumns({"changed_name": F.when(renamed, F.coalesce("name", "ref")), "changed_type": F.when(inner & ~same("type"), F.col("type")), "changed_maxspeed": F.when(inner & ~same("maxspeed"), F.col("maxspeed"))})
 
@@ -53,12 +58,12 @@ def directions(route: DataFrame) -> DataFrame:
     The curve is a fold over the nodes that follow within CURVE_MOST metres, gathered by a range window.
     """
     here = lambda c: F.col(c)
-    before, after = lambda c: F.lag(c).over(_along), lambda c: F.lead(c).over(_along)
+    before, after = lambda c: F.lag(c).over(_along()), lambda c: F.lead(c).over(_along())
     came = final_bearing(before("lat"), before("lon"), here("lat"), here("lon"))
     goes = initial_bearing(here("lat"), here("lon"), after("lat"), after("lon"))
     step = F.coalesce(spherical_distance(before("lat"), before("lon"), here("lat"), here("lon")), F.lit(0.0))
     marked = route.withColumns({"af_in": came, "af_out": goes, "af_step": step}).withColumn("af_turn", relative_angle(F.col("af_out") - F.col("af_in")))
-    marked = marked.withColumn("af_at", F.sum("af_step").over(_so_far))
+    marked = marked.withColumn("af_at", F.sum("af_step").over(_so_far()))
     ahead = F.collect_list(F.struct(F.col("af_step").alias("step"), F.col("af_out").alias("out"))).over(Window.partitionBy("route").orderBy((F.col("af_at") * 1000).cast("long")).rangeBetween(Window.currentRow, int(CURVE_MOST * 1000)))
     start = F.struct(F.col("af_out").alias("bearing"), F.lit(True).alias("going"), F.lit(0).alias("n"))
 
@@ -77,22 +82,22 @@ def directions(route: DataFrame) -> DataFrame:
 
 def exits(route: DataFrame, graph: DataFrame) -> DataFrame:
     """n_exits: how many edges (from_id, to_id) leave the node, other than back where the route came from."""
-    came = route.select("route", "idx", "node_id", F.lag("node_id").over(_along).alias("came"))
+    came = route.select("route", "idx", "node_id", F.lag("node_id").over(_along()).alias("came"))
     out = came.join(graph.select(F.col("from_id").alias("node_id"), "to_id").distinct(), "node_id").where(~F.col("to_id").eqNullSafe(F.col("came")))
     return route.join(out.groupBy("route", "idx").agg(F.count("*").alias("n_exits")), ["route", "idx"], "left").withColumn("n_exits", F.coalesce("n_exits", F.lit(0)))
 
 
 def crossing_ways(route: DataFrame, node_ways: DataFrame) -> DataFrame:
     """crossing: the ways (node_id, way_ids) at the node that the route doesn't use there, sorted."""
-    joined = route.join(node_ways, "node_id", "left").withColumn("af_before", F.lag("way_id").over(_along))
+    joined = route.join(node_ways, "node_id", "left").withColumn("af_before", F.lag("way_id").over(_along()))
     return joined.withColumn("crossing", F.array_except(F.coalesce("way_ids", F.array().cast("array<bigint>")), F.array_compact(F.array("way_id", "af_before")))).drop("way_ids", "af_before")
 
 
 def motorways(route: DataFrame, types: tuple[str, ...] = ("motorway", "trunk")) -> DataFrame:
     """motorway: enter, change or leave where the route does; change is from one of another reference or name to the next."""
     on = F.coalesce(F.col("type").isin(*types), F.lit(False))
-    was = F.coalesce(F.lag("type").over(_along).isin(*types), F.lit(False))
-    renamed = ~F.coalesce("ref", "name").eqNullSafe(F.coalesce(F.lag("ref").over(_along), F.lag("name").over(_along)))
+    was = F.coalesce(F.lag("type").over(_along()).isin(*types), F.lit(False))
+    renamed = ~F.coalesce("ref", "name").eqNullSafe(F.coalesce(F.lag("ref").over(_along()), F.lag("name").over(_along())))
     return route.withColumn("motorway", F.when(on & ~was, "enter").when(was & ~on, "leave").when(on & was & renamed, "change"))
 
 
@@ -102,8 +107,8 @@ def roundabouts(route: DataFrame) -> DataFrame:
     Stretches in a roundabout are islands of equal flags; exits are counted within one.
     """
     inside = F.coalesce("in_roundabout", F.lit(False))
-    was = F.coalesce(F.lag("in_roundabout").over(_along), F.lit(False))
-    marked = route.withColumns({"af_on": inside, "af_was": was}).withColumn("af_no", F.sum((F.col("af_on") & ~F.col("af_was")).cast("int")).over(_so_far))
+    was = F.coalesce(F.lag("in_roundabout").over(_along()), F.lit(False))
+    marked = route.withColumns({"af_on": inside, "af_was": was}).withColumn("af_no", F.sum((F.col("af_on") & ~F.col("af_was")).cast("int")).over(_so_far()))
     passed = F.sum(F.when(F.col("af_was") & (F.col("n_exits") > 1), 1).otherwise(0)).over(Window.partitionBy("route", "af_no").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     counted = marked.withColumn("af_passed", passed)
     return counted.withColumns({"roundabout": F.when(F.col("af_on") & ~F.col("af_was"), "enter").when(F.col("af_was") & ~F.col("af_on"), "leave"), "roundabout_exit": F.when(F.col("af_was") & ~F.col("af_on"), F.col("af_passed"))}).drop("af_on", "af_was", "af_no", "af_passed")
@@ -111,7 +116,7 @@ def roundabouts(route: DataFrame) -> DataFrame:
 
 def sections(route: DataFrame, via: Column) -> DataFrame:
     """section: counts from 0 and grows at each node that via marks."""
-    return route.withColumn("section", F.sum(F.when(via, 1).otherwise(0)).over(_so_far))
+    return route.withColumn("section", F.sum(F.when(via, 1).otherwise(0)).over(_so_far()))
 
 
 #: Which turns of a lane suit which move.
@@ -125,7 +130,7 @@ LANES_FOR = {
 def suggested_lanes(route: DataFrame) -> DataFrame:
     """lane_from and lane_to (from 0, left to right): the run of lanes that suit the next turn; route has lane_turns (array) and turn. Null where no lane suits."""
     fits = F.create_map(*[x for k, v in LANES_FOR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    next_turn = F.coalesce(F.lead("turn").over(_along), F.lit("straight on"))
+    next_turn = F.coalesce(F.lead("turn").over(_along()), F.lit("straight on"))
     places = F.filter(F.transform("lane_turns", lambda t, i: F.when(F.array_contains(F.element_at(fits, F.col("af_next")), t), i)), lambda i: i.isNotNull())
     return route.withColumn("af_next", next_turn).withColumns({"lane_from": F.array_min(places), "lane_to": F.array_max(places)}).drop("af_next")
 
