@@ -103,7 +103,7 @@ def _objects(block: bytes) -> Iterator[tuple]:
     text = [v.decode() for _, v in _fields(parts[1][0])]
     step, lat0, lon0 = (parts.get(k, [d])[0] for k, d in ((17, 100), (19, 0), (20, 0)))
     tags = lambda f: {text[a]: text[b] for a, b in zip(_packed(f.get(2, b"")), _packed(f.get(3, b"")), strict=True)}
-    place = lambda lat, lon: ((lat0 + step * lat) * 1e-9, (lon0 + step * lon) * 1e-9)
+    place = lambda lat, lon: ((lat0 + step * lat) / 1e9, (lon0 + step * lon) / 1e9)
     zigzag = lambda n: (n >> 1) ^ -(n & 1)
     for group in parts.get(2, []):
         for kind, raw in _fields(group):

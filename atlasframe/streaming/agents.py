@@ -153,7 +153,7 @@ def _run(agent: Agent, state: tuple, t: pd.DataFrame, vehicle: int) -> tuple[tup
     for m in t.itertuples():
         state, rows = agent.step(state, m)
         out += rows
-    found = pd.DataFrame({"vehicle": [vehicle] * len(out), "ts": pd.to_datetime([int(round(s * 1e6)) for s, _, _ in out], unit="us"), "kind": [k for _, k, _ in out], "value": [float(v) for _, _, v in out]})
+    found = pd.DataFrame({"vehicle": [vehicle] * len(out), "ts": pd.to_datetime([int(round(s * 1e6)) for s, _, _ in out], unit="us"), "kind": pd.Series([k for _, k, _ in out], dtype=object), "value": [float(v) for _, _, v in out]})
     return state, found
 
 
