@@ -204,8 +204,7 @@ def gpx_documents(points: DataFrame) -> DataFrame:
     from ..functions.text import iso_text
 
     tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))
-    point = F.concat(F.lit('<trkpt lat="'), F.format_string("%.7f", F.col("lat")), F.lit('" lon="'), F.format_string("%.7f", F.col("lon")), F.lit('">'), tag("ele", F.format_string("%.1f", F.col("ele"))), tag("time", iso_text(F.col("ts"))), F.lit("</trkpt>"))
-    point = F.when(F.col("ele").isNull(), F.regexp_replace(point, "<ele>null</ele>", "")).otherwise(point)
+    point = F.concat(F.lit('<trkpt lat="'), F.format_string("%.7f", F.col("lat")), F.lit('" lon="'), F.format_string("%.7f", F.col("lon")), F.lit('">'), tag("ele", F.when(F.col("ele").isNotNull(), F.format_string("%.1f", F.col("ele")))), tag("time", iso_text(F.col("ts"))), F.lit("</trkpt>"))
     segs = points.withColumn("x", point).groupBy("track", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda p: p["x"]), "").alias("x"))
     body = segs.groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "x"))), lambda s: F.concat(F.lit("<trkseg>"), s["x"], F.lit("</trkseg>"))), "").alias("x"))
     return body.select("track", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk>'), "x", F.lit("</trk></gpx>")).alias("gpx"))
