@@ -167,7 +167,7 @@ def read_osm(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
 
 def read_poly(spark: SparkSession, path: str) -> DataFrame:
     """(file, ring_no, name, ring): rings of .poly files: a title, then sections of a name, lines of lon and lat, END. A closing point that equals the first is dropped; names with ! are holes."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", r"\r?\nEND\s*(?:\r?\n|$)").alias("sections"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\nEND\s*(?:\r?\n|$)").alias("sections"))
     s = files.select("file", F.posexplode("sections").alias("ring_no", "body")).where(F.trim("body") != "")
     body = s.withColumn("lines", F.filter(F.split(F.when(F.col("ring_no") == 0, F.regexp_replace("body", r"^[^\n]*\n", "")).otherwise(F.col("body")), r"\r?\n"), lambda x: F.trim(x) != ""))
     numbers = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda y: y != "")
