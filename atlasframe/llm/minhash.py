@@ -13,10 +13,9 @@
    others between classes that aren't connected yet.
 6. Classes of 3 whose long lists still hold several components get up to CHIEFS more leaders for each list, those most similar to their leaders
    on average: the centre of a group of edits of one text, which nearly every member resembles more than any other.
-7. Where lists are still mixed, each class is told by what its whole set and its list's hub have not in common. With off = size
-   of that difference - b * size of the set, b = (1 - t) / (1 + t), two classes reach the threshold t without sharing any
-   difference only if their offs add up to 0 or less; then both reach it with the class of the least off too. All others
-   share an element of their differences, so lists of these propose them: what edits took from the hub pairs classes as well as what they added.
+7. Where lists are still mixed, each class is told by what its whole set and its list's hub have not in common. Two such
+   differences give the exact similarity of their classes, so each class outside a hub's largest component is compared
+   with all classes of the hub, in blocks of bounded size: a product of matrices, without texts, leaders or caps.
 """
 
 from __future__ import annotations
@@ -34,8 +33,8 @@ SHINGLE, PERCENT = 5, 85
 SKETCH, INDEXED, SHORT, CHIEFS = 64, 16, 12, 24
 #: Below the threshold by over four standard errors of a full sketch's estimate.
 SLACK = 0.19
-#: Classes this similar to a hub are told by their difference from it, by HUBS of their long lists.
-HUB_PERCENT, HUBS = 69, 3
+#: Classes and elements of a block of differences on average; columns of a product at once.
+BLOCK, BLOCK_ELEMENTS, COLUMNS = 512, 1 << 20, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -100,16 +99,79 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, doc_id: str, tex
     return _with_texts(pairs, docs, reps, doc_id, text).mapInArrow(run, "a long, b long").distinct()
 
 
-def _differences(pairs: DataFrame, docs: DataFrame, reps: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """(hub, class, off, elements) of pairs (a: hub, b: class): the shingles that only one of the two has, see 7."""
+def _differences(pairs: DataFrame, docs: DataFrame, reps: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(hub, class, n, elements) of pairs (a: hub, b: class): the size of the class's set and the shingles that only one of the two has, see 7."""
 
     def run(batches):
         for batch in batches:
             apart = [(np.setxor1d(own, other, assume_unique=True), len(other)) for own, other in _set_pairs(batch, size)]
-            off = [len(d) - n * (100 - percent) / (100 + percent) for d, n in apart]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(off, pa.float64()), pa.array([d for d, _ in apart], pa.list_(pa.int64()))], names=["hub", "class", "off", "elements"])
-
-    return _with_texts(pairs, docs, reps, doc_id, text).mapInArrow(run, "hub long, class long, off double, elements array<long>").dropDuplicates(["hub", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([n for _, n in apart], pa.int64()), pa.array([d for d, _ in apart], pa.list_(pa.int64()))], names=["hub", "class", "n", "elements"])
+
+    return _with_texts(pairs, docs, reps, doc_id, text).mapInArrow(run, "hub long, class long, n long, elements array<long>").dropDuplicates(["hub", "class"])
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of left shares with each of right."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        row, x = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(both, x)
+        met = at < len(both)
+        met[met] = both[at[met]] == x[met]
+        order = np.argsort(at[met], kind="stable")
+        sides.append((row[met][order], at[met][order]))
+    for first in range(0, len(both), COLUMNS):
+        parts = []
+        for sets, (row, at) in zip((left, right), sides, strict=True):
+            a, b = np.searchsorted(at, [first, first + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, len(both) - first)), np.float32)
+            part[row[a:b], at[a:b] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _joined(diff: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a link for any two components (hub, class, component, n, elements) of a hub that hold classes which reach the threshold.
+
+    A hub's rows outside its largest component are compared with all its rows, block by block, every pair of them.
+    """
+    sizes = diff.groupBy("hub", "component").agg(F.count("*").alias("rows"), F.sum(F.size("elements")).alias("held"))
+    whole = sizes.groupBy("hub").agg(F.max(F.struct("rows", "component", "held")).alias("main"), F.sum("rows").alias("rows"), F.sum("held").alias("held")).where("rows > main.rows")
+    blocks = lambda rows, held: F.greatest(F.ceil(rows / BLOCK), F.ceil(held / BLOCK_ELEMENTS), F.lit(1)).cast("int")
+    cuts = whole.select("hub", F.col("main.component").alias("main"), blocks(F.col("main.rows"), F.col("main.held")).alias("n_main"), blocks(F.col("rows") - F.col("main.rows"), F.col("held") - F.col("main.held")).alias("n_rest"))
+    rows = diff.join(cuts, "hub").withColumn("rest", F.col("component") != F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.when(F.col("rest"), F.col("n_rest")).otherwise(F.col("n_main"))).cast("int"))
+    # Blocks of the rest are 0 to n_rest - 1, those of the largest component follow; (i, j) has i among the rest and j from i on.
+    number = F.when(F.col("rest"), F.col("own")).otherwise(F.col("n_rest") + F.col("own"))
+    low = F.transform(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("own")).otherwise(F.col("n_rest") - 1)), lambda i: F.struct(i.alias("i"), number.alias("j")))
+    high = F.when(F.col("rest"), F.transform(F.sequence(F.col("own"), F.col("n_rest") + F.col("n_main") - 1), lambda j: F.struct(number.alias("i"), j.alias("j")))).otherwise(low)
+    asked = rows.select("hub", "class", "component", "n", "elements", number.alias("number"), F.explode(F.array_distinct(F.concat(low, high))).alias("pair"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        number, i, j = t.column("number").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        cls, component, n = (t.column(k).to_numpy() for k in ("class", "component", "n"))
+        elements = t.column("elements").combine_chunks()
+        offsets, flat = elements.offsets.to_numpy(), elements.values.to_numpy()
+        left, right = np.flatnonzero(number == i), np.flatnonzero(number == j)
+        a = b = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            sets = lambda at: [flat[offsets[k] : offsets[k + 1]] for k in at]
+            d = np.diff(offsets)
+            total = n[left][:, None] + n[right]
+            both = (total - (d[left][:, None] + d[right] - 2 * _shared(sets(left), sets(right)))) // 2
+            x, y = np.nonzero((100 * both >= percent * (total - both)) & (component[left][:, None] != component[right]))
+            x, y = left[x], right[y]
+            # One link joins two components.
+            ends = np.stack([np.minimum(component[x], component[y]), np.maximum(component[x], component[y])], axis=1)
+            first = np.unique(ends, axis=0, return_index=True)[1]
+            a, b = np.minimum(cls[x], cls[y])[first], np.maximum(cls[x], cls[y])[first]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    asked = asked.select("hub", "class", "component", "n", "elements", "number", "pair.i", "pair.j")
+    return asked.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _set(text: pa.Scalar, size: int) -> np.ndarray:
@@ -182,22 +244,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not member.isEmpty():
         hubs = member.groupBy("value").agg(F.max(F.struct("score", "class")).alias("top")).select("value", F.col("top.class").alias("hub"))
         # A class stands in INDEXED lists at most.
-        few = member.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("value")), 1, HUBS).alias("values")).select("class", F.explode("values").alias("value"))
-        around = few.join(hubs, "value").where(F.col("class") != F.col("hub")).select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-        diff = materialize(_differences(_estimate(around, classes, HUB_PERCENT), docs, reps, doc_id, text, size, percent))
-        label = member.select("class", "component").distinct()
-        rows = diff.join(label, "class").select("hub", "class", "component", "off", F.explode("elements").alias("element"))
-        by_hash = F.struct(F.xxhash64("class", "element"), "class")
-        ranks = rows.groupBy("hub", "element").agg(F.count("*").alias("long"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("off", "class")).alias("near"), F.min(by_hash).alias("first"), F.max(by_hash).alias("second"))
-        rows = materialize(rows.join(ranks.where("low < high").select("hub", "element", "long", F.array("near.class", "first.class", "second.class").alias("leaders")), ["hub", "element"]))
-        short = rows.where(F.col("long") <= SHORT).select("hub", "element", "class", "component")
-        other = short.select("hub", "element", F.col("class").alias("b"), F.col("component").alias("c_b"))
-        proposed = short.withColumnRenamed("class", "a").join(other, ["hub", "element"]).where("a < b and component <> c_b").select("a", "b")
-        led = rows.where(F.col("long") > SHORT).select("class", F.explode("leaders").alias("leader"))
-        led = led.unionByName(diff.join(diff.groupBy("hub").agg(F.min(F.struct("off", "class")).alias("near")), "hub").select("class", F.col("near.class").alias("leader"))).where(F.col("class") != F.col("leader"))
-        led = led.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
-        proposed = apart(proposed.unionByName(led).distinct(), found).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        last = materialize(_verify(_estimate(proposed, classes, percent), docs, reps, doc_id, text, size, percent))
+        around = member.join(hubs, "value").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+        diff = materialize(_differences(around, docs, reps, doc_id, text, size).join(member.select("class", "component").distinct(), "class"))
+        last = materialize(_joined(diff, percent))
         if not last.isEmpty():
             links = materialize(links.unionByName(last))
             found = materialize(components(links))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,53 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in expected.items() if i == c)
 
 
+def cut_texts(n, n_cuts, length, words=400, seed=11):
+    """One text with several stretches cut out of each copy: copies that lack nearly the same parts are similar, all others are not."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        starts = [rng.randrange(words - length) for _ in range(n_cuts)]
+        out.append(" ".join(f"x{k}" for k in range(words) if not any(a <= k < a + length for a in starts)))
+    return out
+
+
+def matrix_groups(texts, percent=85):
+    """The groups of plain_groups, ids from 1, by a product of matrices."""
+    number: dict = {}
+    sets = [[number.setdefault(x, len(number)) for x in shingles(t)] for t in texts]
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, s] = 1
+    both, size = m @ m.T, m.sum(1)
+    linked = 100 * both >= percent * (size[:, None] + size - both)
+    label = np.arange(1, len(sets) + 1)
+    while True:
+        lower = np.where(linked, label, len(sets) + 1).min(1)
+        if (lower == label).all():
+            return dict(enumerate(label.tolist(), 1))
+        label = lower
+
+
+def test_near_duplicates_of_a_group_of_cuts(spark):
+    texts = cut_texts(300, 4, 30)
+    expected = matrix_groups(texts)
+    assert 100 < len(set(expected.values())) < 300
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(cases.documents(spark, texts)).collect()} == expected
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_blocks_of_differences_meet_every_pair(spark, monkeypatch, percent):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    texts = cut_texts(150, 2, 40)
+    sets = [np.array(sorted(hash(x) for x in shingles(t))) for t in texts]
+    rows = [(1, k + 1, k + 1, len(s), np.setxor1d(s, sets[0]).tolist()) for k, s in enumerate(sets)]
+    diff = spark.createDataFrame(rows, "hub long, class long, component long, n long, elements array<long>")
+    links = minhash._joined(diff, percent)
+    found = {r.node: r.component for r in components.components(links).collect()}
+    assert {k: found.get(k, k) for k in range(1, 151)} == matrix_groups(texts, percent)
+
+
 def test_near_duplicates_of_the_sample(spark):
     docs = cases.small(spark, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
