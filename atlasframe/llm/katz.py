@@ -1,6 +1,6 @@
 """Katz backoff language model over bigrams, counted, normalised and evaluated as joins of tables.
 
-    p(w | h) = d_r r / C(h)               if (h, w) was seen r >= MIN_COUNT times in training
+    p(w | h) = d_r r / C(h)               if (h, w) was seen r >= MIN_COUNT times in training, once is enough
              = alpha(h) p(w)              otherwise
     p(w)     = d_c c / N                  if w was seen c times, the rest of the mass for all unknown words together
 
@@ -28,7 +28,7 @@ from .storage import materialize
 from .textbatch import SOLID, mix, text_chunks, words_of
 
 HOT, HOT_GRAMS = 1 << 16, 1 << 18
-MIN_COUNT, GT_LIMIT = 2, 5
+MIN_COUNT, GT_LIMIT = 1, 5
 #: Tokens of a run of texts that is packed at once, and of a bucket of keys on average.
 RUN, BUCKET = 1 << 20, 3 << 19
 #: Ids: hot words by rank, then these; other words are negative (their hash).
@@ -182,7 +182,7 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
         first, r = _sums(_pair(h, w), n)
         some = r >= MIN_COUNT
         small = np.bincount(r[r <= GT_LIMIT + 1], minlength=GT_LIMIT + 2)[1:]
-        return pa.table({"h": pa.array([*h[first][some], *[None] * len(small)], pa.int64()), "w": pa.array(np.concatenate([w[first][some], small]), pa.int64()), "r": pa.array(np.concatenate([r[some], np.arange(1, GT_LIMIT + 2)]), pa.int64())})
+        return pa.table({"h": pa.array(np.append(h[first][some], small), mask=np.arange(some.sum() + len(small)) >= some.sum()), "w": pa.array(np.concatenate([w[first][some], small]), pa.int64()), "r": pa.array(np.concatenate([r[some], np.arange(1, GT_LIMIT + 2)]), pa.int64())})
 
     return train.mapInArrow(count, "bucket int, h binary, w binary, n binary").groupBy("bucket").applyInArrow(add, "h long, w long, r long")
 

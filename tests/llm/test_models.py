@@ -84,6 +84,15 @@ def test_katz_is_normalised(spark):
     assert sum(10 ** r.log_p for r in model.hot_words.collect() if r.log_p is not None) + 10**model.unknown == pytest.approx(1)
 
 
+def test_katz_keeps_pairs_seen_once(spark):
+    texts = ["a b a b a c", "a b c a b", "c c c b a", "a b a b", "a d b", "d c"]
+    model = katz.Model(cases.documents(spark, texts).select("text"))
+    seen = Counter()
+    for t in texts:
+        seen.update(zip([None, *t.split()], [*t.split(), None], strict=True))
+    assert sorted(r.r for r in model.bigrams.collect()) == sorted(seen.values()) and 1 in seen.values()
+
+
 def test_katz_empty(spark):
     assert katz.train_and_score(cases.no_documents(spark)).count() == 0
     r = katz.train_and_score(cases.documents(spark, [None], ids=[next(i for i in range(99) if held_out(i))])).first()
