@@ -9,6 +9,9 @@ from atlasframe.llm import language_id, line_spread, minhash, packing, spaced_se
 from atlasframe.llm.queries import packed_digest, table
 from atlasframe.llm.storage import materialize, workers_import_us
 
+#: Documents that share that many percent of their five-word shingles are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the known languages."""
@@ -28,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     workers_import_us(spark)
-    return minhash.remove_near_duplicates(docs)
+    return minhash.remove_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
