@@ -2,20 +2,21 @@
 
 1. A text's set is its distinct five-word shingles as 64-bit hashes; texts of one set form a class at once. A
    class's sketch is its SKETCH smallest hashes.
-2. Inverted lists of the INDEXED smallest values of each sketch propose pairs: all pairs within lists of up to SHORT
-   classes, and in longer lists each class with two leaders by a hash of class and value, so that a large group
-   has many leaders. No list is expanded into all pairs.
-3. Classes most of whose values stand in long lists, such as copies in a large group, are indexed by their whole
-   sketches besides, so that what two of them share and the group lacks pairs them too.
-4. The sketch of the union of two sets, which follows from their sketches, estimates their similarity; pairs
-   far below the threshold go.
-5. Exact similarity is computed from whole texts: first each class's most similar proposals, then all
-   others between classes that aren't connected yet.
-6. Classes of 3 whose long lists still hold several components get up to CHIEFS more leaders for each list, those most similar to their leaders
-   on average: the centre of a group of edits of one text, which nearly every member resembles more than any other.
-7. Where lists are still mixed, each class is told by what its whole set and its list's hub have not in common. Two such
-   differences give the exact similarity of their classes, so each class outside a hub's largest component is compared
-   with all classes of the hub, in blocks of bounded size: a product of matrices, without texts, leaders or caps.
+2. Inverted lists of the INDEXED smallest values of each sketch, apart by the size of sets, propose pairs: all pairs
+   within lists of up to SHORT classes. The sketch of the union of two sets, which follows from their sketches,
+   estimates their similarity; pairs far below the threshold go, the others are verified on whole texts.
+3. Longer lists aren't expanded into pairs. Their classes are described by what they and one class of the list, its hub,
+   have not in common, made from whole texts. The elements that most of these differences hold lead from the hub to the
+   group's centre, a set that need not be a document. The difference of two classes' differences from the centre is the
+   difference of the classes, so the rest is exact and needs no texts.
+4. With d the size of a class's difference from the centre, n its own size, and w = (100 + percent) d - (100 - percent) n, the
+   triangle inequality links any two classes whose w add up to 0 or less. So all are linked with the most central class
+   whose w is at most minus its own: in a group of edits of one text nearly all, without a comparison.
+5. Any other linked pair shares at least (w_a + w_b) / 2 (100 + percent) elements of its differences, so it shares one
+   of the rarest d - that + 1 of either. Only those are indexed, in bands of w so that the bound is close.
+   Lists of up to LISTED entries propose pairs, decided by the size of the intersection of their differences.
+6. Classes in longer lists than that, such as those that lack overlapping parts of one text, are compared block by block: every pair
+   of components, by a product of matrices of bounded size.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ from .storage import materialize
 from .textbatch import SOLID, map_text, mix, shingle_hashes, words_of
 
 SHINGLE, PERCENT = 5, 85
-SKETCH, INDEXED, SHORT, CHIEFS = 64, 16, 12, 24
-#: Below the threshold by over four standard errors of a full sketch's estimate.
-SLACK = 0.19
+SKETCH, INDEXED, SHORT, LISTED = 64, 16, 12, 64
+#: A class with that many of its values in short lists meets all it is linked with there; the odds against one link are below 0.2 ** 12 (1e-10 at 85 percent).
+ENOUGH = 12
+#: Differences of one hub that meet its text in one task.
+ROWS = 512
+#: Below the threshold by over five standard errors of a full sketch's estimate.
+SLACK = 0.25
 #: Classes and elements of a block of differences on average; columns of a product at once.
 BLOCK, BLOCK_ELEMENTS, COLUMNS = 512, 1 << 20, 4096
 
@@ -43,24 +48,42 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, row_key, n_shingles, class, sketch); class is a hash of the whole set, null for an empty one."""
+    """(doc_id, row_key, n_shingles, class, twin, sketch); class and twin are two hashes of the whole set, null for an empty one."""
+
+    def key(s: np.ndarray, salt: int) -> int | None:
+        total = np.add.reduce(mix(s.view(np.uint64) ^ np.uint64(salt))) + np.uint64(len(s))
+        return int(mix(np.array([total], np.uint64))[0].astype(np.int64)) if len(s) else None
 
     def make():
         def f(data, offsets):
             sets = shingle_sets(data, offsets, size)
-            keys = [int(mix(np.array([np.add.reduce(mix(s.view(np.uint64)))], np.uint64) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else None for s in sets]
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))]
+            keys = [pa.array([key(s, salt) for s in sets], pa.int64()) for salt in (0, 0x5851F42D4C957F2D)]
+            return [pa.array([len(s) for s in sets], pa.int64()), *keys, pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))]
 
         return f
 
-    return map_text(docs, text, (F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key")), "n_shingles long, class long, sketch array<long>", make)
+    return map_text(docs, text, (F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key")), "n_shingles long, class long, twin long, sketch array<long>", make)
+
+
+def _classes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own and its classes (class, rep, n, sketch). Sets are told apart by 128 bits: where two share a class, each takes one of its own."""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        found = rows.where("class is not null and doc_id is not null").groupBy("class")
+        return materialize(found.agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("twin").alias("low"), F.max("twin").alias("high")))
+
+    classes = grouped(own)
+    clash = classes.where("low <> high").select("class", F.lit(True).alias("clash"))
+    if not clash.isEmpty():
+        own = materialize(own.join(clash, "class", "left").withColumn("class", F.when(F.col("clash"), F.xxhash64("class", "twin")).otherwise(F.col("class"))).drop("clash"))
+        classes = grouped(own)
+    return own, classes.drop("low", "high")
 
 
 def _estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) that may reach the threshold, with their estimated similarity."""
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     x = pairs.join(side("b"), "b").join(side("a"), "a")
-    x = x.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
     x = x.withColumn("top", union).withColumn("last", F.element_at("top", -1))
     both = F.size(F.filter(F.array_intersect("s_a", "s_b"), lambda v: v <= F.col("last")))
@@ -69,10 +92,13 @@ def _estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) of classes with the whole texts of their representatives."""
+    """The pairs (a, b) of classes with the whole texts of their representatives. Classes that are a in many pairs have them in parts of about ROWS."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).alias("t"))
-    side = lambda x: reps.select(F.col("class").alias(x), "doc_id", "row_key").join(texts, ["doc_id", "row_key"]).select(x, F.col("t").alias(f"t_{x}"))
-    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
+    named = reps.select("class", "doc_id", "row_key").join(texts, ["doc_id", "row_key"]).select("class", "t")
+    often = materialize(pairs.groupBy("a").count().where(F.col("count") > ROWS).select("a", F.ceil(F.col("count") / ROWS).cast("int").alias("parts")))
+    asked = pairs.select("a", "b").join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    firsts = named.withColumnsRenamed({"class": "a", "t": "t_a"}).join(often, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return asked.join(named.withColumnsRenamed({"class": "b", "t": "t_b"}), "b").join(firsts, ["a", "part"]).select("a", "b", "t_a", "t_b")
 
 
 def _set_pairs(batch: pa.RecordBatch, size: int):
@@ -100,7 +126,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, doc_id: str, tex
 
 
 def _differences(pairs: DataFrame, docs: DataFrame, reps: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(hub, class, n, elements) of pairs (a: hub, b: class): the size of the class's set and the shingles that only one of the two has, see 7."""
+    """(hub, class, n, elements) of pairs (a: hub, b: class): the size of the class's set and the shingles that only one of the two has."""
 
     def run(batches):
         for batch in batches:
@@ -179,82 +205,144 @@ def _set(text: pa.Scalar, size: int) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)]), size)[0]
 
 
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """(value, class, n, at, long): lists of two or more classes by sketch value, the class's smallest but at, and size of set.
+
+    Sizes go by powers of two; a set within the threshold of the next power stands in that list as well, so that any two
+    sets of similar sizes meet.
+    """
+    size = F.floor(F.log2("n"))
+    above = F.when(100 * F.col("n") >= percent * F.pow(F.lit(2), size + 1), F.array(size, size + 1)).otherwise(F.array(size))
+    posted = classes.select("class", "n", above.alias("sizes"), F.posexplode(F.slice("sketch", 1, INDEXED)).alias("at", "v"))
+    posted = posted.withColumn("size", F.explode("sizes")).select(F.xxhash64("v", "size").alias("value"), "class", "n", "at")
+    return materialize(posted.join(posted.groupBy("value").agg(F.count("*").alias("long")).where("long > 1"), "value"))
+
+
+def _centred(diff: DataFrame, percent: int) -> DataFrame:
+    """diff (hub, class, n, elements) by differences from the centre of each hub's classes, with d and w, see 3 and 4."""
+    rows = diff.groupBy("hub").agg(F.count("*").alias("rows"))
+    held = diff.select("hub", F.explode("elements").alias("element")).groupBy("hub", "element").count()
+    most = held.join(rows, "hub").where(2 * F.col("count") > F.col("rows")).groupBy("hub").agg(F.collect_list("element").alias("most"))
+    moved = diff.join(materialize(most), "hub", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    moved = moved.withColumn("elements", F.concat(F.array_except("elements", "most"), F.array_except("most", "elements")))
+    d = F.size("elements").cast("long")
+    return materialize(moved.select("hub", "class", "n", "elements", d.alias("d"), ((100 + percent) * d - (100 - percent) * F.col("n")).alias("w")))
+
+
+def _rare_lists(centred: DataFrame, middle: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Index and probes (hub, element, band, class, at) of 5 for rows (hub, class, component, n, elements, d, w) and middle (hub, low, home, size).
+
+    Of a pair the class with the smaller w is looked for in the index, by the other's probes; at is the place of the
+    element in the class's order from rare to frequent. low is the least w of the hub, home the component of the class that has it.
+    """
+    # Only hubs that hold other components take part, and of their elements those that two classes hold.
+    rows = centred.join(middle, "hub").withColumn("rest", F.col("component") != F.col("home"))
+    some = rows.where("rest").select("hub").distinct()
+    rows = materialize(rows.join(some, "hub", "left_semi"))
+    spread = rows.select("hub", "class", F.explode("elements").alias("element"))
+    often = spread.groupBy("hub", "element").agg(F.count("*").alias("count")).where("count > 1")
+    order = spread.join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("count", "element"))).alias("order"))
+    x = rows.drop("elements").join(order, ["hub", "class"]).withColumn("alone", F.col("d") - F.size("order"))
+    unit, reach = 100 + percent, 100 - percent
+    width = F.greatest(F.lit(2 * unit), F.floor(reach * F.col("size") / 4))
+    need = lambda w: F.greatest(F.lit(1), F.ceil(w / unit))
+    # A class at home is linked with others only, whose w is above -low.
+    other = 1 - F.col("low")
+    least = need(F.when(F.col("rest"), F.col("w")).otherwise((F.col("w") + F.greatest("w", other)) / 2))
+    column = lambda k, prefix: F.transform(F.slice("order", 1, prefix), lambda x, i: F.struct(x["element"].alias("element"), (F.col("alone") + i + 1).alias("at"), k.alias("band")))
+    kept = lambda prefix: F.greatest(F.lit(0), F.least(prefix, F.col("d")) - F.col("alone")).cast("int")
+    picked = ("hub", "class", "component", "rest", "n", "d", "w")
+    index = x.select(*picked, F.explode(column(F.floor(F.col("w") / width), kept(F.col("d") - least + 1))).alias("e")).select(*picked, "e.*")
+    lowest = F.greatest(F.col("low"), F.floor(F.col("w") - 200 * reach * F.col("n") / percent))
+    lowest = F.when(F.col("rest"), lowest).otherwise(F.greatest(lowest, other))
+    bands = F.sequence(F.floor(lowest / width), F.floor(F.col("w") / width))
+    probes = x.where(lowest <= F.col("w")).withColumn("band", F.explode(bands))
+    share = need((F.greatest(F.col("band") * width, lowest) + F.col("w")) / 2)
+    probes = probes.select(*picked, F.explode(column(F.col("band"), kept(F.col("d") - share + 1))).alias("e")).select(*picked, "e.*")
+    return materialize(index), materialize(probes)
+
+
+def _rare_pairs(index: DataFrame, probes: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(hub, a, b): pairs of classes that index and probes propose in lists (hub, element, band), both within the prefix of what they must share."""
+    key = ["hub", "element", "band"]
+    side = lambda x, y: x.join(lists, key).select(*key, *[F.col(k).alias(f"{k}_{y}") for k in ("class", "component", "rest", "n", "d", "w", "at")])
+    x = side(probes, "b").join(side(index, "a"), key)
+    share = F.greatest(F.lit(1), F.ceil((F.col("w_a") + F.col("w_b")) / (2 * (100 + percent))))
+    near = (F.col("w_a") <= F.col("w_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("rest_a") | F.col("rest_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    x = x.where(near & (F.col("at_a") <= F.col("d_a") - share + 1) & (F.col("at_b") <= F.col("d_b") - share + 1))
+    return x.select("hub", F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def _linked(pairs: DataFrame, centred: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, a, b) whose similarity, by the differences of centred, reaches the threshold."""
+    side = lambda x: centred.select("hub", F.col("class").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "d", "elements")])
+    x = pairs.join(side("b"), ["hub", "b"]).join(side("a"), ["hub", "a"])
+    apart = F.col("d_a") + F.col("d_b") - 2 * F.size(F.array_intersect("elements_a", "elements_b"))
+    return x.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row_key, n_shingles, component_id, kept) of each row of docs; row_key is xxhash64 of the text.
 
     Rows without words have no shingles and are linked with nothing, as are rows without an id, whose component_id
     is null; both are kept. Repeated rows share a class. component_id is the smallest doc_id of the component.
     """
-    own = materialize(sketches(docs, doc_id, text, size))
-    classes = materialize(own.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    own, classes = _classes(materialize(sketches(docs, doc_id, text, size)))
     reps = classes.select("class", "rep.doc_id", "rep.row_key")
-
-    def lists_of(postings: DataFrame) -> DataFrame:
-        """(value, class, long) of the lists of two or more classes."""
-        return postings.join(postings.groupBy("value").agg(F.count("*").alias("long")).where("long > 1"), "value")
-
-    def all_pairs(lists: DataFrame) -> DataFrame:
-        short = lists.where(F.col("long") <= SHORT).select("value", "class")
-        return short.select("value", F.col("class").alias("a")).join(short.select("value", F.col("class").alias("b")), "value").where("a < b").select("a", "b")
-
-    lists = materialize(lists_of(classes.select("class", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))))
-    in_long = lists.where(F.col("long") > SHORT)
-    crowded = in_long.groupBy("class").agg(F.count("*").alias("n_long")).where(F.col("n_long") > INDEXED // 2).select("class")
-    deep = materialize(lists_of(classes.join(crowded, "class", "left_semi").select("class", F.explode("sketch").alias("value"))))
-    order = F.struct(F.xxhash64("class", "value"), "class")
-    leaders = in_long.groupBy("value").agg(F.min(order).alias("first"), F.max(order).alias("second"))
-    led = in_long.join(leaders.select("value", F.array("first.class", "second.class").alias("leaders")), "value").select("class", F.explode("leaders").alias("leader")).where(F.col("class") != F.col("leader"))
-    pairs = all_pairs(lists).unionByName(all_pairs(deep)).unionByName(led.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")))
-    pairs = materialize(_estimate(pairs.distinct(), classes, percent))
+    lists = _lists(classes, percent)
+    short = lists.where(F.col("long") <= SHORT)
+    side = lambda x: short.select("value", F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
+    alike = (F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    pairs = side("a").join(side("b"), "value").where(alike).select("a", "b").distinct()
+    pairs = materialize(_estimate(pairs, classes, percent))
 
     # The most similar proposal of each class first: these connect nearly all that can be connected.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "estimate")
-    best = ends.groupBy("x").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+    best = materialize(ends.groupBy("x").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
     links = materialize(_verify(best, docs, reps, doc_id, text, size, percent))
+    found = materialize(components(links))
 
-    def apart(candidates: DataFrame, found: DataFrame) -> DataFrame:
-        label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-        far = candidates.join(label("a"), "a", "left").join(label("b"), "b", "left")
-        return far.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    def labelled(rows: DataFrame, key: str = "class", name: str = "component") -> DataFrame:
+        """rows with the component found so far of the class in column key."""
+        return rows.join(found.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-    found = materialize(components(links))
-    rest = materialize(_verify(apart(pairs.join(best, ["a", "b"], "left_anti"), found), docs, reps, doc_id, text, size, percent))
-    links = links.unionByName(rest)
-    if not rest.isEmpty():
-        found = materialize(components(links))
-
-    score = pairs.select(F.explode(F.array("a", "b")).alias("class"), "estimate").groupBy("class").agg(F.avg("estimate").alias("score"))
-
-    def mixed_members(found: DataFrame) -> DataFrame:
-        """(value, class, component, score) of the crowded classes in long lists that hold several components."""
-        member = in_long.select("value", "class").join(crowded, "class", "left_semi").join(found.withColumnRenamed("node", "class"), "class", "left").join(score, "class", "left")
-        member = materialize(member.select("value", "class", F.coalesce("component", "class").alias("component"), F.coalesce("score", F.lit(0.0)).alias("score")))
-        mixed = member.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-        return materialize(member.join(mixed, "value", "left_semi"))
-
-    member = mixed_members(found)
-    chiefs = member.groupBy("value", F.pmod("class", F.lit(CHIEFS)).alias("slot")).agg(F.max(F.struct("score", "class", "component")).alias("top")).select("value", F.col("top.class").alias("chief"), F.col("top.component").alias("chief_component"))
-    more = member.join(chiefs, "value").where(F.col("component") != F.col("chief_component")).select(F.least("class", "chief").alias("a"), F.greatest("class", "chief").alias("b")).distinct()
-    more = materialize(_estimate(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes, percent).select("a", "b"))
-    if not more.isEmpty():
-        links = materialize(links.unionByName(_verify(more, docs, reps, doc_id, text, size, percent)))
-        found = materialize(components(links))
-        member = mixed_members(found)
-
-    if not member.isEmpty():
-        hubs = member.groupBy("value").agg(F.max(F.struct("score", "class")).alias("top")).select("value", F.col("top.class").alias("hub"))
-        # A class stands in INDEXED lists at most.
-        around = member.join(hubs, "value").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-        diff = materialize(_differences(around, docs, reps, doc_id, text, size).join(member.select("class", "component").distinct(), "class"))
-        last = materialize(_joined(diff, percent))
-        if not last.isEmpty():
-            links = materialize(links.unionByName(last))
+    def add(more: DataFrame) -> None:
+        nonlocal links, found
+        more = materialize(more)
+        if not more.isEmpty():
+            links = materialize(links.unionByName(more))
             found = materialize(components(links))
 
-    smallest = classes.select("class", F.col("rep.doc_id").alias("first")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    far = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), "a", "c_a"), "b", "c_b").where("c_a <> c_b")
+    add(_verify(far.select("a", "b"), docs, reps, doc_id, text, size, percent))
+
+    # Long lists, of the classes that their other values don't answer for, as far as they hold several components.
+    in_long = F.bit_count(F.bit_or(F.when(F.col("long") > SHORT, F.call_function("shiftleft", F.lit(1), "at")).otherwise(0)))
+    stand = lists.groupBy("class").agg(in_long.alias("n_long"), F.first("n").alias("n"), F.sum("long").alias("weight"))
+    open_ones = stand.where((F.col("n_long") > 0) & (F.least("n", F.lit(INDEXED)) - F.col("n_long") < ENOUGH)).select("class", "weight")
+    member = lists.where(F.col("long") > SHORT).select("value", "class").join(open_ones, "class")
+    member = materialize(labelled(member))
+    hubs = member.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "class")).alias("top")).where("low < high").select("value", F.col("top.class").alias("hub"))
+    # A class whose values stand in the longest lists is near the middle of its group, and the same one leads most lists of the group.
+    around = materialize(member.join(hubs, "value").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
+    if not around.isEmpty():
+        centred = _centred(materialize(_differences(around, docs, reps, doc_id, text, size)), percent)
+        middle = materialize(centred.groupBy("hub").agg(F.min(F.struct("w", "class", "n")).alias("top")).select("hub", F.col("top.w").alias("low"), F.col("top.class").alias("centre"), F.col("top.n").alias("size")))
+        near = centred.join(middle, "hub").where((F.col("w") + F.col("low") <= 0) & (F.col("class") != F.col("centre")))
+        add(near.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct())
+        index, probes = _rare_lists(labelled(centred), labelled(middle, "centre", "home").drop("centre"), percent)
+        sizes = materialize(index.groupBy("hub", "element", "band").agg(F.count("*").alias("long")))
+        key = ["hub", "element", "band"]
+        add(_linked(_rare_pairs(index, probes, sizes.where(F.col("long") <= LISTED).select(key), percent), centred, percent))
+        hot = sizes.where(F.col("long") > LISTED).select(key)
+        if not hot.isEmpty():
+            crowd = index.unionByName(probes).join(hot, key, "left_semi").select("hub", "class").distinct()
+            add(_joined(materialize(labelled(centred.join(crowd, ["hub", "class"], "left_semi"))), percent))
+
+    smallest = labelled(classes.select("class", F.col("rep.doc_id").alias("first")))
     heads = smallest.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(smallest.join(heads, "component").select("class", "component_id"))
-    out = own.drop("sketch").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class"))).join(named, "class", "left")
+    out = own.drop("sketch", "twin").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class"))).join(named, "class", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -20,7 +20,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def plain_groups(rows):
+def plain_groups(rows, percent=85):
     """{doc_id: component_id} by comparing all pairs that share a shingle."""
     sets = [(i, shingles(t)) for i, t in rows]
     top = {i: i for i, _ in rows}
@@ -33,9 +33,9 @@ def plain_groups(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)):
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
                 both = len(a & b)
-                if 100 * both >= 85 * (len(a) + len(b) - both):
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     x, y = sorted((root(i), root(j)))
                     top[y] = x
     return {i: root(i) for i, _ in rows}
@@ -110,6 +110,32 @@ def test_near_duplicates_of_a_group_of_cuts(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(cases.documents(spark, texts)).collect()} == expected
 
 
+def edited_group(seed, n=400):
+    """Edits of one text, some beyond the threshold of all others, and families of edits of edits."""
+    rng = random.Random(seed)
+    base = [f"g{rng.randint(0, 10**6)}" for _ in range(220)]
+    out = [edited(base, rng, rng.choice([1, 2, 3, 4, 5, 6, 8, 10])) for _ in range(n // 2)]
+    for _ in range(n // 20):
+        own = edited(base, rng, 8).split()
+        out += [edited(own, rng, rng.choice([0, 1, 2, 3])) for _ in range(10)]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 80), (3, 85)])
+def test_near_duplicates_of_a_large_group(spark, seed, percent):
+    texts = edited_group(seed)
+    expected = matrix_groups(texts, percent)
+    assert len(set(expected.values())) > 20
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(cases.documents(spark, texts), percent=percent).collect()} == expected
+
+
+def test_sets_of_one_class_hash_stay_apart(spark):
+    rows = [(1, 1, 3, 50, 7, [1, 2, 3]), (2, 2, 3, 50, 7, [1, 2, 3]), (3, 3, 3, 50, 8, [4, 5, 6])]
+    own = spark.createDataFrame(rows, "doc_id long, row_key long, n_shingles long, class long, twin long, sketch array<long>")
+    own, classes = minhash._classes(own)
+    assert classes.count() == 2 and sorted(r["count"] for r in own.groupBy("class").count().collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_blocks_of_differences_meet_every_pair(spark, monkeypatch, percent):
     monkeypatch.setattr(minhash, "BLOCK", 7)
@@ -223,7 +249,7 @@ def test_pipeline_stages_hand_over(spark):
         assert r.text == expected[r.doc_id][3] and r.n_chars == (len(r.text) if expected[r.doc_id][2] else r.n_chars)
     assert {i for i, r in expected.items() if r[3].strip() or not r[2]} == {r.doc_id for r in after.collect()}
     before, after = seen["near_dedup"]
-    groups = plain_groups([(r.doc_id, r.text) for r in before.collect()])
+    groups = plain_groups([(r.doc_id, r.text) for r in before.collect()], corpus_pipeline.NEAR_PERCENT)
     assert {r.doc_id for r in after.collect()} == {i for i, c in groups.items() if i == c}
     before, after = seen["decontaminate"]
     rows = before.collect()
