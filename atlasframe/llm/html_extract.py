@@ -2,8 +2,11 @@
 
 Each page's containers are scored by the text that stands in them outside links and outside menus, forms, adverts
 and the like. A container is named by its generalised path, the tags and classes from the root with digits taken
-out, so that pages of one template share names. Pages vote for their best paths; votes are summed per host and path
-in Spark, and every page is read again with its host's winning path. A page without that path uses its own best one.
+out, so that pages of one template share names. Each page shares its vote among its paths by their scores; votes are summed
+per host and path in Spark, and every page is read again with its host's winning path. A page without that path uses its own best one.
+
+What is outside is told by tags, roles and whole class names. A name or a form around most of the page's free text
+describes the page and takes nothing out, unless it is one of reader comments.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +24,7 @@ from .storage import materialize
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|object|audio|video|canvas|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|audio|video|canvas|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)",
@@ -33,15 +37,33 @@ _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre dt summary figcaption caption
 _BLOCKS = _CONTAINERS | _TEXT_BLOCKS
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements and roles that hold no article text.
-_OUT_TAGS = frozenset("head nav footer aside form menu dialog button".split())
+_OUT_TAGS = frozenset("head nav footer aside menu dialog button label legend".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-_OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|shar(?:e|ing)|social|related|recommend\w*"
-    r"|comments?|commentlist|replies|reply|respond|disqus|footer|masthead|login|signup|search|widgets?|toolbar|pagination|pager|skip|hidden)(?=$|[\s_-])",
-    re.I,
+_OUT_NAME = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|shar(?:e|ing)|social|related|recommend\w*"
+    r"|comments?|commentlist|replies|reply|respond|disqus|footer|masthead|login|signup|search|widgets?|toolbar|pagination|pager|skip|hidden"
 )
-_HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?=$|[\s_-])", re.I)
-_GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|body)(?=$|[\s_-])", re.I)
+_COMMENT_NAME = re.compile(r"comments?|commentlist|replies|reply|respond|disqus")
+_HEADER_NAME = re.compile(r"header|topbar")
+_GOOD_NAME = re.compile(r"article|content|post|entry|story|main|text|body")
+#: A class name that begins or ends so tells what the page has, not what the element is.
+_TELLS_FIRST = frozenset("has no with without is not show hide".split())
+_TELLS_LAST = frozenset("open closed on off enabled disabled".split())
+
+
+@lru_cache(maxsize=1 << 14)
+def _meaning(names: str) -> tuple[bool, bool, bool, bool]:
+    """Whether class names and id, separated by spaces, are ones of outside parts, of reader comments, of headers and of articles."""
+    found = [False] * 4
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        if not parts or parts[0] in _TELLS_FIRST or parts[-1] in _TELLS_LAST:
+            continue
+        found[0] |= any(_OUT_NAME.fullmatch(x) for x in parts)
+        found[1] |= bool(_COMMENT_NAME.fullmatch(parts[0]))
+        found[2] |= any(_HEADER_NAME.fullmatch(x) for x in parts)
+        found[3] |= any(_GOOD_NAME.fullmatch(x) for x in parts)
+    return tuple(found)
 
 
 @dataclass
@@ -49,7 +71,8 @@ class _Node:
     tag: str
     parent: int
     path: str
-    out: bool
+    out: bool  # by its tag or role, or as comments
+    told: bool  # out by its names, or a form: unless it holds most of the page
     article: bool
     weight: float
 
@@ -72,14 +95,14 @@ def _names(attributes: str) -> dict[str, str]:
 def parse(source: str) -> Page:
     page = Page()
     nodes = page.nodes
-    nodes.append(_Node("", -1, "", False, False, 0.0))
+    nodes.append(_Node("", -1, "", False, False, False, 0.0))
     stack, here, link, text, linked = [0], 0, False, [], 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
-            if words and not nodes[here].out:
+            if words:
                 page.blocks.append((here, words, 1 - min(1.0, linked / max(1, sum(map(len, text))))))
             text.clear()
         linked = 0
@@ -121,11 +144,13 @@ def parse(source: str) -> Page:
         own = _names(m["attributes"]) if m["attributes"].strip() else {}
         name = f"{own.get('class', '')} {own.get('id', '')}".strip()
         inside = up.article or tag in ("article", "main")
-        out = up.out or tag in _OUT_TAGS or own.get("role", "") in _OUT_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-        out = out or bool(name and tag not in ("html", "body") and _OUT_NAMES.search(name)) or (not up.article and (tag == "header" or bool(name and _HEADER_NAMES.search(name))))
+        named, comments, header, good = _meaning(name) if name and tag not in ("html", "body") else (False,) * 4
+        out = comments or tag in _OUT_TAGS or own.get("role", "") in _OUT_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+        out = up.out or out or (not up.article and tag == "header")
+        told = named or tag == "form" or (not up.article and header)
         classes = ".".join(sorted(re.sub(r"\d+", "#", c) for c in own.get("class", "").lower().split()))
-        weight = 1.5 if tag in ("article", "main") else 1.3 if name and _GOOD_NAMES.search(name) else 0.5 if tag in ("html", "body", "") else 1.0
-        nodes.append(_Node(tag, stack[-1], f"{up.path}>{tag}{'.' + classes if classes else ''}" if tag in _CONTAINERS else up.path, out, inside, weight if tag in _CONTAINERS else 0.0))
+        weight = 1.5 if tag in ("article", "main") else 1.3 if good else 0.5 if tag in ("html", "body", "") else 1.0
+        nodes.append(_Node(tag, stack[-1], f"{up.path}>{tag}{'.' + classes if classes else ''}" if tag in _CONTAINERS else up.path, out, told, inside, weight if tag in _CONTAINERS else 0.0))
         here = len(nodes) - 1
         if tag not in _VOID:
             stack.append(here)
@@ -133,9 +158,24 @@ def parse(source: str) -> Page:
         text.append(source[at:])
         linked += link * (len(source) - at)
     flush()
+    _drop_outside(page)
     return page
 
 
+def _drop_outside(page: Page) -> None:
+    """Leave only the blocks of page that aren't outside."""
+    nodes = page.nodes
+    held = [0.0] * len(nodes)
+    for node, text, free in page.blocks:
+        if not nodes[node].out:
+            held[node] += len(text) * free
+    for k in range(len(nodes) - 1, 0, -1):  # children stand after their parents
+        held[nodes[k].parent] += held[k]
+    for k, n in enumerate(nodes[1:], 1):
+        n.out = n.out or nodes[n.parent].out or (n.told and 2 * held[k] <= held[0])
+    page.blocks = [b for b in page.blocks if not nodes[b[0]].out]
+
+
 def path_scores(page: Page) -> dict[str, float]:
     """Each container path's score: its text outside links, a tenth less for each level between, by the kind of container."""
     found: dict[str, float] = {}
@@ -158,9 +198,10 @@ def text_under(page: Page, path: str | None) -> str:
     return "\n".join(text for node, text, _ in page.blocks if inside[node])
 
 
-def _best(scores: dict[str, float], n: int) -> list[tuple[str, float]]:
+def _shares(scores: dict[str, float]) -> list[tuple[str, float]]:
+    """Paths with their shares of the score, the best first; ties by path."""
     total = sum(scores.values())
-    return [(p, s / total) for p, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:n]] if total > 0 else []
+    return [(p, s / total) for p, s in sorted(scores.items(), key=lambda x: (-x[1], x[0])) if s > 0]
 
 
 def host_of(url: str):
@@ -168,13 +209,13 @@ def host_of(url: str):
 
 
 def winning_paths(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, path): per host the path with the most votes; each page gives its three best paths shares of its vote."""
+    """(host, path): per host the path with the most votes, the first by name of equals; each page shares its vote among its paths."""
 
     def vote(batches):
         for b in batches:
             hosts, paths, shares = [], [], []
             for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for path, share in _best(path_scores(parse(source.as_py() or "")), 3):
+                for path, share in _shares(path_scores(parse(source.as_py() or ""))):
                     hosts.append(host)
                     paths.append(path)
                     shares.append(share)
@@ -189,15 +230,16 @@ def winning_paths(pages: DataFrame, url: str, html: str) -> DataFrame:
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html") -> DataFrame:
     """keep columns, text (blocks by line ends; empty if there is none), path (the container path used, if any) and by_host.
 
-    Null and empty pages have an empty text. Pages without a host vote together as the host ''. Pages of any length are read whole.
+    Null and empty pages have an empty text. Pages without a host vote together as the host ''. Pages of any length are
+    read whole. Every row votes and gives a row, repeated ones too. Other columns of pages, whatever their names, don't matter; keep may not name
+    text, path or by_host. Winners go to every task where Spark finds their written table below its broadcast threshold.
     """
     from pyspark.sql import types as T
 
     winners = materialize(winning_paths(pages, url, html))
     names = list(keep)
     rows = pages.select(*names, host_of(url).alias("af_host"), F.col(html).alias("af_html"))
-    # One plan at every size, see line_spread.
-    joined = rows.join(winners.select(F.col("host").alias("af_host"), F.col("path").alias("af_path")).hint("merge"), "af_host", "left").select(*names, "af_path", "af_html")
+    joined = rows.join(winners.select(F.col("host").alias("af_host"), F.col("path").alias("af_path")), "af_host", "left").select(*names, "af_path", "af_html")
     schema = T.StructType([*joined.select(*names).schema.fields, *T.StructType.fromDDL("text string, path string, by_host boolean").fields])
 
     def read(batches):
@@ -208,7 +250,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
                 text = text_under(page, path) if path else ""
                 ours.append(bool(text))
                 if not text:
-                    own = _best(path_scores(page), 1)
+                    own = _shares(path_scores(page))
                     path = own[0][0] if own else None
                     text = text_under(page, path)
                 texts.append(text)

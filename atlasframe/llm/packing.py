@@ -124,9 +124,11 @@ class _Stream:
         fee[doc_end] = 0.0
         fee[0] = 0.0
         known = np.flatnonzero(np.isfinite(fee))
-        long = np.flatnonzero(np.diff(known) > 2 * GRID)
+        # No two cuts on offer are further apart than a sequence is long.
+        grid = min(GRID, self.size)
+        long = np.flatnonzero(np.diff(known) > (2 * grid if 2 * grid <= self.size else grid))
         for a, b in zip(known[long], known[long + 1], strict=True):
-            fee[a + GRID : b : GRID] = WORD_CUT
+            fee[a + grid : b : grid] = WORD_CUT
         at = np.flatnonzero(np.isfinite(fee))
         cuts = at[best_cuts(at, fee[at], self.size)]
         if not last:
