@@ -1,15 +1,18 @@
 """Nearest neighbours by a hierarchical k-means tree and best-bin-first traversal.
 
-The tree is fitted on a bounded sample (SAMPLE vectors, by hash of the id), so it fits every task; every vector
-of the table is then put into a leaf. A query visits leaves in the order of a priority queue over the tree. How
-many, is calibrated: PROBES vectors are searched by brute force in blocks, and the number of leaves is widened
-until they would have met TARGET of their true neighbours. Leaves are cut into blocks of at most BLOCK vectors,
-so a vector that a third of all rows repeat makes many blocks of one leaf, not one large task.
+The tree is fitted on a bounded sample (about SAMPLE vectors, by hash), so it fits every task; every vector of the
+table is then put into a leaf. A query takes nodes from a priority queue: leaves by the distance of their centre, inner
+nodes by the least distance that a centre below them can have, so that leaves come nearest first. How many are visited
+is calibrated: about PROBES vectors outside the sample are searched by brute force in blocks, and the number of leaves is
+widened until they would have met TARGET of their true neighbours; a query goes on until its leaves hold k vectors
+besides its own. Leaves are cut into blocks of at most BLOCK vectors, and blocks into parts, so a vector that a third
+of all rows repeat makes many tasks, not one.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-SAMPLE, PROBES, TARGET, BRANCH, LEAF, BLOCK, QUERY_BLOCK = 8192, 64, 0.97, 8, 64, 2048, 256
+SAMPLE, PROBES, TARGET, BRANCH, LEAF, BLOCK, QUERY_BLOCK = 32768, 96, 0.94, 8, 64, 2048, 256
+#: Blocks of a leaf that one task compares with the leaf's queries.
+PART = 8
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -46,6 +51,12 @@ class Tree:
                 self.centers.append(c)
                 self.children.append([])
                 self.leaf.append(-1)
+        # How far the centre of a leaf below a node can be from the node's own.
+        self.reach = [0.0] * len(self.centers)
+        for node in range(len(self.centers) - 1, -1, -1):  # children stand after their parents
+            for c in self.children[node]:
+                self.reach[node] = max(self.reach[node], self.reach[c] + float(np.sqrt(((self.centers[c] - self.centers[node]) ** 2).sum())))
+        self.below = [np.stack([self.centers[c] for c in own]) if own else None for own in self.children]
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf that greedy descent reaches, for each row."""
@@ -56,22 +67,22 @@ class Tree:
             if self.leaf[node] >= 0:
                 out[rows] = self.leaf[node]
             elif len(rows):
-                side = _nearest(x[rows], np.stack([self.centers[c] for c in self.children[node]]))
+                side = _nearest(x[rows], self.below[node])
                 todo += [(c, rows[side == k]) for k, c in enumerate(self.children[node])]
         return out
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first most leaves, best bin first."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+    def order(self, q: np.ndarray, most: int, enough: Callable[[int], bool] = lambda leaf: True) -> list[int]:
+        """The first most leaves, nearest centre first, and further ones until enough, asked of each leaf in turn, holds."""
+        queue, found, done = [(0.0, 0)], [], False
+        while queue and not (len(found) >= most and done):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                done = enough(self.leaf[node])
                 continue
-            below = self.children[node]
-            far = ((np.stack([self.centers[c] for c in below]) - q) ** 2).sum(1)
-            for c, d in zip(below, far, strict=True):
-                heapq.heappush(queue, (float(d), c))
+            far = np.sqrt(((self.below[node] - q) ** 2).sum(1))
+            for c, d in zip(self.children[node], far, strict=True):
+                heapq.heappush(queue, (float(d) - self.reach[c], c))
         return found
 
 
@@ -107,17 +118,22 @@ def _topk(ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, query_ids: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(np.float64)), pa.array(d.astype(np.int32))], names=["query_id", "vec_id", "score", "leaf"])
 
 
-def _scan(pairs: DataFrame, size: int, k: int) -> DataFrame:
-    """pairs: a block of vectors (block: array<struct<vec_id, v, leaf>>) and a block of queries (queries: array<struct<query_id, q>>) in each row."""
+def _scan(rows: DataFrame, size: int, k: int, probes=None) -> DataFrame:
+    """Each row has a block of vectors (block: array<struct<vec_id, v, leaf>>) and of queries (queries: array<struct<query_id, q>>), if not those of probes, a broadcast (ids, vectors)."""
 
     def run(batches):
         for batch in batches:
-            blocks, queries = batch.column("block"), batch.column("queries")
+            blocks = batch.column(0)
             for r in range(batch.num_rows):
-                b, q = blocks[r].values, queries[r].values
-                yield _topk(b.field("vec_id").to_numpy(zero_copy_only=False), _matrix(b.field("v"), size), b.field("leaf").to_numpy(zero_copy_only=False), q.field("query_id").to_numpy(zero_copy_only=False), _matrix(q.field("q"), size), k)
+                b = blocks[r].values
+                if probes is None:
+                    q = batch.column(1)[r].values
+                    ids, own = q.field("query_id").to_numpy(zero_copy_only=False), _matrix(q.field("q"), size)
+                else:
+                    ids, own = probes.value
+                yield _topk(b.field("vec_id").to_numpy(zero_copy_only=False), _matrix(b.field("v"), size), b.field("leaf").to_numpy(zero_copy_only=False), ids, own, k)
 
-    return pairs.select("block", "queries").mapInArrow(run, "query_id long, vec_id long, score double, leaf int")
+    return rows.select("block", *(["queries"] if probes is None else [])).mapInArrow(run, "query_id long, vec_id long, score double, leaf int")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -125,54 +141,84 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, leaf_rows: dict[int, int], most: int) -> DataFrame:
-    """rows (vec_id, leaf, v) as one row per block of about most vectors of one leaf: (leaf, block)."""
-    parts = F.create_map(*[F.lit(x) for k, n in leaf_rows.items() for x in (k, -(-n // most))]) if leaf_rows else F.lit(None)
-    salt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.element_at(parts, F.col("leaf"))) if leaf_rows else F.lit(0)
-    return rows.groupBy("leaf", salt.alias("salt")).agg(F.collect_list(F.struct("vec_id", "v", "leaf")).alias("block"))
+def _blocks(rows: DataFrame, leaf_rows: DataFrame, most: int) -> DataFrame:
+    """rows (vec_id, leaf, v) as one row per block of about most vectors of one leaf: (leaf, salt, block). leaf_rows (leaf, count): one row a leaf of the tree."""
+    parts = F.ceil(F.col("count") / most)
+    salted = rows.join(F.broadcast(leaf_rows), "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts))
+    return salted.groupBy("leaf", "salt").agg(F.collect_list(F.struct("vec_id", "v", "leaf")).alias("block"))
+
+
+def _hashed(rows: DataFrame, low: float, high: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows whose hash lies in that share of its range, most at most."""
+    place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) / (1 << 30)
+    found = rows.where((place >= low) & (place < high)).select("vec_id", "v").limit(most).toPandas()
+    return found["vec_id"].to_numpy(np.int64), np.stack(found["v"].to_numpy()).astype(np.float64) if len(found) else np.zeros((0, 0))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that is_query picks, their k nearest of all other ids by Euclidean distance.
 
-    Null ids and vectors that are null, zero, of another length than most, or hold null or non-finite components
-    take no part. Of rows repeated with one id, each can be found; none is found by its own id. An empty table gives no rows.
+    Null ids and vectors that are null, zero, of another length than most (of equally frequent lengths the largest
+    counts), or hold null or non-finite components take no part. Of rows repeated with one id, each can be found; none is found
+    by its own id, and rows repeated with id and vector ask once. Equal distances go to the smaller id. Other columns may have any name. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    size = vectors.agg(F.mode(F.size(vector)).alias("size")).first()["size"] or 0
+    sizes = vectors.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    size = sizes["size"] if sizes and sizes["size"] and sizes["size"] > 0 else 0
     rows = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(vector), size)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toPandas()
-    if not len(sample):
+    total = rows.count()
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.stack(sample["v"].to_numpy()).astype(np.float64)
+    # Probes are rows that the tree wasn't fitted on, where there are so many.
+    share = SAMPLE / total if total > SAMPLE + 2 * PROBES else 1.0
+    ids, x = _hashed(rows, 0.0, share, 2 * SAMPLE)
+    if not len(ids):
+        ids, x = _hashed(rows, 0.0, 1.0, 2 * SAMPLE)
+    probe_ids, probes = _hashed(rows, share, share + PROBES / total, 2 * PROBES) if share < 1 else (ids[:: max(1, len(ids) // PROBES)], x[:: max(1, len(ids) // PROBES)])
+    if not len(probe_ids):
+        probe_ids, probes = ids[:PROBES], x[:PROBES]
     tree = Tree(x)
-    shared = spark.sparkContext.broadcast(tree)
+    shared, shared_probes = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast((probe_ids, probes))
+    kind = dict(rows.dtypes)["v"]
 
     def put(batches):
         for b in batches:
             yield b.append_column("leaf", pa.array(shared.value.assign(_matrix(b.column("v"), size)) if b.num_rows else [], pa.int32()))
 
-    placed = materialize(rows.mapInArrow(put, "vec_id long, v array<float>, is_query boolean, leaf int" if dict(rows.dtypes)["v"] == "array<float>" else "vec_id long, v array<double>, is_query boolean, leaf int"))
-    leaf_rows = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most one row for each leaf of the tree
-    blocks = materialize(_blocks(placed, leaf_rows, BLOCK))
+    placed = materialize(rows.mapInArrow(put, f"vec_id long, v {kind}, is_query boolean, leaf int"))
+    counted = placed.groupBy("leaf").count()
+    leaf_rows = {r["leaf"]: r["count"] for r in counted.collect()}  # at most one row for each leaf of the tree
+    leaves = spark.createDataFrame(list(leaf_rows.items()), "leaf int, count long")
+    blocks = materialize(_blocks(placed, leaves, BLOCK))
 
-    # Calibration: brute force for a fixed number of probes, in blocks; their neighbours' leaves say how many leaves are enough.
-    probes = sample.iloc[:: max(1, len(sample) // PROBES)].iloc[:PROBES]
-    probe_rows = F.array(*[F.struct(F.lit(int(i)).alias("query_id"), F.array(*[F.lit(float(c)) for c in v]).alias("q")) for i, v in zip(probes["vec_id"], probes["v"], strict=True)])
-    true = _best(_scan(blocks.select("block", probe_rows.alias("queries")), size, k), k).select("query_id", "leaf").collect()
-    ranks = {int(i): {leaf: n for n, leaf in enumerate(tree.order(np.asarray(v, np.float64), tree.n_leaves))} for i, v in zip(probes["vec_id"], probes["v"], strict=True)}
+    # Calibration: where the probes' true neighbours stand in the order of leaves says how many leaves are enough.
+    true = _best(_scan(blocks, size, k, shared_probes), k).select("query_id", "leaf").collect()
+    ranks = {int(i): {leaf: n for n, leaf in enumerate(tree.order(v, tree.n_leaves))} for i, v in zip(probe_ids, probes, strict=True)}
     needed = np.sort([ranks[r["query_id"]][r["leaf"]] + 1 for r in true])
     visits = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) if len(needed) else 1
 
     def visit(batches):
         for b in batches:
-            own = _matrix(b.column("v"), size) if b.num_rows else []
-            yield b.append_column("leaves", pa.array([shared.value.order(q, visits) for q in own], pa.list_(pa.int32())))
-
-    kind = dict(rows.dtypes)["v"]
-    asked = placed.where("is_query").select("vec_id", "v").mapInArrow(visit, f"vec_id long, v {kind}, leaves array<int>")
-    asked = materialize(asked.select("vec_id", "v", F.explode("leaves").alias("leaf")))
-    leaf_queries = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
-    packs = _blocks(asked, leaf_queries, QUERY_BLOCK).select("leaf", F.transform("block", lambda x: F.struct(x["vec_id"].alias("query_id"), x["v"].alias("q"))).alias("queries"))
-    found = _best(_scan(blocks.join(packs, "leaf"), size, k), k)
+            found = []
+            for q, own in zip(_matrix(b.column("v"), size) if b.num_rows else [], b.column("own").to_pylist(), strict=True):
+                left = k + own
+
+                def enough(leaf: int) -> bool:
+                    nonlocal left
+                    left -= leaf_rows.get(leaf, 0)
+                    return left <= 0
+
+                found.append(shared.value.order(q, visits, enough))
+            yield b.append_column("leaves", pa.array(found, pa.list_(pa.int32())))
+
+    repeated = placed.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
+    asked = placed.where("is_query").dropDuplicates(["vec_id", "v"]).join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = asked.mapInArrow(visit, f"vec_id long, v {kind}, own long, leaves array<int>").select("vec_id", "v", F.explode("leaves").alias("leaf"))
+    asked = materialize(asked)
+    packs = _blocks(asked, asked.groupBy("leaf").count(), QUERY_BLOCK).select("leaf", F.transform("block", lambda x: F.struct(x["vec_id"].alias("query_id"), x["v"].alias("q"))).alias("queries"))
+    # A leaf's packs go to each part of its blocks.
+    n_parts = F.ceil(F.col("count") / (BLOCK * PART)).cast("int")
+    packs = packs.join(F.broadcast(leaves), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop("count")
+    parted = blocks.join(F.broadcast(leaves), "leaf").withColumn("part", F.pmod(F.col("salt"), n_parts).cast("int"))
+    found = _best(_scan(parted.join(packs, ["leaf", "part"]), size, k), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

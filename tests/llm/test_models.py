@@ -247,3 +247,30 @@ def test_neighbours_of_one_repeated_vector(spark):
     table = spark.range(6000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(1.0))).otherwise(F.array(F.rand(1), F.rand(2))).cast("array<float>").alias("embedding"))
     found = ann_tree.nearest(table, F.col("vec_id") == 3000).orderBy("rank").collect()
     assert [r.vec_id for r in found] == [3 * k for k in range(10)] and all(r.score == 0 for r in found)
+
+
+def test_neighbours_in_small_leaves_are_as_many_as_asked_for(spark, monkeypatch):
+    """Outliers whose leaves hold next to nothing, and an id that stands in many rows, still get k rows."""
+    monkeypatch.setattr(ann_tree, "LEAF", 4)
+    monkeypatch.setattr(ann_tree, "TARGET", 0.01)
+    rows = [(k, [float(k % 7) / 100, 1.0]) for k in range(500)] + [(1000 + k, [1e6 * (k + 1), -1e6]) for k in range(3)] + [(2000, [5e5, 5e5])] * 30
+    found = ann_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 1000, target=0.01).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in found} == {1000: 10, 1001: 10, 1002: 10, 2000: 10}
+
+
+def test_leaves_come_nearest_centre_first():
+    x = np.random.default_rng(3).normal(size=(2000, 8))
+    tree = ann_tree.Tree(x)
+    q = x[5] + 0.1
+    order = tree.order(q, tree.n_leaves)
+    centres = {tree.leaf[k]: np.sqrt(((tree.centers[k] - q) ** 2).sum()) for k in range(len(tree.leaf)) if tree.leaf[k] >= 0}
+    assert sorted(order) == sorted(centres) and np.all(np.diff([centres[leaf] for leaf in order]) > -1e-9)
+
+
+def test_packing_into_short_sequences(spark):
+    docs = cases.documents(spark, ["word " * 300, "a. " * 50, None, "x" * 500])
+    for size in (1, 7, 32):
+        pieces = packing.pack(docs, size=size).collect()
+        assert max(r.length for r in pieces) <= size
+        total = {r.doc_id: r.doc_tokens for r in pieces}
+        assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in total} == total
