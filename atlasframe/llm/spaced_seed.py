@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A fixed mask reads some words of a window and ignores the others, so a window whose ignored words were substituted
-keeps its hash. Test items give the hash of every window under every mask; a bitmap of fixed size (BITMAP bits)
-made from those goes to all tasks and lets each text keep only windows that may be hits. Hits join the test
-hashes on the hash; each (stretch of text, item, diagonal) is then verified once: along the diagonal, some WINDOW
-consecutive words (all of a shorter item) must agree in at least AGREE of them.
+keeps its hash. MASKS are so chosen that of any WINDOW words, or of any shorter item of SPAN words or more, of which
+AGREE are kept, some mask reads kept words only. Items of fewer than SPAN words must occur whole. Test items give the
+hash of every window under every mask; a bitmap of fixed size (BITMAP bits) made from those goes to all tasks and lets each text
+keep only windows that may be hits. Hits join the test hashes; each (stretch of text, item) is then verified once,
+along every diagonal on which the two share a seed: some WINDOW consecutive words (all of a shorter item) must agree in at least
+AGREE of them.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .storage import materialize
 from .textbatch import ALNUM, map_text, mix, words_of
 
-#: 1: the word is read. Each mask reads six of nine words; a substitution in every fourth word leaves one of them whole.
-MASKS = ("110110101", "111001101", "101110011", "110101011")
+#: 1: the word is read; six of up to SPAN words each.
+MASKS = ("11101011", "111111", "110110011", "101001111", "1111011", "11011011")
 SPAN = 9
 WINDOW, AGREE = 16, 0.8
 BITMAP = 1 << 24
@@ -26,19 +28,43 @@ BITMAP = 1 << 24
 CONTEXT = WINDOW
 
 
-def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of each window under each mask."""
-    n = len(hashes) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = []
-    for m, mask in enumerate(MASKS):
-        acc = np.full(n, m + 1, np.uint64)
+def seeds(hashes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, last position, hash) of each window under each mask, and of each run of as many words as short names."""
+    at, end, out = [], [], []
+    for m, mask in enumerate([*MASKS, *("1" * n for n in short)]):
+        n = len(hashes) - len(mask) + 1
+        if n <= 0:
+            continue
+        acc = np.full(n, m + 1 if m < len(MASKS) else 1000 + len(mask), np.uint64)
         for k, bit in enumerate(mask):
             if bit == "1":
                 acc = mix(acc * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n])
+        at.append(np.arange(n))
+        end.append(np.arange(len(mask) - 1, len(hashes)))
         out.append(acc)
-    return np.tile(np.arange(n), len(MASKS)), np.concatenate(out).view(np.int64)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, end, [x.view(np.int64) for x in out]))
+
+
+def _own_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of an item: one of its whole if it has fewer than SPAN words."""
+    n = len(hashes)
+    at, end, hashed = seeds(hashes, (n,) if 0 < n < SPAN else ())
+    whole = (end - at == n - 1) & (np.arange(len(at)) == len(at) - 1) if n < SPAN else np.ones(len(at), bool)
+    return at[whole], hashed[whole]
+
+
+def diagonals(text: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Where the item's first word lies in the text, for every seed that both share. All places, where repetitions make more than those."""
+    at, hashed = _own_seeds(item)
+    t_at, _, t_hash = seeds(text, (len(item),) if len(item) < SPAN else ())
+    order = np.argsort(hashed, kind="stable")
+    low, high = np.searchsorted(hashed[order], t_hash, "left"), np.searchsorted(hashed[order], t_hash, "right")
+    n = high - low
+    if n.sum() > 8 * (len(text) + len(item)):
+        return np.arange(1 - len(item), len(text))
+    rows = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + low[rows]
+    return np.unique(t_at[rows] - at[order][inner])
 
 
 def agreement(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[float, int, int]:
@@ -54,28 +80,29 @@ def agreement(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[float,
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item, words, pos, hash) of test items of SPAN words or more."""
+    """(item, words, hash) of test items, their words and seeds."""
 
     def make():
         def f(data, offsets):
             w = words_of(data, offsets, ALNUM)
             own = [w.hash[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-            found = [seeds(x) for x in own]
-            return [pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array([h for _, h in found], pa.list_(pa.int64()))]
+            return [pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array([np.unique(_own_seeds(x)[1]) for x in own], pa.list_(pa.int64()))]
 
         return f
 
-    return map_text(benchmark, text, (F.col(item_id).cast("long").alias("item"),), "words array<long>, pos array<int>, hash array<long>", make)
+    return map_text(benchmark, text, (F.col(item_id).cast("long").alias("item"),), "words array<long>, hash array<long>", make)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(text_key, item, share, first, end): the best verified overlap of each text (xxhash64 of the text) with each item.
+    """(text_key, item, share, first, end): the best verified overlap of each text with each item.
 
-    first and end count words (runs of letters and digits, from 0) of the text. Null and empty texts, and items of
-    fewer than SPAN words or without an id, overlap with nothing; repeated texts and items are found once.
+    text_key is the md5 of the text; first and end count words (runs of letters and digits, from 0) of it. Null and empty
+    texts, and items without words or an id, overlap with nothing; repeated texts and items are found once. Of windows
+    that agree equally the first counts. Other columns of either table may have any name.
     """
     spark = docs.sparkSession
     items = materialize(_items(benchmark, item_id, item_text).where("item is not null and size(hash) > 0").dropDuplicates(["item", "words"]))
+    short = tuple(sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect()))  # SPAN - 1 numbers at most
     bits = np.zeros(BITMAP // 8, np.uint8)
 
     def bitmap(batches):  # one bitmap a task, of fixed size
@@ -95,11 +122,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
         def f(data, offsets):
             w = words_of(data, offsets, ALNUM)
-            n = len(w.hash) - SPAN + 1
             stretches: list[list] = [[] for _ in range(len(offsets) - 1)]
-            if n > 0:
-                pos, hashed = seeds(w.hash)
-                may = table[mix(hashed.view(np.uint64)) % np.uint64(BITMAP)] & (w.row[pos] == w.row[pos + SPAN - 1])
+            if len(w.hash):
+                pos, end, hashed = seeds(w.hash, short)
+                may = np.flatnonzero(table[mix(hashed.view(np.uint64)) % np.uint64(BITMAP)])
+                may = may[w.row[pos[may]] == w.row[end[may]]]
                 pos, hashed = pos[may], hashed[may]
                 order = np.argsort(pos, kind="stable")
                 pos, hashed = pos[order], hashed[order]
@@ -109,30 +136,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                     if len(own):
                         r = w.row[own[0]]
                         a, b = max(w.bounds[r], own[0] - CONTEXT), min(w.bounds[r + 1], own[-1] + SPAN + CONTEXT)
-                        stretches[r].append({"at": int(a - w.bounds[r]), "words": w.hash[a:b].view(np.int64), "pos": (own - a).astype(np.int32), "hash": values})
-            kind = pa.struct([("at", pa.int64()), ("words", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("hash", pa.list_(pa.int64()))])
+                        stretches[r].append({"at": int(a - w.bounds[r]), "words": w.hash[a:b].view(np.int64), "hash": np.unique(values)})
+            kind = pa.struct([("at", pa.int64()), ("words", pa.list_(pa.int64())), ("hash", pa.list_(pa.int64()))])
             return [pa.array(stretches, pa.list_(kind))]
 
         return f
 
-    kept = map_text(docs, text, (F.xxhash64(text).alias("text_key"),), "stretches array<struct<at:long,words:array<long>,pos:array<int>,hash:array<long>>>", make)
-    stretches = materialize(kept.select("text_key", F.explode("stretches").alias("s")).select("text_key", "s.*"))
-    hits = stretches.select("text_key", "at", F.explode(F.arrays_zip("pos", "hash")).alias("h")).select("text_key", "at", "h.pos", "h.hash").distinct()
-    tests = items.select("item", F.explode(F.arrays_zip("pos", "hash")).alias("h")).select("item", F.col("h.pos").alias("item_pos"), "h.hash").distinct()
-    lines = hits.join(tests, "hash").select("text_key", "at", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    once = stretches.groupBy("text_key", "at").agg(F.first("words").alias("words"))
-    checked = lines.join(once, ["text_key", "at"]).join(items.select("item", F.col("words").alias("own")), "item").select("text_key", "at", "item", "diagonal", "words", "own")
+    kept = map_text(docs, text, (F.md5(text).alias("text_key"),), "stretches array<struct<at:long,words:array<long>,hash:array<long>>>", make)
+    # Repeated texts have equal stretches.
+    stretches = kept.where("size(stretches) > 0").dropDuplicates(["text_key"])
+    stretches = materialize(stretches.select("text_key", F.explode("stretches").alias("s")).select("text_key", "s.*"))
+    tests = materialize(items.select("item", F.explode("hash").alias("hash")).distinct())
+    pairs = stretches.select("text_key", "at", F.explode("hash").alias("hash")).join(tests, "hash").select("text_key", "at", "item").distinct()
+    checked = pairs.join(stretches.select("text_key", "at", "words"), ["text_key", "at"]).join(items.select("item", F.col("words").alias("own")), "item").select("text_key", "at", "item", "words", "own")
 
     def verify(batches):
         for b in batches:
-            words, own = b.column("words"), b.column("own")
-            best = [agreement(words[i].values.to_numpy(), own[i].values.to_numpy(), d) for i, d in enumerate(b.column("diagonal").to_pylist())]
-            at = b.column("at").to_numpy()
-            ok = pa.array([s >= AGREE for s, _, _ in best], pa.bool_())
-            out = [b.column("text_key"), b.column("item"), pa.array([s for s, _, _ in best], pa.float64()), pa.array([a + int(x) for a, (_, x, _) in zip(at, best, strict=True)], pa.int64()), pa.array([a + int(x) for a, (_, _, x) in zip(at, best, strict=True)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, names=["text_key", "item", "share", "first", "end"]).filter(ok)
-
-    found = checked.mapInArrow(verify, "text_key long, item long, share double, first long, end long")
+            rows = []
+            for key, at, item, words, own in zip(*(b.column(k).to_pylist() for k in ("text_key", "at", "item")), b.column("words"), b.column("own"), strict=True):
+                words, own = words.values.to_numpy(), own.values.to_numpy()
+                best = max(((s, -x, y) for s, x, y in (agreement(words, own, d) for d in diagonals(words.view(np.uint64), own.view(np.uint64)).tolist())), default=(0.0, 0, 0))
+                if best[0] >= AGREE:
+                    rows.append((key, item, best[0], at - best[1], at + best[2]))
+            kinds = (("text_key", pa.string()), ("item", pa.int64()), ("share", pa.float64()), ("first", pa.int64()), ("end", pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[k for k, _ in kinds])
+
+    found = checked.mapInArrow(verify, "text_key string, item long, share double, first long, end long")
     top = F.struct("share", (-F.col("first")).alias("early"), "end")
     return found.groupBy("text_key", "item").agg(F.max(top).alias("top")).select("text_key", "item", "top.share", (-F.col("top.early")).alias("first"), "top.end")
 
@@ -140,11 +169,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 def leaked_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, share, first, end): the verified overlaps of find_leaks, for every row of docs that has them."""
     found = materialize(find_leaks(docs, benchmark, text, item_id, item_text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text).alias("text_key"))
     return rows.join(found, "text_key").select("doc_id", F.col("item").alias("item_id"), "share", "first", "end")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose text overlaps with an item; all columns pass through."""
     found = materialize(find_leaks(docs, benchmark, text, item_id, item_text).select(F.col("text_key").alias("af_key")).distinct())
-    return docs.withColumn("af_key", F.xxhash64(text)).join(found, "af_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn("af_key", F.md5(text)).join(found, "af_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

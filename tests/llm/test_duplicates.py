@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -182,21 +183,22 @@ def test_components(spark):
 
 
 def plain_leaks(texts, items):
-    """(text number, item) whose words share a seed and agree along its diagonal, by plain lists."""
+    """(text number, item) whose words agree along any diagonal, shared seeds or not."""
+    number: dict = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in cases.alnum_words(t)])
+    texts = [coded(t) for t in texts]
     out = set()
     for i, own in items:
-        words = cases.alnum_words(own)
-        at: dict = {}
-        for m, mask in enumerate(spaced_seed.MASKS):
-            for p in range(len(words) - spaced_seed.SPAN + 1):
-                at.setdefault((m, tuple(words[p + k] for k, bit in enumerate(mask) if bit == "1")), []).append(p)
-        for n, text in enumerate(texts):
-            w = cases.alnum_words(text)
-            diagonals = {p - q for m, mask in enumerate(spaced_seed.MASKS) for p in range(len(w) - spaced_seed.SPAN + 1) for q in at.get((m, tuple(w[p + k] for k, bit in enumerate(mask) if bit == "1")), ())}
-            size = min(spaced_seed.WINDOW, len(words))
-            for d in diagonals:
-                same = [0 <= k + d < len(w) and w[k + d] == x for k, x in enumerate(words)]
-                if any(0 <= k + d and k + size + d <= len(w) and sum(same[k : k + size]) >= spaced_seed.AGREE * size for k in range(len(words) - size + 1)):
+        words = coded(own)
+        size = min(spaced_seed.WINDOW, len(words))
+        least = spaced_seed.AGREE * size if len(words) >= spaced_seed.SPAN else size
+        for n, w in enumerate(texts):
+            if not size or len(np.intersect1d(w, words)) < min(3, size):
+                continue
+            for d in range(size - len(words), len(w) - size + 1):
+                low, high = max(0, -d), min(len(words), len(w) - d)
+                same = np.concatenate([[0], np.cumsum(w[low + d : high + d] == words[low:high])])
+                if high - low >= size and (same[size:] - same[:-size]).max() >= least:
                     out.add((n, i))
                     break
     return out
@@ -219,8 +221,11 @@ def test_leaks_tolerate_substitutions(spark):
     texts = [" ".join(words), "before " * 30 + swap(8) + " after" * 30, swap(5), swap(2), "nothing of it", None, "", " ".join(words[:15]), " ".join(words[5:30]).upper()]
     docs = cases.documents(spark, texts)
     items = spark.createDataFrame([(7, " ".join(words)), (8, "too short an item"), (9, None), (None, " ".join(words)), (7, " ".join(words))], "item_id long, text string").withColumn("hash", F.lit("clash"))
+    items = items.unionByName(spark.createDataFrame([(10, "Term3 term4 term5"), (11, "term3 term5"), (12, " ".join(f"term{k}" for k in range(9)))], "item_id long, text string"), allowMissingColumns=True)
     found = {(r.doc_id, r.item_id): r for r in spaced_seed.leaked_documents(docs, items).collect()}
-    assert set(found) == {(1, 7), (2, 7), (3, 7), (9, 7)} == {(n + 1, i) for n, i in plain_leaks(texts, [(7, " ".join(words))])}
+    own = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
+    assert set(found) == {(n + 1, i) for n, i in plain_leaks(texts, own)} >= {(1, 7), (2, 7), (3, 7), (9, 7), (1, 10), (1, 12)}
+    assert not any(i in (8, 9, 11) for _, i in found)
     assert found[1, 7].share == 1.0 and (found[1, 7]["first"], found[1, 7].end) == (0, 16) and found[2, 7]["first"] >= 30
     assert spaced_seed.remove_leaks(docs, items).columns == docs.columns
     assert spaced_seed.leaked_documents(docs, items.limit(0)).count() == 0
@@ -228,6 +233,24 @@ def test_leaks_tolerate_substitutions(spark):
     assert spaced_seed.remove_leaks(cases.edge_documents(spark), items).count() == cases.edge_documents(spark).count()
 
 
+def test_seeds_meet_every_pattern_of_substitutions():
+    """Whatever words are exchanged in a window, as long as AGREE of them stay, some seed is shared."""
+    for n in range(spaced_seed.SPAN, spaced_seed.WINDOW + 1):
+        words = np.arange(1, n + 1, dtype=np.uint64)
+        own = set(zip(*(x.tolist() for x in spaced_seed.seeds(words)[::2]), strict=True))
+        for out in itertools.combinations(range(n), int(n * (1 - spaced_seed.AGREE) + 1e-9)):
+            other = words.copy()
+            other[list(out)] = 1000 + np.arange(len(out), dtype=np.uint64)
+            assert own & set(zip(*(x.tolist() for x in spaced_seed.seeds(other)[::2]), strict=True))
+
+
+def test_repetitive_texts_are_verified_once(spark):
+    docs = cases.documents(spark, ["la la " * 10_000, "other words " * 20, None])
+    items = spark.createDataFrame([(1, "la " * 500), (2, "la di " * 50)], "item_id long, text string")
+    found = spaced_seed.leaked_documents(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.share, r["first"]) for r in found] == [(1, 1, 1.0, 0)]
+
+
 # ---- pipeline
 
 
