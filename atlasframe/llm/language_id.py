@@ -3,7 +3,8 @@
 Text: multinomial naive Bayes over hashed character trigrams, trained on all texts by their declared language.
 Declared language: how often texts of each language declare which one, counted over the table. Address suffix
 and host: a prior for each host, smoothed towards its suffix's, which is smoothed towards the table's; all three
-levels are grouped counts. Posteriors multiply the three. Only counts leave the rows' own tasks: the trigram
+levels are grouped counts. Posteriors multiply the three. A language none of the given ones is a further outcome, whose
+trigrams are all equally likely: texts in other scripts have it. Only counts leave the rows' own tasks: the trigram
 table has BUCKETS entries for each of the given languages, and host priors are joined.
 """
 
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .storage import materialize
 from .textbatch import LOWER, map_text, mix, text_chunks
 
-LANGUAGES = ("de", "en", "es", "fr")
+#: Languages, and the outcome beside them. A caller passes its own list; each language needs texts that declare it.
+LANGUAGES, OTHER = ("de", "en", "es", "fr"), "other"
 BUCKETS = 1 << 15
 #: Trigrams overlap, so their evidence counts as that of so many independent ones at most.
 EVIDENCE = 40
@@ -47,7 +49,7 @@ def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def train(docs: DataFrame, text: str, declared: str, languages: tuple[str, ...]) -> np.ndarray:
-    """log P(trigram bucket | language), one row for each language; counts of all texts that declare one of them, plus a half."""
+    """log P(trigram bucket | language), one row for each language and for OTHER; counts of all texts that declare one of them, plus a half."""
 
     def count(batches):
         total = np.zeros((len(languages), BUCKETS), np.int64)
@@ -65,26 +67,28 @@ def train(docs: DataFrame, text: str, declared: str, languages: tuple[str, ...])
     total = np.full(len(languages) * BUCKETS, 0.5)
     total[counts["key"]] += counts["n"]
     total = total.reshape(len(languages), BUCKETS)
-    return np.log(total / total.sum(1, keepdims=True))
+    return np.vstack([np.log(total / total.sum(1, keepdims=True)), np.full(BUCKETS, -np.log(BUCKETS))])
 
 
 def _normal(weights: list[Column]) -> Column:
     """Array of exp(w - max) over its sum."""
-    top = reduce(F.greatest, weights) if len(weights) > 1 else weights[0]
-    e = [F.exp(w - top) for w in weights]
-    return F.array(*[x / reduce(lambda a, b: a + b, e) for x in e])
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    e = let(F.array(*weights), lambda w: F.transform(w, lambda x: F.exp(x - F.array_max(w))))
+    return let(e, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))
 
 
 def identify(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", declared: str = "lang", host: str = "source", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """keep columns and: language, posterior, text_posterior (of that language), declared, suffix, n_letters, accepted.
 
     language is null and accepted false for texts of fewer than MIN_LETTERS letters (null and empty ones too) and
-    where the best posterior is below MIN_POSTERIOR; ties go to the language first in the list. Null or unlisted
-    declarations and null hosts are evidence classes of their own ('' in the output). Names in keep that clash with
-    the columns above aren't allowed; other columns may have any name.
+    where the best posterior is below MIN_POSTERIOR; it is OTHER, and accepted false, where that is most probable. Ties go
+    to the language first in the list. Null or unlisted declarations and null hosts are evidence classes of their own
+    ('' in the output). Repeated rows count as often as they stand there. A column in keep that is named like one of the
+    output comes out as kept_ and its name; other columns may have any name.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, text, declared, languages))
-    n_lang = len(languages)
+    outcomes = (*languages, OTHER)
+    n_lang = len(outcomes)
 
     def make():
         table = model.value
@@ -101,7 +105,8 @@ def identify(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", dec
 
     address = F.lower(F.coalesce(F.col(host).cast("string"), F.lit("")))
     said = F.coalesce(F.when(F.col(declared).isin(*languages), F.col(declared).cast("string")), F.lit(""))
-    kept = [docs[c] if isinstance(c, str) else c for c in keep]
+    own = ("language", "posterior", "text_posterior", "declared", "suffix", "n_letters", "accepted")
+    kept = [docs[c].alias(f"kept_{c}" if c in own else c) if isinstance(c, str) else c for c in keep]
     scored = materialize(map_text(docs, text, (*kept, said.alias("af_declared"), address.alias("af_host")), "af_letters long, af_logs array<double>", make))
     names = scored.columns[: len(keep)]
     suffix = F.when(F.instr("af_host", ".") > 0, F.substring_index("af_host", ".", -1)).otherwise("")
@@ -132,9 +137,10 @@ def identify(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", dec
     joined = seen.join(hosts, ["af_suffix", "af_host"], "left").withColumn("af_post", _normal([F.element_at("af_logs", k + 1) + declared_log[k] + F.log(F.coalesce(F.col(f"h{k}"), F.lit(1.0 / n_lang))) for k in range(n_lang)]))
     best = F.array_position("af_post", F.array_max("af_post")).cast("int")
     sure = F.col("af_known") & (F.array_max("af_post") >= MIN_POSTERIOR)
+    taken = sure & (best < n_lang)
     return joined.select(
-        *names, F.when(sure, F.element_at(F.array(*map(F.lit, languages)), best)).alias("language"), F.when(F.col("af_known"), F.array_max("af_post")).alias("posterior"),
-        F.when(F.col("af_known"), F.element_at("af_text", best)).alias("text_posterior"), F.col("af_declared").alias("declared"), F.col("af_suffix").alias("suffix"), F.col("af_letters").alias("n_letters"), sure.alias("accepted"),
+        *names, F.when(sure, F.element_at(F.array(*map(F.lit, outcomes)), best)).alias("language"), F.when(F.col("af_known"), F.array_max("af_post")).alias("posterior"),
+        F.when(F.col("af_known"), F.element_at("af_text", best)).alias("text_posterior"), F.col("af_declared").alias("declared"), F.col("af_suffix").alias("suffix"), F.col("af_letters").alias("n_letters"), taken.alias("accepted"),
     )
 
 

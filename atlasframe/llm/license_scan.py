@@ -20,8 +20,52 @@ from .textbatch import ALNUM, Words, map_text, words_of
 #: Phrases of the base scan.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: (label, anchor, template).
+#: The wording of whole licenses as published.
+MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+{{name:0-10}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall the {{holder:1-12}} be liable for any claim damages or other liability
+whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+in the documentation and or other materials provided with the distribution"""
+BSD_3 = """[[3]] neither the name of {{holder:1-12}} nor the names of {{contributors:1-4}} may be used to endorse or promote products
+derived from this software without specific prior written permission"""
+BSD_END = """this software is provided by the {{holder:1-12}} as is and any express or implied warranties including but not limited to
+the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the {{owner:1-12}} be liable for any
+direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort
+including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that
+the above copyright notice and this permission notice appear in all copies the software is provided as is and {{author:1-12}} disclaims all warranties
+with regard to this software including all implied warranties of merchantability and fitness in no event shall {{owner:1-12}} be liable for any special
+direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract
+negligence or other tortious action arising out of or in connection with the use or performance of this software"""
+ZLIB = """this software is provided as is without any express or implied warranty in no event will the {{author:1-8}} be held liable for any damages
+arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications
+and to alter it and redistribute it freely subject to the following restrictions"""
+APACHE = """licensed under the Apache license version 2 0 the license you may not use {{what:1-4}} except in compliance with the license
+you may obtain a copy of the license at [[http]] [[https]] [[www]] apache org licenses license 2 0 [[unless required by applicable law or agreed to in writing software
+distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+see the license for the specific language governing permissions and limitations under the license]]"""
+UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute
+this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""
+GPL = """is free software you can redistribute it and or modify it under the terms of the GNU {{kind:0-1}} general public license
+[[version {{number:1-2}}]] as published by the free software foundation"""
+
+#: (label, anchor, template): whole licenses, then their notices.
 TEMPLATES = (
+    ("mit", "sublicense", MIT),
+    ("bsd-2", "redistributions", f"{BSD} {BSD_END}"),
+    ("bsd-3", "redistributions", f"{BSD} {BSD_3} {BSD_END}"),
+    ("isc", "disclaims", ISC),
+    ("zlib", "alter", ZLIB),
+    ("apache-2", "apache", APACHE),
+    ("unlicense", "unencumbered", UNLICENSE),
+    ("gpl", "gnu", GPL),
     ("mit", "mit", "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] MIT license"),
     ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {{scope:0-60}} to deal in the software without restriction"),
     ("apache-2", "apache", "licensed under the Apache license [[the license]] version 2 [[0]]"),

@@ -1,8 +1,9 @@
 """Secret scan over a trigram inverted index; DataFrame functions only.
 
 Each rule's regex is reduced on the driver to a Boolean query over lower-case trigrams, as code search does: a text
-that matches the regex must satisfy the query. Postings (trigram, text) of the trigrams that any query names are
-intersected per clause, and only candidates are verified with the regex. A rule from whose regex no trigram
+that matches the regex must satisfy the query. The index holds postings (trigram, text) of the trigrams that any query
+names; joined with the clauses by trigram, the lists of each clause are intersected by text, and only candidates are
+verified with the regex. A rule from whose regex no trigram
 follows scans every text. Positions come from the pieces between matches, so they count code points.
 """
 
@@ -47,6 +48,8 @@ RULES = BASE + EXTRA
 #: A Boolean query in disjunctive form: any of the sets of trigrams, all of whose members must occur. None: no text can be excluded.
 Query = frozenset | None
 _MOST = 64
+#: Matches of one text whose places are added up at once.
+CHUNK = 256
 
 
 def _grams(s: str) -> frozenset:
@@ -108,34 +111,48 @@ def spans(text: Column, rule: Rule) -> Column:
     pieces = F.split(text, rule.regex, -1)
     checked = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.least else found
     step = F.transform(found, lambda m, i: F.struct(F.length(F.element_at(pieces, i + 1)).alias("gap"), F.length(m).alias("len"), (F.length(F.element_at(checked, i + 1)) >= rule.least).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
+    nothing = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def add(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
         own = F.array(F.struct(a.alias("start"), (a + x["len"]).alias("end"), F.lit(rule.kind).alias("kind")))
         return F.struct((a + x["len"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(step, start, add, lambda acc: acc["out"])).otherwise(start["out"])
+    def placed(steps: Column) -> Column:
+        """Spans of all matches; a fold copies what it has, so it goes by chunks and stays short."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda c: F.slice(steps, c * CHUNK + 1, CHUNK))
+        return _let(chunks, lambda parts: F.flatten(F.zip_with(parts, _starts(parts), lambda part, at: F.aggregate(part, F.struct(at.alias("at"), nothing.alias("out")), add, lambda acc: acc["out"]))))
 
+    def _starts(parts: Column) -> Column:
+        ends = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["gap"] + x["len"]))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(ends, first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
-def candidates(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """(af_key, af_rules): which of the rules with a trigram query may match the text of that key; texts with none are left out."""
-    clauses = [(r.kind, n, t, len(c)) for r in rules for n, c in enumerate(sorted(map(sorted, trigram_query(r.regex) or ()))) for t in c]
-    needed = sorted({t for _, _, t, _ in clauses})
+    return _let(step, lambda steps: F.when(F.size(steps) > 0, placed(steps)).otherwise(nothing))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def postings(docs: DataFrame, text: str, trigrams: list[str]) -> DataFrame:
+    """The index: (trigram, af_key), one row for each of trigrams that a text, named by its hash, holds in lower case."""
     low = docs.select(F.xxhash64(text).alias("af_key"), F.lower(text).alias("low"))
-    postings = low.select("af_key", F.explode(F.filter(F.array(*map(F.lit, needed)), lambda t: F.contains(F.col("low"), t))).alias("trigram"))
-    # One row for each text: its posting lists, met clause by clause. The clauses come from the rules alone, so the size of the expression is fixed.
-    have = postings.groupBy("af_key").agg(F.collect_set("trigram").alias("have"))
-    tests = []
-    for r in rules:
-        own = sorted(map(sorted, trigram_query(r.regex) or ()))
-        if own:
-            any_clause = F.lit(False)
-            for c in own:
-                any_clause = any_clause | (F.size(F.array_intersect("have", F.array(*map(F.lit, c)))) == len(c))
-            tests.append(F.when(any_clause, F.lit(r.kind)))
-    met = have.select("af_key", F.array_compact(F.array(*tests)).alias("af_rules"))
-    return met.where(F.size("af_rules") > 0)
+    return low.select(F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("low"), t))).alias("trigram"), "af_key")
+
+
+def candidates(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(af_key, af_rules): which of the rules with a trigram query may match the text of that key; texts with none are left out.
+
+    Two texts of one hash are candidates for what either holds; the regex decides.
+    """
+    clauses = [(r.kind, n, t, i, len(c)) for r in rules for n, c in enumerate(x[:60] for x in sorted(map(sorted, trigram_query(r.regex) or ()))) for i, t in enumerate(c)]  # 60 trigrams of a clause leave few candidates
+    named = docs.sparkSession.createDataFrame(clauses, "kind string, clause int, trigram string, place int, size int")
+    index = materialize(postings(docs, text, sorted({c[2] for c in clauses})))
+    # The clauses come from the rules alone, so what is broadcast is fixed.
+    met = index.join(F.broadcast(named), "trigram").groupBy("kind", "clause", "size", "af_key").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), "place")).alias("have"))
+    return met.where(F.bit_count("have") == F.col("size")).groupBy("af_key").agg(F.collect_set("kind").alias("af_rules"))
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

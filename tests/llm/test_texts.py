@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections import Counter, defaultdict
+from math import log
 
 import numpy as np
 import pytest
@@ -209,7 +212,7 @@ def test_language_edges(spark):
         if r.n_letters < language_id.MIN_LETTERS:
             assert r.language is None and r.posterior is None and not r.accepted
         else:
-            assert 0 < r.posterior <= 1 + 1e-9 and r.accepted == (r.language is not None)
+            assert 0 < r.posterior <= 1 + 1e-9 and r.accepted == (r.language in language_id.LANGUAGES)
     kept = language_id.remove_rejected(docs)
     assert kept.columns == docs.columns
     assert kept.count() == sum(r.accepted for r in rows)
@@ -224,3 +227,111 @@ def test_language_of_pages(spark):
     assert rows[1].source == "www.example.de" and rows[1].lang == "de" and "var" not in rows[1].text
     assert rows[2].source is None and rows[2].text is None
     assert language_id.identify(language_id.page_evidence(pages), ("page_id",)).count() == 3
+
+
+def plain_posteriors(rows):
+    """{doc_id: posteriors} of rows (doc_id, text, lang, source), all counts in dictionaries."""
+    langs, n = language_id.LANGUAGES, len(language_id.LANGUAGES) + 1
+    buckets = {}
+    for i, text, _, _ in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        buckets[i] = language_id._buckets(raw, np.array([0, len(raw)]))
+    counts = [Counter() for _ in langs]
+    for i, _, lang, _ in rows:
+        if lang in langs:
+            counts[langs.index(lang)].update(buckets[i][0].tolist())
+    size = language_id.BUCKETS
+    log_p = [lambda b, c=c: log((c[b] + 0.5) / (sum(c.values()) + 0.5 * size)) for c in counts] + [lambda b: -log(size)]
+    logs, soft = {}, {}
+    for i, *_ in rows:
+        own = buckets[i][0].tolist()
+        logs[i] = np.array([sum(f(b) for b in own) for f in log_p]) * min(len(own), language_id.EVIDENCE) / max(1, len(own))
+        soft[i] = np.exp(logs[i] - logs[i].max()) / np.exp(logs[i] - logs[i].max()).sum()
+    known = [r for r in rows if buckets[r[0]][2][0] >= language_id.MIN_LETTERS]
+    suffix = lambda h: h.rpartition(".")[2] if "." in h else ""
+    said = lambda lang: lang if lang in langs else ""
+    mass: dict = defaultdict(lambda: np.zeros(n))
+    for i, _, lang, host in known:
+        h = (host or "").lower()
+        for key in (("host", h), ("suffix", suffix(h)), "all", ("said", said(lang))):
+            mass[key] = mass[key] + soft[i]
+    smooth = language_id.SMOOTH
+    out = {}
+    for i, _, lang, host in known:
+        h = (host or "").lower()
+        p = (mass["all"] + 1) / (mass["all"].sum() + n)
+        for key in (("suffix", suffix(h)), ("host", h)):
+            p = (mass[key] + smooth * p) / (mass[key].sum() + smooth)
+        x = logs[i] + np.log(p) + np.log((mass["said", said(lang)] + 0.5) / (mass["all"] + 0.5 * (len(langs) + 1)))
+        out[i] = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    return out
+
+
+def test_language_posteriors_equal_plain_python(spark):
+    docs = cases.small(spark, "documents").select("doc_id", "text", "lang", "source").where("doc_id <= 60")
+    more = [(1001, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5, "ru", "a.example"), (1002, "12 34", None, None), (1003, "the and of", "xx", "B.Example")]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
+    expected = plain_posteriors([tuple(r) for r in docs.collect()])
+    found = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    outcomes = (*language_id.LANGUAGES, language_id.OTHER)
+    for i, p in expected.items():
+        assert found[i].posterior == pytest.approx(p.max(), rel=1e-9)
+        assert found[i].language == (outcomes[int(p.argmax())] if p.max() >= language_id.MIN_POSTERIOR else None)
+    assert found[1001].language == "other" and not found[1001].accepted and found[1002].language is None
+
+
+def test_language_keeps_clashing_names(spark):
+    docs = cases.small(spark, "documents").withColumn("language", F.lit("mine"))
+    assert set(language_id.identify(docs, ("doc_id", "language")).columns) >= {"kept_language", "language"}
+
+
+def template_regex(template):
+    """A template as a regex over words that each end in a space."""
+    out = ""
+    for x in re.findall(r"\[\[|\]\]|\{\{\w+:\d+-\d+\}\}|\w+", template):
+        if x == "[[":
+            out += "(?:"
+        elif x == "]]":
+            out += ")?"
+        elif x.startswith("{{"):
+            out += "(?:[^ ]+ ){%s}" % x[:-2].partition(":")[2].replace("-", ",")
+        else:
+            out += f"{x.lower()} "
+    return re.compile(f"(?:^|(?<= )){out}")
+
+
+def filled(template, rng):
+    """A text that the template accepts."""
+    out, skip = [], [False]
+    for x in re.findall(r"\[\[|\]\]|\{\{\w+:\d+-\d+\}\}|\w+", template):
+        if x == "[[":
+            skip.append(skip[-1] or rng.random() < 0.5)
+        elif x == "]]":
+            skip.pop()
+        elif not skip[-1]:
+            if x.startswith("{{"):
+                low, high = map(int, x[:-2].partition(":")[2].split("-"))
+                out += [f"name{k}" for k in range(rng.randint(low, high))]
+            else:
+                out.append(x.upper() if rng.random() < 0.1 else x)
+    return out
+
+
+def test_license_labels_equal_regexes(spark):
+    """Documents, texts that each template accepts, and the same with one word exchanged."""
+    rng = random.Random(8)
+    texts = [r.text for r in cases.small(spark, "documents").collect()]
+    for _, _, template in license_scan.TEMPLATES:
+        for _ in range(3):
+            words = filled(template, rng)
+            texts.append("Before it. " + ", ".join(words) + ". After it.")
+            words[rng.randrange(len(words))] = "exchanged"
+            texts.append(" ".join(words))
+    rules = [(label, template_regex(t)) for label, _, t in license_scan.TEMPLATES]
+    phrases = [(label, re.compile(f"(?:^|(?<= )){p} ")) for p, label in license_scan.PHRASES.items()]
+    found = {r.doc_id: r for r in license_scan.scan_licenses(cases.documents(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        words = " ".join(cases.alnum_words(text)) + " "
+        own = {label for label, rule in (*rules, *phrases) if rule.search(words)}
+        assert found[k + 1].labels == ",".join(sorted(own)), text[:200]
+        assert (found[k + 1].score > 0) == bool(own) and 0 <= found[k + 1].score <= 1
