@@ -31,6 +31,8 @@ HOT, HOT_GRAMS = 1 << 16, 1 << 18
 MIN_COUNT, GT_LIMIT = 1, 5
 #: Tokens of a run of texts that is packed at once, and of a bucket of keys on average.
 RUN, BUCKET = 1 << 20, 3 << 19
+#: Parts that the table of bigrams is written in, by history.
+PARTS = 8
 #: Ids: hot words by rank, then these; other words are negative (their hash).
 BEGIN, END, ALONE = HOT, HOT + 1, HOT + 2
 _PRIME = (1 << 31) - 1
@@ -58,6 +60,13 @@ def _bucket(h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return (np.mod(h, _PRIME) * 40503 + np.mod(w, _PRIME) * 30011) % n
 
 
+def _grouped(bucket: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, its places in order) of the buckets that occur: packs and time grow with the tokens, whatever the number of buckets."""
+    sorted_ = bucket[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    return list(zip(sorted_[first].tolist(), np.split(order, first[1:]), strict=True)) if len(first) else []
+
+
 def _bucket_column(n: int) -> Column:
     return ((F.pmod("h", F.lit(_PRIME)) * 40503 + F.pmod("w", F.lit(_PRIME)) * 30011) % n).cast("int")
 
@@ -173,8 +182,7 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
             h, w = h[first], w[first]
             bucket = _bucket(h, w, n_buckets)
             order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            own = [(b, order[cut[b] : cut[b + 1]]) for b in range(n_buckets) if cut[b] < cut[b + 1]]
+            own = _grouped(bucket, order)
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int32()), *(pa.array([pack(x[at]) for _, at in own], pa.binary()) for x in (h, w, n))], names=["bucket", "h", "w", "n"])
 
     def add(t: pa.Table) -> pa.Table:
@@ -202,7 +210,7 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
 class Model:
     """Tables and numbers of a trained model.
 
-    unigrams (w, n, log_p, log_alpha) and bigrams (h, w, r, log_p, delta) are written tables; delta is what a seen pair
+    unigrams (w, n, log_p, log_alpha) and bigrams (h, w, r, log_p, delta, part) are written tables, bigrams in PARTS by history; delta is what a seen pair
     adds to log p(w) + log alpha(h). hot: hashes of hot words by rank; hot_values: their n, log_p and log_alpha by id;
     begin_alpha: of the history that begins a text.
     """
@@ -253,7 +261,8 @@ class Model:
         # One row per history; the hot ones fit every task.
         own = look_up(own, "h", {"c_h": "c_h", "log_alpha": "log_alpha"}, after.where("id >= 0"), after.where("id < 0"))
         log_p = F.log10(F.col("mass") / F.col("c_h"))
-        self.bigrams = materialize(own.select("h", "w", "r", log_p.alias("log_p"), (log_p - F.col("log_alpha") - F.log10("p_w")).alias("delta")))
+        part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int").alias("part")
+        self.bigrams = materialize(own.select("h", "w", "r", log_p.alias("log_p"), (log_p - F.col("log_alpha") - F.log10("p_w")).alias("delta"), part), "part")
         # Hot histories are joined from a broadcast, the others by their own keys.
         fields = lambda x: x.select(F.col("id").alias("w"), "n", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
         self.hot_words = fields(hot.unionByName(begin).join(F.broadcast(after.where("id >= 0")), "id", "left"))
@@ -303,8 +312,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             ask_text, ask_h, ask_w = ask_text[first], ask_h[first], ask_w[first]
             bucket = _bucket(ask_h, ask_w, n_buckets)
             order = np.lexsort((ask_text, bucket))
-            cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            parts = [(b, order[cut[b] : cut[b + 1]]) for b in range(n_buckets) if cut[b] < cut[b + 1]]
+            parts = _grouped(bucket, order)
             rows = {k: [] for k in kinds}
             for b, i in parts:
                 for k, v in zip(kinds, (number, b, pack(ask_h[i]), pack(ask_w[i]), pack(np.diff(ask_text[i], prepend=0).astype(np.int64)), pack(n[i]), None, None, None), strict=True):

@@ -18,6 +18,20 @@ from . import cases
 # ---- Katz backoff
 
 
+def plain_discounts(counts):
+    """d_1 to d_5 by Katz's formula from a multiset of counts, absolute discounting where the formula leaves (0, 1]."""
+    n = Counter(counts)
+    if not n[1]:
+        return {r: (r - 0.5) / r for r in range(1, 6)}
+    loss = 6 * n[6] / n[1]
+    fixed = min(n[1] / (n[1] + 2 * n[2]), 0.9)
+    out = {}
+    for r in range(1, 6):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - loss) / (1 - loss) if n[r] and loss < 1 else 0
+        out[r] = d if 0 < d <= 1 else 1 - fixed / r
+    return out
+
+
 class PlainKatz:
     """The model by dictionaries."""
 
@@ -28,14 +42,13 @@ class PlainKatz:
             self.uni.update(w)
             self.bi.update(zip([katz.BEGIN, *w[:-1]], w, strict=True))
         self.n = sum(self.uni.values())
-        d1 = katz.discounts(Counter(self.uni.values()))
-        d2 = katz.discounts(Counter(self.bi.values()), katz.MIN_COUNT)
-        mass = lambda r, d: (d[r] if r < len(d) else 1.0) * r
+        d1, d2 = plain_discounts(self.uni.values()), plain_discounts(self.bi.values())
+        mass = lambda r, d: d.get(r, 1.0) * r
         known = sum(mass(c, d1) for c in self.uni.values()) / max(1, self.n)
         scale = 1.0 if known < 1 else self.n / (self.n + 1)
         self.p = {w: mass(c, d1) * scale / self.n for w, c in self.uni.items()}
         self.p_unknown = max(1 - known * scale, 1e-12) if self.n else 1.0
-        seen = {g: mass(r, d2) for g, r in self.bi.items() if r >= katz.MIN_COUNT}
+        seen = {g: mass(r, d2) for g, r in self.bi.items()}
         self.after, self.alpha, self.total = seen, {}, {}
         count = self.uni | {katz.BEGIN: len(texts)}
         for h in {h for h, _ in seen}:
