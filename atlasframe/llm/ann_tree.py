@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, workers_import_us
 
 SAMPLE, PROBES, TARGET, BRANCH, LEAF, BLOCK, QUERY_BLOCK = 32768, 96, 0.94, 8, 64, 2048, 256
 #: Blocks of a leaf that one task compares with the leaf's queries.
@@ -163,6 +163,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     by its own id, and rows repeated with id and vector ask once. Equal distances go to the smaller id. Other columns may have any name. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    workers_import_us(spark)
     sizes = vectors.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     size = sizes["size"] if sizes and sizes["size"] and sizes["size"] > 0 else 0
     rows = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(vector), size)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, workers_import_us
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -236,6 +236,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
     """
     from pyspark.sql import types as T
 
+    workers_import_us(pages.sparkSession)
     winners = materialize(winning_paths(pages, url, html))
     names = list(keep)
     rows = pages.select(*names, host_of(url).alias("af_host"), F.col(html).alias("af_html"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, workers_import_us
 from .textbatch import SOLID, mix, text_chunks, words_of
 
 HOT, HOT_GRAMS = 1 << 16, 1 << 18
@@ -210,7 +210,7 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
 class Model:
     """Tables and numbers of a trained model.
 
-    unigrams (w, n, log_p, log_alpha) and bigrams (h, w, r, log_p, delta, part) are written tables, bigrams in PARTS by history; delta is what a seen pair
+    unigrams (w, n, log_p, log_alpha) and bigrams (h, w, r, delta, part) are written tables, bigrams in PARTS by history; delta is what a seen pair
     adds to log p(w) + log alpha(h). hot: hashes of hot words by rank; hot_values: their n, log_p and log_alpha by id;
     begin_alpha: of the history that begins a text.
     """
@@ -218,6 +218,7 @@ class Model:
     def __init__(self, train: DataFrame, hot_words: int = HOT, hot_grams: int = HOT_GRAMS, bucket: int = BUCKET):
         """train: one column of texts. hot_words (HOT at most) and hot_grams bound what every task holds."""
         spark = train.sparkSession
+        workers_import_us(spark)
         words = materialize(count_words(train))
         totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.types = int(totals["n"] or 0), int(totals["v"])
@@ -262,7 +263,7 @@ class Model:
         own = look_up(own, "h", {"c_h": "c_h", "log_alpha": "log_alpha"}, after.where("id >= 0"), after.where("id < 0"))
         log_p = F.log10(F.col("mass") / F.col("c_h"))
         part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int").alias("part")
-        self.bigrams = materialize(own.select("h", "w", "r", log_p.alias("log_p"), (log_p - F.col("log_alpha") - F.log10("p_w")).alias("delta"), part), "part")
+        self.bigrams = materialize(own.select("h", "w", "r", (log_p - F.col("log_alpha") - F.log10("p_w")).alias("delta"), part), "part")
         # Hot histories are joined from a broadcast, the others by their own keys.
         fields = lambda x: x.select(F.col("id").alias("w"), "n", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
         self.hot_words = fields(hot.unionByName(begin).join(F.broadcast(after.where("id >= 0")), "id", "left"))
@@ -279,6 +280,7 @@ class Model:
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) of each row of docs; see the query's contract."""
+    workers_import_us(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.hot, model.hot_values, *model.hot_grams))
     tokens, types, unknown, n_buckets = model.tokens, model.types, model.unknown, model.n_buckets
     base_of = lambda c: np.log10((c + 1) / (tokens + types + 1))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, workers_import_us
 from .textbatch import LOWER, map_text, mix, text_chunks
 
 #: Languages, and the outcome beside them. A caller passes its own list; each language needs texts that declare it.
@@ -86,6 +86,7 @@ def identify(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", dec
     ('' in the output). Repeated rows count as often as they stand there. A column in keep that is named like one of the
     output comes out as kept_ and its name; other columns may have any name.
     """
+    workers_import_us(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, text, declared, languages))
     outcomes = (*languages, OTHER)
     n_lang = len(outcomes)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import materialize, workers_import_us
 from .textbatch import SOLID, map_text, mix, shingle_hashes, words_of
 
 SHINGLE, PERCENT = 5, 85
@@ -287,6 +287,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows without words have no shingles and are linked with nothing, as are rows without an id, whose component_id
     is null; both are kept. Repeated rows share a class. component_id is the smallest doc_id of the component.
     """
+    workers_import_us(docs.sparkSession)
     own, classes = _classes(materialize(sketches(docs, doc_id, text, size)))
     reps = classes.select("class", "rep.doc_id", "rep.row_key")
     lists = _lists(classes, percent)

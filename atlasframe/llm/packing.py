@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .storage import workers_import_us
+
 SIZE = 2048
 SEGMENT = 1 << 18
 #: Penalties of cutting a document at the end of a sentence, and inside one, in tokens of padding.
@@ -161,6 +163,7 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     """
     from pyspark.sql import types as T
 
+    workers_import_us(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     names = list(keep)
     picked = docs.select(*names)

@@ -12,9 +12,11 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none and runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="atlasframe-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -24,10 +26,11 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     That cuts the lineage (a lost executor costs a reread, not a recomputation) and gives later joins a known size,
-    so that Spark broadcasts a side only where its bytes are below spark.sql.autoBroadcastJoinThreshold.
+    so that Spark broadcasts a side only where its bytes are below spark.sql.autoBroadcastJoinThreshold. All tables of an
+    application lie in one folder, named after it, which can go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/atlasframe-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/atlasframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .storage import workers_import_us
+
 _codes = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_codes >= 0x41) & (_codes <= 0x5A), _codes + 32, _codes).astype(np.uint8)
 #: Letters and digits of ASCII and everything beyond ASCII.
@@ -115,6 +117,7 @@ def map_text(df, text: str, keep: tuple[str, ...], fields: str, make):
     """
     from pyspark.sql import types as T
 
+    workers_import_us(df.sparkSession)
     picked = df.select(*keep)
     names = picked.columns
     new = T.StructType.fromDDL(fields)
