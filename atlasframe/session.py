@@ -20,9 +20,11 @@ def share_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that all executors see; one of the machine's own only where the session names none."""
+    """The folder of spark.checkpoint.dir that all executors see; one of the machine's own only where the session names none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="atlasframe-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -31,6 +33,6 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: iterative operators cut their lineage with it, and a lost executor costs a reread."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/atlasframe-{spark.sparkContext.applicationId}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
