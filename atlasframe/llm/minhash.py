@@ -220,7 +220,7 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
 
 def _centred(diff: DataFrame, percent: int) -> DataFrame:
     """diff (hub, class, n, elements) by differences from the centre of each hub's classes, with d and w, see 3 and 4."""
-    rows = diff.groupBy("hub").agg(F.count("*").alias("rows"))
+    rows = materialize(diff.groupBy("hub").agg(F.count("*").alias("rows")))
     held = diff.select("hub", F.explode("elements").alias("element")).groupBy("hub", "element").count()
     most = held.join(rows, "hub").where(2 * F.col("count") > F.col("rows")).groupBy("hub").agg(F.collect_list("element").alias("most"))
     moved = diff.join(materialize(most), "hub", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))

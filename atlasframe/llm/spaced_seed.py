@@ -3,8 +3,8 @@
 A fixed mask reads some words of a window and ignores the others, so a window whose ignored words were substituted
 keeps its hash. MASKS are so chosen that of any WINDOW words, or of any shorter item of SPAN words or more, of which
 AGREE are kept, some mask reads kept words only. Items of fewer than SPAN words must occur whole. Test items give the
-hash of every window under every mask; a bitmap of fixed size (BITMAP bits) made from those goes to all tasks and lets each text
-keep only windows that may be hits. Hits join the test hashes; each (stretch of text, item) is then verified once,
+hash of every window under every mask; a bitmap of fixed size (BITMAP bits, two for each hash) made from those goes to all tasks and
+lets each text keep only windows that may be hits. Hits join the test hashes; each (stretch of text, item) is then verified once,
 along every diagonal on which the two share a seed: some WINDOW consecutive words (all of a shorter item) must agree in at least
 AGREE of them.
 """
@@ -23,7 +23,7 @@ from .textbatch import ALNUM, map_text, mix, words_of
 MASKS = ("11101011", "111111", "110110011", "101001111", "1111011", "11011011")
 SPAN = 9
 WINDOW, AGREE = 16, 0.8
-BITMAP = 1 << 24
+BITMAP = 1 << 26
 #: Words kept around a hit; enough for every window that holds it.
 CONTEXT = WINDOW
 
@@ -45,6 +45,12 @@ def seeds(hashes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, end, [x.view(np.int64) for x in out]))
 
 
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash."""
+    x = mix(hashes.view(np.uint64))
+    return x % np.uint64(BITMAP), (x >> np.uint64(32)) % np.uint64(BITMAP)
+
+
 def _own_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of an item: one of its whole if it has fewer than SPAN words."""
     n = len(hashes)
@@ -103,29 +109,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     spark = docs.sparkSession
     items = materialize(_items(benchmark, item_id, item_text).where("item is not null and size(hash) > 0").dropDuplicates(["item", "words"]))
     short = tuple(sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect()))  # SPAN - 1 numbers at most
-    bits = np.zeros(BITMAP // 8, np.uint8)
 
     def bitmap(batches):  # one bitmap a task, of fixed size
         own = np.zeros(BITMAP, bool)
         for b in batches:
-            own[mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(BITMAP)] = True
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["bit"])
+            for places in _places(b.column(0).to_numpy()):
+                own[places] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(own), pa.int64())], names=["bit"])
 
     hashes = items.select(F.explode("hash").alias("hash")).distinct()
-    on = hashes.mapInArrow(bitmap, "bit long").groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("v")).toPandas()
-    bits[on["byte"]] = on["v"]
+    set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
+    on = hashes.mapInArrow(bitmap, "bit long").groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(F.bit_or(set_bit).alias("v")).toPandas()  # BITMAP / 64 rows at most
+    bits = np.zeros(BITMAP // 64, np.uint64)
+    bits[on["at"].to_numpy(np.int64)] = on["v"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bits)
 
     def make():
-        table = np.unpackbits(shared.value, bitorder="little").view(bool)
+        bits = shared.value
+        on = lambda at: (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
         def f(data, offsets):
             w = words_of(data, offsets, ALNUM)
             stretches: list[list] = [[] for _ in range(len(offsets) - 1)]
             if len(w.hash):
                 pos, end, hashed = seeds(w.hash, short)
-                may = np.flatnonzero(table[mix(hashed.view(np.uint64)) % np.uint64(BITMAP)])
+                one, two = _places(hashed)
+                may = np.flatnonzero(on(one))
+                may = may[on(two[may])]
                 may = may[w.row[pos[may]] == w.row[end[may]]]
                 pos, hashed = pos[may], hashed[may]
                 order = np.argsort(pos, kind="stable")
