@@ -28,6 +28,13 @@ def spherical_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -
     return 2 * EARTH_RADIUS * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
+def haversine_metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """spherical_distance of plain numbers, for folds."""
+    a, b = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lon2 - lon1) / 2)
+    h = a * a + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * b * b
+    return 2 * EARTH_RADIUS * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
 def initial_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Direction at the first point towards the second, from 0 (north) clockwise below 360."""
     p1, p2, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
@@ -272,3 +279,20 @@ def rotated(x: Column, y: Column, centre_x: Column, centre_y: Column, degrees: f
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
     dx, dy = x - centre_x, y - centre_y
     return F.struct((centre_x + dx * c - dy * s).alias("x"), (centre_y + dx * s + dy * c).alias("y"))
+
+
+#: Metres of a unit, and its sign.
+UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "yd": 0.9144, "mi": 1609.344}
+
+
+def in_unit(metres: Column, unit: str) -> Column:
+    return metres / UNITS[unit]
+
+
+def to_metres(value: Column, unit: str) -> Column:
+    return value * UNITS[unit]
+
+
+def distance_text(metres: Column) -> Column:
+    """With six digits, in metres below 1500 and in kilometres from there on."""
+    return F.when(F.abs(metres) < 1500, F.format_string("%.6f m", metres)).otherwise(F.format_string("%.6f km", metres / 1000.0))

@@ -107,10 +107,10 @@ def count_words(text: Column) -> Column:
 
 
 def byte_size(number: Column) -> Column:
-    """Such as 1.5 MiB. Steps of 1024 and their names."""
+    """Such as 1.5 MiB; halves go to the even digit. Steps of 1024 and their names."""
     found = None
     for unit, power in (("TiB", 4), ("GiB", 3), ("MiB", 2), ("KiB", 1)):
-        text = F.concat(F.format_string("%.1f", number / 1024.0**power), F.lit(f" {unit}"))
+        text = F.concat(F.format_string("%.1f", F.bround(number / 1024.0**power, 1)), F.lit(f" {unit}"))
         found = F.when(number >= 1024**power, text) if found is None else found.when(number >= 1024**power, text)
     return found.otherwise(F.concat(number.cast("string"), F.lit(" B")))
 

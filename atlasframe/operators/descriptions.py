@@ -168,3 +168,31 @@ def as_json(route: DataFrame) -> DataFrame:
     """(route, json): all nodes of a route in order as one document."""
     fields = [c for c in route.columns if c != "route"]
     return route.groupBy("route").agg(F.to_json(F.array_sort(F.collect_list(F.struct("idx", *[c for c in fields if c != "idx"])))).alias("json"))
+
+
+# ---- what a position on a route tells
+
+
+def arrival(positions: DataFrame, route: DataFrame) -> DataFrame:
+    """positions with remaining (metres) and arrival: from the node passed last and the way to the next one.
+
+    positions: (route, idx, ts, lat, lon), idx the node passed last. route: (route, idx, lat, lon, distance, hours), summed from the start. Positions at a
+    last node, or farther from their node than the next one is, are left out.
+    """
+    nodes = route.select("route", "idx", F.struct("lat", "lon").alias("af_node"), F.col("distance").alias("af_far"), F.col("hours").alias("af_hours"), F.lead(F.struct("lat", "lon", "hours")).over(_along()).alias("af_next"))
+    ends = route.groupBy("route").agg(F.max_by(F.struct("distance", "hours"), "idx").alias("af_end"))
+    x = positions.join(nodes, ["route", "idx"]).join(ends, "route").where("af_next is not null")
+    gone = spherical_distance(F.col("af_node.lat"), F.col("af_node.lon"), F.col("lat"), F.col("lon"))
+    between = spherical_distance(F.col("af_node.lat"), F.col("af_node.lon"), F.col("af_next.lat"), F.col("af_next.lon"))
+    x = x.withColumns({"af_gone": gone, "af_between": between}).where("af_gone <= af_between")
+    left = F.when(F.col("af_between") == 0, 0.0).otherwise(1 - F.col("af_gone") / F.col("af_between"))
+    hours = (F.col("af_next.hours") - F.col("af_hours")) * left + F.col("af_end.hours") - F.col("af_next.hours")
+    remaining = F.col("af_end.distance") - F.col("af_far") - F.col("af_gone")
+    arrives = F.timestamp_micros(F.unix_micros("ts") + F.floor(hours * 3_600_000_000).cast("long"))
+    x = x.withColumns({"remaining": remaining, "arrival": arrives}).where("remaining >= 0")
+    return x.select(*[F.col(f"`{c}`") for c in positions.columns], "remaining", "arrival")
+
+
+def lane_changes(route: DataFrame) -> DataFrame:
+    """(route, idx, lanes): nodes from which on the lanes (any struct or text) differ from those before; the first node with lanes counts as one."""
+    return route.withColumn("af_was", F.lag("lanes").over(_along())).where(~F.col("lanes").eqNullSafe(F.col("af_was"))).select("route", "idx", "lanes")

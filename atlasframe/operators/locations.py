@@ -19,15 +19,17 @@ from ..session import share_package, written
 _RANK = {"match": 1, "candidate": 2}
 
 
-def closure(regions: DataFrame, most: int = 16) -> DataFrame:
-    """(region_id, ancestor_id, up): each region with itself (up 0) and all regions above it. One join for each level of the tree; most is the depth at which a loop in the data would end."""
+def closure(regions: DataFrame) -> DataFrame:
+    """(region_id, ancestor_id, up): each region with itself (up 0) and all regions above it. One join for each level of the tree, however deep; regions that are above themselves raise an error."""
     parents = regions.where("parent_id is not null").select(F.col("region_id").alias("ancestor_id"), "parent_id")
     step = regions.select("region_id", F.col("region_id").alias("ancestor_id"), F.lit(0).alias("up"))
     parts = [step]
-    for _ in range(most):
+    while True:
         step = written(step.join(parents, "ancestor_id").select("region_id", F.col("parent_id").alias("ancestor_id"), (F.col("up") + 1).alias("up")))
         if step.isEmpty():
             break
+        if not step.where("region_id = ancestor_id").isEmpty():
+            raise ValueError("a region is above itself")
         parts.append(step)
     return reduce(DataFrame.unionByName, parts)
 
@@ -255,3 +257,39 @@ def object_description(objects: DataFrame) -> DataFrame:
     sections = (("general", ("name", "name_alt", "ref", "operator", "brand")), ("location", ("location", "address", "postal_code", "is_in")), ("contact", ("phone", "website")), ("opening", ("opening_hours",)), ("routing", ("access", "max_speed", "lanes", "grade")), ("structure", ("bridge", "tunnel", "layer", "width", "elevation")))
     entries = F.array(*[F.struct(F.lit(100 * i + k).alias("no"), F.lit(s).alias("section"), F.lit(f).alias("entry"), F.try_element_at("features", F.lit(f)).alias("value")) for i, (s, fs) in enumerate(sections) for k, f in enumerate(fs)])
     return objects.select("obj_id", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e")).select("obj_id", "e.no", "e.section", "e.entry", "e.value")
+
+
+# ---- names beside the main one, lists and order
+
+
+def match_regions(regions: DataFrame, pattern: str) -> DataFrame:
+    """(region_id, name, quality): regions (region_id, names: array, the main name first) by the name that fits a pattern best; of equally good ones the first."""
+    named = regions.select("region_id", F.posexplode("names").alias("pos", "name"))
+    rated = named.withColumn("quality", match_quality(F.col("name"), F.lit(pattern))).where("quality is not null")
+    best = rated.groupBy("region_id").agg(F.min(F.struct(_rank("quality").alias("rank"), "pos", "name", "quality")).alias("b"))
+    return best.select("region_id", "b.name", "b.quality")
+
+
+def limited_addresses(addresses: DataFrame, limit: int) -> DataFrame:
+    """(location_id, address_id, name, rank, limit_reached): each location's addresses by name, the first limit of them; whether there are more."""
+    by_name = Window.partitionBy("location_id").orderBy("name", "address_id")
+    ranked = addresses.withColumns({"rank": F.row_number().over(by_name), "limit_reached": F.lead("address_id", limit).over(by_name).isNotNull()})
+    reached = F.first("limit_reached").over(by_name)
+    return ranked.withColumn("limit_reached", reached).where(F.col("rank") <= limit).select("location_id", "address_id", "name", "rank", "limit_reached")
+
+
+def regions_of_cells(cells: DataFrame) -> DataFrame:
+    """(x, y, region_ids): the regions (x, y, region_id, size) of each cell, smallest first, so that the first that holds a point is its region."""
+    groups = cells.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("size", "region_id"))).alias("r"))
+    return groups.select("x", "y", F.transform("r", lambda r: r["region_id"]).alias("region_ids"))
+
+
+def distinct_results(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """results with one row for each value of keys, the first by order."""
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return results.withColumn("af_no", F.row_number().over(first)).where("af_no = 1").drop("af_no")
+
+
+def entries_of_objects(objects: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry_id, kind, obj_id): the addresses, streets and places (entry_id, kind, obj_ids: array) that are made of any of objects (obj_id)."""
+    return entries.select("entry_id", "kind", F.explode(F.array_distinct("obj_ids")).alias("obj_id")).join(objects.select("obj_id").distinct(), "obj_id", "left_semi")

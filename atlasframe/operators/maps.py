@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import share_package
+from ..session import share_package, written
 
 
 def resolved_styles(objects: DataFrame, rules: DataFrame, zoom: int) -> DataFrame:
@@ -17,13 +17,17 @@ def resolved_styles(objects: DataFrame, rules: DataFrame, zoom: int) -> DataFram
     attribute the last rule that applies and sets it wins. Rules are a style sheet, so a few thousand rows at most; they reach objects by their type.
     """
     now = rules.where((F.col("min_zoom") <= zoom) & (F.coalesce("max_zoom", F.lit(99)) >= zoom))
-    fits = (now["oneway"].isNull() | (now["oneway"] == objects["oneway"])) & (now["min_size"].isNull() | (objects["size"] >= now["min_size"]))
-    typed = objects.join(now.where("type is not null"), (objects["type"] == now["type"]) & fits).select(objects["obj_id"], "rule_no", "slot", "attributes")
-    every = now.where("type is null").groupBy().agg(F.collect_list(F.struct("rule_no", "slot", "oneway", "min_size", "attributes")).alias("rules"))
-    general = objects.crossJoin(F.broadcast(every)).select("obj_id", objects["oneway"].alias("o"), objects["size"].alias("s"), F.explode("rules").alias("r"))  # one row on the right side
-    general = general.where((F.col("r.oneway").isNull() | (F.col("r.oneway") == F.col("o"))) & (F.col("r.min_size").isNull() | (F.col("s") >= F.col("r.min_size")))).select("obj_id", "r.rule_no", "r.slot", "r.attributes")
-    single = typed.unionByName(general).select("obj_id", "slot", "rule_no", F.explode("attributes").alias("attribute", "value"))
-    return single.groupBy("obj_id", "slot", "attribute").agg(F.max_by("value", "rule_no").alias("value"))
+    rule = F.collect_list(F.struct("rule_no", "slot", "oneway", "min_size", F.map_entries("attributes").alias("sets")))
+    listed = now.where("type is not null").groupBy("type").agg(rule.alias("typed"))
+    general = now.where("type is null").groupBy().agg(rule.alias("general"))
+    # The sheet goes to every task, and each object is styled within its row: objects aren't shuffled.
+    rows = objects.select("obj_id", "type", "oneway", "size").join(F.broadcast(listed), "type", "left").crossJoin(F.broadcast(general))  # one row on the right side
+    both = F.array_sort(F.concat("general", F.coalesce("typed", F.array().cast(dict(general.dtypes)["general"]))))
+    fits = lambda r: (r["oneway"].isNull() | (r["oneway"] == F.col("oneway"))) & (r["min_size"].isNull() | (F.col("size") >= r["min_size"]))
+    entries = F.flatten(F.transform(F.filter(both, fits), lambda r: F.transform(r["sets"], lambda e: F.struct(F.struct(r["slot"].alias("slot"), e["key"].alias("attribute")).alias("of"), e["value"].alias("value")))))
+    rows = rows.select("obj_id", entries.alias("e"))
+    last = F.transform(F.array_distinct(F.transform("e", lambda x: x["of"])), lambda k: F.struct(k["slot"].alias("slot"), k["attribute"].alias("attribute"), F.element_at(F.filter("e", lambda x: x["of"] == k), -1)["value"].alias("value")))
+    return rows.select("obj_id", F.explode(last).alias("s")).select("obj_id", "s.*")
 
 
 def types_at(rules: DataFrame, zoom: int) -> DataFrame:
@@ -47,7 +51,13 @@ def draw_order(areas: DataFrame, ways: DataFrame) -> DataFrame:
     """(kind, obj_id, rank): areas (obj_id, layer, size) by layer, then large ones first, below ways (obj_id, layer, priority) by layer, then priority. Ranks count within a map's objects."""
     a = areas.select(F.lit(0).alias("k"), F.lit("area").alias("kind"), "obj_id", "layer", (-F.col("size")).alias("by"))
     w = ways.select(F.lit(1).alias("k"), F.lit("way").alias("kind"), "obj_id", "layer", F.col("priority").cast("double").alias("by"))
-    return a.unionByName(w).select("kind", "obj_id", F.row_number().over(Window.orderBy("k", "layer", "by", "obj_id")).alias("rank"))
+    order = ("k", "layer", "by", "obj_id")
+    # Ranges in order, each sorted by itself; a range's ranks begin after the rows of those before it.
+    ranges = a.unionByName(w).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(ranges.select("kind", "obj_id", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
+    sizes = rows.groupBy("range").count()  # one row for each range
+    before = sizes.select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "range").select("kind", "obj_id", (F.col("before") + F.col("at") + 1).cast("int").alias("rank"))
 
 
 def in_tiles(nodes: DataFrame, zoom: int) -> DataFrame:

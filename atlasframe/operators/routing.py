@@ -103,7 +103,7 @@ def turns(graph: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     return pairs
 
 
-def costs_from(sources: DataFrame, graph: DataFrame, most_rounds: int = 200, limit: float | None = None) -> DataFrame:
+def costs_from(sources: DataFrame, graph: DataFrame, limit: float | None = None) -> DataFrame:
     """(source, node_id, cost, hops, prev_id): the least cost from each source (source, node_id) to every node it reaches.
 
     graph: (from_id, to_id, cost), costs not negative. Each round joins only nodes whose cost fell in the round before with their edges and keeps the least
@@ -113,7 +113,7 @@ def costs_from(sources: DataFrame, graph: DataFrame, most_rounds: int = 200, lim
     lightest = written(lightest)
     none = F.lit(None).cast(dict(graph.dtypes)["from_id"])
     now = written(sources.select("source", "node_id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), none.alias("prev_id"), F.lit(True).alias("fresh")))
-    for _ in range(most_rounds):
+    while True:
         moved = now.where("fresh").select("source", F.col("node_id").alias("from_id"), F.col("cost").alias("c0"), F.col("hops").alias("h0")).join(lightest, "from_id")
         new = moved.select("source", F.col("to_id").alias("node_id"), (F.col("c0") + F.col("cost")).alias("cost"), (F.col("h0") + 1).alias("hops"), F.col("from_id").alias("prev_id"), F.lit(True).alias("fresh"))
         if limit is not None:
@@ -127,14 +127,14 @@ def costs_from(sources: DataFrame, graph: DataFrame, most_rounds: int = 200, lim
     return now.select("source", "node_id", "cost", "hops", "prev_id")
 
 
-def paths_to(targets: DataFrame, costs: DataFrame, most: int = 10_000) -> DataFrame:
+def paths_to(targets: DataFrame, costs: DataFrame) -> DataFrame:
     """(source, target, pos, node_id): the nodes of the cheapest path from each source to each target (source, target), from the target's end back, pos 0 the source."""
     step = written(targets.join(costs.withColumnRenamed("node_id", "target"), ["source", "target"]).select("source", "target", F.col("target").alias("node_id"), "prev_id", F.lit(0).alias("back")))
     parts = [step]
     before = costs.select("source", F.col("node_id").alias("prev_id"), F.col("prev_id").alias("p"))
-    for k in range(1, most):
-        if step.where("prev_id is not null").isEmpty():
-            break
+    k = 0
+    while not step.where("prev_id is not null").isEmpty():
+        k += 1
         step = written(step.join(before, ["source", "prev_id"]).select("source", "target", F.col("prev_id").alias("node_id"), F.col("p").alias("prev_id"), F.lit(k).alias("back")))
         parts.append(step)
     whole = reduce(DataFrame.unionByName, parts)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import spherical_distance
+from ..functions.geo import haversine_metres, spherical_distance
+from ..session import share_package
 
 
 def accurate(points: DataFrame, most: float = 15.0) -> DataFrame:
@@ -14,17 +16,26 @@ def accurate(points: DataFrame, most: float = 15.0) -> DataFrame:
 
 
 def far_apart(points: DataFrame, least: float = 10.0, drop_first: bool = False) -> DataFrame:
-    """Points more than least metres from the last one kept, a fold along each track. drop_first starts from the first point without keeping it, as its distance to itself is 0."""
-    rows = points.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))).alias("p"))
+    """Points more than least metres from the last one kept, a fold along each track. drop_first starts from the first point without keeping it, as its distance to itself is 0.
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.when(F.size(acc) > 0, F.get(acc, F.size(acc) - 1)).otherwise(F.get(F.col("p"), F.lit(0)))
-        far = spherical_distance(last["lat"], last["lon"], x["lat"], x["lon"]) > least
-        keep = far if drop_first else far | (F.size(acc) == 0)
-        return F.when(keep, F.concat(acc, F.array(x))).otherwise(acc)
+    Tracks stream through their tasks in order; of a track a task holds the last point kept. Points without a place are left out.
+    """
+    share_package(points.sparkSession)
+    names = points.columns
+
+    def fold(batches):
+        track = last = None
+        for t in batches:
+            keep = np.zeros(len(t), bool)
+            for k, (own, lat, lon) in enumerate(zip(t["track"], t["lat"].to_numpy(float), t["lon"].to_numpy(float), strict=True)):
+                if last is None or own != track:
+                    track, last, keep[k] = own, (lat, lon), not drop_first
+                elif haversine_metres(*last, lat, lon) > least:
+                    last, keep[k] = (lat, lon), True
+            yield t[keep]
 
-    kept = F.aggregate("p", F.array().cast(dict(rows.dtypes)["p"]), add)
-    return points.join(rows.select("track", F.explode(F.transform(kept, lambda x: x["idx"])).alias("idx")), ["track", "idx"])
+    placed = points.where("lat is not null and lon is not null").repartition("track").sortWithinPartitions("track", "idx")
+    return placed.mapInPandas(fold, points.schema).select(*names)
 
 
 def matching(points: Column, keep) -> Column:
@@ -120,3 +131,8 @@ def contour_segments(grid: DataFrame, interval: float) -> DataFrame:
     low, high = F.least("height", "e.other"), F.greatest("height", "e.other")
     first, last = F.floor(low / interval) + 1, F.floor(high / interval)
     return sides.where(first <= last).select("file", F.explode(F.sequence(first, last)).alias("k"), "row", "col", "e.side").select("file", (F.col("k") * interval).alias("level"), "row", "col", "side")
+
+
+def ordered_elevations(points: DataFrame) -> DataFrame:
+    """points (way_id, distance, ele, lat, lon) with rank: along each way by distance, then elevation, then place."""
+    return points.withColumn("rank", F.row_number().over(Window.partitionBy("way_id").orderBy("distance", "ele", "lat", "lon")))

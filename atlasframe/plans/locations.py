@@ -40,15 +40,15 @@ def l4_search_patterns(spark, sf_dir):
     return p.select("p_partkey", F.array_join(F.transform("p", lambda x: F.concat(x["text"], F.lit("("), F.array_join(x["rest"], " "), F.lit(")"))), "|").alias("patterns"))
 
 
-@query(sql("regions", "locations", "addresses")(f"""{_TREE}, q AS (SELECT address_id AS query_id, a.location_id, l.region_id, l.name AS street, a.name AS house, r.name AS city FROM addresses a JOIN locations l USING (location_id) JOIN regions r ON r.region_id = l.region_id WHERE address_id < 40),
+@query(sql("regions", "locations", "addresses")(f"""{_TREE}, q AS (SELECT address_id AS query_id, a.location_id, l.region_id, l.name AS street, a.name AS house, r.name AS city FROM addresses a JOIN locations l USING (location_id) JOIN regions r ON r.region_id = l.region_id),
 cities AS (SELECT q.*, r.region_id AS found_id FROM q JOIN regions r ON r.name = q.city),
 streets AS (SELECT c.query_id, c.house, l.region_id, l.location_id, l.name = c.street AS same FROM cities c JOIN tree t ON t.ancestor_id = c.found_id JOIN locations l ON l.region_id = t.region_id WHERE contains(' ' || l.name || ' ', ' ' || c.street || ' ') ),
 houses AS (SELECT s.query_id, s.region_id, s.location_id, min(CASE WHEN upper(a.name) = upper(s.house) THEN 1000000000 + a.address_id WHEN contains(upper(a.name), upper(s.house)) THEN 2000000000 + a.address_id END) AS k FROM streets s LEFT JOIN addresses a ON a.location_id = s.location_id WHERE same GROUP BY ALL)
 SELECT query_id, region_id, location_id, k % 1000000000 AS address_id, 'match' AS region_quality, 'match' AS location_quality, CASE WHEN k < 2000000000 THEN 'match' WHEN k IS NOT NULL THEN 'candidate' END AS address_quality FROM houses"""))
 def l5_search_by_string(spark, sf_dir):
-    """Forty addresses asked for as free text: city, street and house. Of the answers those where city and street match."""
+    """Every address asked for as free text: city, street and house. Of the answers those where city and street match."""
     regions, streets, houses = (view(spark, sf_dir, n) for n in ("regions", "locations", "addresses"))
-    asked = houses.where("address_id < 40").join(streets.select("location_id", "region_id", F.col("name").alias("street")), "location_id").join(regions.select("region_id", F.col("name").alias("city")), "region_id")
+    asked = houses.join(streets.select("location_id", "region_id", F.col("name").alias("street")), "location_id").join(regions.select("region_id", F.col("name").alias("city")), "region_id")
     queries = asked.select(F.col("address_id").alias("query_id"), F.concat_ws(" ", "city", "street", "name").alias("query"))
     found = ops.search_by_string(queries, regions, streets, houses, _tree(spark, sf_dir), [])
     return found.where("region_quality = 'match' and location_quality = 'match'")
@@ -170,3 +170,39 @@ def d1_object_description(spark, sf_dir):
     w = view(spark, sf_dir, "ways")
     f = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.lit("max_speed"), F.col("maxspeed").cast("string"), F.lit("grade"), F.col("grade").cast("string")), lambda k, v: v.isNotNull())
     return ops.object_description(w.select(F.col("way_id").alias("obj_id"), f.alias("features"))).drop("no")
+
+
+@query(sql("regions")("""SELECT region_id, CASE WHEN contains(upper(name), 'AS') THEN name ELSE 'Area ' || name END AS name, CASE WHEN upper(name) = 'ASIA' THEN 'match' ELSE 'candidate' END AS quality FROM regions WHERE contains(upper(name), 'ASIA')
+UNION ALL SELECT region_id, 'Asia ' || region_id, 'candidate' FROM regions WHERE region_id % 2 = 0 AND NOT contains(upper(name), 'ASIA')"""))
+def l9_other_names(spark, sf_dir):
+    """Regions with an even number have a second name."""
+    r = view(spark, sf_dir, "regions")
+    names = F.when(F.col("region_id") % 2 == 0, F.array("name", F.concat(F.lit("Asia "), F.col("region_id").cast("string")))).otherwise(F.array("name"))
+    return ops.match_regions(r.select("region_id", names.alias("names")), "asia")
+
+
+@query(sql("addresses")("""SELECT location_id, address_id, name, CAST(n AS INT) AS rank, total > 3 AS limit_reached FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY name, address_id) AS n, count(*) OVER (PARTITION BY location_id) AS total FROM addresses) WHERE n <= 3"""))
+def o4_limited_addresses(spark, sf_dir):
+    return ops.limited_addresses(view(spark, sf_dir, "addresses"), 3)
+
+
+@query(sql("regions")("""SELECT CAST(floor(min_lon) AS BIGINT) AS x, CAST(floor(min_lat) AS BIGINT) AS y, array_to_string(list(region_id ORDER BY size, region_id), ',') AS regions FROM (SELECT *, (max_lat - min_lat) * (max_lon - min_lon) AS size FROM regions) GROUP BY ALL"""))
+def o7_regions_of_cells(spark, sf_dir):
+    r = view(spark, sf_dir, "regions")
+    cells = r.select(F.floor("min_lon").alias("x"), F.floor("min_lat").alias("y"), "region_id", ((F.col("max_lat") - F.col("min_lat")) * (F.col("max_lon") - F.col("min_lon"))).alias("size"))
+    return ops.regions_of_cells(cells).select("x", "y", F.array_join(F.transform("region_ids", lambda i: i.cast("string")), ",").alias("regions"))
+
+
+@query(sql("addresses", "locations")("""SELECT name AS street, min(location_id) AS location_id FROM locations GROUP BY name"""))
+def u3_distinct_results(spark, sf_dir):
+    """Streets by name, each once."""
+    streets = view(spark, sf_dir, "locations").select(F.col("name").alias("street"), "location_id")
+    return ops.distinct_results(streets, ["street"], ["location_id"])
+
+
+@query("""SELECT DISTINCT l_orderkey AS entry_id, CASE WHEN l_orderkey % 2 = 0 THEN 'street' ELSE 'address' END AS kind, l_partkey AS obj_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10)""")
+def j12_entries_of_objects(spark, sf_dir):
+    """Orders as entries made of parts, asked for by the small parts."""
+    items = table(spark, sf_dir, "lineitem")
+    entries = items.groupBy(F.col("l_orderkey").alias("entry_id")).agg(F.collect_list("l_partkey").alias("obj_ids")).withColumn("kind", F.when(F.col("entry_id") % 2 == 0, "street").otherwise("address"))
+    return ops.entries_of_objects(table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("obj_id")), entries)

@@ -59,12 +59,11 @@ def m1_tiles(spark, sf_dir):
     return maps.in_tiles(view(spark, sf_dir, "nodes"), 10).groupBy("z", "x", "y").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(5 AS INT) AS z, CAST(p_partkey AS BIGINT) AS x, CAST(p_partkey AS BIGINT) AS y, CASE WHEN p_partkey < 16 THEN 3 WHEN p_partkey < 32 THEN NULL END::INT AS parent_z FROM part WHERE p_partkey < 32 AND p_partkey % 4 <> 0""")
+@query("""SELECT CAST(22 AS INT) AS z, CAST(p_partkey AS BIGINT) AS x, CAST(p_partkey AS BIGINT) AS y, CASE WHEN p_partkey // 4 % 2 = 0 AND p_partkey // 4 >= (SELECT min(p_partkey) FROM part) THEN 20 END::INT AS parent_z FROM part WHERE p_partkey % 4 <> 0""")
 def m4_missing_tiles(spark, sf_dir):
-    """Every fourth tile is loaded, and the tiles of zoom 3 above the first sixteen."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 32")
-    wanted = p.select(F.lit(5).alias("z"), F.col("p_partkey").alias("x"), F.col("p_partkey").alias("y"))
-    loaded = wanted.where("x % 4 = 0").unionByName(spark.range(4).select(F.lit(3).alias("z"), F.col("id").alias("x"), F.col("id").alias("y")))
+    """A tile for each part. Every fourth one is loaded, and every second tile two levels above."""
+    wanted = table(spark, sf_dir, "part").select(F.lit(22).alias("z"), F.col("p_partkey").alias("x"), F.col("p_partkey").alias("y"))
+    loaded = wanted.where("x % 4 = 0").unionByName(wanted.where("x % 2 = 0").select(F.lit(20).alias("z"), "x", "y"))
     return maps.missing_tiles(wanted, loaded)
 
 

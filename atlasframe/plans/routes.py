@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import spherical_distance
 from ..operators import descriptions, routing
 from ..registry import query
 from .sample import haversine, sql, table, view, way_points
@@ -165,3 +166,56 @@ def r7_instructions(spark, sf_dir):
 def k6_route_json(spark, sf_dir):
     j = descriptions.as_json(_route(spark, sf_dir).select("route", "idx", "lat", "lon", "name"))
     return j.select("route", F.size(F.from_json("json", "array<struct<idx:int>>")).cast("long").alias("n_nodes"))
+
+
+@query(sql("nodes")("""SELECT obj_id, round((10 + 5 * lat) * 0.01, 9) AS at_most FROM nodes"""))
+def g11_cost_limits(spark, sf_dir):
+    """Latitudes as kilometres of the straight line."""
+    return view(spark, sf_dir, "nodes").select("obj_id", F.round(routing.cost_limit(F.col("lat"), 0.01), 9).alias("at_most"))
+
+
+_STEPS = ", s AS (SELECT *, lag(node_id) OVER (PARTITION BY route ORDER BY idx) AS came, lead(node_id) OVER (PARTITION BY route ORDER BY idx) AS goes FROM (SELECT r.*, l_partkey AS node_id FROM r JOIN (SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) - 1 AS k FROM lineitem) ON l_orderkey = route AND k = idx))"
+
+
+@query(sql("nodes")(_ROUTE + _STEPS + ", g AS (SELECT DISTINCT node_id AS a, goes AS b FROM s WHERE goes IS NOT NULL) SELECT route, idx, count(b) FILTER (b IS DISTINCT FROM came) AS n_exits FROM s LEFT JOIN g ON a = node_id GROUP BY route, idx"))
+def r4_exits(spark, sf_dir):
+    """Parts that follow each other in some order as the graph."""
+    r = _route(spark, sf_dir)
+    w = Window.partitionBy("route").orderBy("idx")
+    graph = r.select(F.col("node_id").alias("from_id"), F.lead("node_id").over(w).alias("to_id")).where("to_id is not null")
+    return descriptions.exits(r, graph).select("route", "idx", "n_exits")
+
+
+@query(sql("nodes")(_ROUTE + _STEPS + ", w AS (SELECT l_partkey AS node_id, list_sort(list(DISTINCT l_orderkey)) AS ways FROM lineitem GROUP BY 1) SELECT route, idx, len(list_filter(ways, lambda x: x <> route)) AS n_crossing, coalesce(list_sum(list_filter(ways, lambda x: x <> route)), 0)::BIGINT AS crossing FROM s JOIN w USING (node_id)"))
+def r4_crossing_ways(spark, sf_dir):
+    """Orders that share a part cross there."""
+    ways = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("way_ids"))
+    x = descriptions.crossing_ways(_route(spark, sf_dir), ways)
+    return x.select("route", "idx", F.size("crossing").cast("long").alias("n_crossing"), F.aggregate("crossing", F.lit(0).cast("long"), lambda a, v: a + v).alias("crossing"))
+
+
+@query(sql("nodes")(_ROUTE + " SELECT route, idx, lanes FROM (SELECT route, idx, maxspeed AS lanes, lag(maxspeed) OVER (PARTITION BY route ORDER BY idx) AS was FROM r) WHERE lanes IS DISTINCT FROM was"))
+def n8_lane_changes(spark, sf_dir):
+    """Speed limits stand for lanes."""
+    return descriptions.lane_changes(_route(spark, sf_dir).withColumn("lanes", F.col("maxspeed"))).select("route", "idx", "lanes")
+
+
+_DISTANCE = haversine("plat", "plon", "lat", "lon")
+
+
+@query(sql("nodes")(f"""{_ROUTE}, d AS (SELECT *, sum(coalesce({_DISTANCE}, 0)) OVER (PARTITION BY route ORDER BY idx) AS distance FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM r WINDOW w AS (PARTITION BY route ORDER BY idx))),
+e AS (SELECT *, distance / 50000 AS hours, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, lead(distance / 50000) OVER w AS nhours, last_value(distance) OVER (PARTITION BY route ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total FROM d WINDOW w AS (PARTITION BY route ORDER BY idx)),
+p AS (SELECT *, (lat * 3 + nlat) / 4 AS mlat, (lon * 3 + nlon) / 4 AS mlon FROM e WHERE nlat IS NOT NULL),
+q AS (SELECT *, {haversine('lat', 'lon', 'mlat', 'mlon')} AS gone, {haversine('lat', 'lon', 'nlat', 'nlon')} AS between_ FROM p)
+SELECT route, idx, round(total - distance - gone, 3) AS remaining, round(((nhours - hours) * CASE WHEN between_ = 0 THEN 0 ELSE 1 - gone / between_ END + total / 50000 - nhours) * 3600, 1) AS seconds FROM q WHERE gone <= between_ AND total - distance - gone >= 0"""))
+def n7_arrival(spark, sf_dir):
+    """Positions a quarter of the way from each node to the next, at 50 km/h."""
+    w = Window.partitionBy("route").orderBy("idx")
+    r = _route(spark, sf_dir)
+    step = F.coalesce(spherical_distance(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0))
+    r = r.withColumn("step", step).withColumn("distance", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hours", F.col("distance") / 50000).select("route", "idx", "lat", "lon", "distance", "hours")
+    middle = lambda c: ((F.col(c) * 3 + F.lead(c).over(w)) / 4).alias(c)
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    positions = r.select("route", "idx", at.alias("ts"), middle("lat"), middle("lon")).where("lat is not null")
+    found = descriptions.arrival(positions, r)
+    return found.select("route", "idx", F.round("remaining", 3).alias("remaining"), F.round((F.unix_micros("arrival") - F.unix_micros("ts")) / 1e6, 1).alias("seconds"))

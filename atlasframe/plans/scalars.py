@@ -185,12 +185,12 @@ def y6_formats(spark, sf_dir):
     return p.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("replaced"), text.duration_text(F.col("p_partkey") * 7 + 3600).alias("duration"), text.byte_size(F.col("p_partkey") * 997 + 1023).alias("bytes"))
 
 
-@query("""SELECT doc_id, strip_accents(replace(lower(substr(t, 1, 200)), 'ß', 'ss')) AS plain FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+@query("""SELECT doc_id, strip_accents(replace(lower(t), 'ß', 'ss')) AS plain FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def y7_transliteration(spark, sf_dir):
-    """The beginnings of texts without marks (the texts are German, English, French and Spanish)."""
+    """Texts without marks (they are German, English, French and Spanish)."""
     share_package(spark)
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.transliterated(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 200))).alias("plain"))
+    return d.select("doc_id", text.transliterated(F.lower(F.coalesce("text", F.lit("")))).alias("plain"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN upper(s_name) = 'SUPPLIER#000000003' THEN 'match' WHEN contains(upper(s_name), 'SUPPLIER#00000000') THEN 'candidate' END AS quality FROM supplier""")
@@ -360,3 +360,42 @@ def u2_type_sets(spark, sf_dir):
     return p.select("p_partkey", shown(typing.union(a, b)).alias("both"), shown(typing.without(a, b)).alias("rest"), shown(typing.shared(a, b)).alias("shared"))
 
 
+@query(sql("regions")("SELECT region_id, k, round(min_lon + k * (max_lon - min_lon) / 4, 9) AS west, round(min_lon + (k + 1) * (max_lon - min_lon) / 4, 9) AS east, min_lat, max_lat FROM regions, (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS k)"))
+def x18_box_strips(spark, sf_dir):
+    r = view(spark, sf_dir, "regions")
+    strips = geo.box_strips(geo.box(F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), F.col("max_lon")), 4)
+    return r.select("region_id", F.posexplode(strips).alias("k", "b")).select("region_id", "k", F.round("b.min_lon", 9).alias("west"), F.round("b.max_lon", 9).alias("east"), F.col("b.min_lat").alias("min_lat"), F.col("b.max_lat").alias("max_lat"))
+
+
+_LEVELS = list(geo.MAGNIFICATIONS.items())
+
+
+@query(f"SELECT p_partkey, CAST(CASE p_partkey % {len(_LEVELS)} {' '.join(f'WHEN {k} THEN {level}' for k, (_, level) in enumerate(_LEVELS))} END AS INT) AS level FROM part")
+def x23_magnification(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n, _ in _LEVELS])
+    return table(spark, sf_dir, "part").select("p_partkey", geo.magnification_level(F.get(names, (F.col("p_partkey") % len(_LEVELS)).cast("int"))).alias("level"))
+
+
+@query("SELECT p_partkey, CASE WHEN b <= 45 THEN 'N' WHEN b <= 135 THEN 'E' WHEN b <= 225 THEN 'S' WHEN b <= 315 THEN 'W' ELSE 'N' END AS point FROM (SELECT p_partkey, CAST(p_partkey % 360 AS DOUBLE) AS b FROM part)")
+def y15_compass_points(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", geo.compass_point((F.col("p_partkey") % 360).cast("double")).alias("point"))
+
+
+@query("""SELECT p_partkey, CASE WHEN m < 1500 THEN printf('%.6f m', m) ELSE printf('%.6f km', m / 1000) END AS shown, round(m / 0.3048, 6) AS feet, round(m / 0.9144, 6) AS yards, round(m / 1609.344, 9) AS miles, round(CAST(p_size AS DOUBLE) * 1609.344, 6) AS metres FROM (SELECT p_partkey, CAST(p_partkey AS DOUBLE) * 3 AS m, p_size FROM part)""")
+def y14_distances(spark, sf_dir):
+    m = F.col("p_partkey").cast("double") * 3
+    shown = [F.round(geo.in_unit(m, unit), digits).alias(name) for unit, name, digits in (("ft", "feet", 6), ("yd", "yards", 6), ("mi", "miles", 9))]
+    return table(spark, sf_dir, "part").select("p_partkey", geo.distance_text(m).alias("shown"), *shown, F.round(geo.to_metres(F.col("p_size"), "mi"), 6).alias("metres"))
+
+
+@query("""SELECT type, status, count(*) AS n, CASE WHEN type IN ('1', '2') THEN 'multipolygon' WHEN type = '3' THEN 'route' WHEN type = '4' THEN 'route_master' END AS kind, CASE status WHEN 'F' THEN 'forbid' WHEN 'O' THEN 'allow' END AS turn FROM (SELECT substr(o_orderpriority, 1, 1) AS type, o_orderstatus AS status FROM orders) GROUP BY ALL""")
+def f10_relation_kinds(spark, sf_dir):
+    """Orders as relations: the priority stands for the type, the status for a restriction."""
+    from ..operators import typing
+
+    kinds = F.create_map(*[F.lit(x) for x in ("1", "multipolygon", "2", "boundary", "3", "route", "4", "route_master", "5", "site")])
+    turns = F.create_map(*[F.lit(x) for x in ("F", "no_left_turn", "O", "only_straight_on", "P", "no_entry")])
+    rows = table(spark, sf_dir, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("type"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    t = rows.withColumn("tags", F.create_map(F.lit("type"), F.try_element_at(kinds, F.col("type")), F.lit("restriction"), F.try_element_at(turns, F.col("status"))))
+    kind = F.when(typing.is_multipolygon(F.col("tags")), "multipolygon").when(typing.is_route(F.col("tags")), "route").when(typing.is_route_master(F.col("tags")), "route_master")
+    return t.select("type", "status", "n", kind.alias("kind"), typing.restriction_kind(F.col("tags")).alias("turn"))

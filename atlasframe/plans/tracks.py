@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import tracks
 from ..registry import query
 from ..streaming import agents
-from .sample import haversine, sql, view, way_lines
+from .sample import haversine, sql, table, view, way_lines
 
 
 def _points(spark, sf_dir):
@@ -20,14 +20,14 @@ def f23_accurate_points(spark, sf_dir):
     return tracks.accurate(_points(spark, sf_dir)).select("track", "idx")
 
 
-@query(sql("positions")(f""", o AS (SELECT vehicle, event_id, lat, lon, row_number() OVER (PARTITION BY vehicle ORDER BY event_id) AS n FROM positions WHERE event_id < 400),
+@query(sql("positions")(f""", o AS (SELECT vehicle, event_id, lat, lon, row_number() OVER (PARTITION BY vehicle ORDER BY event_id) AS n FROM positions),
 k AS (SELECT vehicle, event_id, lat, lon, n, true AS kept, lat AS klat, lon AS klon FROM o WHERE n = 1
   UNION ALL SELECT o.vehicle, o.event_id, o.lat, o.lon, o.n, {haversine('k.klat', 'k.klon', 'o.lat', 'o.lon')} > 500, CASE WHEN {haversine('k.klat', 'k.klon', 'o.lat', 'o.lon')} > 500 THEN o.lat ELSE k.klat END, CASE WHEN {haversine('k.klat', 'k.klon', 'o.lat', 'o.lon')} > 500 THEN o.lon ELSE k.klon END
   FROM k JOIN o ON o.vehicle = k.vehicle AND o.n = k.n + 1)
 SELECT vehicle AS track, event_id AS idx FROM k WHERE kept"""))
 def e1_far_apart(spark, sf_dir):
-    """The first 400 positions, thinned to 500 m."""
-    return tracks.far_apart(_points(spark, sf_dir).where("idx < 400"), 500.0).select("track", "idx")
+    """Each vehicle's positions, thinned to 500 m."""
+    return tracks.far_apart(_points(spark, sf_dir), 500.0).select("track", "idx")
 
 
 @query(sql("positions")(f"""SELECT track, count(*) AS n, round(sum(coalesce({haversine('plat', 'plon', 'lat', 'lon')}, 0)), 2) AS metres, sum(greatest(coalesce(ele - pele, 0), 0)) AS climb FROM (SELECT vehicle AS track, lat, lon, CAST(event_id % 100 AS DOUBLE) AS ele, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(CAST(event_id % 100 AS DOUBLE)) OVER w AS pele FROM positions WINDOW w AS (PARTITION BY vehicle ORDER BY event_id)) GROUP BY track"""))
@@ -111,3 +111,20 @@ def n6_route_state(spark, sf_dir):
 @query()
 def n2_position_state(spark, sf_dir):
     return agents.over_table(_messages(spark, sf_dir), agents.position_state()).select("vehicle", F.unix_micros("ts").alias("micros"), "kind")
+
+
+@query(sql("positions")(f""", a AS (SELECT * FROM positions WHERE coalesce(CASE WHEN event_id % 4 <> 0 THEN accuracy / 5 END, CASE WHEN event_id % 2 = 0 THEN accuracy / 10 END, 0) <= 15),
+o AS (SELECT vehicle, event_id, lat, lon, row_number() OVER (PARTITION BY vehicle ORDER BY event_id) AS n FROM a),
+k AS (SELECT vehicle, event_id, lat, lon, n, true AS kept, lat AS klat, lon AS klon FROM o WHERE n = 1
+  UNION ALL SELECT o.vehicle, o.event_id, o.lat, o.lon, o.n, {haversine('k.klat', 'k.klon', 'o.lat', 'o.lon')} > 10, CASE WHEN {haversine('k.klat', 'k.klon', 'o.lat', 'o.lon')} > 10 THEN o.lat ELSE k.klat END, CASE WHEN {haversine('k.klat', 'k.klon', 'o.lat', 'o.lon')} > 10 THEN o.lon ELSE k.klon END
+  FROM k JOIN o ON o.vehicle = k.vehicle AND o.n = k.n + 1)
+SELECT vehicle AS track, event_id AS idx FROM k WHERE kept"""))
+def e3_piped(spark, sf_dir):
+    return tracks.piped(_points(spark, sf_dir)).select("track", "idx")
+
+
+@query("""SELECT l_orderkey AS way_id, l_linenumber AS line, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_tax, l_partkey, l_suppkey) AS INT) AS rank FROM lineitem""")
+def o11_ordered_elevations(spark, sf_dir):
+    """Line items as points of elevation along their order; those of one distance by elevation, then place."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("distance"), F.col("l_tax").alias("ele"), F.col("l_partkey").alias("lat"), F.col("l_suppkey").alias("lon"))
+    return tracks.ordered_elevations(items).select("way_id", "line", "rank")

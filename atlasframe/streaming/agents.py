@@ -147,7 +147,6 @@ ROWS = "vehicle long, ts timestamp, kind string, value double"
 
 
 def _run(agent: Agent, state: tuple, t: pd.DataFrame, vehicle: int) -> tuple[tuple, pd.DataFrame]:
-    t = t.sort_values("ts", kind="stable")
     t = t.assign(seconds=t["ts"].astype("datetime64[us]").astype("int64") / 1e6)
     out = []
     for m in t.itertuples():
@@ -157,13 +156,18 @@ def _run(agent: Agent, state: tuple, t: pd.DataFrame, vehicle: int) -> tuple[tup
     return state, found
 
 
+def _in_order(t: pd.DataFrame) -> pd.DataFrame:
+    """By time, and by event_id where there is one, so that messages of one time always come in one order."""
+    return t.sort_values(["ts", *(["event_id"] if "event_id" in t.columns else [])], kind="stable")
+
+
 def over_stream(positions: DataFrame, agent: Agent) -> DataFrame:
-    """Rows (vehicle, ts, kind, value) of a streaming DataFrame of messages (vehicle, ts, lat, lon, accuracy, speed, ...); write it in append mode. Messages of one batch are put in order of time."""
+    """Rows (vehicle, ts, kind, value) of a streaming DataFrame of messages (vehicle, ts, lat, lon, accuracy, speed, ...); write it in append mode. Messages of one batch are put in order of time, then of event_id, if they have one."""
     share_package(positions.sparkSession)
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else agent.start
-        now, found = _run(agent, now, pd.concat(list(batches)), key[0])
+        now, found = _run(agent, now, _in_order(pd.concat(list(batches))), key[0])
         state.update(now)
         yield found
 
@@ -171,10 +175,17 @@ def over_stream(positions: DataFrame, agent: Agent) -> DataFrame:
 
 
 def over_table(positions: DataFrame, agent: Agent) -> DataFrame:
-    """The same over a table: each vehicle's messages fold in order of time."""
+    """The same over a table: each vehicle's messages fold in order. Vehicles stream through their tasks, which hold the state of one and a batch of messages."""
     share_package(positions.sparkSession)
 
-    def whole(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        return _run(agent, agent.start, t, key[0])[1]
-
-    return positions.groupBy("vehicle").applyInPandas(whole, ROWS)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vehicle, state = None, agent.start
+        for batch in batches:
+            for key, t in batch.groupby("vehicle", sort=False, dropna=False):
+                if key != vehicle:
+                    vehicle, state = key, agent.start
+                state, found = _run(agent, state, t, key)
+                yield found
+
+    order = ["vehicle", "ts", *(["event_id"] if "event_id" in positions.columns else [])]
+    return positions.repartition("vehicle").sortWithinPartitions(*order).mapInPandas(fold, ROWS)
