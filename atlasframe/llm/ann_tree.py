@@ -5,8 +5,9 @@ table is then put into a leaf. A query takes nodes from a priority queue: leaves
 nodes by the least distance that a centre below them can have, so that leaves come nearest first. How many are visited
 is calibrated: about PROBES vectors outside the sample are searched by brute force in blocks, and the number of leaves is
 widened until they would have met TARGET of their true neighbours; a query goes on until its leaves hold k vectors
-besides its own. Leaves are cut into blocks of at most BLOCK vectors, and blocks into parts, so a vector that a third
-of all rows repeat makes many tasks, not one.
+besides its own. Neighbouring leaves form regions of about BLOCK vectors, so that a query gives one list of its nearest for each
+region and not for each leaf; larger leaves are cut into blocks, and blocks into parts, so a vector that a third of all rows
+repeat makes many tasks, not one.
 """
 
 from __future__ import annotations
@@ -102,24 +103,30 @@ def _matrix(lists: pa.Array, size: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def _topk(ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
-    """Each query's k nearest of one block, by true distance, ties to the smaller id."""
+def _topk(ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, query_ids: np.ndarray, q: np.ndarray, visited: list | None, k: int) -> pa.RecordBatch:
+    """Each query's k nearest of one block, by true distance, ties to the smaller id; of the leaves that it visits, if given."""
+    order = np.argsort(leaves, kind="stable")
+    ids, x, leaves = ids[order], x[order], leaves[order]
     out: list[list] = [[], [], [], []]
-    for i, v in zip(query_ids, q, strict=True):
-        far = np.sqrt(((x - v) ** 2).sum(1))
-        far[ids == i] = np.inf
+    for n, (i, v) in enumerate(zip(query_ids, q, strict=True)):
+        at = np.arange(len(ids))
+        if visited is not None:
+            low, high = np.searchsorted(leaves, visited[n], "left"), np.searchsorted(leaves, visited[n], "right")
+            at = np.concatenate([at[a:b] for a, b in zip(low, high, strict=True)])
+        far = np.sqrt(((x[at] - v) ** 2).sum(1))
+        far[ids[at] == i] = np.inf
         near = np.argpartition(far, k - 1)[:k] if len(far) > k else np.arange(len(far))
         near = np.flatnonzero(far <= far[near].max()) if len(near) else near
-        near = near[np.lexsort((ids[near], far[near]))][:k]
+        near = near[np.lexsort((ids[at][near], far[near]))][:k]
         near = near[far[near] < np.inf]
-        for column, values in zip(out, (np.full(len(near), i), ids[near], far[near], leaves[near]), strict=True):
+        for column, values in zip(out, (np.full(len(near), i), ids[at][near], far[near], leaves[at][near]), strict=True):
             column.append(values)
     a, b, c, d = (np.concatenate(x) if x else np.zeros(0) for x in out)
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(np.float64)), pa.array(d.astype(np.int32))], names=["query_id", "vec_id", "score", "leaf"])
 
 
 def _scan(rows: DataFrame, size: int, k: int, probes=None) -> DataFrame:
-    """Each row has a block of vectors (block: array<struct<vec_id, v, leaf>>) and of queries (queries: array<struct<query_id, q>>), if not those of probes, a broadcast (ids, vectors)."""
+    """Each row has a block of vectors (block: array<struct<vec_id, v, leaf>>) and of queries (queries: array<struct<query_id, q, leaves>>), if not those of probes, a broadcast (ids, vectors)."""
 
     def run(batches):
         for batch in batches:
@@ -129,9 +136,11 @@ def _scan(rows: DataFrame, size: int, k: int, probes=None) -> DataFrame:
                 if probes is None:
                     q = batch.column(1)[r].values
                     ids, own = q.field("query_id").to_numpy(zero_copy_only=False), _matrix(q.field("q"), size)
+                    visited = [x.values.to_numpy() for x in q.field("leaves")]
                 else:
                     ids, own = probes.value
-                yield _topk(b.field("vec_id").to_numpy(zero_copy_only=False), _matrix(b.field("v"), size), b.field("leaf").to_numpy(zero_copy_only=False), ids, own, k)
+                    visited = None
+                yield _topk(b.field("vec_id").to_numpy(zero_copy_only=False), _matrix(b.field("v"), size), b.field("leaf").to_numpy(zero_copy_only=False), ids, own, visited, k)
 
     return rows.select("block", *(["queries"] if probes is None else [])).mapInArrow(run, "query_id long, vec_id long, score double, leaf int")
 
@@ -141,11 +150,22 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, leaf_rows: DataFrame, most: int) -> DataFrame:
-    """rows (vec_id, leaf, v) as one row per block of about most vectors of one leaf: (leaf, salt, block). leaf_rows (leaf, count): one row a leaf of the tree."""
-    parts = F.ceil(F.col("count") / most)
-    salted = rows.join(F.broadcast(leaf_rows), "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts))
-    return salted.groupBy("leaf", "salt").agg(F.collect_list(F.struct("vec_id", "v", "leaf")).alias("block"))
+def _regions(leaf_rows: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """For each leaf its region and that region's rows: leaves of consecutive numbers, which lie near each other, up to BLOCK rows together."""
+    found: dict[int, int] = {}
+    held: list[int] = []
+    for leaf, n in sorted(leaf_rows.items()):
+        if not held or held[-1] + n > BLOCK:
+            held.append(0)
+        held[-1] += n
+        found[leaf] = len(held) - 1
+    return {leaf: (r, held[r]) for leaf, r in found.items()}
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, most: int, fields: Column) -> DataFrame:
+    """rows (vec_id, region, ...) as one row per block of about most rows of one region: (region, salt, block of fields). sizes (region, count): a row for each region."""
+    salted = rows.join(F.broadcast(sizes), "region").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.ceil(F.col("count") / most)))
+    return salted.groupBy("region", "salt").agg(F.collect_list(fields).alias("block"))
 
 
 def _hashed(rows: DataFrame, low: float, high: float, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +209,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     placed = materialize(rows.mapInArrow(put, f"vec_id long, v {kind}, is_query boolean, leaf int"))
     counted = placed.groupBy("leaf").count()
     leaf_rows = {r["leaf"]: r["count"] for r in counted.collect()}  # at most one row for each leaf of the tree
-    leaves = spark.createDataFrame(list(leaf_rows.items()), "leaf int, count long")
-    blocks = materialize(_blocks(placed, leaves, BLOCK))
+    regions = _regions(leaf_rows)
+    region_of = F.broadcast(spark.createDataFrame([(leaf, r) for leaf, (r, _) in regions.items()], "leaf int, region int"))
+    sizes = spark.createDataFrame(sorted(set(regions.values())), "region int, count long")
+    blocks = materialize(_blocks(placed.join(region_of, "leaf"), sizes, BLOCK, F.struct("vec_id", "v", "leaf")))
 
     # Calibration: where the probes' true neighbours stand in the order of leaves says how many leaves are enough.
     true = _best(_scan(blocks, size, k, shared_probes), k).select("query_id", "leaf").collect()
@@ -200,8 +222,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
 
     def visit(batches):
         for b in batches:
-            found = []
-            for q, own in zip(_matrix(b.column("v"), size) if b.num_rows else [], b.column("own").to_pylist(), strict=True):
+            rows, at, leaves = [], [], []
+            for n, (q, own) in enumerate(zip(_matrix(b.column("v"), size) if b.num_rows else [], b.column("own").to_pylist(), strict=True)):
                 left = k + own
 
                 def enough(leaf: int) -> bool:
@@ -209,17 +231,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
                     left -= leaf_rows.get(leaf, 0)
                     return left <= 0
 
-                found.append(shared.value.order(q, visits, enough))
-            yield b.append_column("leaves", pa.array(found, pa.list_(pa.int32())))
+                of_region: dict[int, list[int]] = {}
+                for leaf in shared.value.order(q, visits, enough):
+                    if leaf in regions:
+                        of_region.setdefault(regions[leaf][0], []).append(leaf)
+                rows += [n] * len(of_region)
+                at += of_region
+                leaves += map(sorted, of_region.values())
+            taken = b.select(["vec_id", "v"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["vec_id", "v", "region", "leaves"])
 
     repeated = placed.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
     asked = placed.where("is_query").dropDuplicates(["vec_id", "v"]).join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
-    asked = asked.mapInArrow(visit, f"vec_id long, v {kind}, own long, leaves array<int>").select("vec_id", "v", F.explode("leaves").alias("leaf"))
-    asked = materialize(asked)
-    packs = _blocks(asked, asked.groupBy("leaf").count(), QUERY_BLOCK).select("leaf", F.transform("block", lambda x: F.struct(x["vec_id"].alias("query_id"), x["v"].alias("q"))).alias("queries"))
-    # A leaf's packs go to each part of its blocks.
+    asked = materialize(asked.mapInArrow(visit, f"vec_id long, v {kind}, region int, leaves array<int>"))
+    packs = _blocks(asked, asked.groupBy("region").count(), QUERY_BLOCK, F.struct(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "leaves")).select("region", F.col("block").alias("queries"))
+    # A region's packs go to each part of its blocks.
     n_parts = F.ceil(F.col("count") / (BLOCK * PART)).cast("int")
-    packs = packs.join(F.broadcast(leaves), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop("count")
-    parted = blocks.join(F.broadcast(leaves), "leaf").withColumn("part", F.pmod(F.col("salt"), n_parts).cast("int"))
-    found = _best(_scan(parted.join(packs, ["leaf", "part"]), size, k), k)
+    packs = packs.join(F.broadcast(sizes), "region").withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop("count")
+    parted = blocks.join(F.broadcast(sizes), "region").withColumn("part", F.pmod(F.col("salt"), n_parts).cast("int"))
+    found = _best(_scan(parted.join(packs, ["region", "part"]), size, k), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
