@@ -388,12 +388,12 @@ def y14_distances(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", geo.distance_text(m).alias("shown"), *shown, F.round(geo.to_metres(F.col("p_size"), "mi"), 6).alias("metres"))
 
 
-@query("""SELECT type, status, count(*) AS n, CASE WHEN type IN ('1', '2') THEN 'multipolygon' WHEN type = '3' THEN 'route' WHEN type = '4' THEN 'route_master' END AS kind, CASE status WHEN 'F' THEN 'forbid' WHEN 'O' THEN 'allow' END AS turn FROM (SELECT substr(o_orderpriority, 1, 1) AS type, o_orderstatus AS status FROM orders) GROUP BY ALL""")
+@query("""SELECT type, status, count(*) AS n, CASE WHEN type IN ('1', '2') THEN 'multipolygon' WHEN type = '3' THEN 'route' WHEN type = '4' THEN 'route_master' END AS kind, CASE WHEN type = '5' THEN CASE status WHEN 'F' THEN 'forbid' WHEN 'O' THEN 'allow' END END AS turn FROM (SELECT substr(o_orderpriority, 1, 1) AS type, o_orderstatus AS status FROM orders) GROUP BY ALL""")
 def f10_relation_kinds(spark, sf_dir):
     """Orders as relations: the priority stands for the type, the status for a restriction."""
     from ..operators import typing
 
-    kinds = F.create_map(*[F.lit(x) for x in ("1", "multipolygon", "2", "boundary", "3", "route", "4", "route_master", "5", "site")])
+    kinds = F.create_map(*[F.lit(x) for x in ("1", "multipolygon", "2", "boundary", "3", "route", "4", "route_master", "5", "restriction")])
     turns = F.create_map(*[F.lit(x) for x in ("F", "no_left_turn", "O", "only_straight_on", "P", "no_entry")])
     rows = table(spark, sf_dir, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("type"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     t = rows.withColumn("tags", F.create_map(F.lit("type"), F.try_element_at(kinds, F.col("type")), F.lit("restriction"), F.try_element_at(turns, F.col("status"))))
