@@ -148,6 +148,8 @@ def candidates(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame
     Two texts of one hash are candidates for what either holds; the regex decides.
     """
     clauses = [(r.kind, n, t, i, len(c)) for r in rules for n, c in enumerate(x[:60] for x in sorted(map(sorted, trigram_query(r.regex) or ()))) for i, t in enumerate(c)]  # 60 trigrams of a clause leave few candidates
+    if not clauses:
+        return docs.select(F.xxhash64(text).alias("af_key"), F.array().cast("array<string>").alias("af_rules")).where(F.lit(False))
     fields = ("kind", "clause", "trigram", "place", "size")
     named = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(fields, c, strict=True)]) for c in clauses])))
     index = materialize(postings(docs, text, sorted({c[2] for c in clauses})))

@@ -335,3 +335,16 @@ def test_license_labels_equal_regexes(spark):
         own = {label for label, rule in (*rules, *phrases) if rule.search(words)}
         assert found[k + 1].labels == ",".join(sorted(own)), text[:200]
         assert (found[k + 1].score > 0) == bool(own) and 0 <= found[k + 1].score <= 1
+
+
+def test_secret_rules_without_trigrams_scan_all_texts(spark):
+    rule = secret_scan.Rule("digits", "[0-9]{4,}")
+    found = secret_scan.scan_secrets(cases.documents(spark, ["a 12345 b", "123", None]), rules=(rule,)).orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in r.secrets] for r in found] == [[(2, 7)], [], []]
+
+
+def test_places_of_many_secrets(spark):
+    text = "AKIA" + "A1B2C3D4E5F6G7H8" + " x"
+    many = text * 1000
+    spans = secret_scan.scan_secrets(cases.documents(spark, [many])).first().secrets
+    assert [(s.start, s.end) for s in spans if s.kind == "access"] == [m.span() for m in re.finditer("AKIA[A-Z0-9]{12,}", many)]
