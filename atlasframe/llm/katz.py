@@ -12,6 +12,12 @@ The HOT most frequent words and HOT_GRAMS most frequent bigrams, fixed numbers,
 most tokens; so no frequent word or pair is ever a shuffle key with many rows. All other words and pairs are asked for
 in compressed packs, one for each run of texts and bucket of keys, and come back as sums for each text. Nothing that
 grows with the corpus is held by the driver or by one task.
+
+Pairs lie in buckets: by their second word where it is not hot, else by both. So the count of a word that is not hot is
+the sum of its pairs' counts within its bucket (each token ends exactly one pair), one question about a pair brings the
+word's own values too, and the table of bigrams is written by bucket and read for scoring without a shuffle. A group
+holds BUCKET tokens on average, and one word's share at most more: a word outside the HOT ones has fewer than 1 / HOT of
+all tokens. Intermediate tables are deleted, and shuffles end, once the table that needs them is written.
 """
 
 from __future__ import annotations
@@ -24,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, workers_import_us
+from .storage import BucketedTable, discard, materialize, workers_import_us
 from .textbatch import SOLID, mix, text_chunks, words_of
 
 HOT, HOT_GRAMS = 1 << 16, 1 << 18
 MIN_COUNT, GT_LIMIT = 1, 5
 #: Tokens of a run of texts that is packed at once, and of a bucket of keys on average.
 RUN, BUCKET = 1 << 20, 3 << 19
-#: Parts that the table of bigrams is written in, by history.
-PARTS = 8
+#: Parts of the histories whose bigrams are joined with them one after the other, so that a shuffle holds one part only; most files of the table of bigrams at a time.
+PARTS, MOST_FILES = 4, 1 << 16
 #: Ids: hot words by rank, then these; other words are negative (their hash).
 BEGIN, END, ALONE = HOT, HOT + 1, HOT + 2
 _PRIME = (1 << 31) - 1
@@ -57,7 +63,7 @@ def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    return (np.mod(h, _PRIME) * 40503 + np.mod(w, _PRIME) * 30011) % n
+    return (np.where(w < 0, 0, np.mod(h, _PRIME) * 40503) + np.mod(w, _PRIME) * 30011) % n
 
 
 def _grouped(bucket: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -68,7 +74,8 @@ def _grouped(bucket: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarra
 
 
 def _bucket_column(n: int) -> Column:
-    return ((F.pmod("h", F.lit(_PRIME)) * 40503 + F.pmod("w", F.lit(_PRIME)) * 30011) % n).cast("int")
+    of_history = F.when(F.col("w") < 0, F.lit(0).cast("long")).otherwise(F.pmod("h", F.lit(_PRIME)) * 40503)
+    return ((of_history + F.pmod("w", F.lit(_PRIME)) * 30011) % n).cast("int")
 
 
 def discounts(counts: dict[int, int], least: int = 1, limit: int = GT_LIMIT) -> list[float]:
@@ -172,7 +179,7 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
-    """(h, w, r) of bigrams seen MIN_COUNT times or more; rows with null h give the number of types (w) of each smaller count r up to GT_LIMIT + 1."""
+    """(h, w, r, c) of bigrams seen MIN_COUNT times or more, c the count of w where it is not hot (else 0); rows with null h give the number of types (w) of each smaller count r up to GT_LIMIT + 1."""
 
     def count(batches):
         runs = _Runs(hot.value)
@@ -188,11 +195,18 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
     def add(t: pa.Table) -> pa.Table:
         h, w, n = (np.concatenate([unpack(x.as_py()) for x in t.column(k)]) for k in ("h", "w", "n"))
         first, r = _sums(_pair(h, w), n)
+        h, w = h[first], w[first]
+        # All pairs that end in a word which is not hot are here, so their counts add up to the word's.
+        _, own = np.unique(w, return_inverse=True)
+        c = np.where(w < 0, np.bincount(own, r)[own].astype(np.int64), 0) if len(w) else r
         some = r >= MIN_COUNT
         small = np.bincount(r[r <= GT_LIMIT + 1], minlength=GT_LIMIT + 2)[1:]
-        return pa.table({"h": pa.array(np.append(h[first][some], small), mask=np.arange(some.sum() + len(small)) >= some.sum()), "w": pa.array(np.concatenate([w[first][some], small]), pa.int64()), "r": pa.array(np.concatenate([r[some], np.arange(1, GT_LIMIT + 2)]), pa.int64())})
+        columns = {"h": np.append(h[some], small), "w": np.append(w[some], small), "r": np.append(r[some], np.arange(1, GT_LIMIT + 2)), "c": np.append(c[some], 0 * small)}
+        no_pair = np.arange(some.sum() + len(small)) >= some.sum()
+        return pa.table({k: pa.array(x, pa.int64(), mask=no_pair if k == "h" else None) for k, x in columns.items()})
 
-    return train.mapInArrow(count, "bucket int, h binary, w binary, n binary").groupBy("bucket").applyInArrow(add, "h long, w long, r long")
+    packs = train.mapInArrow(count, "bucket int, h binary, w binary, n binary")
+    return packs.groupBy("bucket").applyInArrow(add, "h long, w long, r long, c long")
 
 
 def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
@@ -210,9 +224,9 @@ def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
 class Model:
     """Tables and numbers of a trained model.
 
-    unigrams (w, n, log_p, log_alpha) and bigrams (h, w, r, delta, part) are written tables, bigrams in PARTS by history; delta is what a seen pair
-    adds to log p(w) + log alpha(h). hot: hashes of hot words by rank; hot_values: their n, log_p and log_alpha by id;
-    begin_alpha: of the history that begins a text.
+    hot_words (w, n, log_p, log_alpha) and bigrams (h, w, r, delta, count, bucket) are written tables, bigrams by bucket; delta is what a
+    seen pair adds to log p(w) + log alpha(h). table holds the bigrams and, with h = ALONE, each word w that is not hot: delta is its
+    log p + log alpha and count its count. hot: hashes of hot words by rank; hot_values: their n, log_p and log_alpha by id.
     """
 
     def __init__(self, train: DataFrame, hot_words: int = HOT, hot_grams: int = HOT_GRAMS, bucket: int = BUCKET):
@@ -231,43 +245,47 @@ class Model:
         self.texts = int(texts["n"]) if texts else 0
 
         counts = {r["n"]: r["count"] for r in words.where(F.col("n") <= GT_LIMIT + 1).groupBy("n").count().collect()}
-        mass = lambda d: F.sum(_discount_column(F.col("n"), d))
         d1 = discounts(counts)
-        known = float(words.agg(mass(d1)).first()[0] or 0.0) / max(1, self.tokens)
+        known = float(words.agg(F.sum(_discount_column(F.col("n"), d1))).first()[0] or 0.0) / max(1, self.tokens)
         # Without singletons nothing would be left for unknown words.
         self.scale = 1.0 if known < 1 else self.tokens / (self.tokens + 1)
         self.unknown = log10(max(1 - known * self.scale, 1e-12)) if self.tokens else 0.0
-        p = (_discount_column(F.col("n"), d1) * (self.scale / max(1, self.tokens))).alias("p")
-        # Every word's id, count and probability; those of the hot words fit every task.
-        named = words.join(F.broadcast(ranks), "hash", "left").select(F.when(F.col("hash") == END, END).otherwise(F.coalesce("rank", F.col("hash").bitwiseOR(F.lit(-(1 << 63))))).alias("id"), "n", p)
-        named = materialize(named)
-        hot, tail = named.where("id >= 0"), named.where("id < 0")
+        p_of = lambda count: _discount_column(F.col(count), d1) * (self.scale / max(1, self.tokens))
+        of_id = F.when(F.col("hash") == END, END).otherwise(F.coalesce("rank", F.col("hash").bitwiseOR(F.lit(-(1 << 63)))))
+        named = words.join(F.broadcast(ranks), "hash", "left").select(of_id.alias("id"), "n", p_of("n").alias("p"))
+        # The hot words and END, a number of rows that fits every task.
+        hot, tail = materialize(named.where("id >= 0")), named.where("id < 0")
         begin = spark.createDataFrame([(BEGIN, self.texts, None)], "id long, n long, p double")
 
-        grams = materialize(count_bigrams(train, self.shared_hot, self.n_buckets))
+        part_of = lambda h: F.pmod(F.xxhash64(h), F.lit(PARTS)).cast("int")
+        grams = materialize(count_bigrams(train, self.shared_hot, self.n_buckets).withColumn("part", part_of("h")), "part")
         kinds = {r["r"]: int(r["n"]) for r in grams.where("h is null").groupBy("r").agg(F.sum("w").alias("n")).collect()}
         d2 = discounts(kinds, MIN_COUNT)
-        own = grams.where("h is not null").withColumn("mass", _discount_column(F.col("r"), d2))
-
-        def look_up(rows: DataFrame, key: str, fields: dict[str, str], hot_side: DataFrame, tail_side: DataFrame) -> DataFrame:
-            side = lambda x: x.select(F.col("id").alias(key), *[F.col(k).alias(v) for k, v in fields.items()])
-            return rows.where(F.col(key) >= 0).join(F.broadcast(side(hot_side)), key).unionByName(rows.where(F.col(key) < 0).join(side(tail_side), key))
+        of_hot = F.broadcast(hot.select(F.col("id").alias("w"), F.col("p").alias("p_hot")))
+        own = grams.where("h is not null").join(of_hot, "w", "left").select("h", "w", "r", "part", _discount_column(F.col("r"), d2).alias("mass"), F.coalesce("p_hot", p_of("c")).alias("p_w"))
 
-        own = look_up(own, "w", {"p": "p_w"}, hot, tail)
-        after = own.groupBy("h").agg(F.sum("mass").alias("mass_h"), F.sum("p_w").alias("p_h"))
-        after = look_up(after, "h", {"n": "n_h"}, hot.unionByName(begin), tail)
+        # Each token but the end is a history once, so the counts of its pairs add up to its own.
+        after = own.groupBy("h").agg(F.sum("mass").alias("mass_h"), F.sum("p_w").alias("p_h"), F.sum("r").alias("n_h"))
         total = F.when(F.col("mass_h") < F.col("n_h") - 1e-9, F.col("n_h")).otherwise(F.col("n_h") + 1)
         left = F.log10((1 - F.col("mass_h") / total) / F.greatest(1 - F.col("p_h"), F.lit(1e-12)))
         after = materialize(after.select(F.col("h").alias("id"), total.cast("double").alias("c_h"), left.alias("log_alpha")))
-        # One row per history; the hot ones fit every task.
-        own = look_up(own, "h", {"c_h": "c_h", "log_alpha": "log_alpha"}, after.where("id >= 0"), after.where("id < 0"))
-        log_p = F.log10(F.col("mass") / F.col("c_h"))
-        part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int").alias("part")
-        self.bigrams = materialize(own.select("h", "w", "r", (log_p - F.col("log_alpha") - F.log10("p_w")).alias("delta"), part), "part")
-        # Hot histories are joined from a broadcast, the others by their own keys.
+        # One row per history; the hot ones fit every task, the others are joined by their own keys.
+        side = after.select(F.col("id").alias("h"), "c_h", "log_alpha")
+        delta = F.log10(F.col("mass") / F.col("c_h")) - F.col("log_alpha") - F.log10("p_w")
+        no_count, bucket_of = F.lit(0).cast("long").alias("count"), _bucket_column(self.n_buckets).alias("bucket")
+        table = BucketedTable(spark, "bucket", min(-(-self.tokens // BUCKET) or 1, MOST_FILES))
+        for k in range(PARTS):
+            rows = own.where(F.col("part") == k)
+            of_hot = rows.where("h >= 0").join(F.broadcast(side.where("h >= 0")), "h")
+            of_tail = rows.where("h < 0").join(side.where((F.col("h") < 0) & (part_of("h") == k)), "h")
+            table.append(of_hot.unionByName(of_tail).select("h", "w", "r", delta.alias("delta"), no_count, bucket_of), "h", "w")
         fields = lambda x: x.select(F.col("id").alias("w"), "n", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
-        self.hot_words = fields(hot.unionByName(begin).join(F.broadcast(after.where("id >= 0")), "id", "left"))
-        self.tail_words = fields(tail.join(after.where("id < 0"), "id", "left"))
+        alone = fields(tail.join(after.where("id < 0"), "id", "left")).withColumn("h", F.lit(ALONE).cast("long"))
+        table.append(alone.select("h", "w", F.lit(0).cast("long").alias("r"), (F.col("log_p") + F.col("log_alpha")).alias("delta"), F.col("n").alias("count"), bucket_of), "h", "w")
+        self.hot_words = materialize(fields(hot.unionByName(begin).join(F.broadcast(after.where("id >= 0")), "id", "left")))
+        discard(words, hot, grams, after)
+        self.table = table.read()
+        self.bigrams = self.table.where(F.col("h") != ALONE)
         values = np.zeros((ALONE + 1, 3))
         for r in self.hot_words.toPandas().itertuples():
             values[r.w] = r.n, 0.0 if r.log_p is None or r.log_p != r.log_p else r.log_p, r.log_alpha
@@ -305,11 +323,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 log_p += np.where(met, gram_values[where], 0.0)
             own = [np.bincount(at, x, n_texts) for x in (log_p, np.where(of_hot, base_of(count), 0.0), (count > 0).astype(float), np.ones(len(at)))]
             meta = [np.asarray(kept.column(0).fill_null(0).to_numpy(), np.int64), np.asarray(kept.column(0).is_null().to_numpy(), np.int64), np.asarray(kept.column(1).to_numpy(), np.int64)]
-            # Other pairs, and other words alone, are asked for once for each text.
-            alone = ~of_hot
-            ask_text = np.concatenate([at[~met], at[alone]])
-            ask_h = np.concatenate([h[~met], np.full(alone.sum(), ALONE, np.int64)])
-            ask_w = np.concatenate([w[~met], w[alone]])
+            # Other pairs, and words that are not hot (alone where the pair is known), are asked for once for each text.
+            asked = ~met | ~of_hot
+            ask_text, ask_w = at[asked], w[asked]
+            ask_h = np.where(met[asked], ALONE, h[asked])
             first, n = _sums(_pair(_pair(ask_h, ask_w), ask_text.astype(np.int64)))
             ask_text, ask_h, ask_w = ask_text[first], ask_h[first], ask_w[first]
             bucket = _bucket(ask_h, ask_w, n_buckets)
@@ -327,11 +344,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     answer_schema = "run long, text binary, sums binary, ids binary, meta binary, own binary"
 
+    def found_at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(keys[:-1], wanted)
+        return (keys[at] == wanted) & (at < len(keys) - 1), at
+
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        # A last entry of no word, so that there is one.
         key = _pair(table.column("h").to_numpy(), table.column("w").to_numpy())
         order = np.argsort(key)
-        key = key[order]
-        value, count = table.column("value").to_numpy()[order], table.column("count").to_numpy()[order]
+        key = np.append(key[order], 0)
+        value, count = np.append(table.column("delta").to_numpy()[order], 0.0), np.append(table.column("count").to_numpy()[order], 0)
         out: dict[str, list] = {k: [] for k in ("run", "text", "sums", "ids", "meta", "own")}
         for row in asked.to_pylist():
             if row["own"] is not None:
@@ -339,13 +361,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             else:
                 h, w, text_no, n = (unpack(row[k]) for k in ("h", "w", "text", "n"))
                 text_no = np.cumsum(text_no)
-                own = _pair(h, w)
-                at = np.searchsorted(key, own)
-                at[at == len(key)] = 0
-                met = key[at] == own if len(key) else np.zeros(len(own), bool)
-                alone = h == ALONE
-                v = np.where(met, value[at], np.where(alone, unknown, 0.0)) if len(key) else np.where(alone, unknown, 0.0)
-                c = np.where(met & alone, count[at], 0) if len(key) else np.zeros(len(own))
+                met, at = found_at(key, _pair(h, w))
+                v = np.where(met & (h != ALONE), value[at], 0.0)
+                # The bucket of a word that is not hot has its own values too; those of an unseen word are not there.
+                alone = w < 0
+                met, at = found_at(key, _pair(np.full_like(w, ALONE), w))
+                v += np.where(alone, np.where(met, value[at], unknown), 0.0)
+                c = np.where(met & alone, count[at], 0)
                 texts, group = np.unique(text_no, return_inverse=True)
                 sums = [np.bincount(group, x * n, len(texts)) for x in (v, np.where(alone, base_of(c), 0.0), c > 0)]
                 found = (row["run"], pack(np.diff(texts, prepend=0).astype(np.int64)), pack(np.concatenate(sums)), None, None, None)
@@ -363,10 +385,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         return pa.table({"doc_id": pa.array(ids, mask=null > 0), "held_out": pa.array(out > 0), "n_tokens": pa.array(sums[3].astype(np.int64)), "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])})
 
     asked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (held_out if held_out is not None else F.lit(False)).alias("held_out"), F.col(text).alias("t")).mapInArrow(ask, "run long, bucket int, h binary, w binary, text binary, n binary, ids binary, meta binary, own binary")
-    pairs = model.bigrams.select("h", "w", F.col("delta").alias("value"), F.lit(0).cast("long").alias("count"))
-    alone = model.tail_words.select(F.lit(ALONE).cast("long").alias("h"), "w", (F.col("log_p") + F.col("log_alpha")).alias("value"), F.col("n").alias("count"))
-    table = pairs.unionByName(alone).withColumn("bucket", _bucket_column(n_buckets)).select("bucket", "h", "w", "value", "count")
     # log alpha of a tail word counts where the word is a history, once for each time it occurs: together with log p.
+    table = model.table.select("bucket", "h", "w", "delta", "count")
     found = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, answer_schema)
     return found.groupBy("run").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets the shuffle files of a write go when it has ended; the table that was written replaces them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -22,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the application's own folder."""
+    return f"{shared_dir(spark)}/atlasframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def shuffles_end_with_writes(spark: SparkSession) -> Iterator[None]:
+    """Writes inside leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -30,10 +50,38 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     application lie in one folder, named after it, which can go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/atlasframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_end_with_writes(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more, neither directly nor as the lineage of a later result."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class BucketedTable:
+    """A table in the shared folder whose rows lie in n_files parts by a column, so that grouping by it needs no shuffle."""
+
+    def __init__(self, spark: SparkSession, column: str, n_files: int):
+        path = new_path(spark)
+        self.spark, self.column, self.n_files, self.path = spark, column, n_files, path
+        self.name = "atlasframe_" + path.rsplit("/", 1)[1]
+
+    def append(self, rows: DataFrame, *order: str) -> None:
+        """Add rows, sorted within each part."""
+        writer = rows.repartition(self.n_files, self.column).write.format("parquet").mode("append").option("path", self.path).option("compression", "zstd")
+        with shuffles_end_with_writes(self.spark):
+            writer.bucketBy(self.n_files, self.column).sortBy(self.column, *order).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
 
 
 def workers_import_us(spark: SparkSession) -> None:

@@ -51,10 +51,13 @@ class PlainKatz:
         seen = {g: mass(r, d2) for g, r in self.bi.items()}
         self.after, self.alpha, self.total = seen, {}, {}
         count = self.uni | {katz.BEGIN: len(texts)}
-        for h in {h for h, _ in seen}:
-            m = sum(v for (g, _), v in seen.items() if g == h)
+        followers = {}
+        for (h, w), v in seen.items():
+            followers.setdefault(h, []).append((w, v))
+        for h, after in followers.items():
+            m = sum(v for _, v in after)
             self.total[h] = count[h] if m < count[h] - 1e-9 else count[h] + 1
-            self.alpha[h] = (1 - m / self.total[h]) / max(1 - sum(self.p[w] for g, w in seen if g == h), 1e-12)
+            self.alpha[h] = (1 - m / self.total[h]) / max(1 - sum(self.p[w] for w, _ in after), 1e-12)
 
     def prob(self, h, w):
         if (h, w) in self.after:
