@@ -36,9 +36,9 @@ from .textbatch import SOLID, mix, text_chunks, words_of
 HOT, HOT_GRAMS = 1 << 16, 1 << 18
 MIN_COUNT, GT_LIMIT = 1, 5
 #: Tokens of a run of texts that is packed at once, and of a bucket of keys on average.
-RUN, BUCKET = 1 << 20, 3 << 19
+RUN, BUCKET = 1 << 20, 1 << 20
 #: Parts of the histories whose bigrams are joined with them one after the other, so that a shuffle holds one part only; most files of the table of bigrams at a time.
-PARTS, MOST_FILES = 4, 1 << 16
+PARTS, MOST_FILES = 2, 1 << 16
 #: Ids: hot words by rank, then these; other words are negative (their hash).
 BEGIN, END, ALONE = HOT, HOT + 1, HOT + 2
 _PRIME = (1 << 31) - 1
@@ -195,7 +195,9 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
     def add(t: pa.Table) -> pa.Table:
         h, w, n = (np.concatenate([unpack(x.as_py()) for x in t.column(k)]) for k in ("h", "w", "n"))
         first, r = _sums(_pair(h, w), n)
-        h, w = h[first], w[first]
+        # By history: the table is smaller so, and what follows keeps most of this order.
+        by_h = np.argsort(h[first])
+        h, w, r = h[first][by_h], w[first][by_h], r[by_h]
         # All pairs that end in a word which is not hot are here, so their counts add up to the word's.
         _, own = np.unique(w, return_inverse=True)
         c = np.where(w < 0, np.bincount(own, r)[own].astype(np.int64), 0) if len(w) else r
@@ -258,7 +260,7 @@ class Model:
         begin = spark.createDataFrame([(BEGIN, self.texts, None)], "id long, n long, p double")
 
         part_of = lambda h: F.pmod(F.xxhash64(h), F.lit(PARTS)).cast("int")
-        grams = materialize(count_bigrams(train, self.shared_hot, self.n_buckets).withColumn("part", part_of("h")), "part")
+        grams = materialize(count_bigrams(train, self.shared_hot, self.n_buckets).withColumn("part", part_of("h")))
         kinds = {r["r"]: int(r["n"]) for r in grams.where("h is null").groupBy("r").agg(F.sum("w").alias("n")).collect()}
         d2 = discounts(kinds, MIN_COUNT)
         of_hot = F.broadcast(hot.select(F.col("id").alias("w"), F.col("p").alias("p_hot")))
@@ -278,10 +280,10 @@ class Model:
             rows = own.where(F.col("part") == k)
             of_hot = rows.where("h >= 0").join(F.broadcast(side.where("h >= 0")), "h")
             of_tail = rows.where("h < 0").join(side.where((F.col("h") < 0) & (part_of("h") == k)), "h")
-            table.append(of_hot.unionByName(of_tail).select("h", "w", "r", delta.alias("delta"), no_count, bucket_of), "h", "w")
+            table.append(of_hot.unionByName(of_tail).select("h", "w", "r", delta.alias("delta"), no_count, bucket_of))
         fields = lambda x: x.select(F.col("id").alias("w"), "n", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
         alone = fields(tail.join(after.where("id < 0"), "id", "left")).withColumn("h", F.lit(ALONE).cast("long"))
-        table.append(alone.select("h", "w", F.lit(0).cast("long").alias("r"), (F.col("log_p") + F.col("log_alpha")).alias("delta"), F.col("n").alias("count"), bucket_of), "h", "w")
+        table.append(alone.select("h", "w", F.lit(0).cast("long").alias("r"), (F.col("log_p") + F.col("log_alpha")).alias("delta"), F.col("n").alias("count"), bucket_of))
         self.hot_words = materialize(fields(hot.unionByName(begin).join(F.broadcast(after.where("id >= 0")), "id", "left")))
         discard(words, hot, grams, after)
         self.table = table.read()

@@ -74,11 +74,11 @@ class BucketedTable:
         self.spark, self.column, self.n_files, self.path = spark, column, n_files, path
         self.name = "atlasframe_" + path.rsplit("/", 1)[1]
 
-    def append(self, rows: DataFrame, *order: str) -> None:
-        """Add rows, sorted within each part."""
+    def append(self, rows: DataFrame) -> None:
+        """Add rows, each part in one file."""
         writer = rows.repartition(self.n_files, self.column).write.format("parquet").mode("append").option("path", self.path).option("compression", "zstd")
         with shuffles_end_with_writes(self.spark):
-            writer.bucketBy(self.n_files, self.column).sortBy(self.column, *order).saveAsTable(self.name)
+            writer.bucketBy(self.n_files, self.column).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
