@@ -23,6 +23,8 @@ SPEEDS = {
 VEHICLE_MAX = {"car": 160.0, "bicycle": 20.0, "foot": 5.0}
 #: Metres that stand for a junction between ways of one type, and of two; the most hours it may cost.
 PENALTY_SAME, PENALTY_OTHER, PENALTY_MOST = 40.0, 250.0, 10.0 / 3600
+#: Hours that turning round at the start costs.
+U_TURN = {"car": 15.0 / 60, "bicycle": 1.0 / 60, "foot": 0.0}
 
 
 def junctions(way_points: DataFrame) -> DataFrame:
@@ -94,17 +96,62 @@ def excluded_turns(restrictions: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def turns(graph: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(from_edge, to_edge, ...): pairs of edges that follow each other, without U-turns on one way and without excluded ones. graph has edge_id."""
-    a = graph.select(F.col("edge_id").alias("from_edge"), F.col("to_id").alias("via_id"), F.col("way_id").alias("from_way"), F.col("from_id").alias("came"), F.col("type").alias("type_in"), F.col("maxspeed").alias("max_in"))
-    b = graph.select(F.col("edge_id").alias("to_edge"), F.col("from_id").alias("via_id"), F.col("way_id").alias("to_way"), F.col("to_id").alias("goes"), F.col("type").alias("type_out"), F.col("maxspeed").alias("max_out"), "metres")
-    pairs = a.join(b, "via_id").where("not (from_way = to_way and came = goes)")
+    """(from_edge, to_edge, ...): pairs of edges that follow each other, but for those back to the node before and excluded ones. graph has edge_id."""
+    side = lambda at, edge, way, other, end: graph.select(F.col(at).alias("via_id"), F.col("edge_id").alias(edge), F.col("way_id").alias(way), F.col(other).alias(end), *[F.col(c).alias(f"{c}_{end}") for c in graph.columns if c in ("type", "maxspeed", "cost", "restricted")])
+    pairs = side("to_id", "from_edge", "from_way", "from_id", "came").join(side("from_id", "to_edge", "to_way", "to_id", "goes"), "via_id").where("came <> goes")
     if excluded is not None:
         pairs = pairs.join(excluded, ["via_id", "from_way", "to_way"], "left_anti")
     return pairs
 
 
+def _state(edge: Column, leaving: Column) -> Column:
+    return F.struct(edge.alias("edge"), leaving.alias("leaving"))
+
+
+def turn_graph(graph: DataFrame, vehicle: str | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """(from_id, to_id, cost): turns as a graph for costs_from whose nodes are states (edge, leaving).
+
+    graph: (edge_id, from_id, to_id, way_id, type, maxspeed, cost, restricted). A cost is that of the edge after the turn
+    and, with a vehicle, of the change of ways in hours. Whoever enters a restricted edge from an open one stays on
+    restricted ones; leaving is true on the restricted edges that a search has begun on and not yet left.
+    """
+    pairs = turns(graph, excluded)
+    change = F.lit(0.0)
+    if vehicle is not None:
+        change = F.when(F.col("from_way") == F.col("to_way"), 0.0).otherwise(F.coalesce(junction_penalty(vehicle, F.col("type_came"), F.col("maxspeed_came"), F.col("type_goes"), F.col("maxspeed_goes")), F.lit(PENALTY_MOST)))
+    ways_on = F.when(~F.col("restricted_came"), F.array(F.lit(False))).when(F.col("restricted_goes"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+    steps = pairs.select("from_edge", "to_edge", "restricted_goes", (change + F.col("cost_goes")).alias("cost"), F.explode(ways_on).alias("leaving"))
+    return steps.select(_state(F.col("from_edge"), F.col("leaving")).alias("from_id"), _state(F.col("to_edge"), F.col("leaving") & F.col("restricted_goes")).alias("to_id"), "cost")
+
+
+def start_states(starts: DataFrame, graph: DataFrame, vehicle: str | None = None) -> DataFrame:
+    """(source, node_id, cost) for costs_from over a turn_graph.
+
+    starts: (source, edge_id, share, turned): a place on an edge, by the share of it that lies behind, for each direction in
+    which the search may set out; where turned is true this means turning round, which costs a vehicle some hours.
+    """
+    rest = (1 - F.col("share")) * F.col("cost") + F.when(F.col("turned"), U_TURN[vehicle] if vehicle else 0.0).otherwise(0.0)
+    return starts.join(graph.select("edge_id", "cost", "restricted"), "edge_id").select("source", _state(F.col("edge_id"), F.col("restricted")).alias("node_id"), rest.alias("cost"))
+
+
+def node_costs(state_costs: DataFrame, graph: DataFrame) -> DataFrame:
+    """(source, node_id, cost): the least cost to each node at the end of an edge, from costs_from over a turn_graph."""
+    ends = graph.select(F.col("edge_id").alias("edge"), F.col("to_id").alias("at_id"))
+    return state_costs.withColumn("edge", F.col("node_id.edge")).join(ends, "edge").groupBy("source", F.col("at_id").alias("node_id")).agg(F.min("cost").alias("cost"))
+
+
+def costs_to_places(targets: DataFrame, starts: DataFrame, state_costs: DataFrame, graph: DataFrame, steps: DataFrame) -> DataFrame:
+    """(source, target, cost): the least cost to places (target, edge_id, share) on edges, from costs_from over the turn_graph steps; starts as for start_states."""
+    ends = targets.join(graph.select("edge_id", F.col("cost").alias("whole")), "edge_id")
+    into = steps.select(F.col("from_id").alias("node_id"), F.col("to_id.edge").alias("edge_id"), F.col("cost").alias("step")).join(ends, "edge_id")
+    by_turn = state_costs.join(into, "node_id").select("source", "target", (F.col("cost") + F.col("step") - (1 - F.col("share")) * F.col("whole")).alias("cost"))
+    ahead = starts.where("not turned").select("source", "edge_id", F.col("share").alias("behind")).join(ends, "edge_id").where("behind <= share")
+    at_once = ahead.select("source", "target", ((F.col("share") - F.col("behind")) * F.col("whole")).alias("cost"))
+    return by_turn.unionByName(at_once).groupBy("source", "target").agg(F.min("cost").alias("cost"))
+
+
 def costs_from(sources: DataFrame, graph: DataFrame, limit: float | None = None) -> DataFrame:
-    """(source, node_id, cost, hops, prev_id): the least cost from each source (source, node_id) to every node it reaches.
+    """(source, node_id, cost, hops, prev_id): the least cost from each source (source, node_id, and a cost to begin with if there is one) to every node it reaches.
 
     graph: (from_id, to_id, cost), costs not negative. Each round joins only nodes whose cost fell in the round before with their edges and keeps the least
     cost of each node; it ends when no cost falls. Every round is a written table. Ties go to the smaller predecessor.
@@ -112,7 +159,11 @@ def costs_from(sources: DataFrame, graph: DataFrame, limit: float | None = None)
     lightest = graph.groupBy("from_id", "to_id").agg(F.min("cost").alias("cost"))
     lightest = written(lightest)
     none = F.lit(None).cast(dict(graph.dtypes)["from_id"])
-    now = written(sources.select("source", "node_id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), none.alias("prev_id"), F.lit(True).alias("fresh")))
+    begun = F.min("cost") if "cost" in sources.columns else F.lit(0.0)
+    first = sources.groupBy("source", "node_id").agg(begun.alias("cost"))
+    if limit is not None:
+        first = first.where(F.col("cost") <= limit)
+    now = written(first.select("source", "node_id", "cost", F.lit(0).alias("hops"), none.alias("prev_id"), F.lit(True).alias("fresh")))
     while True:
         moved = now.where("fresh").select("source", F.col("node_id").alias("from_id"), F.col("cost").alias("c0"), F.col("hops").alias("h0")).join(lightest, "from_id")
         new = moved.select("source", F.col("to_id").alias("node_id"), (F.col("c0") + F.col("cost")).alias("cost"), (F.col("h0") + 1).alias("hops"), F.col("from_id").alias("prev_id"), F.lit(True).alias("fresh"))

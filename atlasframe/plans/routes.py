@@ -75,6 +75,56 @@ def g10_path_costs(spark, sf_dir):
     return routing.costs_from(sources, g, limit=1.8).select("source", "node_id", F.round("cost", 6).alias("km"))
 
 
+_RESTRICTED, _BEGIN, _LIMIT_HOURS = "way_id % 11 = 0", "way_id % 500 = 0", 0.02
+#: Edges as states of a search by car: their hours, restrictions of turns as in g5, turns with what a change of ways costs.
+_TURNS = f"""{_EDGES}, drive AS MATERIALIZED (SELECT from_id, to_id, way_id, any_value(type) AS type, any_value({_CAR}) AS speed, min(metres) / 1000 / least(160, any_value({_CAR})) AS hours, {_RESTRICTED} AS shut FROM edges WHERE {_CAR} > 0 GROUP BY from_id, to_id, way_id),
+r AS (SELECT node_id AS via_id, min(way_id) AS from_way, max(way_id) AS to_way, CASE WHEN node_id % 2 = 0 THEN 'allow' ELSE 'forbid' END AS kind FROM way_points GROUP BY node_id HAVING count(DISTINCT way_id) >= 2),
+barred AS MATERIALIZED (SELECT via_id, from_way, to_way FROM r WHERE kind = 'forbid' UNION SELECT DISTINCT r.via_id, r.from_way, e.way_id FROM r JOIN drive e ON e.from_id = r.via_id WHERE kind = 'allow' AND e.way_id <> r.to_way AND e.way_id <> r.from_way),
+turn AS MATERIALIZED (SELECT a.from_id AS a0, a.to_id AS via, a.way_id AS way_a, a.shut AS shut_a, b.to_id AS b1, b.way_id AS way_b, b.shut AS shut_b, b.hours AS own,
+  b.hours + CASE WHEN a.way_id = b.way_id THEN 0 ELSE least(CASE WHEN a.type <> b.type THEN 250 ELSE 40 END / 1000 / least(a.speed, b.speed), CAST(10 AS DOUBLE) / 3600) END AS cost
+  FROM drive a JOIN drive b ON a.to_id = b.from_id WHERE a.from_id <> b.to_id AND NOT EXISTS (SELECT 1 FROM barred x WHERE x.via_id = a.to_id AND x.from_way = a.way_id AND x.to_way = b.way_id)),
+starts AS (SELECT way_id AS source, from_id, to_id, way_id, CAST(0.25 AS DOUBLE) AS share, hours, shut FROM drive WHERE {_BEGIN}),
+t0 AS (SELECT source, from_id, to_id, way_id, shut AS leaving, (1 - share) * hours AS cost FROM starts)"""
+
+
+def _turned(rounds: int) -> str:
+    """SQL: rounds of relaxation over turns in nested views; the last is named costs."""
+    parts = []
+    for k in range(rounds):
+        parts.append(f"""t{k + 1} AS MATERIALIZED (SELECT source, from_id, to_id, way_id, leaving, min(cost) AS cost FROM (SELECT * FROM t{k} UNION ALL
+  SELECT source, via, b1, way_b, leaving AND shut_b, t.cost + turn.cost FROM t{k} t JOIN turn ON a0 = from_id AND via = to_id AND way_a = way_id WHERE (leaving OR shut_b OR NOT shut_a) AND t.cost + turn.cost <= {_LIMIT_HOURS}) GROUP BY ALL)""")
+    return ", " + ", ".join(parts) + f", costs AS (SELECT * FROM t{rounds})"
+
+
+def _drive(spark, sf_dir):
+    """Edges for a car with ids, hours and restricted ones; turns that may be taken; places a quarter along each edge of some ways, where searches begin."""
+    g = routing.usable(_graph(spark, sf_dir), "car").groupBy("from_id", "to_id", "way_id").agg(F.min("metres").alias("metres"), F.first("type").alias("type"), F.first("maxspeed").alias("maxspeed"))
+    g = g.withColumns({"cost": routing.fastest_cost("car"), "restricted": F.expr(_RESTRICTED), "edge_id": F.concat_ws(":", "way_id", "from_id", "to_id")})
+    steps = routing.turn_graph(g, "car", g5_excluded_turns(spark, sf_dir))
+    starts = g.where(_BEGIN).select(F.col("way_id").alias("source"), "edge_id", F.lit(0.25).alias("share"), F.lit(False).alias("turned"))
+    return g, steps, starts
+
+
+@query(sql("ways", "way_points")(f"{_TURNS}{_turned(12)} SELECT source, to_id AS node_id, round(min(cost), 9) AS hours FROM costs GROUP BY source, to_id"))
+def g10_turn_costs(spark, sf_dir):
+    """Hours by car to all nodes within 0.02 hours, with turn restrictions, changes of ways and restricted ways, for each of some ways from places on it."""
+    g, steps, starts = _drive(spark, sf_dir)
+    costs = routing.costs_from(routing.start_states(starts, g, "car"), steps, limit=_LIMIT_HOURS)
+    return routing.node_costs(costs, g).select("source", "node_id", F.round("cost", 9).alias("hours"))
+
+
+@query(sql("ways", "way_points")(f"""{_TURNS}{_turned(12)}, places AS (SELECT from_id * 1000000 + to_id AS target, * FROM drive WHERE way_id % 2 = 1)
+SELECT source, target, round(min(cost), 9) AS hours FROM (
+  SELECT source, target, c.cost + turn.cost - 0.5 * own AS cost FROM costs c JOIN turn ON a0 = c.from_id AND via = c.to_id AND way_a = c.way_id JOIN places p ON p.from_id = via AND p.to_id = b1 AND p.way_id = way_b WHERE leaving OR shut_b OR NOT shut_a
+  UNION ALL SELECT source, target, (0.5 - share) * p.hours FROM starts s JOIN places p USING (from_id, to_id, way_id) WHERE share <= 0.5) GROUP BY source, target"""))
+def g12_place_costs(spark, sf_dir):
+    """The same searches, to the middles of edges."""
+    g, steps, starts = _drive(spark, sf_dir)
+    costs = routing.costs_from(routing.start_states(starts, g, "car"), steps, limit=_LIMIT_HOURS)
+    places = g.where("way_id % 2 = 1").select((F.col("from_id") * 1000000 + F.col("to_id")).alias("target"), "edge_id", F.lit(0.5).alias("share"))
+    return routing.costs_to_places(places, starts, costs, g, steps).select("source", "target", F.round("cost", 9).alias("hours"))
+
+
 @query()
 def g14_paths(spark, sf_dir):
     """The nodes of the cheapest paths to the farthest node of each search. No SQL: of several cheapest paths one is taken."""
