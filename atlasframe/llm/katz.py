@@ -46,8 +46,8 @@ _PRIME = (1 << 31) - 1
 
 def pack(x: np.ndarray) -> bytes:
     """Numbers of 8 bytes by byte planes, compressed: small numbers leave most planes empty."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
@@ -58,6 +58,28 @@ def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(8, n).T).view(kind).ravel()
 
 
+class _Finder:
+    """Places of numbers in a sorted array of distinct ones whose leading bits look random: these lead to within a few steps of the place."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, 0)
+        bits = min(24, len(keys).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        n = np.bincount(self._slots(keys), minlength=1 << bits)
+        self.first, self.steps = (np.cumsum(n) - n).astype(np.int32), int(n.max())
+
+    def _slots(self, x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is there, its place, else any) of each number of wanted."""
+        at = self.first[self._slots(wanted)]
+        last = len(self.keys) - 1
+        for _ in range(self.steps - 1):
+            at += (self.keys[at] < wanted) & (at < last)
+        return (self.keys[at] == wanted) & (at < last), at
+
+
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(h.view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * w.view(np.uint64)).view(np.int64)
 
@@ -101,15 +123,13 @@ class _Runs:
 
     def __init__(self, hot: np.ndarray | None):
         self.order = np.argsort(hot) if hot is not None else None
-        self.hot = hot[self.order] if hot is not None else None
+        self.hot = _Finder(hot[self.order]) if hot is not None else None
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        tail = hashes | np.int64(-(1 << 63))
-        if not len(self.hot):
-            return tail
-        at = np.searchsorted(self.hot, hashes)
-        at[at == len(self.hot)] = 0
-        return np.where(self.hot[at] == hashes, self.order[at], tail)
+        met, at = self.hot.find(hashes)
+        ids = hashes | np.int64(-(1 << 63))
+        ids[met] = self.order[at[met]]
+        return ids
 
     def read(self, batches, n_keep: int):
         """(kept rows, first word of each text and the end, hashes) for runs of texts; the text is the last column."""
@@ -144,8 +164,15 @@ class _Runs:
 
 
 def _sums(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    found, first, at = np.unique(key, return_index=True, return_inverse=True)
-    return first, np.bincount(at, weight, len(found)).astype(np.int64)
+    """(a place of each distinct key, the sum of its weights, or how often it occurs), in the keys' order."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    if weight is None or not len(first):
+        return order[first], np.diff(first, append=len(key))
+    return order[first], np.add.reduceat(weight[order], first)
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -188,8 +215,7 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
             first, n = _sums(_pair(h, w))
             h, w = h[first], w[first]
             bucket = _bucket(h, w, n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            own = _grouped(bucket, order)
+            own = _grouped(bucket, np.argsort(bucket))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int32()), *(pa.array([pack(x[at]) for _, at in own], pa.binary()) for x in (h, w, n))], names=["bucket", "h", "w", "n"])
 
     def add(t: pa.Table) -> pa.Table:
@@ -308,7 +334,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def ask(batches):
         hot, values, gram_keys, gram_values = shared.value
-        runs, number = _Runs(hot), TaskContext.get().partitionId() << 32
+        runs, grams, number = _Runs(hot), _Finder(gram_keys), TaskContext.get().partitionId() << 32
         for kept, bounds, hashes in runs.read(batches, 2):
             at, h, w = runs.bigrams(bounds, hashes)
             n_texts = len(bounds) - 1
@@ -317,12 +343,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             # What is known here: hot words, hot histories, hot pairs.
             log_p = np.where(of_hot, np.where(count > 0, values[np.where(of_hot, w, ALONE), 1], unknown), 0.0)
             log_p += np.where(h >= 0, values[np.where(h >= 0, h, ALONE), 2], 0.0)
-            key = _pair(h, w)
-            where = np.searchsorted(gram_keys, key)
-            where[where == len(gram_keys)] = 0
-            met = gram_keys[where] == key if len(gram_keys) else np.zeros(len(key), bool)
-            if len(gram_keys):
-                log_p += np.where(met, gram_values[where], 0.0)
+            met, where = grams.find(_pair(h, w))
+            log_p[met] += gram_values[where[met]]
             own = [np.bincount(at, x, n_texts) for x in (log_p, np.where(of_hot, base_of(count), 0.0), (count > 0).astype(float), np.ones(len(at)))]
             meta = [np.asarray(kept.column(0).fill_null(0).to_numpy(), np.int64), np.asarray(kept.column(0).is_null().to_numpy(), np.int64), np.asarray(kept.column(1).to_numpy(), np.int64)]
             # Other pairs, and words that are not hot (alone where the pair is known), are asked for once for each text.
@@ -332,8 +354,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             first, n = _sums(_pair(_pair(ask_h, ask_w), ask_text.astype(np.int64)))
             ask_text, ask_h, ask_w = ask_text[first], ask_h[first], ask_w[first]
             bucket = _bucket(ask_h, ask_w, n_buckets)
-            order = np.lexsort((ask_text, bucket))
-            parts = _grouped(bucket, order)
+            parts = _grouped(bucket, np.argsort(bucket * n_texts + ask_text))
             rows = {k: [] for k in kinds}
             for b, i in parts:
                 for k, v in zip(kinds, (number, b, pack(ask_h[i]), pack(ask_w[i]), pack(np.diff(ask_text[i], prepend=0).astype(np.int64)), pack(n[i]), None, None, None), strict=True):
@@ -346,15 +367,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     answer_schema = "run long, text binary, sums binary, ids binary, meta binary, own binary"
 
-    def found_at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(keys[:-1], wanted)
-        return (keys[at] == wanted) & (at < len(keys) - 1), at
-
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
         # A last entry of no word, so that there is one.
         key = _pair(table.column("h").to_numpy(), table.column("w").to_numpy())
         order = np.argsort(key)
-        key = np.append(key[order], 0)
+        known = _Finder(key[order])
         value, count = np.append(table.column("delta").to_numpy()[order], 0.0), np.append(table.column("count").to_numpy()[order], 0)
         out: dict[str, list] = {k: [] for k in ("run", "text", "sums", "ids", "meta", "own")}
         for row in asked.to_pylist():
@@ -363,11 +380,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             else:
                 h, w, text_no, n = (unpack(row[k]) for k in ("h", "w", "text", "n"))
                 text_no = np.cumsum(text_no)
-                met, at = found_at(key, _pair(h, w))
+                met, at = known.find(_pair(h, w))
                 v = np.where(met & (h != ALONE), value[at], 0.0)
                 # The bucket of a word that is not hot has its own values too; those of an unseen word are not there.
                 alone = w < 0
-                met, at = found_at(key, _pair(np.full_like(w, ALONE), w))
+                met, at = known.find(_pair(np.full_like(w, ALONE), w))
                 v += np.where(alone, np.where(met, value[at], unknown), 0.0)
                 c = np.where(met & alone, count[at], 0)
                 texts, group = np.unique(text_no, return_inverse=True)
