@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.geo import final_bearing, initial_bearing, relative_angle, spherical_distance
+from ..functions.shapes import nearest_on_segment
 
 #: The bounds of turns in degrees.
 STRAIGHT, SLIGHT, TURN = 10.0, 45.0, 120.0
@@ -196,3 +198,41 @@ def arrival(positions: DataFrame, route: DataFrame) -> DataFrame:
 def lane_changes(route: DataFrame) -> DataFrame:
     """(route, idx, lanes): nodes from which on the lanes (any struct or text) differ from those before; the first node with lanes counts as one."""
     return route.withColumn("af_was", F.lag("lanes").over(_along())).where(~F.col("lanes").eqNullSafe(F.col("af_was"))).select("route", "idx", "lanes")
+
+
+def matched_positions(positions: DataFrame, route: DataFrame, most: float, level: int = 14) -> DataFrame:
+    """positions (route, key, lat, lon) with idx, at_lat, at_lon and distance: the closest place on the own route's segments, idx the node before it; null beyond most metres (off the route).
+
+    A segment lies in all tiles that its box touches, a position asks those that its circle touches; the best place of
+    each is kept before the shuffle. level suits the length of segments.
+    """
+    node = F.struct("lat", "lon")
+    parts = route.select("route", "idx", node.alias("a"), F.lead(node).over(_along()).alias("b")).where("b is not null")
+    placed = parts.select("route", "idx", F.struct("a", "b").alias("part"), F.explode(geo.tiles_of_box(geo.box_of_points(F.array("a", "b")), level)).alias("tile"))
+    asked = positions.select("route", "key", node.alias("p"), F.explode(geo.tiles_of_box(geo.box_around(F.col("lat"), F.col("lon"), F.lit(most)), level)).alias("tile"))
+    met = asked.join(placed, ["route", "tile"]).withColumn("at", nearest_on_segment(F.col("p"), F.col("part"))).where("at.lat is not null")
+    far = spherical_distance(F.col("p.lat"), F.col("p.lon"), F.col("at.lat"), F.col("at.lon"))
+    best = met.withColumn("distance", far).where(F.col("distance") <= most).groupBy("route", "key").agg(F.min(F.struct("distance", "idx", "at")).alias("m"))
+    found = best.select("route", "key", "m.idx", F.col("m.at.lat").alias("at_lat"), F.col("m.at.lon").alias("at_lon"), "m.distance")
+    return positions.join(found, ["route", "key"], "left")
+
+
+def next_instructions(positions: DataFrame, told: DataFrame) -> DataFrame:
+    """(route, key, at, next_at, instruction): each position (route, key, at) that changes what is told next, the first of told (route, at, instruction) beyond it; null behind the last one."""
+    nothing = F.lit(None)
+    rows = positions.select("route", "at", F.lit(1).alias("side"), "key", nothing.cast("string").alias("text"))
+    rows = rows.unionByName(told.select("route", "at", F.lit(0).alias("side"), nothing.cast(dict(positions.dtypes)["key"]).alias("key"), F.col("instruction").alias("text")))
+    # What stands where a position is has been passed.
+    ahead = Window.partitionBy("route").orderBy("at", "side", "key").rowsBetween(1, Window.unboundedFollowing)
+    coming = F.first(F.when(F.col("side") == 0, F.struct("at", "text")), True).over(ahead)
+    along = Window.partitionBy("route").orderBy("at", "key")
+    seen = rows.withColumn("next", coming).where("side = 1")
+    seen = seen.withColumns({"was": F.lag("next").over(along), "no": F.row_number().over(along)})
+    return seen.where((F.col("no") == 1) | ~F.col("next").eqNullSafe(F.col("was"))).select("route", "key", "at", F.col("next.at").alias("next_at"), F.col("next.text").alias("instruction"))
+
+
+def points_of_parts(parts: DataFrame, way_points: DataFrame) -> DataFrame:
+    """(route, pos, no, node_id, lat, lon): all points of a route's parts (route, pos, way_id, first, last), each a run of a way's points in either direction; a point that ends one part and begins the next stands once."""
+    met = way_points.join(parts, "way_id").where(F.col("idx").between(F.least("first", "last"), F.greatest("first", "last")))
+    met = met.withColumn("no", F.abs(F.col("idx") - F.col("first"))).where("no > 0 or pos = 0")
+    return met.select("route", "pos", "no", "node_id", "lat", "lon")

@@ -293,3 +293,11 @@ def distinct_results(results: DataFrame, keys: list[str], order: list[str]) -> D
 def entries_of_objects(objects: DataFrame, entries: DataFrame) -> DataFrame:
     """(entry_id, kind, obj_id): the addresses, streets and places (entry_id, kind, obj_ids: array) that are made of any of objects (obj_id)."""
     return entries.select("entry_id", "kind", F.explode(F.array_distinct("obj_ids")).alias("obj_id")).join(objects.select("obj_id").distinct(), "obj_id", "left_semi")
+
+
+def combined_search(structured: DataFrame, free: DataFrame, limit: int) -> DataFrame:
+    """(query, obj_id, name, rank): hits (query, obj_id, name, quality) of a structured and of a free-text search, an object once, the structured hit first; the first limit of each query by quality (smaller is better), then name."""
+    both = structured.withColumn("af_side", F.lit(0)).unionByName(free.withColumn("af_side", F.lit(1)))
+    one = both.groupBy("query", "obj_id").agg(F.min(F.struct("af_side", "quality", "name")).alias("b"))
+    order = Window.partitionBy("query").orderBy("b.af_side", "b.quality", "b.name", "obj_id")
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "obj_id", "b.name", "rank")

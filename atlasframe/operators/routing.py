@@ -20,6 +20,7 @@ SPEEDS = {
     "bicycle": {"motorway": 0.0, "primary": 20.0, "secondary": 20.0, "residential": 18.0, "track": 14.0},
     "foot": {"motorway": 0.0, "primary": 5.0, "secondary": 5.0, "residential": 5.0, "track": 5.0},
 }
+VEHICLE_BITS = {"foot": 1, "bicycle": 2, "car": 4}
 VEHICLE_MAX = {"car": 160.0, "bicycle": 20.0, "foot": 5.0}
 #: Metres that stand for a junction between ways of one type, and of two; the most hours it may cost.
 PENALTY_SAME, PENALTY_OTHER, PENALTY_MOST = 40.0, 250.0, 10.0 / 3600
@@ -50,6 +51,28 @@ def edges(way_points: DataFrame, ways: DataFrame) -> DataFrame:
     return whole.select("from_id", "to_id", "way_id", "metres", "type", "maxspeed", "grade").unionByName(back)
 
 
+def ring_edges(ring_points: DataFrame, route_nodes: DataFrame) -> DataFrame:
+    """(obj_id, from_id, to_id, metres): from each route node (node_id) of a closed line to the next one around it, for roundabouts and areas one may cross along their edge.
+
+    ring_points: (obj_id, idx, node_id, lat, lon), the first point not repeated at the end. A line with one route node only has no edge.
+    """
+    around = Window.partitionBy("obj_id").orderBy("idx")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here, first = F.struct("lat", "lon"), F.first(F.struct("lat", "lon")).over(whole)
+    measured = ring_points.withColumn("next", F.coalesce(F.lead(here).over(around), first)).withColumn("step", spherical_distance(F.col("lat"), F.col("lon"), F.col("next.lat"), F.col("next.lon")))
+    measured = measured.withColumns({"total": F.sum("step").over(whole), "at": F.sum("step").over(around.rowsBetween(Window.unboundedPreceding, 0)) - F.col("step")})
+    kept = measured.join(route_nodes.select("node_id").distinct(), "node_id")
+    to = F.struct(F.col("node_id").alias("id"), F.col("at").alias("at"))
+    closed = F.struct(F.first("node_id").over(whole).alias("id"), (F.first("at").over(whole) + F.col("total")).alias("at"))
+    found = kept.withColumn("to", F.coalesce(F.lead(to).over(around), closed))
+    return found.select("obj_id", F.col("node_id").alias("from_id"), F.col("to.id").alias("to_id"), (F.col("to.at") - F.col("at")).alias("metres")).where("from_id <> to_id")
+
+
+def vehicle_mask(kind: Column, maxspeed: Column) -> Column:
+    """Which vehicles may use a way: 1 on foot, 2 bicycle, 4 car, added up."""
+    return sum((F.when(speed(v, kind, maxspeed) > 0, bit).otherwise(0) for v, bit in VEHICLE_BITS.items()), F.lit(0))
+
+
 def speed(vehicle: str, kind: Column, maxspeed: Column) -> Column:
     """km/h on a way: the vehicle's for the type, at most what is allowed; 0 can't be used."""
     table = F.create_map(*[F.lit(x) for kv in SPEEDS[vehicle].items() for x in kv])

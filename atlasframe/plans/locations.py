@@ -206,3 +206,13 @@ def j12_entries_of_objects(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     entries = items.groupBy(F.col("l_orderkey").alias("entry_id")).agg(F.collect_list("l_partkey").alias("obj_ids")).withColumn("kind", F.when(F.col("entry_id") % 2 == 0, "street").otherwise("address"))
     return ops.entries_of_objects(table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("obj_id")), entries)
+
+
+@query("""WITH s AS (SELECT c_nationkey AS query, c_custkey AS obj_id, c_name AS name, 1 + c_custkey % 3 AS quality, 0 AS side FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_nationkey, c_custkey, 'near ' || c_name, 1 + c_custkey % 2, 1 FROM customer),
+o AS (SELECT query, obj_id, arg_min(name, side) AS name, arg_min(quality, side) AS quality, min(side) AS side FROM s GROUP BY query, obj_id)
+SELECT query, obj_id, name, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY side, quality, name, obj_id) AS rank FROM o) WHERE rank <= 20""")
+def l11_combined_search(spark, sf_dir):
+    """Nations as queries: half of a nation's customers found by structure, all of them by text."""
+    c = table(spark, sf_dir, "customer")
+    hits = lambda rows, name, kinds: rows.select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("obj_id"), name.alias("name"), (1 + F.col("c_custkey") % kinds).alias("quality"))
+    return ops.combined_search(hits(c.where("c_custkey % 2 = 0"), F.col("c_name"), 3), hits(c, F.concat(F.lit("near "), F.col("c_name")), 2), 20)

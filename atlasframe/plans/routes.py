@@ -269,3 +269,73 @@ def n7_arrival(spark, sf_dir):
     positions = r.select("route", "idx", at.alias("ts"), middle("lat"), middle("lon")).where("lat is not null")
     found = descriptions.arrival(positions, r)
     return found.select("route", "idx", F.round("remaining", 3).alias("remaining"), F.round((F.unix_micros("arrival") - F.unix_micros("ts")) / 1e6, 1).alias("seconds"))
+
+
+_POSITIONS = """, seg AS (SELECT route, idx, lat AS alat, lon AS alon, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon FROM r WINDOW w AS (PARTITION BY route ORDER BY idx)),
+pos AS (SELECT route, idx AS key, (alat * 3 + blat) / 4 + 0.002 * (idx % 3) AS lat, (alon * 3 + blon) / 4 AS lon FROM seg WHERE blat IS NOT NULL)"""
+
+
+@query(sql("nodes")(f"""{_ROUTE}{_POSITIONS},
+c AS (SELECT pos.*, idx, alat, alon, blat, blon, greatest(0, least(1, ((lon - alon) * (blon - alon) + (lat - alat) * (blat - alat)) / nullif((blon - alon) * (blon - alon) + (blat - alat) * (blat - alat), 0))) AS t FROM pos JOIN seg USING (route) WHERE blat IS NOT NULL AND (alat <> blat OR alon <> blon)),
+d AS (SELECT *, alat + t * (blat - alat) AS clat, alon + t * (blon - alon) AS clon FROM c),
+e AS (SELECT route, key, round(min({haversine('lat', 'lon', 'clat', 'clon')}), 3) AS distance FROM d GROUP BY route, key)
+SELECT pos.route, pos.key, CASE WHEN distance <= 300 THEN distance END AS distance FROM pos LEFT JOIN e USING (route, key)"""))
+def j16_matched_positions(spark, sf_dir):
+    """Positions a quarter of the way from each node to the next, two of three of them aside; on the route within 300 m."""
+    r = _route(spark, sf_dir).select("route", "idx", "lat", "lon")
+    w = Window.partitionBy("route").orderBy("idx")
+    middle = lambda c: (F.col(c) * 3 + F.lead(c).over(w)) / 4
+    positions = r.select("route", F.col("idx").alias("key"), (middle("lat") + 0.002 * (F.col("idx") % 3)).alias("lat"), middle("lon").alias("lon")).where("lat is not null")
+    return descriptions.matched_positions(positions, r, 300.0, level=10).select("route", "key", F.round("distance", 3).alias("distance"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS route, l_linenumber AS key, CAST(l_quantity AS DOUBLE) AS place FROM lineitem), t AS (SELECT l_orderkey AS route, CAST(l_linenumber * 10 AS DOUBLE) AS place, 'to ' || min(l_returnflag) AS instruction FROM lineitem GROUP BY ALL),
+n AS (SELECT p.route, p.key, p.place, min(t.place) AS next_place, arg_min(instruction, t.place) AS instruction FROM p LEFT JOIN t ON t.route = p.route AND t.place > p.place GROUP BY ALL)
+SELECT route, key, place, next_place, instruction FROM (SELECT *, lag(next_place) OVER w AS was, row_number() OVER w AS no FROM n WINDOW w AS (PARTITION BY route ORDER BY place, key)) WHERE no = 1 OR next_place IS DISTINCT FROM was""")
+def n5_next_instructions(spark, sf_dir):
+    """Quantities as places along an order, instructions every ten."""
+    items = table(spark, sf_dir, "lineitem")
+    positions = items.select(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("key"), F.col("l_quantity").cast("double").alias("at"))
+    told = items.groupBy(F.col("l_orderkey").alias("route"), (F.col("l_linenumber") * 10).cast("double").alias("at")).agg(F.concat(F.lit("to "), F.min("l_returnflag")).alias("instruction"))
+    return descriptions.next_instructions(positions, told).withColumnsRenamed({"at": "place", "next_at": "next_place"})
+
+
+@query(sql("ways", "way_points")("SELECT way_id AS route, 0 AS pos, CASE WHEN way_id % 2 = 0 THEN idx ELSE n_points - 1 - idx END AS no, node_id FROM way_points JOIN ways USING (way_id) WHERE n_points >= 3 UNION ALL SELECT way_id, 1, no, node_id FROM (SELECT way_id, CASE WHEN way_id % 2 = 0 THEN n_points - 1 - idx ELSE idx END AS no, node_id FROM way_points JOIN ways USING (way_id) WHERE n_points >= 3) WHERE no > 0"))
+def g17_route_points(spark, sf_dir):
+    """Routes that go along a way and back."""
+    w = view(spark, sf_dir, "ways").where("n_points >= 3")
+    first, last = F.lit(0).cast("long"), F.col("n_points") - 1
+    there = w.select(F.col("way_id").alias("route"), F.lit(0).alias("pos"), "way_id", F.when(F.col("way_id") % 2 == 0, first).otherwise(last).alias("first"), F.when(F.col("way_id") % 2 == 0, last).otherwise(first).alias("last"))
+    back = there.select("route", F.lit(1).alias("pos"), "way_id", F.col("last").alias("first"), F.col("first").alias("last"))
+    return descriptions.points_of_parts(there.unionByName(back), way_points(spark, sf_dir)).select("route", "pos", "no", "node_id")
+
+
+@query(sql("ways", "way_points")("SELECT p.way_id AS route, p.idx, array_to_string(list_sort(list(DISTINCT o.way_id)), ',') AS ways FROM way_points p JOIN way_points o USING (node_id) GROUP BY p.way_id, p.idx HAVING count(DISTINCT o.way_id) >= 2"))
+def g18_route_junctions(spark, sf_dir):
+    """What meets at the nodes of each way, taken as a route."""
+    points = way_points(spark, sf_dir)
+    met = points.join(routing.junction_objects(points), "node_id")
+    return met.select(F.col("way_id").alias("route"), "idx", F.array_join(F.transform("way_ids", lambda i: i.cast("string")), ",").alias("ways"))
+
+
+_WEIGHT = haversine("lat", "lon", "nlat", "nlon")
+
+
+@query(sql("nodes")(f"""{_ROUTE}, p AS (SELECT DISTINCT l_orderkey AS obj_id, l_partkey AS node_id FROM lineitem),
+c AS (SELECT obj_id, CAST(row_number() OVER w AS INT) - 1 AS idx, node_id, 48 + CAST(node_id % 200 AS DOUBLE) / 1000 AS lat, 8 + CAST(node_id * 7 % 100 AS DOUBLE) / 1000 AS lon FROM p WINDOW w AS (PARTITION BY obj_id ORDER BY node_id)),
+m AS (SELECT *, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS nlat, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS nlon FROM c WINDOW w AS (PARTITION BY obj_id ORDER BY idx)),
+d AS (SELECT *, {_WEIGHT} AS step FROM m), a AS (SELECT *, sum(step) OVER (PARTITION BY obj_id ORDER BY idx) - step AS away, sum(step) OVER (PARTITION BY obj_id) AS total FROM d),
+k AS (SELECT * FROM a WHERE node_id % 3 = 0), t AS (SELECT *, lead(node_id) OVER w AS b, lead(away) OVER w AS bat, first_value(node_id) OVER w AS f, first_value(away) OVER w AS fat FROM k WINDOW w AS (PARTITION BY obj_id ORDER BY idx))
+SELECT obj_id, node_id AS from_id, coalesce(b, f) AS to_id, round(coalesce(bat, fat + total) - away, 3) AS metres FROM t WHERE node_id <> coalesce(b, f)"""))
+def g4_ring_edges(spark, sf_dir):
+    """The parts of an order as a closed line; every third part is a route node."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("obj_id"), F.col("l_partkey").alias("node_id")).distinct()
+    ring = p.select("obj_id", (F.row_number().over(Window.partitionBy("obj_id").orderBy("node_id")) - 1).alias("idx"), "node_id", (48 + (F.col("node_id") % 200).cast("double") / 1000).alias("lat"), (8 + (F.col("node_id") * 7 % 100).cast("double") / 1000).alias("lon"))
+    nodes = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node_id"))
+    return routing.ring_edges(ring, nodes).select("obj_id", "from_id", "to_id", F.round("metres", 3).alias("metres"))
+
+
+@query(sql("ways", "way_points")(f"{_EDGES} SELECT from_id, to_id, way_id, CAST(CASE type WHEN 'motorway' THEN 4 WHEN 'track' THEN 3 ELSE 7 END AS INT) AS vehicles FROM edges"))
+def g6_vehicle_masks(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.select("from_id", "to_id", "way_id", routing.vehicle_mask(F.col("type"), F.col("maxspeed")).alias("vehicles"))

@@ -103,6 +103,17 @@ def j7_smallest_region(spark, sf_dir):
     return spatial.smallest_containing(view(spark, sf_dir, "nodes").select(F.col("obj_id").alias("key"), "lat", "lon"), rings)
 
 
+@query(sql("areas", "regions")("""SELECT area_id, array_to_string(list(region_id ORDER BY level DESC), ',') AS regions FROM areas JOIN regions ON lat >= min_lat AND lat < max_lat AND lon >= min_lon AND lon < max_lon GROUP BY area_id"""))
+def j11_regions_of_areas(spark, sf_dir):
+    """The regions that each area's centre stands in, smallest first."""
+    r = view(spark, sf_dir, "regions")
+    at = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
+    rings = r.select("region_id", F.array(at("min_lat", "min_lon"), at("min_lat", "max_lon"), at("max_lat", "max_lon"), at("max_lat", "min_lon")).alias("ring"))
+    held = spatial.containing(view(spark, sf_dir, "areas").select(F.col("area_id").alias("key"), "lat", "lon"), rings)
+    inner = F.array_sort(F.collect_list(F.struct("size", "region_id")))
+    return held.groupBy(F.col("key").alias("area_id")).agg(F.array_join(F.transform(inner, lambda x: x["region_id"].cast("string")), ",").alias("regions"))
+
+
 @query(sql("regions")("SELECT region_id, parent_id FROM regions WHERE parent_id IS NOT NULL"))
 def j8_region_parents(spark, sf_dir):
     """The tree of regions found again from their shapes."""
