@@ -42,10 +42,14 @@ def n12_replay(spark, sf_dir):
     return moved.select("track", "idx", (F.unix_micros("ts") - F.unix_micros(start)).alias("micros"))
 
 
-@query()
+@query(sql("positions")(f""", p AS (SELECT vehicle AS track, event_id AS idx, epoch_us(ts) // 2000 AS micros, lat, lon, lag(epoch_us(ts) // 2000) OVER w AS was, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM positions WINDOW w AS (PARTITION BY vehicle ORDER BY epoch_us(ts) // 2000, event_id)),
+g AS (SELECT *, CASE WHEN CAST(micros AS DOUBLE) / 1e6 - CAST(was AS DOUBLE) / 1e6 <= 10 THEN CAST(micros AS DOUBLE) / 1e6 - CAST(was AS DOUBLE) / 1e6 END AS gap FROM p),
+v AS (SELECT track, idx, sum(CASE WHEN gap IS NOT NULL THEN {haversine('plat', 'plon', 'lat', 'lon')} END) OVER r / nullif(sum(gap) OVER r, 0) * 3.6 AS v FROM g WINDOW r AS (PARTITION BY track ORDER BY micros RANGE BETWEEN 3000000 PRECEDING AND CURRENT ROW))
+SELECT track, idx, round(CASE WHEN v > 9000 THEN -1 ELSE v END, 3) AS speed FROM v"""))
 def w7_sliding_speed(spark, sf_dir):
-    """No SQL oracle: the events are minutes apart, so most speeds are null; the tests use a dense track."""
-    return tracks.speeds(_points(spark, sf_dir)).select("track", "idx", F.round("speed", 6).alias("speed"))
+    """Time goes 2,000 times as fast as in the events, so that positions are seconds apart."""
+    faster = F.timestamp_micros(F.floor(F.unix_micros("ts") / 2000))
+    return tracks.speeds(_points(spark, sf_dir).withColumn("ts", faster), cap=9000.0).select("track", "idx", F.round("speed", 3).alias("speed"))
 
 
 @query(sql("ways")("""SELECT way_id AS a_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT way_id, y0 AS y1, y0 + CASE WHEN upright = 1 THEN n_points - 1 ELSE 0 END AS y2, upright FROM ways WHERE type = 'track') JOIN (SELECT unnest(generate_series(0, 130)) AS c) ON c >= y1 AND c < y2 WHERE upright = 1 GROUP BY way_id"""))
@@ -83,7 +87,7 @@ def m10_contours(spark, sf_dir):
 
 def _messages(spark, sf_dir):
     p = view(spark, sf_dir, "positions")
-    return p.select("vehicle", "ts", "lat", "lon", "accuracy", F.lit(None).cast("double").alias("speed"), (F.col("event_id") % 3 != 0).alias("on_route"), F.col("event_type").alias("street"))
+    return p.select("vehicle", "ts", "event_id", "lat", "lon", "accuracy", F.lit(None).cast("double").alias("speed"), (F.col("event_id") % 3 != 0).alias("on_route"), F.col("event_type").alias("street"))
 
 
 @query(sql("positions")("""SELECT vehicle, epoch_us(ts) AS micros, kind FROM (SELECT vehicle, ts, 'street ' || event_type AS kind, lag(event_type) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS before, event_type FROM positions) WHERE before IS DISTINCT FROM event_type"""))
@@ -92,23 +96,39 @@ def n9_street_changes(spark, sf_dir):
     return found.select("vehicle", F.unix_micros("ts").alias("micros"), "kind")
 
 
-@query()
+_TURNED = "degrees(atan2(sin(radians(o.lon - k.klon)) * cos(radians(o.lat)), cos(radians(k.klat)) * sin(radians(o.lat)) - sin(radians(k.klat)) * cos(radians(o.lat)) * cos(radians(o.lon - k.klon))))"
+
+
+@query(sql("positions")(f""", o AS (SELECT vehicle, epoch_us(ts) AS micros, lat, lon, row_number() OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS n FROM positions),
+k AS (SELECT vehicle, n, micros, lat AS klat, lon AS klon, CAST(0 AS DOUBLE) AS heading, false AS told FROM o WHERE n = 1
+  UNION ALL SELECT vehicle, n, micros, CASE WHEN told THEN lat ELSE klat END, CASE WHEN told THEN lon ELSE klon END, CASE WHEN told THEN turned ELSE heading END, told FROM (
+    SELECT *, moved > 2 AND NOT (least(abs(turned - heading), 360 - abs(turned - heading)) > 135 AND moved < 15) AS told FROM (
+      SELECT o.*, k.klat, k.klon, k.heading, {haversine('k.klat', 'k.klon', 'o.lat', 'o.lon')} AS moved, {_TURNED} - 360 * floor({_TURNED} / 360) AS turned FROM k JOIN o ON o.vehicle = k.vehicle AND o.n = k.n + 1)))
+SELECT vehicle, micros, round(heading, 4) AS bearing FROM k WHERE told"""))
 def n3_bearings(spark, sf_dir):
-    """No SQL: each step depends on the last accepted one."""
     return agents.over_table(_messages(spark, sf_dir), agents.BEARING).select("vehicle", F.unix_micros("ts").alias("micros"), F.round("value", 4).alias("bearing"))
 
 
-@query()
+@query(sql("positions")(f""", o AS (SELECT vehicle, epoch_us(ts) AS micros, lat, lon, lag(epoch_us(ts)) OVER w AS was, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM positions WHERE accuracy < 100 WINDOW w AS (PARTITION BY vehicle ORDER BY ts, event_id)),
+v AS (SELECT vehicle, micros, {haversine('plat', 'plon', 'lat', 'lon')} / ((micros - was) / 1e6) * 3.6 AS v FROM o WHERE micros - was >= 1000000)
+SELECT vehicle, micros, round(CASE WHEN v > 200 THEN -1 ELSE v END, 4) AS speed FROM v"""))
 def n4_speeds(spark, sf_dir):
+    """Events are more than 3 s apart, so each speed is that of one step."""
     return agents.over_table(_messages(spark, sf_dir), agents.SPEED).select("vehicle", F.unix_micros("ts").alias("micros"), F.round("value", 4).alias("speed"))
 
 
-@query()
+@query(sql("positions")(f""", s AS (SELECT *, on_route IS DISTINCT FROM lag(on_route) OVER w AS fresh FROM (SELECT *, event_id % 3 <> 0 AS on_route FROM positions) WINDOW w AS (PARTITION BY vehicle ORDER BY ts, event_id)),
+t AS (SELECT *, max(CASE WHEN fresh THEN epoch_us(ts) END) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS since FROM s)
+SELECT vehicle, epoch_us(ts) AS micros, 'reroute' AS kind FROM t WHERE NOT on_route AND NOT fresh AND epoch_us(ts) - since > 5000000
+UNION ALL SELECT vehicle, epoch_us(ts), 'target' FROM t WHERE on_route AND {haversine('lat', 'lon', '48.005', '8.005')} < 30"""))
 def n6_route_state(spark, sf_dir):
     return agents.over_table(_messages(spark, sf_dir), agents.route_state((48.005, 8.005))).select("vehicle", F.unix_micros("ts").alias("micros"), "kind")
 
 
-@query()
+@query(sql("positions")(""", o AS (SELECT vehicle, epoch_us(ts) AS micros, CASE WHEN accuracy > 100 THEN 'low_accuracy' WHEN event_id % 3 <> 0 THEN 'on_route' ELSE 'off_route' END AS kind, row_number() OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS n FROM positions),
+k AS (SELECT *, true AS told, micros AS told_at FROM o WHERE n = 1
+  UNION ALL SELECT o.*, o.kind <> k.kind OR o.micros - k.told_at >= 100000, CASE WHEN o.kind <> k.kind OR o.micros - k.told_at >= 100000 THEN o.micros ELSE k.told_at END FROM k JOIN o ON o.vehicle = k.vehicle AND o.n = k.n + 1)
+SELECT vehicle, micros, kind FROM k WHERE told"""))
 def n2_position_state(spark, sf_dir):
     return agents.over_table(_messages(spark, sf_dir), agents.position_state()).select("vehicle", F.unix_micros("ts").alias("micros"), "kind")
 
