@@ -115,6 +115,45 @@ def merged_ways(ways: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     return parts.select(F.col("head").alias("way_id"), "type", "name", F.size("parts").cast("long").alias("n_merged"), ids.alias("ids"))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): what links (a, b) connect, named by the smallest id. Each round takes the least name of the neighbours and then that name's own, so names travel in doubling steps; a round is a written table."""
+    both = written(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct())
+    now = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")))
+    while True:
+        near = both.join(now.withColumnsRenamed({"id": "b", "component": "c"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+        least = now.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "c").alias("c"))
+        jump = now.select(F.col("id").alias("c"), F.col("component").alias("further"))
+        after = written(least.join(jump, "c").select("id", "was", F.col("further").alias("component")))
+        now = after.select("id", "component")
+        if after.where("was <> component").isEmpty():
+            return now
+
+
+def merged_areas(areas: DataFrame) -> DataFrame:
+    """Areas of one type that share an edge, as one: (area_id, type, n_areas, ids), a row for each ring of what is left, outer ones counter-clockwise and holes clockwise.
+
+    areas: (area_id, type, ids), rings of node ids, counter-clockwise, the first not repeated at the end. A merged area has the smallest id of
+    its parts. Edges that two parts share go; the others follow each other around. No task sees more than one ring.
+    """
+    after = F.concat(F.slice("ids", 2, F.size("ids") - 1), F.slice("ids", 1, 1))
+    edges = written(areas.select("area_id", "type", F.explode(F.arrays_zip(F.col("ids").alias("a"), after.alias("b"))).alias("e")).select("area_id", "type", "e.a", "e.b"))
+    turned = edges.select("type", F.col("area_id").alias("other"), F.col("b").alias("a"), F.col("a").alias("b"))
+    of_area = components(edges.join(turned, ["type", "a", "b"]).select(F.col("area_id").alias("a"), F.col("other").alias("b")))
+    main = F.coalesce("component", "area_id").alias("main")
+    named = written(areas.select("area_id", "type").join(of_area.withColumnRenamed("id", "area_id"), "area_id", "left").select("area_id", "type", main))
+    own = edges.drop("type").join(named, "area_id").select("main", "type", "a", "b")
+    left = own.join(own.select("main", F.col("b").alias("a"), F.col("a").alias("b")), ["main", "a", "b"], "left_anti")
+    left = written(left.withColumn("edge", F.monotonically_increasing_id()))
+    # Where rings touch, the edges that come in and go out are paired by their order.
+    place = lambda node, other: F.row_number().over(Window.partitionBy("main", node).orderBy(other))
+    comes = left.select("main", F.col("b").alias("node"), F.col("edge").alias("id"), place("b", "a").alias("k"))
+    goes = left.select("main", F.col("a").alias("node"), F.col("edge").alias("next_id"), place("a", "b").alias("k"))
+    placed = chains(written(comes.join(goes, ["main", "node", "k"]).select("id", "next_id")))
+    rings = left.join(placed.withColumnRenamed("id", "edge"), "edge").groupBy("main", "type", "head").agg(F.array_sort(F.collect_list(F.struct("pos", "a"))).alias("ring"))
+    counts = named.groupBy("main").agg(F.count("*").alias("n_areas"))
+    return rings.join(counts, "main").select(F.col("main").alias("area_id"), "type", "n_areas", F.transform("ring", lambda x: x["a"]).alias("ids"))
+
+
 def use_counts(way_points: DataFrame) -> DataFrame:
     """(node_id, n_ways): by how many ways a node is used, each way once."""
     return way_points.select("node_id", "way_id").distinct().groupBy("node_id").agg(F.count("*").alias("n_ways"))

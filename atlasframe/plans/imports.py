@@ -142,3 +142,21 @@ def a18_area_centre(spark, sf_dir):
     share_package(spark)
     a = area_rings(spark, sf_dir).withColumn("c", shapes.centroid(F.col("ring")))
     return a.select("area_id", shapes.in_ring(F.col("c.lat"), F.col("c.lon"), F.col("ring")).alias("inside"), F.round(F.col("c.lat") - F.col("half") * 0.3, 6).alias("lat"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS id, p_size % 2 AS type, p_partkey // 64 AS y, p_partkey % 64 AS x FROM part),
+l AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM f p JOIN f q ON p.type = q.type AND abs(p.x - q.x) + abs(p.y - q.y) = 1),
+c AS (SELECT id, id AS other FROM f UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.other),
+m AS (SELECT id, min(other) AS area_id FROM c GROUP BY id),
+e AS (SELECT area_id, count(*) AS n_areas, 4 * count(*) - sum((SELECT count(*) FROM l WHERE a = m.id)) AS n_edges FROM m GROUP BY area_id)
+SELECT area_id, n_areas, CAST(n_edges AS BIGINT) AS n_edges, CAST(2 * n_areas AS BIGINT) AS twice_size FROM e""")
+def i8_merged_areas(spark, sf_dir):
+    """Parts as fields of a board, 64 in a row; fields of one kind that lie side by side merge. The size comes from the rings, so it tells whether they close and holes turn the other way."""
+    f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 2).alias("type"), F.floor(F.col("p_partkey") / 64).alias("y"), (F.col("p_partkey") % 64).alias("x"))
+    node = lambda dx, dy: (F.col("y") + dy) * 1000 + F.col("x") + dx
+    merged = importing.merged_areas(f.select(F.col("p_partkey").alias("area_id"), "type", F.array(node(0, 0), node(1, 0), node(1, 1), node(0, 1)).alias("ids")))
+    x, y = lambda i: i % 1000, lambda i: F.floor(i / 1000)
+    after = F.concat(F.slice("ids", 2, F.size("ids") - 1), F.slice("ids", 1, 1))
+    twice = F.aggregate(F.zip_with("ids", after, lambda a, b: x(a) * y(b) - x(b) * y(a)), F.lit(0).cast("long"), lambda acc, v: acc + v)
+    rings = merged.select("area_id", "n_areas", F.size("ids").cast("long").alias("n"), twice.alias("twice"))
+    return rings.groupBy("area_id", "n_areas").agg(F.sum("n").alias("n_edges"), F.sum("twice").alias("twice_size"))
