@@ -290,3 +290,17 @@ def test_packing_into_short_sequences(spark):
         assert max(r.length for r in pieces) <= size
         total = {r.doc_id: r.doc_tokens for r in pieces}
         assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in total} == total
+
+
+def test_finder_and_sums_against_plain_search():
+    rng = np.random.default_rng(5)
+    for keys in (np.zeros(0, np.int64), np.array([7]), np.arange(-500, 500), np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 5000))):
+        asked = np.concatenate([keys, rng.integers(-(1 << 63), (1 << 63) - 1, 500), [0, -1, -(1 << 63), (1 << 63) - 1]])
+        met, at = katz._Finder(keys).find(asked)
+        assert (met == np.isin(asked, keys)).all() and (keys[at[met]] == asked[met]).all()
+    key, weight = rng.integers(0, 50, 1000), rng.integers(0, 9, 1000)
+    kinds = np.unique(key)
+    for w, sums in ((None, np.bincount(key)[kinds]), (weight, np.bincount(key, weight)[kinds])):
+        first, n = katz._sums(key, w)
+        assert (key[first] == kinds).all() and (n == sums).all()
+    assert len(katz._sums(key[:0])[0]) == len(katz._sums(key[:0], weight[:0])[1]) == 0
