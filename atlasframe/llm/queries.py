@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, html_extract, katz, language_id, license_scan, line_spread, minhash, packing, quality_rules, secret_scan, spaced_seed
+from . import ann_tree, collocations, html_extract, katz, language_id, license_scan, line_spread, minhash, packing, quality_rules, secret_scan, spaced_seed
 from .storage import workers_import_us
 
 
@@ -73,8 +73,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_katz, op3_spaced_seed, op4_minhash, op5_packing, op6_html_extract, op7_secret_scan, op8_line_spread, op9_ann_tree, op10_language_id, op10_language_id_pages, op12_quality_rules)
+    for f in (op1_license_scan, op2_katz, op3_spaced_seed, op4_minhash, op5_packing, op6_html_extract, op7_secret_scan, op8_line_spread, op9_ann_tree, op10_language_id, op10_language_id_pages, op12_quality_rules, op13_collocations)
 }
-ORACLES: dict[str, str] = {"op7_secret_scan": secret_scan.oracle(), "op8_line_spread": line_spread.ORACLE, "op12_quality_rules": quality_rules.oracle()}
+ORACLES: dict[str, str] = {"op7_secret_scan": secret_scan.oracle(), "op8_line_spread": line_spread.ORACLE, "op12_quality_rules": quality_rules.oracle(), "op13_collocations": collocations.oracle()}
