@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, collocations, html_extract, katz, language_id, license_scan, line_spread, minhash, packing, quality_rules, secret_scan, spaced_seed
+from . import ann_tree, collocations, html_extract, katz, language_id, license_scan, line_spread, minhash, packing, quality_rules, secret_scan, spaced_seed, whitening
 from .storage import workers_import_us
 
 
@@ -68,6 +68,12 @@ def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages")), ("page_id",))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    parts = rows.select("vec_id", "n", F.expr("try_cast(deviation as long)").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return parts.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -79,6 +85,6 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_katz, op3_spaced_seed, op4_minhash, op5_packing, op6_html_extract, op7_secret_scan, op8_line_spread, op9_ann_tree, op10_language_id, op10_language_id_pages, op12_quality_rules, op13_collocations)
+    for f in (op1_license_scan, op2_katz, op3_spaced_seed, op4_minhash, op5_packing, op6_html_extract, op7_secret_scan, op8_line_spread, op9_ann_tree, op10_language_id, op10_language_id_pages, op11_whitening, op12_quality_rules, op13_collocations)
 }
 ORACLES: dict[str, str] = {"op7_secret_scan": secret_scan.oracle(), "op8_line_spread": line_spread.ORACLE, "op12_quality_rules": quality_rules.oracle(), "op13_collocations": collocations.oracle()}
