@@ -21,8 +21,8 @@ from .storage import materialize, workers_import_us
 
 COMPONENTS, BLOCK = 32, 16
 SCALE, SHIFT = 64, 1_000_000
-#: Entries beyond this, as whole numbers, stand at it: sums of rows then fit 64 bits in a task's batches.
-MOST = 1 << 40
+#: Entries beyond this, as whole numbers, stand at it: sums of ROWS of them fit 64 bits.
+MOST = 1 << 50
 #: Residuals, and components without variance, in shares of the largest eigenvalue.
 RESIDUAL, NO_VARIANCE = 1e-13, 1e-11
 #: Rows whose products a task holds at once.
