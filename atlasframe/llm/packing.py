@@ -10,6 +10,7 @@ segment begins with the last open window of the one before.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import deque
@@ -40,12 +41,15 @@ def default_vocabulary() -> str:
 class Encoder:
     """Token ids of a byte-level BPE vocabulary in the tokenizers library's file format.
 
-    The tiktoken library, given the same vocabulary as ranks, finds the same ids several times faster. Texts that may
-    hold a special token's string go to tokenizers itself, which reads those as special tokens.
+    The tiktoken library, given the same vocabulary as ranks, finds the same ids several times faster. It serves files whose
+    pre-tokenizer is the one of PATTERN and whose merges are ordered by their products' ids; others are read by tokenizers alone. So are texts that may
+    hold a special token's string, which tokenizers reads as special tokens, and texts with a run of LONG_SPACE white-space characters, whose
+    look-ahead would take tiktoken's stack beyond its limit.
     """
 
     #: Fixed value: the pre-tokenizer's pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    LONG_SPACE = 1 << 15
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,18 +62,33 @@ class Encoder:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        self.fast = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        self.space = re.compile(rf"\s{{{self.LONG_SPACE}}}")
+        self.ends = [i for token, i in vocabulary.items() if re.search(r"[.!?\n]", token.translate({0x10A: "\n"}))]  # U+010A stands for a line's end
+        self.fast = None
+        if self._serves(json.loads(self.tokenizer.to_str())):
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @staticmethod
+    def _serves(spec: dict) -> bool:
+        """Whether tiktoken finds the ids of this tokenizer."""
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        if spec["normalizer"] is not None or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("truncation"):
+            return False
+        if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return False
+        products = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+        return all(a < b for a, b in zip(products, products[1:], strict=False))
 
     def __call__(self, text: str) -> np.ndarray:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if self.special.search(text) else self.fast(text)
-        return np.array(ids, np.uint32)
+        slow = self.fast is None or self.special.search(text) or (len(text) >= self.LONG_SPACE and self.space.search(text))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if slow else self.fast(text), np.uint32)
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether a sentence may end after it: it holds a full stop, an exclamation or question mark, or a line's end."""
         found = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        found[[i for token, i in self.ranks.items() if re.search(rb"[.!?\n]", token)]] = True
+        found[self.ends] = True
         return found
 
 
@@ -157,7 +176,8 @@ class _Stream:
 def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SIZE, vocabulary: str | None = None, segment: int = SEGMENT) -> DataFrame:
     """keep columns and, per piece: start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A null or empty text is its end token alone. Each partition of docs is packed in its own order into sequences of
+    A null or empty text is its end token alone; a text of any length is packed whole, over as many sequences as it fills. Rows that repeat, in id or
+    text, are packed each for itself; other columns of docs may have any name, keep may not name one of the new columns, and an empty table gives no pieces. Each partition of docs is packed in its own order into sequences of
     its own, so nothing is shuffled and a lost partition is packed again with the same result where docs is reread
     from files. sequence_id is the partition's number times 2^33 plus the sequence's number there.
     """

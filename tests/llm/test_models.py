@@ -304,3 +304,44 @@ def test_finder_and_sums_against_plain_search():
         first, n = katz._sums(key, w)
         assert (key[first] == kinds).all() and (n == sums).all()
     assert len(katz._sums(key[:0])[0]) == len(katz._sums(key[:0], weight[:0])[1]) == 0
+
+
+# ---- packing: texts and vocabularies that the fast encoder can't read
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "　", "a", "-", "é"])
+def test_two_million_characters_of_one_class_have_the_ids_of_tokenizers(run):
+    encode = packing.Encoder(packing.default_vocabulary())
+    text = "one two" + run * (2_000_000 // len(run)) + "three."
+    assert encode(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode("one two" + run * 1000 + "three.").tolist() == encode.tokenizer.encode("one two" + run * 1000 + "three.", add_special_tokens=False).ids
+
+
+def test_long_white_space_passes_op5(spark):
+    texts = [" " * 2_000_000, "a\n" + "\n" * 2_000_000 + "b", "a clean text. It stays as it is."]
+    docs = cases.documents(spark, texts)
+    tokenizer = packing.Encoder(packing.default_vocabulary()).tokenizer
+    want = {k + 1: [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for k, t in enumerate(texts)}
+    got: dict[int, list] = {}
+    for r in sorted(packing.pack(docs).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == want
+
+
+def test_other_vocabularies_are_read_by_tokenizers(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "The QUICK brown fox, naïve  cafés 123 and\n\nlines... don't"
+    words = public_tokenizers.path("word_bpe_49k.json")
+    spec = json.loads(Tokenizer.from_file(packing.default_vocabulary()).to_str())
+    paths = [words]
+    for name, change in (("prefix", {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}), ("lower", {"normalizer": {"type": "Lowercase"}}), ("merges", {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}})):
+        paths.append(str(tmp_path / f"{name}.json"))
+        (tmp_path / f"{name}.json").write_text(json.dumps(spec | change))
+    for path in paths:
+        encode = packing.Encoder(path)
+        assert encode.fast is None and encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(packing.default_vocabulary()).fast is not None
