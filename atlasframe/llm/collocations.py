@@ -21,7 +21,8 @@ from .textbatch import mix, text_chunks, words_of
 
 MIN_COUNT, LONGEST, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 27, 16
-CHUNK = 1 << 22
+#: Bytes of text that a task counts at once, and rows of a batch of counts.
+CHUNK, BATCH = 1 << 21, 1 << 15
 #: Candidates that one task ranks before the best of all tasks are ranked.
 RANKED = 1 << 18
 NO_LANG = "und"
@@ -128,7 +129,8 @@ def count_phrases(docs: DataFrame, size: int, frequent: _Bitmap | None = None, t
             langs = own.indices.to_numpy(zero_copy_only=False)
             for start, end, data, offsets in text_chunks(b.column(1), CHUNK):
                 for names, phrases, count in _count_chunk(langs[start:end], own.dictionary, data, offsets, size, shared and shared.value):
-                    yield pa.RecordBatch.from_arrays([names.cast(pa.string()), phrases.cast(pa.string()), pa.array(count.astype(np.int64))], names=["lang", "phrase", "n"])
+                    found = pa.RecordBatch.from_arrays([names.cast(pa.string()), phrases.cast(pa.string()), pa.array(count.astype(np.int64))], names=["lang", "phrase", "n"])
+                    yield from (found.slice(a, BATCH) for a in range(0, found.num_rows, BATCH))
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
