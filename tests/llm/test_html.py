@@ -40,11 +40,36 @@ def random_pages(n=120, seed=4):
     rng = random.Random(seed)
     rows = []
     for k in range(n):
-        parts = "".join(f"<{t} class='c{rng.randint(1, 3)} x{k}'><p>{'wort ' * rng.randint(1, 30)}</p></{t}>" for t in rng.choices(["div", "section", "article"], k=4))
+        parts = "".join(f"<{t} class='c{rng.randint(1, 3)} x{k}'>{rng.choice(['<p>', '<h2>', '<div>', '<div><a>', ''])}{'wort ' * rng.randint(1, 30)}{rng.choice(['.', ''])}</{t}>" for t in rng.choices(["div", "section", "article"], k=4))
         rows.append((k, f"https://host{k % 3 if k % 4 else 9}.example/p{k}", f"<html><body>{parts}</body></html>"))
     return rows
 
 
+def plain_text(page, key):
+    """Blocks below winners and, beside them, those of parts that read like prose; by walks up from each block."""
+    nodes = page.nodes
+    wins = lambda node: any(n.weight and n.key == key for n in above(page, node))
+    winners = [k for k in range(len(nodes)) if wins(k)]
+    holds = {k for w in winners for k in chain(nodes, w)}
+    parts = defaultdict(list)
+    own = {}
+    for i, (node, text, free) in enumerate(page.blocks):
+        beside = [k for k in chain(nodes, node) if k not in holds]
+        own[i] = ("in",) if wins(node) else (beside[-1] if node not in holds else ("block", i))
+        parts[own[i]].append((nodes[node].tag, text, free))
+    if ("in",) not in parts:
+        return ""
+    prose = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "blockquote"}
+    good = {part for part, blocks in parts.items() if any(tag in prose or len(x) >= 80 or x.rstrip("\"'”’»)").endswith(tuple(".!?…。！？")) for tag, x, _ in blocks) and 2 * sum(len(x) * f for _, x, f in blocks) >= sum(len(x) for _, x, _ in blocks)}
+    return "\n".join(text for i, (_, text, _) in enumerate(page.blocks) if own[i] == ("in",) or own[i] in good)
+
+
+def chain(nodes, node):
+    while node >= 0:
+        yield node
+        node = nodes[node].parent
+
+
 def plain_extract(rows):
     """{page_id: (text, path, by_host)}: all votes of a host in one dict."""
     votes: dict = defaultdict(Counter)
@@ -58,12 +83,13 @@ def plain_extract(rows):
     for k, url, source in rows:
         page = html_extract.parse(source)
         path = top[host(url)]
-        text = "\n".join(t for node, t, _ in page.blocks if any(n.weight and n.path == path for n in above(page, node)))
+        text = plain_text(page, path)
         scores = html_extract.path_scores(page)
         own = min(scores, key=lambda p: (-scores[p], p)) if not text else path
         if not text:
-            text = "\n".join(t for node, t, _ in page.blocks if any(n.weight and n.path == own for n in above(page, node)))
-        out[k] = (text, own, own == path and bool(text))
+            text = plain_text(page, own)
+        name = ">" + ">".join(n.name for n in reversed(list(above(page, next(k for k, n in enumerate(page.nodes) if n.weight and n.key == own)))) if n.name)
+        out[k] = (text, name, own == path and bool(text))
     return out
 
 
@@ -91,3 +117,50 @@ def test_ties_repeats_and_edges(spark):
     assert by_id[2].text.count("\n") == 119_999
     assert {r.text for r in found if r.page_id in (1, None)} == {by_id[1].text} != {""}
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ---- what stands beside the winner, inside of articles, and deep below
+
+PROSE = "<p>Prose of some length tells what was found, where it was found, and why anyone should care for it.</p>" * 3
+LINE = "Prose of some length tells what was found, where it was found, and why anyone should care for it."
+
+
+def test_title_lead_and_last_paragraph_beside_the_content():
+    page = f"<html><body>{MENU}<h1>The title</h1><p>A lead of one sentence.</p><div class=content>{PROSE}</div><p>The last paragraph.</p><div>Home page</div><div><p><a href=x>more</a> <a href=y>and more</a></p></div><footer><p>All rights</p></footer></body></html>"
+    assert text_of(page) == "\n".join(["The title", "A lead of one sentence.", LINE, LINE, LINE, "The last paragraph."])
+
+
+def test_two_siblings_both_count():
+    page = f"<html><body>{MENU}<div class=a>{PROSE}</div><div class=b>{PROSE * 2}</div></body></html>"
+    assert text_of(page) == "\n".join([LINE] * 9)
+
+
+def test_formulas_labels_and_legends_stay():
+    page = f"<article>{PROSE}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> be a number.</p><label>A label of a figure</label><svg><text>drawn</text></svg><form><label>Your name</label></form></article>"
+    assert text_of(page) == "\n".join([LINE] * 3 + ["Let x=2 be a number.", "A label of a figure"])
+
+
+def test_sections_of_articles_with_names_of_outside_parts():
+    named = "<section id=related-work><h2>Related work</h2><p>Others have looked at this before us, and found other things.</p></section><section class=notice-board><p>The notice board hung in the hall for all to see.</p></section>"
+    gone = "<div class=related-posts><ul><li><a href=a>One more</a></li><li><a href=b>Two more</a></li></ul></div><div class=notice><p>We use cookies.</p></div><div class=ad>Buy it.</div><div class=share-buttons>Share this.</div>"
+    page = f"<html><body><article>{PROSE}{named}{gone}</article></body></html>"
+    assert text_of(page) == "\n".join([LINE] * 3 + ["Related work", "Others have looked at this before us, and found other things.", "The notice board hung in the hall for all to see."])
+
+
+def test_hundred_thousand_nested_elements_take_seconds(spark):
+    import time
+    import tracemalloc
+
+    deep = "<div class=c>" * 100_000 + "<p>text at the bottom.</p>" + "</p></x>" * 100_000
+    tracemalloc.start()
+    began = time.time()
+    page = html_extract.parse(deep)
+    assert html_extract.text_under(page, html_extract._shares(html_extract.path_scores(page))[0][0]) == "text at the bottom."
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    odd = "<div " + "a" * 300_000 + ">" + "<p>x</p>"
+    began = time.time()
+    html_extract.parse(odd)
+    assert time.time() - began < 5
+    rows = [(1, "http://d.example/1", deep), (2, "http://d.example/2", "<div><p>flat.</p></div>")]
+    assert sorted((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == [(1, "text at the bottom."), (2, "flat.")]
