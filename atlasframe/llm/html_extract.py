@@ -236,7 +236,9 @@ def text_under(page: Page, key: bytes | None) -> str:
         return ""
     # A block beside belongs to a part: the largest element around it that holds no winner, or the block alone.
     part = list(range(len(nodes)))
+    named = [False] * len(nodes)  # a name of outside parts that holds no winner takes its element out, however much it holds
     for k, n in enumerate(nodes[1:], 1):
+        named[k] = not around[k] and (n.told or named[n.parent])
         if not around[k] and not around[n.parent]:
             part[k] = part[n.parent]
     size, free_of, told = Counter(), Counter(), set()
@@ -247,7 +249,7 @@ def text_under(page: Page, key: bytes | None) -> str:
         if nodes[node].tag in _PROSE or len(text) >= LABEL or _SENTENCE.search(text):
             told.add(own)
     belongs = lambda own: own in told and 2 * free_of[own] >= size[own]
-    return "\n".join(text for i, (node, text, _) in enumerate(page.blocks) if inside[node] or belongs(("block", i) if around[node] else part[node]))
+    return "\n".join(text for i, (node, text, _) in enumerate(page.blocks) if inside[node] or not named[node] and belongs(("block", i) if around[node] else part[node]))
 
 
 def _shares(scores: dict[bytes, float]) -> list[tuple[bytes, float]]:

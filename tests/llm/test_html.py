@@ -61,7 +61,8 @@ def plain_text(page, key):
         return ""
     prose = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "blockquote"}
     good = {part for part, blocks in parts.items() if any(tag in prose or len(x) >= 80 or x.rstrip("\"'”’»)").endswith(tuple(".!?…。！？")) for tag, x, _ in blocks) and 2 * sum(len(x) * f for _, x, f in blocks) >= sum(len(x) for _, x, _ in blocks)}
-    return "\n".join(text for i, (_, text, _) in enumerate(page.blocks) if own[i] == ("in",) or own[i] in good)
+    named = lambda node: any(nodes[k].told and k not in holds for k in chain(nodes, node))
+    return "\n".join(text for i, (node, text, _) in enumerate(page.blocks) if own[i] == ("in",) or (own[i] in good and not named(node)))
 
 
 def chain(nodes, node):
@@ -130,6 +131,12 @@ def test_title_lead_and_last_paragraph_beside_the_content():
     assert text_of(page) == "\n".join(["The title", "A lead of one sentence.", LINE, LINE, LINE, "The last paragraph."])
 
 
+def test_a_long_advert_beside_a_short_article_stays_out():
+    page = f"<html><body>{MENU}<div class=ad>Buy it now, as long as there is any, and tell all your friends.</div><article><h1>Short.</h1><p>Said.</p></article></body></html>"
+    winner = next(n.key for n in html_extract.parse(page).nodes if n.tag == "article")
+    assert html_extract.text_under(html_extract.parse(page), winner) == "Short.\nSaid."
+
+
 def test_two_siblings_both_count():
     page = f"<html><body>{MENU}<div class=a>{PROSE}</div><div class=b>{PROSE * 2}</div></body></html>"
     assert text_of(page) == "\n".join([LINE] * 9)
