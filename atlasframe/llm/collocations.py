@@ -9,6 +9,8 @@ Cuts are scored by joining the level tables, in decimals.
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,8 +25,8 @@ MIN_COUNT, LONGEST, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 27, 16
 #: Bytes of text that a task counts at once, and rows of a batch of counts.
 CHUNK, BATCH = 1 << 21, 1 << 15
-#: Candidates that one task ranks before the best of all tasks are ranked.
-RANKED = 1 << 18
+#: Scores run from 0 to 10^6; the best of a language are looked for from the top in steps of this.
+STEP = 1000
 NO_LANG = "und"
 
 _codes = np.arange(256)
@@ -180,9 +182,14 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     """
     levels = frequent_phrases(docs, longest, min_count, text, lang)
     found = materialize(scored(levels, inside_percent))
+    # Steps of scores in which each language's top phrases lie: a thousand rows a language.
+    step = F.floor(F.col("score") / STEP).alias("step")
+    steps = found.groupBy("lang", step).count().withColumn("above", F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("step"))) - F.col("count"))
+    lowest = steps.where(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("lowest"))
+    high = found.join(lowest, "lang").where(step >= F.col("lowest"))
+    # What one step holds may be many: parts of it are ranked before the best of all parts are.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    parts = max(1, found.count() // RANKED)
-    salted = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    salted = high.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(1 + isqrt(found.count() // top))))
     ahead = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     ranked = ahead.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(levels[0].where("phrase = ''").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

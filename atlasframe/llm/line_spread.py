@@ -27,9 +27,9 @@ def _line_hash(line: Column) -> Column:
 
 def line_table(docs: DataFrame, doc_id: str, text: str, site: str, min_chars: int) -> DataFrame:
     """One row for each line of min_chars or more: row key, doc_id, pos, line hash and site. A null site counts as the site ''."""
-    lines = docs.select(
-        F.xxhash64(doc_id, text).alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line")
-    )
+    # The key is made before the lines: beside them it would read the whole text once for each.
+    texts = docs.select(F.xxhash64(doc_id, text).alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.split(text, "\n").alias("lines"))
+    lines = texts.select("row_key", "doc_id", "site", F.posexplode("lines").alias("pos", "line"))
     return lines.where(F.length(F.trim("line")) >= min_chars).select("row_key", "doc_id", "pos", _line_hash(F.col("line")).alias("line_hash"), "site")
 
 
@@ -59,7 +59,9 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     gone = materialize(gone.groupBy("row_key").agg(F.array_distinct(F.collect_list("pos")).alias("af_gone")).withColumnRenamed("row_key", "af_key"))
     joined = docs.withColumn("af_key", F.xxhash64(doc_id, text)).join(gone.hint("merge"), "af_key", "left")  # one plan at every size: texts meet their decisions once
     rows = F.split(text, "\n")
-    kept = F.array_join(F.filter(rows, lambda x, i: ~F.array_contains("af_gone", i)), "\n")
+    # Places that stay, by a set, and their lines; the lines are bound to a variable, so that a text is split once.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "af_gone")
+    kept = F.transform(F.array(rows), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
     n_gone = F.coalesce(F.size("af_gone"), F.lit(0))
     return joined.select(
         *[F.when(F.col("af_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],

@@ -56,8 +56,7 @@ def corpus():
 
 
 @pytest.mark.parametrize("longest", [2, 3, 4])
-def test_equals_a_plain_version(spark, longest, monkeypatch):
-    monkeypatch.setattr(c, "RANKED", 7)
+def test_equals_a_plain_version(spark, longest):
     rows = corpus()
     docs = spark.createDataFrame(rows, "lang string, text string").withColumns({"phrase": F.lit("x"), "n": F.lit(1), "part": F.lit("y")})
     got = c.mine(docs.repartition(3), longest=longest, top=9)
@@ -65,6 +64,13 @@ def test_equals_a_plain_version(spark, longest, monkeypatch):
     assert sorted(map(tuple, got.collect())) == plain(rows, longest, top=9)
 
 
+def test_many_equal_scores_are_ranked_in_parts(spark):
+    """Phrases of one score, more than are asked for, in the order of count and bytes."""
+    rows = [("en", f"{'Éab'[k % 3]}{k} x{k}") for k in range(300) for _ in range(10 + k % 2)]
+    got = [tuple(r) for r in c.mine(spark.createDataFrame(rows, "lang string, text string"), top=20).collect()]
+    assert sorted(got) == plain(rows, top=20) and len(got) == 20 and {r[-1] for r in got} == {10**6}
+
+
 def test_rows_that_repeat_count_again(spark):
     docs = spark.createDataFrame([("en", "red fox")] * 10 + [("en", "red hen")] * 9, "lang string, text string")
     assert [tuple(r) for r in c.mine(docs).collect()] == [("en", 1, "red fox", 10, 19, 10, 38, 10**6 * 100 // 190)]

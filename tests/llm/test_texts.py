@@ -348,3 +348,17 @@ def test_places_of_many_secrets(spark):
     many = text * 1000
     spans = secret_scan.scan_secrets(cases.documents(spark, [many])).first().secrets
     assert [(s.start, s.end) for s in spans if s.kind == "access"] == [m.span() for m in re.finditer("AKIA[A-Z0-9]{12,}", many)]
+
+
+def test_many_gone_lines_in_one_text(spark):
+    """A log of 200,000 lines, most of them boilerplate, is cleaned in steps in proportion to its lines."""
+    import time
+
+    shared = [f"boilerplate line number {k} of all" for k in range(1000)]
+    log = [shared[k % 1000] if k % 5 else f"an own line of the log, number {k}" for k in range(200_000)]
+    texts = ["\n".join(shared)] * 9 + ["\n".join(log)]
+    docs = cases.documents(spark, texts, [f"s{k}.example" for k in range(10)])
+    began = time.time()
+    last = line_spread.remove_boilerplate(docs).where("doc_id = 10").first()
+    assert time.time() - began < 120
+    assert last["n_lines"] == 200_000 and last["n_removed"] == 160_000 and last["text"] == "\n".join(x for k, x in enumerate(log) if k % 5 == 0)
