@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import importing
+from ..operators import coasts, importing
 from ..registry import query
 from ..session import share_package
-from .sample import area_rings, sql, table, view, way_lines, way_points
+from .sample import ISLAND_LEVEL, area_rings, island_coasts, sql, table, view, way_lines, way_points
 
 
 @query("""SELECT p_partkey AS osm_id, count(*) OVER (PARTITION BY k) AS n_same, row_number() OVER (PARTITION BY k ORDER BY p_partkey) AS serial FROM (SELECT p_partkey, p_partkey % 97 AS k FROM part)""")
@@ -112,26 +112,44 @@ def i22_transport_routes(spark, sf_dir):
     return importing.transport_routes(masters, variants, members, nodes).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("""SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CASE WHEN abs(x - 25) + abs(y - 2) <= 20 OR (x = 25 AND y = 2) THEN 'water' ELSE 'unknown' END AS state FROM (SELECT unnest(generate_series(0, 49)) AS x), (SELECT unnest([0, 1, 2, 3, 4]) AS y)""")
+def _island_cells(spark, sf_dir):
+    """(x, y, state): coast cells by the islands' polygons, and unknown ones around and inside them, seven by seven for each island."""
+    lines = island_coasts(spark, sf_dir)
+    coast = coasts.ground_polygons(lines, ISLAND_LEVEL).select("x", "y").distinct()
+    places = F.transform(F.sequence(F.lit(0), F.lit(48)), lambda k: F.struct((F.col("x") + k % 7).alias("x"), (F.col("y") + F.floor(k / 7)).alias("y")))
+    block = lines.select(F.explode(places).alias("c")).select("c.x", "c.y")
+    return lines, block, coast.withColumn("state", F.lit("coast"))
+
+
+@query(sql("islands", "island_cells")("SELECT x, y, round(land / 1000000, 6) AS land, round(1 - land / 1000000, 6) AS water FROM island_cells WHERE touched AND NOT inner_cell"))
+def i17_coast_polygons(spark, sf_dir):
+    """Parts as islands: the share of land and water of each cell that their coasts run through, from the polygons' areas."""
+    sizes = coasts.ground_sizes(coasts.ground_polygons(island_coasts(spark, sf_dir), ISLAND_LEVEL), ISLAND_LEVEL)
+    return sizes.select("x", "y", F.round("land", 6).alias("land"), F.round("water", 6).alias("water"))
+
+
+@query(sql("islands", "island_cells")("SELECT x, y, CASE WHEN inner_cell THEN 'unknown' WHEN touched THEN 'coast' ELSE 'water' END AS state FROM island_cells"))
 def i17_filled_water(spark, sf_dir):
-    """Water spreads 20 cells far from one cell of a strip."""
-    cells = spark.range(50).select(F.col("id").alias("x"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(5)])).alias("y"))
-    seed = spark.createDataFrame([(25, 2, "water")], "x long, y long, state string")
-    return importing.filled_water(seed, cells)
+    """Water spreads from one cell beside each island over all cells around it; what the coast cells close in stays unknown."""
+    lines, block, coast = _island_cells(spark, sf_dir)
+    seed = lines.select((F.col("x") + 6).alias("x"), (F.col("y") + 6).alias("y"), F.lit("water").alias("state"))
+    return importing.filled_water(coast.unionByName(seed), block)
 
 
-@query("""SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CASE WHEN x = 0 THEN 'coast' WHEN x <= 6 AND y = 0 THEN 'land' WHEN x = 8 THEN 'water' WHEN x < 6 AND y = 1 THEN 'unknown' ELSE 'unknown' END AS state FROM (SELECT unnest(generate_series(0, 9)) AS x), (SELECT unnest([0, 1]) AS y)""")
+@query(sql("islands", "island_cells")("SELECT x, y, CASE WHEN inner_cell THEN 'land' WHEN touched THEN 'coast' ELSE 'unknown' END AS state FROM island_cells"))
 def i17_filled_land(spark, sf_dir):
-    """What lies between the coast and land in a row is land; towards water, and in a row without land, it stays unknown."""
-    cells = spark.range(10).select(F.col("id").alias("x"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("y"))
-    state = F.when(F.col("x") == 0, "coast").when((F.col("x") == 6) & (F.col("y") == 0), "land").when(F.col("x") == 8, "water").otherwise("unknown")
-    return importing.filled_land(cells.withColumn("state", state))
+    """Land spreads from one inner cell of each island between its coasts, in rows and columns."""
+    lines, block, coast = _island_cells(spark, sf_dir)
+    inner = lines.where("floor(u1 / 1000) > floor(u0 / 1000) + 1 and floor(v1 / 1000) > floor(v0 / 1000) + 1")
+    seed = inner.select((F.col("x") + F.floor(F.col("u0") / 1000) + 1).alias("x"), (F.col("y") + F.floor(F.col("v0") / 1000) + 1).alias("y"), F.lit("land").alias("state"))
+    known = coast.unionByName(seed)
+    return importing.filled_land(block.join(known, ["x", "y"], "left").select("x", "y", F.coalesce("state", F.lit("unknown")).alias("state")))
 
 
-@query(sql("ways", "way_points")("""SELECT DISTINCT CAST(floor((lon + 180) / (360 / CAST(32768 AS DOUBLE))) AS BIGINT) AS x, CAST(floor((lat + 90) / (180 / CAST(32768 AS DOUBLE))) AS BIGINT) AS y, 'coast' AS state FROM way_points JOIN ways USING (way_id) WHERE type = 'motorway'"""))
+@query(sql("ways", "way_points")("""SELECT DISTINCT CAST(floor((lon + 180) / (360 / CAST(32768 AS DOUBLE))) AS BIGINT) AS x, CAST(floor((lat + 90) / (180 / CAST(32768 AS DOUBLE))) AS BIGINT) AS y, 'coast' AS state FROM way_points"""))
 def i17_coast_cells(spark, sf_dir):
-    """Motorways as coastlines, in cells larger than their edges: the cells of their vertices."""
-    return importing.coast_cells(way_lines(spark, sf_dir).where("type = 'motorway'"), 15)
+    """Ways as coastlines, in cells larger than their edges: the cells of their vertices."""
+    return importing.coast_cells(way_lines(spark, sf_dir), 15)
 
 
 @query(sql("areas")("SELECT area_id, true AS inside, round(lat, 6) AS lat FROM areas"))

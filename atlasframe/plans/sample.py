@@ -31,6 +31,9 @@ _SHARED = {
     "areas": """
         SELECT p_partkey AS area_id, lower(p_type) AS type, p_name AS name, lat, lon, 0.0005 * p_size AS half FROM (
           SELECT p_partkey, p_type, p_name, CAST(p_size AS DOUBLE) AS p_size, 47 + CAST(p_partkey * 7919 % 100000 AS DOUBLE) / 50000 AS lat, 7 + CAST(p_partkey * 104729 % 100000 AS DOUBLE) / 100000 * 3 AS lon FROM {part}) AS placed""",
+    "islands": """
+        SELECT p_partkey AS way_id, p_partkey % 256 * 7 AS x, CAST(floor(p_partkey / 256) AS BIGINT) * 7 AS y, CAST(313 + p_partkey % 7 * 100 AS BIGINT) AS u0, CAST(257 + p_partkey % 3 * 200 AS BIGINT) AS v0,
+          CAST(713 + p_partkey % 7 * 100 + p_size % 5 * 1000 AS BIGINT) AS u1, CAST(757 + p_partkey % 3 * 200 + p_size % 4 * 900 AS BIGINT) AS v1 FROM {part}""",
     "regions": """
         SELECT 1000 + CAST(r_regionkey AS BIGINT) AS region_id, CAST(NULL AS BIGINT) AS parent_id, r_name AS name, 2 AS level,
           CAST(47 AS DOUBLE) AS min_lat, 7 + CAST(r_regionkey AS DOUBLE) * 3 / 5 AS min_lon, CAST(49 AS DOUBLE) AS max_lat, 7 + CAST(r_regionkey + 1 AS DOUBLE) * 3 / 5 AS max_lon FROM {region}
@@ -58,11 +61,15 @@ _DUCK = {
         SELECT way_id, idx, (y0 + CASE WHEN upright = 1 THEN idx ELSE 0 END) * 1000 + x0 + CASE WHEN upright = 1 THEN 0 ELSE idx END AS node_id,
           48 + CAST(y0 + CASE WHEN upright = 1 THEN idx ELSE 0 END AS DOUBLE) * 2 / 1000 AS lat, 8 + CAST(x0 + CASE WHEN upright = 1 THEN 0 ELSE idx END AS DOUBLE) * 3 / 1000 AS lon
         FROM (SELECT *, unnest(generate_series(0, n_points - 1)) AS idx FROM ways)""",
+    "island_cells": """
+        SELECT x + i AS x, y + j AS y, (least(u1, 1000 * (i + 1)) - greatest(u0, 1000 * i)) * (least(v1, 1000 * (j + 1)) - greatest(v0, 1000 * j)) AS land,
+          i >= u0 // 1000 AND i <= u1 // 1000 AND j >= v0 // 1000 AND j <= v1 // 1000 AS touched, i > u0 // 1000 AND i < u1 // 1000 AND j > v0 // 1000 AND j < v1 // 1000 AS inner_cell
+        FROM islands, (SELECT unnest(generate_series(0, 6)) AS i), (SELECT unnest(generate_series(0, 6)) AS j)""",
     "corners": """
         SELECT area_id, k, CASE WHEN k IN (0, 1) THEN lat - half WHEN k IN (2, 4) THEN lat + half ELSE lat + 1.5 * half END AS clat,
           CASE WHEN k IN (0, 4) THEN lon - half WHEN k IN (1, 2) THEN lon + half ELSE lon END AS clon FROM areas, (SELECT unnest([0, 1, 2, 3, 4]) AS k)""",
 }
-_NEEDS = {"way_points": ("ways",), "corners": ("areas",)}
+_NEEDS = {"way_points": ("ways",), "corners": ("areas",), "island_cells": ("islands",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +109,17 @@ def area_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("ring", F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), F.struct((F.col("lat") + 1.5 * F.col("half")).alias("lat"), F.col("lon")), corner(1, -1)))
 
 
+#: Level of the cells in which islands are laid out, each in seven by seven of them; their numbers are thousandths of a cell.
+ISLAND_LEVEL = 15
+
+
+def island_coasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands with points: a closed coastline, a rectangle with its land to the left."""
+    w, h = 360 / 2.0**ISLAND_LEVEL, 180 / 2.0**ISLAND_LEVEL
+    corner = lambda u, v: F.struct(((F.col("y") + F.col(v) / 1000) * h - 90).alias("lat"), ((F.col("x") + F.col(u) / 1000) * w - 180).alias("lon"))
+    return view(spark, sf_dir, "islands").withColumn("points", F.array(corner("u0", "v0"), corner("u1", "v0"), corner("u1", "v1"), corner("u0", "v1"), corner("u0", "v0")))
+
+
 def sql(*views: str) -> Callable[[str], str]:
     """Put the named views in front of a DuckDB query; the query begins with SELECT, or with a comma and more views."""
 
