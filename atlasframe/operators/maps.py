@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import share_package, written
+from ..session import discard, written
 
 
 def resolved_styles(objects: DataFrame, rules: DataFrame, zoom: int) -> DataFrame:
@@ -83,28 +82,44 @@ def ground_tiles(box: DataFrame, level: int, stored: DataFrame, default: str = "
     return cells.join(stored, ["x", "y"], "left").select("x", "y", F.coalesce("state", F.lit(default)).alias("state"))
 
 
-def placed_labels(labels: DataFrame) -> DataFrame:
-    """(tile, obj_id): labels (tile, obj_id, priority, x, y, width, height in pixels) that find a free place, the most important first.
+#: Cells, in pixels, in which labels look for those that they may meet.
+LABEL_CELL = (128, 32)
 
-    Placing is greedy within a tile: a label is dropped if its rectangle meets one that stands. A tile shows a bounded area at its zoom level, and each
-    is placed on its own; occupied rows of pixels are kept as bit masks.
-    """
 
-    def place(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["priority", "obj_id"])
-        taken: dict[int, int] = {}
-        kept = []
-        for r in t.itertuples():
-            mask = ((1 << max(1, int(r.width))) - 1) << max(0, int(r.x))
-            rows = range(int(r.y), int(r.y) + max(1, int(r.height)))
-            if all(not taken.get(y, 0) & mask for y in rows):
-                for y in rows:
-                    taken[y] = taken.get(y, 0) | mask
-                kept.append((r.tile, r.obj_id))
-        return pd.DataFrame(kept, columns=["tile", "obj_id"])
-
-    share_package(labels.sparkSession)
-    return labels.groupBy("tile").applyInPandas(place, f"tile {dict(labels.dtypes)['tile']}, obj_id long")
+def placed_labels(labels: DataFrame, cell: tuple[int, int] = LABEL_CELL) -> DataFrame:
+    """(tile, obj_id, x, y): labels (tile, obj_id, priority, x, y, width, height in pixels) that find a free place, the most important (smallest priority, then obj_id, y, x) first.
+
+    A label is dropped if its rectangle meets one that stands; so the result is that of placing one after the other. It is found in rounds: a label that comes
+    first among the undecided ones in every cell it covers stands, as whatever it could meet shares a cell with it; what meets it goes. Neither step
+    pairs labels with each other: a cell gives its first label, and at most one label of a cell stands in a round, so a tile of any number of labels is spread over its cells.
+    Rectangles begin at whole pixels, at 0 at least, and are one pixel wide and high at least. Repeated rows count once; rows with a null have no place.
+    """
+    w, h = cell
+    left = F.greatest(F.lit(0), F.floor("x")).cast("long")
+    known = labels.select("tile", "obj_id", "priority", "x", "y", "width", "height").dropna()
+    sized = known.select("tile", "obj_id", "priority", left.alias("x"), F.floor("y").cast("long").alias("y"), F.greatest(F.lit(1), F.floor("width")).cast("long").alias("width"), F.greatest(F.lit(1), F.floor("height")).cast("long").alias("height"))
+    key = ["tile", "priority", "obj_id", "y", "x", "width", "height"]
+    first = F.struct(*key[1:])
+    span = lambda at, size, unit: F.sequence(F.floor(F.col(at) / unit), F.floor((F.col(at) + F.col(size) - 1) / unit))
+    cells = F.flatten(F.transform(span("x", "width", w), lambda a: F.transform(span("y", "height", h), lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
+    over = lambda rows: rows.select("*", F.explode(cells).alias("c")).select(*key, "c.cx", "c.cy")
+    left_over = written(sized.distinct())
+    standing = []
+    while not left_over.isEmpty():
+        covering = over(left_over)
+        # By cell the label that comes first, and by label the cells in which it does.
+        heads = covering.groupBy("tile", "cx", "cy").agg(F.min(first).alias("m")).groupBy("tile", "m").count().select("tile", "m.*", "count")
+        stands = written(heads.where(F.col("count") == F.size(cells)).select(*key))
+        taken = over(stands).select("tile", "cx", "cy", *[F.col(c).alias(f"s_{c}") for c in ("x", "y", "width", "height")])
+        apart = (F.col("x") >= F.col("s_x") + F.col("s_width")) | (F.col("s_x") >= F.col("x") + F.col("width")) | (F.col("y") >= F.col("s_y") + F.col("s_height")) | (F.col("s_y") >= F.col("y") + F.col("height"))
+        gone = covering.join(taken, ["tile", "cx", "cy"]).where(~apart).select(*key).distinct()  # what stands meets itself
+        before, left_over = left_over, written(left_over.join(gone, key, "left_anti"))
+        discard(before)
+        standing.append(stands)
+    found = sized.select("tile", "obj_id", "x", "y").where(F.lit(False))
+    for part in standing:
+        found = found.unionByName(part.select("tile", "obj_id", "x", "y"))
+    return found
 
 
 def painter_statistics(objects: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import clipping, geo, shapes
 from ..operators import maps
 from ..registry import query
 from .sample import area_rings, sql, table, view, way_lines
@@ -47,10 +47,42 @@ def m8_draw_list(spark, sf_dir):
     return d.select("way_id", F.round(F.aggregate(F.transform("pixels", lambda p: p["x"]), F.lit(0.0), lambda a, x: a + x), 2).alias("x_sum"))
 
 
-@query(sql("areas", "ways")("""SELECT kind, obj_id, CAST(row_number() OVER (ORDER BY k, layer, v, obj_id) AS INT) AS rank FROM (SELECT 0 AS k, 'area' AS kind, area_id AS obj_id, area_id % 3 AS layer, -half AS v FROM areas UNION ALL SELECT 1, 'way', way_id, way_id % 2, CAST(grade AS DOUBLE) FROM ways WHERE type = 'motorway')"""))
+@query(sql("areas")(""", cut AS (SELECT *, greatest(0, least(lon + half, 8.9) - greatest(lon - half, 7.7)) * greatest(0, least(lat + half, 48.6) - greatest(lat - half, 47.3)) AS body, greatest(lat + half, 47.3) AS y0, least(lat + 1.5 * half, 48.6) AS y1 FROM areas),
+steps AS (SELECT *, unnest(list_sort(list_transform([y0, y1, lat + 1.5 * half - abs(7.7 - lon) / 2, lat + 1.5 * half - abs(8.9 - lon) / 2], lambda y: least(greatest(y, y0), y1)))) AS y FROM cut WHERE y0 < y1),
+wide AS (SELECT area_id, y, greatest(0, least(lon + 2 * (lat + 1.5 * half - y), 8.9) - greatest(lon - 2 * (lat + 1.5 * half - y), 7.7)) AS w FROM steps),
+roof AS (SELECT area_id, sum((y - y_before) * (w + w_before) / 2) AS size FROM (SELECT *, lag(y) OVER o AS y_before, lag(w) OVER o AS w_before FROM wide WINDOW o AS (PARTITION BY area_id ORDER BY y)) GROUP BY area_id)
+SELECT area_id, round(body + coalesce(size, 0), 10) AS size FROM cut LEFT JOIN roof USING (area_id) WHERE body + coalesce(size, 0) > 0"""))
+def m8_clipped_areas(spark, sf_dir):
+    """The size, in square degrees, of what a view shows of each area: a square and its roof, cut at the view's sides."""
+    ring = clipping.clip_ring(F.col("ring"), (F.lit(47.3), F.lit(7.7)), (F.lit(48.6), F.lit(8.9)))
+    shown = area_rings(spark, sf_dir).withColumn("size", F.abs(shapes.signed_area(ring))).where("size > 0")
+    return shown.select("area_id", F.round("size", 10).alias("size"))
+
+
+@query(sql("ways", "way_points")("""SELECT way_id, round(sum(greatest(0, b - a)), 9) AS shown FROM (
+  SELECT w.way_id, greatest(CASE WHEN upright = 1 THEN p.lat ELSE p.lon END, CASE WHEN upright = 1 THEN 48.1 ELSE 8.1 END) AS a, least(CASE WHEN upright = 1 THEN q.lat ELSE q.lon END, CASE WHEN upright = 1 THEN 48.2 ELSE 8.3 END) AS b,
+    CASE WHEN upright = 1 THEN p.lon BETWEEN 8.1 AND 8.3 ELSE p.lat BETWEEN 48.1 AND 48.2 END AS seen
+  FROM ways w JOIN way_points p USING (way_id) JOIN way_points q ON q.way_id = p.way_id AND q.idx = p.idx + 1) WHERE seen GROUP BY way_id HAVING sum(greatest(0, b - a)) > 0"""))
+def m8_clipped_ways(spark, sf_dir):
+    """The length, in degrees, of what a view shows of each way."""
+    parts = clipping.clip_line(F.col("points"), (F.lit(48.1), F.lit(8.1)), (F.lit(48.2), F.lit(8.3)))
+    lines = way_lines(spark, sf_dir).select("way_id", F.explode(parts).alias("part"))
+    step = F.transform(shapes.segments(F.col("part")), lambda s: F.hypot(s["b"]["lat"] - s["a"]["lat"], s["b"]["lon"] - s["a"]["lon"]))
+    return lines.groupBy("way_id").agg(F.round(F.sum(F.aggregate(step, F.lit(0.0), lambda t, x: t + x)), 9).alias("shown"))
+
+
+@query(sql("areas")("""SELECT area_id, round((4 + 2 * sqrt(CAST(1.25 AS DOUBLE))) * half - 2 * CAST(0.0001 AS DOUBLE) * (1 + tan((pi() / 2 - atan(CAST(0.5 AS DOUBLE))) / 2) + CAST(0.5 AS DOUBLE)), 10) AS length FROM areas"""))
+def m8_offset_outlines(spark, sf_dir):
+    """The length of each area's outline, open between its last and first corner, moved inwards."""
+    line = clipping.offset_line(F.col("ring"), 0.0001, ("lon", "lat"))
+    step = F.transform(shapes.segments(line), lambda s: F.hypot(s["b"]["lat"] - s["a"]["lat"], s["b"]["lon"] - s["a"]["lon"]))
+    return area_rings(spark, sf_dir).select("area_id", F.round(F.aggregate(step, F.lit(0.0), lambda t, x: t + x), 10).alias("length"))
+
+
+@query(sql("areas", "ways")("""SELECT kind, obj_id, CAST(row_number() OVER (ORDER BY k, layer, v, obj_id) AS INT) AS rank FROM (SELECT 0 AS k, 'area' AS kind, area_id AS obj_id, area_id % 3 AS layer, -half AS v FROM areas UNION ALL SELECT 1, 'way', way_id, way_id % 2, CAST(grade AS DOUBLE) FROM ways)"""))
 def o10_draw_order(spark, sf_dir):
     a = view(spark, sf_dir, "areas").select(F.col("area_id").alias("obj_id"), (F.col("area_id") % 3).alias("layer"), F.col("half").alias("size"))
-    w = view(spark, sf_dir, "ways").where("type = 'motorway'").select(F.col("way_id").alias("obj_id"), (F.col("way_id") % 2).alias("layer"), F.col("grade").alias("priority"))
+    w = view(spark, sf_dir, "ways").select(F.col("way_id").alias("obj_id"), (F.col("way_id") % 2).alias("layer"), F.col("grade").alias("priority"))
     return maps.draw_order(a, w)
 
 
@@ -80,7 +112,7 @@ def m9_labels(spark, sf_dir):
     """No SQL: placing is greedy. One label a node, in tiles of zoom 10."""
     t = maps.in_tiles(view(spark, sf_dir, "nodes"), 10).withColumn("p", geo.mercator_pixel(F.col("lat"), F.col("lon"), 10))
     labels = t.select(F.concat_ws("/", "x", "y").alias("tile"), "obj_id", (F.col("obj_id") % 10).alias("priority"), (F.col("p.x") % 256).cast("int").alias("x"), (F.col("p.y") % 256).cast("int").alias("y"), (F.length("name") * 6).alias("width"), F.lit(12).alias("height"))
-    return maps.placed_labels(labels)
+    return maps.placed_labels(labels).select("tile", "obj_id")
 
 
 @query(sql("nodes", "ways", "areas")("""SELECT type, count(*) FILTER (kind = 'node') AS nodes, count(*) FILTER (kind = 'way') AS ways, count(*) FILTER (kind = 'area') AS areas, count(name) AS labels, count(*) AS total FROM (SELECT type, name, 'node' AS kind FROM nodes UNION ALL SELECT type, name, 'way' FROM ways UNION ALL SELECT type, name, 'area' FROM areas) GROUP BY type"""))
