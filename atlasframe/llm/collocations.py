@@ -186,11 +186,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     step = F.floor(F.col("score") / STEP).alias("step")
     steps = found.groupBy("lang", step).count().withColumn("above", F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("step"))) - F.col("count"))
     lowest = steps.where(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("lowest"))
-    high = found.join(lowest, "lang").where(step >= F.col("lowest"))
     # What one step holds may be many: parts of it are ranked before the best of all parts are.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = high.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(1 + isqrt(found.count() // top))))
-    ahead = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    parts = 1 + isqrt(found.count() // top)
+    salted = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)).cast("int"))
+    wanted = lowest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    high = salted.join(wanted, ["lang", "part"]).where(step >= F.col("lowest"))
+    ahead = high.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     ranked = ahead.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(levels[0].where("phrase = ''").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
