@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tracks
 from ..registry import query
-from ..streaming import agents
+from ..streaming import agents, tunnels
 from .sample import haversine, sql, table, view, way_lines
 
 
@@ -148,3 +148,19 @@ def o11_ordered_elevations(spark, sf_dir):
     """Line items as points of elevation along their order; those of one distance by elevation, then place."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("distance"), F.col("l_tax").alias("ele"), F.col("l_partkey").alias("lat"), F.col("l_suppkey").alias("lon"))
     return tracks.ordered_elevations(items).select("way_id", "line", "rank")
+
+
+@query(sql("positions")(""", fixes AS (SELECT vehicle, ts, CAST(event_id * 37 % 1000 AS DOUBLE) AS along, lead(ts) OVER (PARTITION BY vehicle ORDER BY ts, CAST(event_id * 37 % 1000 AS DOUBLE)) AS after FROM positions WHERE accuracy < 100),
+edges AS (SELECT j, 100.0::DOUBLE * j AS start, 10.0::DOUBLE + 5 * j AS speed, coalesce(sum(100 / (10.0::DOUBLE + 5 * j)) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM (SELECT unnest(generate_series(0, 9)) AS j)),
+placed AS (SELECT f.*, j BETWEEN 3 AND 6 AS tunnel, s0 + (along - start) / speed AS s FROM fixes f JOIN edges ON j = floor(along / 100)),
+ticks AS (SELECT *, k, ts + to_seconds(2 + k) AS t, s + 2 + k AS now, s + 1 + k AS before, (SELECT s0 FROM edges WHERE j = 7) AS last FROM placed, (SELECT unnest(generate_series(0, 14)) AS k))
+SELECT vehicle, epoch_us(ts) AS micros, 'fix' AS kind, along FROM fixes
+UNION ALL SELECT vehicle, epoch_us(t), 'estimate_in_tunnel', round(start + (now - s0) * speed, 6) FROM ticks JOIN edges ON now >= s0 AND now < s0 + 100 / speed WHERE tunnel AND now < last AND (after IS NULL OR t < after)
+UNION ALL SELECT vehicle, epoch_us(t), 'no_signal', CASE WHEN tunnel THEN 700 ELSE along END FROM ticks WHERE CASE WHEN tunnel THEN now >= last AND (k = 0 OR before < last) ELSE k = 0 END AND (after IS NULL OR t < after)"""))
+def n2_tunnel_estimates(spark, sf_dir):
+    """Each vehicle's route is a kilometre of ten edges, four of them in a tunnel; where its fixes stop, it is moved on in the tunnel second by second."""
+    p = view(spark, sf_dir, "positions").select("vehicle", "ts", (F.col("event_id") * 37 % 1000).cast("double").alias("along"), "accuracy")
+    edge = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")
+    edges = p.select("vehicle").distinct().select("vehicle", edge).select("vehicle", (100.0 * F.col("j")).alias("start"), (100.0 * (F.col("j") + 1)).alias("to"), (10.0 + 5 * F.col("j")).alias("speed"), F.col("j").between(3, 6).alias("tunnel"))
+    rows = tunnels.reckoned_table(tunnels.with_tunnels(p, edges))
+    return rows.select("vehicle", F.unix_micros("ts").alias("micros"), "kind", F.round("along", 6).alias("along"))
