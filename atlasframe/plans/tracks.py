@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import tracks
 from ..registry import query
-from ..streaming import agents, tunnels
+from ..streaming import agents, tunnels, voice
 from .sample import haversine, sql, table, view, way_lines
 
 
@@ -164,3 +165,26 @@ def n2_tunnel_estimates(spark, sf_dir):
     edges = p.select("vehicle").distinct().select("vehicle", edge).select("vehicle", (100.0 * F.col("j")).alias("start"), (100.0 * (F.col("j") + 1)).alias("to"), (10.0 + 5 * F.col("j")).alias("speed"), F.col("j").between(3, 6).alias("tunnel"))
     rows = tunnels.reckoned_table(tunnels.with_tunnels(p, edges))
     return rows.select("vehicle", F.unix_micros("ts").alias("micros"), "kind", F.round("along", 6).alias("along"))
+
+
+@query(sql("positions")(""", o AS (SELECT vehicle, epoch_us(ts) AS micros, n, CAST(n * 60 + event_id % 50 AS DOUBLE) AS along, event_id % 11 = 0 AS lost FROM (SELECT *, row_number() OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS n FROM positions)),
+i AS (SELECT vehicle, k, CAST(k * 400 + k * 37 % 290 AS DOUBLE) AS pos, CASE k % 5 WHEN 0 THEN 'turn_left' WHEN 1 THEN 'turn_right' WHEN 2 THEN 'straight_on' WHEN 3 THEN 'sharp_left' ELSE 'leave_motorway' END AS kind FROM (SELECT vehicle, unnest(generate_series(1, max(n) * 60 // 400 + 2)) AS k FROM o GROUP BY vehicle)),
+t AS (SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS then_at, lead(kind) OVER w AS then_kind FROM i WINDOW w AS (PARTITION BY vehicle ORDER BY pos)),
+m AS (SELECT o.*, kind, pos, then_kind, then_at, pos - along AS ahead FROM o LEFT JOIN t ON t.vehicle = o.vehicle AND along <= pos AND along > coalesce(before, -1)),
+f AS (SELECT vehicle, n, micros, along, kind, pos, then_kind, then_at, ahead, lost, NOT lost AS signal, CASE WHEN lost THEN -1 ELSE micros END AS seen, lost AS say_lost, false AS say_found, NOT lost AND ahead < 900 AS say, CASE WHEN NOT lost AND ahead < 900 THEN pos ELSE -1 END AS last_at, CASE WHEN NOT lost AND ahead < 900 THEN along ELSE 0 END AS said FROM m WHERE n = 1
+  UNION ALL SELECT s.vehicle, s.n, s.micros, s.along, s.kind, s.pos, s.then_kind, s.then_at, s.ahead, s.lost, CASE WHEN NOT s.lost THEN true WHEN f.signal AND s.micros - f.seen > 10000000 THEN false ELSE f.signal END, CASE WHEN s.lost THEN f.seen ELSE s.micros END,
+    f.signal AND s.lost AND s.micros - f.seen > 10000000, NOT s.lost AND NOT f.signal, NOT s.lost AND s.talk, CASE WHEN NOT s.lost AND s.talk THEN s.pos ELSE f.last_at END, CASE WHEN NOT s.lost AND s.talk THEN s.along ELSE f.said END
+  FROM f JOIN LATERAL (SELECT m.*, m.ahead < 900 AND (m.pos <> f.last_at OR m.along - f.said < -50 OR (m.ahead < 550 AND m.along - f.said > 300) OR (m.ahead < 150 AND m.along - f.said > 200) OR (m.ahead < 60 AND m.along - f.said > 100)) AS talk FROM m WHERE m.vehicle = f.vehicle AND m.n = f.n + 1) s ON true)
+SELECT vehicle, micros, 'gps_found' AS said, 0.0 AS ahead FROM f WHERE say_found
+UNION ALL SELECT vehicle, micros, 'gps_lost', 0.0 FROM f WHERE say_lost
+UNION ALL SELECT vehicle, micros, CASE WHEN ahead < 80 THEN '' ELSE 'after ' || CASE WHEN ahead > 800 THEN 800 WHEN ahead > 700 THEN 700 WHEN ahead > 600 THEN 600 WHEN ahead > 500 THEN 500 WHEN ahead > 400 THEN 400 WHEN ahead > 300 THEN 300 WHEN ahead > 200 THEN 200 WHEN ahead > 100 THEN 100 WHEN ahead > 80 THEN 80 ELSE 50 END || ' metres ' END || kind || CASE WHEN then_at - pos <= 200 THEN ' then ' || then_kind ELSE '' END, ahead FROM f WHERE say"""))
+def n10_voice(spark, sf_dir):
+    """What each vehicle is told on a route with an instruction about every 400 metres; every eleventh message has no signal."""
+    by = Window.partitionBy("vehicle").orderBy("ts", "event_id")
+    p = view(spark, sf_dir, "positions").withColumn("n", F.row_number().over(by))
+    messages = p.select("vehicle", "ts", "event_id", (F.col("n") * 60 + F.col("event_id") % 50).cast("double").alias("along"), F.when(F.col("event_id") % 11 == 0, "no_signal").otherwise("on_route").alias("state"))
+    k = p.groupBy("vehicle").agg(F.max("n").alias("n")).select("vehicle", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") * 60 / 400).cast("int") + 2)).alias("k"))
+    kind = F.element_at(F.array(*map(F.lit, ("turn_left", "turn_right", "straight_on", "sharp_left", "leave_motorway"))), F.col("k") % 5 + 1)
+    told = voice.announcements(k.select("vehicle", (F.col("k") * 400 + F.col("k") * 37 % 290).cast("double").alias("at"), kind.alias("kind"), F.lit(None).cast("int").alias("exit")))
+    said = agents.over_table(voice.with_announcements(messages, told), voice.voice())
+    return said.select("vehicle", F.unix_micros("ts").alias("micros"), F.col("kind").alias("said"), F.col("value").alias("ahead"))
