@@ -6,8 +6,6 @@ Raw tables: nodes (id, lat, lon, tags), ways (id, refs, tags), relations (id, me
 from __future__ import annotations
 
 import struct
-import zlib
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import share_package
+from ..session import share_package, written
+from . import pbf
 
 _TAG = "tag array<struct<_k:string,_v:string>>"
-_MEMBERS = "array<struct<type:string,id:long,role:string>>"
 
 
 def _tags() -> Column:
@@ -31,124 +29,35 @@ def read_osm_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     nodes = read("node", f"_id long, _lat double, _lon double, {_TAG}").select(F.col("_id").alias("id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), _tags())
     ways = read("way", f"_id long, nd array<struct<_ref:long>>, {_TAG}").select(F.col("_id").alias("id"), F.coalesce(F.transform("nd", lambda n: n["_ref"]), F.array().cast("array<long>")).alias("refs"), _tags())
     member = F.transform("member", lambda m: F.struct(m["_type"].alias("type"), m["_ref"].alias("id"), m["_role"].alias("role")))
-    relations = read("relation", f"_id long, member array<struct<_type:string,_ref:long,_role:string>>, {_TAG}").select(F.col("_id").alias("id"), F.coalesce(member, F.array().cast(_MEMBERS)).alias("members"), _tags())
+    relations = read("relation", f"_id long, member array<struct<_type:string,_ref:long,_role:string>>, {_TAG}").select(F.col("_id").alias("id"), F.coalesce(member, F.array().cast(pbf.MEMBERS)).alias("members"), _tags())
     return {"nodes": nodes, "ways": ways, "relations": relations}
 
 
-# ---- PBF: length-prefixed blobs of protocol buffers
+def read_osm_pbf(spark: SparkSession, path: str, partition_bytes: int = pbf.PARTITION_BYTES) -> dict[str, DataFrame]:
+    """nodes, ways and relations of a PBF file or of a folder of them.
 
-
-def _varint(b: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        c = b[at]
-        at += 1
-        value |= (c & 0x7F) << shift
-        if c < 0x80:
-            return value, at
-        shift += 7
-
-
-def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
-    at = 0
-    while at < len(b):
-        key, at = _varint(b, at)
-        if key & 7 == 0:
-            value, at = _varint(b, at)
-        elif key & 7 == 2:
-            n, at = _varint(b, at)
-            value, at = b[at : at + n], at + n
-        else:
-            n = 8 if key & 7 == 1 else 4
-            value, at = b[at : at + n], at + n
-        yield key >> 3, value
-
-
-def _packed(b: bytes, signed: bool = False) -> np.ndarray:
-    """All varints of a packed field at once."""
-    raw = np.frombuffer(b, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    ends = np.flatnonzero(raw < 0x80)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    value = np.add.reduceat((raw & 0x7F).astype(np.uint64) << (7 * place).astype(np.uint64), starts)
-    if signed:
-        value = (value >> np.uint64(1)) ^ (np.uint64(0) - (value & np.uint64(1)))
-    return value.view(np.int64)
-
-
-def _blobs(content: bytes) -> Iterator[bytes]:
-    """Data blobs of a file, unpacked."""
-    at = 0
-    while at < len(content):
-        n = struct.unpack(">I", content[at : at + 4])[0]
-        header = dict(_fields(content[at + 4 : at + 4 + n]))
-        at += 4 + n
-        blob = content[at : at + header[3]]
-        at += header[3]
-        if header[1] == b"OSMData":
-            parts = dict(_fields(blob))
-            yield parts[1] if 1 in parts else zlib.decompress(parts[3])
-
-
-_KINDS = ("node", "way", "relation")
-
-
-def _objects(block: bytes) -> Iterator[tuple]:
-    """(kind, id, lat, lon, refs, members, tags) of a primitive block."""
-    parts: dict[int, list] = {}
-    for k, v in _fields(block):
-        parts.setdefault(k, []).append(v)
-    text = [v.decode() for _, v in _fields(parts[1][0])]
-    step, lat0, lon0 = (parts.get(k, [d])[0] for k, d in ((17, 100), (19, 0), (20, 0)))
-    tags = lambda f: {text[a]: text[b] for a, b in zip(_packed(f.get(2, b"")), _packed(f.get(3, b"")), strict=True)}
-    place = lambda lat, lon: ((lat0 + step * lat) / 1e9, (lon0 + step * lon) / 1e9)
-    zigzag = lambda n: (n >> 1) ^ -(n & 1)
-    for group in parts.get(2, []):
-        for kind, raw in _fields(group):
-            f = dict(_fields(raw))
-            if kind == 1:
-                yield ("node", zigzag(f[1]), *place(zigzag(f[8]), zigzag(f[9])), None, None, tags(f))
-            elif kind == 2:
-                ids, lats, lons = (np.cumsum(_packed(f[k], True)) for k in (1, 8, 9))
-                pairs, n = _packed(f.get(10, b"")).tolist(), 0
-                for i, lat, lon in zip(ids.tolist(), lats.tolist(), lons.tolist(), strict=True):
-                    own = {}
-                    while n < len(pairs) and pairs[n]:
-                        own[text[pairs[n]]] = text[pairs[n + 1]]
-                        n += 2
-                    n += 1
-                    yield ("node", i, *place(lat, lon), None, None, own)
-            elif kind == 3:
-                yield ("way", f[1], None, None, np.cumsum(_packed(f.get(8, b""), True)).tolist(), None, tags(f))
-            elif kind == 4:
-                refs = np.cumsum(_packed(f.get(9, b""), True)).tolist()
-                members = [{"type": _KINDS[t], "id": i, "role": text[r]} for t, i, r in zip(_packed(f.get(10, b"")).tolist(), refs, _packed(f.get(8, b"")).tolist(), strict=True)]
-                yield ("relation", f[1], None, None, None, members, tags(f))
-
-
-def read_osm_pbf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """nodes, ways and relations of PBF files. Files are cut into blobs first, which are then dealt over the cluster and decoded; give large extracts as several files, as one task reads a file."""
+    Where pyarrow knows the file system, the osm_pbf source reads ranges of blobs, as many tasks as a file has of them. From other file systems Spark's own reader
+    loads a file as one value, which one task cuts into blobs, so give large extracts there as several files. Objects are decoded once and written to the shared folder, for three tables.
+    """
     share_package(spark)
-    schema = f"kind string, id long, lat double, lon double, refs array<long>, members {_MEMBERS}, tags map<string,string>"
-    kinds = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("refs", pa.list_(pa.int64())), ("members", pa.list_(pa.struct([("type", pa.string()), ("id", pa.int64()), ("role", pa.string())]))), ("tags", pa.map_(pa.string(), pa.string()))])
-
-    def cut(batches):
-        for b in batches:
-            for content in b.column(0):
-                for blob in _blobs(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
-
-    def decode(batches):
-        for b in batches:
-            for blob in b.column(0):
-                rows = list(_objects(blob.as_py()))
-                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array([list(t.items()) for t in c] if f.name == "tags" else list(c), f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
-
-    blobs = spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "blob binary").repartition(spark.sparkContext.defaultParallelism)
-    objects = blobs.mapInArrow(decode, schema)
+    if "://" not in path or path.split("://")[0] in pbf.SCHEMES:
+        spark.dataSource.register(pbf.OsmPbf)
+        found = spark.read.format("osm_pbf").option("partition_bytes", partition_bytes).load(path)
+    else:
+
+        def cut(batches):
+            for b in batches:
+                for content in b.column(0):
+                    for blob in pbf.blobs(content.as_py()):
+                        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
+
+        def decode(batches):
+            for b in batches:
+                yield from pbf.batches(blob.as_py() for blob in b.column(0))
+
+        blobs = spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "blob binary").repartition(spark.sparkContext.defaultParallelism)
+        found = blobs.mapInArrow(decode, pbf.SCHEMA)
+    objects = written(found)
     return {
         "nodes": objects.where("kind = 'node'").select("id", "lat", "lon", "tags"),
         "ways": objects.where("kind = 'way'").select("id", "refs", "tags"),
@@ -275,10 +184,11 @@ def open_database(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def open_databases(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
-    """Several databases as one set of tables with db_id, the place of their path in the list."""
+    """Several databases as one set of tables with db_id, the place of their path in the list. A table that some of them lack, or a column, holds what the others have."""
     opened = [open_database(spark, p) for p in paths]
-    names = [n for n in opened[0] if all(n in o for o in opened)]
-    return {n: reduce(DataFrame.unionByName, [o[n].withColumn("db_id", F.lit(k)) for k, o in enumerate(opened)]) for n in names}
+    names = dict.fromkeys(n for o in opened for n in o)
+    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    return {n: reduce(union, [o[n].withColumn("db_id", F.lit(k)) for k, o in enumerate(opened) if n in o]) for n in names}
 
 
 def write_tiles(rows: DataFrame, path: str) -> None:
@@ -287,12 +197,16 @@ def write_tiles(rows: DataFrame, path: str) -> None:
 
 
 def map_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, directory, size, version, time): entries of nested JSON lists of maps: folders have items, maps a directory. Four levels at most."""
-    level = spark.read.schema("name string, directory string, size long, version int, timestamp long, dir string").option("multiLine", True).json(path).withColumn("path", F.array("name"))
-    parts = []
-    for _ in range(4):
-        parts.append(level.where("directory is not null"))
-        items = F.from_json("dir", "array<struct<name:string,directory:string,size:long,version:int,timestamp:long,dir:string>>")
-        level = level.where("dir is not null").select(F.col("path").alias("up"), F.explode(items).alias("e")).select("e.*", F.concat("up", F.array("e.name")).alias("path"))
-    rows = reduce(DataFrame.unionByName, parts)
+    """(path, name, directory, size, version, time): entries of nested JSON lists of maps: folders have items (dir), maps a directory. Folders may lie in each other to any depth; one that is both gives a row and its items."""
+    entry = "name string, directory string, size long, version int, timestamp long, dir string"
+    level = spark.read.schema(entry).option("multiLine", True).json(path).withColumn("path", F.array("name"))
+    items = F.from_json("dir", f"array<struct<{entry.replace(' ', ':').replace(',:', ',')}>>")
+    rows = level.where(F.lit(False))
+    while True:
+        level = written(level)
+        rows = rows.unionByName(level.where("directory is not null"))
+        inner = level.where("dir is not null").select(F.col("path").alias("up"), F.explode(items).alias("e")).select("e.*", F.concat("up", F.array("e.name")).alias("path"))
+        if level.where("dir is not null").isEmpty():
+            break
+        level = inner
     return rows.select(F.array_join("path", "/").alias("path"), "name", "directory", "size", "version", F.timestamp_seconds("timestamp").alias("time"))
