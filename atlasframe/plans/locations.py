@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import locations as ops
+from ..operators import locations as ops, region_tree
 from ..registry import query
 from ..session import share_package
-from .sample import haversine, sql, table, view, way_points
+from .sample import haversine, sql, table, view, way_lines, way_points
 
 _TREE = ", tree AS (SELECT region_id, region_id AS ancestor_id, 0 AS up FROM regions UNION ALL SELECT t.region_id, r.parent_id, t.up + 1 FROM tree t JOIN regions r ON r.region_id = t.ancestor_id WHERE r.parent_id IS NOT NULL)"
 
@@ -216,3 +216,37 @@ def l11_combined_search(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     hits = lambda rows, name, kinds: rows.select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("obj_id"), name.alias("name"), (1 + F.col("c_custkey") % kinds).alias("quality"))
     return ops.combined_search(hits(c.where("c_custkey % 2 = 0"), F.col("c_name"), 3), hits(c, F.concat(F.lit("near "), F.col("c_name")), 2), 20)
+
+
+def _boundaries(spark, sf_dir):
+    """The regions' boxes as rings, each with its level and name but without its parent."""
+    corner = lambda lat, lon: F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    ring = F.array(corner("min_lat", "min_lon"), corner("min_lat", "max_lon"), corner("max_lat", "max_lon"), corner("max_lat", "min_lon"))
+    return view(spark, sf_dir, "regions").select("region_id", "name", "level", ring.alias("ring"))
+
+
+@query(sql("regions")("""SELECT region_id, parent_id, name, CAST(level AS INT) AS level, CAST(CASE level WHEN 2 THEN 0 WHEN 4 THEN 1 ELSE 2 END AS INT) AS depth FROM regions"""))
+def l12_built_regions(spark, sf_dir):
+    """The tree of regions from their rings alone: parents are found, not read."""
+    return region_tree.build_regions(_boundaries(spark, sf_dir))
+
+
+@query(sql("regions", "nodes")("""SELECT region_id, obj_id AS node_id, n.name FROM (SELECT * FROM nodes WHERE type = 'depot') n JOIN regions r ON r.level = 8 AND n.lat >= min_lat AND n.lat < max_lat AND n.lon >= min_lon AND n.lon < max_lon"""))
+def l12_built_aliases(spark, sf_dir):
+    """Suppliers as places: other names of the cities that they lie in."""
+    b = _boundaries(spark, sf_dir)
+    places = view(spark, sf_dir, "nodes").where("type = 'depot'").select(F.col("obj_id").alias("node_id"), "name", "lat", "lon")
+    return region_tree.build_aliases(places, region_tree.build_regions(b), b)
+
+
+@query(sql("regions", "ways", "way_points")(""", v AS (SELECT way_id, region_id, count(*) AS n FROM way_points p JOIN regions r ON r.level = 8 AND p.lat >= min_lat AND p.lat < max_lat AND p.lon >= min_lon AND p.lon < max_lon GROUP BY ALL),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY way_id ORDER BY n DESC, region_id) = 1)
+SELECT region_id, name, count(*) AS n_ways, sum(n)::BIGINT AS n_points FROM b JOIN ways USING (way_id) GROUP BY region_id, name"""))
+def l12_built_streets(spark, sf_dir):
+    """Ways as streets: the locations of each city, with their ways and these ways' points inside it."""
+    b = _boundaries(spark, sf_dir)
+    w = way_lines(spark, sf_dir).select("way_id", "name", "points")
+    s = region_tree.streets_of_regions(w, region_tree.build_regions(b), b)
+    places, objects = region_tree.build_locations(s)
+    points = s.join(w.select("way_id", F.size("points").alias("n")), "way_id").select("way_id", F.round(F.col("share") * F.col("n")).cast("long").alias("n_points"))
+    return places.join(objects, "location_id").join(points, "way_id").groupBy("region_id", "name").agg(F.count("*").alias("n_ways"), F.sum("n_points").alias("n_points"))
