@@ -203,13 +203,16 @@ def lane_changes(route: DataFrame) -> DataFrame:
 def matched_positions(positions: DataFrame, route: DataFrame, most: float, level: int = 14) -> DataFrame:
     """positions (route, key, lat, lon) with idx, at_lat, at_lon and distance: the closest place on the own route's segments, idx the node before it; null beyond most metres (off the route).
 
-    A segment lies in all tiles that its box touches, a position asks those that its circle touches; the best place of
+    A segment lies in all tiles that come within most metres of its box, so a position asks its own tile alone and meets each segment once; the best place of
     each is kept before the shuffle. level suits the length of segments.
     """
     node = F.struct("lat", "lon")
     parts = route.select("route", "idx", node.alias("a"), F.lead(node).over(_along()).alias("b")).where("b is not null")
-    placed = parts.select("route", "idx", F.struct("a", "b").alias("part"), F.explode(geo.tiles_of_box(geo.box_of_points(F.array("a", "b")), level)).alias("tile"))
-    asked = positions.select("route", "key", node.alias("p"), F.explode(geo.tiles_of_box(geo.box_around(F.col("lat"), F.col("lon"), F.lit(most)), level)).alias("tile"))
+    # A little wider than asked for, as a circle's box at one end is narrower than where it lies nearer to a pole.
+    around = lambda end: geo.box_around(F.col(f"{end}.lat"), F.col(f"{end}.lon"), F.lit(1.02 * most + 1))
+    reach = geo.box_or(around("a"), around("b"))
+    placed = parts.select("route", "idx", F.struct("a", "b").alias("part"), F.explode(geo.tiles_of_box(reach, level)).alias("tile"))
+    asked = positions.select("route", "key", node.alias("p"), geo.tile(F.col("lat"), F.col("lon"), level).alias("tile"))
     met = asked.join(placed, ["route", "tile"]).withColumn("at", nearest_on_segment(F.col("p"), F.col("part"))).where("at.lat is not null")
     far = spherical_distance(F.col("p.lat"), F.col("p.lon"), F.col("at.lat"), F.col("at.lon"))
     best = met.withColumn("distance", far).where(F.col("distance") <= most).groupBy("route", "key").agg(F.min(F.struct("distance", "idx", "at")).alias("m"))

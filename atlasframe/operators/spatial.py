@@ -7,6 +7,8 @@ compares all with all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,15 +143,31 @@ def region_parents(regions: DataFrame, share: float = 0.9, level: int = 7) -> Da
     return best.select(F.col("child").alias("region_id"), (-F.col("best.id")).alias("parent_id"))
 
 
-def crossings(lines: DataFrame, others: DataFrame, level: int = LEVEL) -> DataFrame:
-    """Where edges of lines (a_id, points) cross edges of others (b_id, points): (a_id, b_id, lat, lon), each pair of edges once. Edges meet in the tiles that their boxes touch."""
+def edge_level(lines: DataFrame, most: int = 20) -> int:
+    """The finest tile level whose tiles are no smaller than the median edge of lines (points); LEVEL without edges."""
+    box = geo.box_of_points(F.array("s.a", "s.b"))
+    long = F.greatest(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"])
+    median = lines.select(F.explode(shapes.segments(F.col("points"))).alias("s")).agg(F.percentile_approx(long, 0.5, 1000).alias("m")).first()["m"]
+    return LEVEL if median is None else max(1, min(most, int(math.log2(180 / max(median, 1e-9)))))
 
-    def edges(df: DataFrame, key: str, name: str) -> DataFrame:
-        e = df.select(key, F.posexplode(shapes.segments(F.col("points"))).alias(f"{name}_no", name))
-        return e.withColumn("tile", F.explode(geo.tiles_of_box(geo.box_of_points(F.array(f"{name}.a", f"{name}.b")), level)))
 
-    met = edges(lines, "a_id", "u").join(edges(others, "b_id", "v"), "tile").withColumn("at", shapes.meeting_point(F.col("u.a"), F.col("u.b"), F.col("v.a"), F.col("v.b"))).where("at is not null")
-    return met.groupBy("a_id", "b_id", "u_no", "v_no").agg(F.first("at").alias("at")).select("a_id", "b_id", "at.lat", "at.lon")
+def crossings(lines: DataFrame, others: DataFrame, level: int | None = None) -> DataFrame:
+    """Where edges of lines (a_id, points) cross edges of others (b_id, points): (a_id, b_id, lat, lon), each pair of edges once.
+
+    Edges meet in the tiles that their boxes touch, at a level that suits their length if none is given. Boxes are compared first, and a pair counts only in the tile where the
+    south-west corner of both boxes' common part lies, so no pair comes twice and nothing is shuffled after the join.
+    """
+    level = edge_level(lines) if level is None else level
+
+    def edges(df: DataFrame, key: str, name: str) -> DataFrame:
+        e = df.select(key, F.explode(shapes.segments(F.col("points"))).alias(name)).withColumn(f"{name}_box", geo.box_of_points(F.array(f"{name}.a", f"{name}.b")))
+        return e.withColumn("tile", F.explode(geo.tiles_of_box(F.col(f"{name}_box"), level)))
+
+    p, q = F.col("u_box"), F.col("v_box")
+    corner = geo.tile(F.greatest(p["min_lat"], q["min_lat"]), F.greatest(p["min_lon"], q["min_lon"]), level)
+    near = edges(lines, "a_id", "u").join(edges(others, "b_id", "v"), "tile").where(geo.boxes_meet(p, q) & (corner == F.col("tile")))
+    met = near.withColumn("at", shapes.meeting_point(F.col("u.a"), F.col("u.b"), F.col("v.a"), F.col("v.b"))).where("at is not null")
+    return met.select("a_id", "b_id", "at.lat", "at.lon")
 
 
 # ---- grids

@@ -139,10 +139,10 @@ def j13_nearest_road_node(spark, sf_dir):
 
 
 @query(sql("ways", "way_points")("""SELECT a.way_id AS a_id, b.way_id AS b_id, a.node_id FROM way_points a JOIN way_points b USING (node_id) JOIN ways wa ON wa.way_id = a.way_id JOIN ways wb ON wb.way_id = b.way_id
-WHERE wa.upright = 1 AND wb.upright = 0 AND wa.type = 'motorway' AND wb.type = 'motorway' GROUP BY ALL"""))
+WHERE wa.upright = 1 AND wb.upright = 0 GROUP BY ALL"""))
 def j18_path_crossings(spark, sf_dir):
-    """Upright motorways cross level ones at the grid's nodes."""
-    w = way_lines(spark, sf_dir).where("type = 'motorway'")
+    """Upright ways cross level ones at the grid's nodes."""
+    w = way_lines(spark, sf_dir)
     met = spatial.crossings(w.where("upright = 1").select(F.col("way_id").alias("a_id"), "points"), w.where("upright = 0").select(F.col("way_id").alias("b_id"), "points"))
     node = F.round((F.col("lat") - 48) * 500).cast("long") * 1000 + F.round((F.col("lon") - 8) * 1000 / 3).cast("long")
     return met.select("a_id", "b_id", node.alias("node_id")).distinct()
