@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clipping, geo, shapes
-from ..operators import maps
+from ..operators import coasts, maps
 from ..registry import query
-from .sample import area_rings, sql, table, view, way_lines
+from .sample import ISLAND_LEVEL, area_rings, island_coasts, sql, table, view, way_lines
 
 _RULES = [
     (1, "line", None, 0, None, None, None, {"color": "#808080", "width": "1"}),
@@ -30,9 +30,10 @@ def m6_styles(spark, sf_dir):
     return maps.resolved_styles(w, _rules(spark), 12)
 
 
-@query("SELECT * FROM (VALUES ('motorway'), ('primary')) AS t(type)")
+@query(sql("ways")("SELECT way_id FROM ways WHERE type IN ('motorway', 'primary')"))
 def m2_types_at_zoom(spark, sf_dir):
-    return maps.types_at(_rules(spark), 12)
+    """Ways of the types that have a rule of their own at a zoom level."""
+    return view(spark, sf_dir, "ways").join(maps.types_at(_rules(spark), 12), "type", "left_semi").select("way_id")
 
 
 @query(sql("areas", "corners")("""SELECT area_id FROM corners GROUP BY area_id HAVING min(clat) <= 48.5 AND max(clat) >= 47.5 AND min(clon) <= 9 AND max(clon) >= 8 AND (max(clat) - min(clat) > 5 * 360 / CAST(262144 AS DOUBLE) OR max(clon) - min(clon) > 5 * 360 / CAST(262144 AS DOUBLE))"""))
@@ -99,12 +100,13 @@ def m4_missing_tiles(spark, sf_dir):
     return maps.missing_tiles(wanted, loaded)
 
 
-@query("""SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CASE WHEN x = y THEN 'land' ELSE 'water' END AS state FROM (SELECT unnest(generate_series(133, 135)) AS x), (SELECT unnest(generate_series(195, 197)) AS y)""")
+@query(sql("islands", "island_cells")("""SELECT x, y, CASE WHEN touched AND NOT inner_cell THEN 'coast' ELSE 'water' END AS state FROM island_cells WHERE x BETWEEN 7 AND 146 AND y <= 6 UNION SELECT x, y, 'water' FROM (SELECT unnest(generate_series(7, 146)) AS x), (SELECT unnest(generate_series(0, 6)) AS y) WHERE (x, y) NOT IN (SELECT x, y FROM island_cells)"""))
 def p16_ground_tiles(spark, sf_dir):
-    """At level 8 the box of 47.2 to 49.1 N and 7.1 to 9.9 E touches nine cells; stored is the diagonal (none of them)."""
-    box = spark.createDataFrame([(47.2, 7.1, 49.1, 10.3)], "min_lat double, min_lon double, max_lat double, max_lon double")
-    stored = spark.range(133, 136).select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit("land").alias("state"))
-    return maps.ground_tiles(box, 8, stored, "water")
+    """The cells of a box of 140 by 7, some with the coasts of islands; the others are water by default."""
+    w, h = 360 / 2.0**ISLAND_LEVEL, 180 / 2.0**ISLAND_LEVEL
+    box = spark.createDataFrame([(0.5 * h - 90, 7.5 * w - 180, 6.5 * h - 90, 146.5 * w - 180)], "min_lat double, min_lon double, max_lat double, max_lon double")
+    stored = coasts.ground_polygons(island_coasts(spark, sf_dir), ISLAND_LEVEL).select("x", "y", F.lit("coast").alias("state")).distinct()
+    return maps.ground_tiles(box, ISLAND_LEVEL, stored, "water")
 
 
 @query()

@@ -52,11 +52,11 @@ def g7_g8_costs(spark, sf_dir):
     return g.select("from_id", "to_id", "way_id", F.round(routing.shortest_cost(), 6).alias("km"), F.round(routing.fastest_cost("car"), 9).alias("hours"))
 
 
-@query("SELECT * FROM (SELECT kind, CASE kind WHEN 'motorway' THEN 110 WHEN 'primary' THEN 70 WHEN 'secondary' THEN 60 WHEN 'residential' THEN 40 ELSE 0 END::DOUBLE AS car, CASE WHEN kind = 'motorway' THEN 0 ELSE 5 END::DOUBLE AS foot FROM (SELECT unnest(['motorway', 'primary', 'secondary', 'residential', 'track']) AS kind))")
+@query(sql("ways")("""SELECT way_id, least(s, coalesce(maxspeed, s))::DOUBLE AS car, (CASE WHEN type = 'motorway' THEN 0 ELSE least(5, coalesce(maxspeed, 5)) END)::DOUBLE AS foot FROM (SELECT *, CASE type WHEN 'motorway' THEN 110 WHEN 'primary' THEN 70 WHEN 'secondary' THEN 60 WHEN 'residential' THEN 40 ELSE 0 END AS s FROM ways)"""))
 def g9_profiles(spark, sf_dir):
-    kinds = spark.createDataFrame([(k,) for k in routing.SPEEDS["car"]], "kind string")
-    none = F.lit(None).cast("int")
-    return kinds.select("kind", routing.speed("car", F.col("kind"), none).alias("car"), routing.speed("foot", F.col("kind"), none).alias("foot"))
+    """The speed of each way for two profiles."""
+    w = view(spark, sf_dir, "ways")
+    return w.select("way_id", routing.speed("car", F.col("type"), F.col("maxspeed")).alias("car"), routing.speed("foot", F.col("type"), F.col("maxspeed")).alias("foot"))
 
 
 def _relaxed(rounds: int, limit: float) -> str:

@@ -62,28 +62,29 @@ def e4_elevation_profile(spark, sf_dir):
     return tracks.elevation_profile(lines, contours).groupBy("a_id").agg(F.count("*").alias("n"))
 
 
-def _grid(spark):
-    cell = spark.range(60 * 60).select((F.col("id") / 60).cast("int").alias("row"), (F.col("id") % 60).cast("int").alias("col"))
-    return cell.select(F.lit("N48E008").alias("file"), "row", "col", (F.col("row") * 3 + F.col("col") * F.col("col") % 50).cast("int").alias("height"))
+def _grid(spark, sf_dir):
+    """Heights of a file of 60 by 60 cells, from parts by their numbers: those of one cell pile up."""
+    cell = table(spark, sf_dir, "part").select((F.floor(F.col("p_partkey") / 60) % 60).cast("int").alias("row"), (F.col("p_partkey") % 60).cast("int").alias("col"), "p_size")
+    return cell.groupBy("row", "col").agg((F.sum("p_size") * 3 % 401).cast("int").alias("height")).select(F.lit("N48E008").alias("file"), "row", "col", "height")
 
 
-_GRID = "(SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(r * 3 + c * c % 50 AS INT) AS height FROM (SELECT unnest(generate_series(0, 59)) AS r), (SELECT unnest(generate_series(0, 59)) AS c))"
+_GRID = "(SELECT CAST(p_partkey // 60 % 60 AS INT) AS row, CAST(p_partkey % 60 AS INT) AS col, CAST(sum(p_size) * 3 % 401 AS INT) AS height FROM part GROUP BY ALL)"
 
 
 @query(sql("nodes")(f"""SELECT obj_id AS key, height FROM nodes LEFT JOIN {_GRID} g ON floor(lat) = 48 AND floor(lon) = 8 AND row = CAST(least(59, floor((1 - (lat - 48)) * 59 + 0.5)) AS INT) AND col = CAST(least(59, floor((lon - 8) * 59 + 0.5)) AS INT)"""))
 def p17_heights(spark, sf_dir):
-    return tracks.height_at(_grid(spark), view(spark, sf_dir, "nodes").select(F.col("obj_id").alias("key"), "lat", "lon"), 60).select("key", "height")
+    return tracks.height_at(_grid(spark, sf_dir), view(spark, sf_dir, "nodes").select(F.col("obj_id").alias("key"), "lat", "lon"), 60).select("key", "height")
 
 
 @query(f"""SELECT row, col, round(greatest(0, cos(radians(45)) * cos(s) + sin(radians(45)) * sin(s) * cos(radians(135) - a)), 6) AS shade FROM (SELECT row, col, atan(sqrt(dx * dx + dy * dy)) AS s, atan2(dy, -dx) AS a FROM (
   SELECT g.row, g.col, (e.height - w.height) / CAST(180 AS DOUBLE) AS dx, (s.height - n.height) / CAST(180 AS DOUBLE) AS dy FROM {_GRID} g JOIN {_GRID} e ON e.row = g.row AND e.col = g.col + 1 JOIN {_GRID} w ON w.row = g.row AND w.col = g.col - 1 JOIN {_GRID} s ON s.col = g.col AND s.row = g.row + 1 JOIN {_GRID} n ON n.col = g.col AND n.row = g.row - 1))""")
 def m10_hill_shading(spark, sf_dir):
-    return tracks.hill_shading(_grid(spark)).select("row", "col", F.round("shade", 6).alias("shade"))
+    return tracks.hill_shading(_grid(spark, sf_dir)).select("row", "col", F.round("shade", 6).alias("shade"))
 
 
-@query(f"""SELECT CAST(level AS DOUBLE) AS level, count(*) AS n FROM (SELECT unnest(generate_series(0, 250, 20)) AS level) JOIN (SELECT a.height AS h, b.height AS o FROM {_GRID} a JOIN {_GRID} b ON (b.row = a.row AND b.col = a.col + 1) OR (b.col = a.col AND b.row = a.row + 1)) ON level > least(h, o) AND level <= greatest(h, o) GROUP BY level""")
+@query(f"""SELECT CAST(level AS DOUBLE) AS level, count(*) AS n FROM (SELECT unnest(generate_series(0, 400, 20)) AS level) JOIN (SELECT a.height AS h, b.height AS o FROM {_GRID} a JOIN {_GRID} b ON (b.row = a.row AND b.col = a.col + 1) OR (b.col = a.col AND b.row = a.row + 1)) ON level > least(h, o) AND level <= greatest(h, o) GROUP BY level""")
 def m10_contours(spark, sf_dir):
-    return tracks.contour_segments(_grid(spark), 20.0).groupBy("level").agg(F.count("*").alias("n"))
+    return tracks.contour_segments(_grid(spark, sf_dir), 20.0).groupBy("level").agg(F.count("*").alias("n"))
 
 
 def _messages(spark, sf_dir):

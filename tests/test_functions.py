@@ -19,11 +19,21 @@ def tags(**given):
     return F.create_map(*[F.lit(x) for k, v in given.items() for x in (k.replace("__", ":"), v)])
 
 
+def dms(degrees, minutes, seconds):
+    return degrees + minutes / 60 + seconds / 3600
+
+
 def test_distances_and_targets():
-    assert geodesic.distance([51.43170928], [6.80131361], [51.48510151], [7.4160216])[0] == pytest.approx(43135.331925602415, abs=1e-6)
-    lat, lon = geodesic.destination([51.43170928], [6.80131361], [76.01008527309141], [14665.298166863819])
-    assert lat[0] == pytest.approx(51.463397, abs=1e-6) and lon[0] == pytest.approx(7.006078, abs=1e-6)
-    assert geodesic.distance([1.0], [2.0], [1.0], [2.0])[0] == 0
+    """The line from Flinders Peak to Buninyong of Australia's geodetic manual, which gives 54972.271 m and 306 52 05.37 (the ellipsoids differ by less than a tenth of a millimetre)."""
+    lat1, lon1 = -dms(37, 57, 3.7203), dms(144, 25, 29.5244)
+    lat2, lon2 = -dms(37, 39, 10.1561), dms(143, 55, 35.3839)
+    assert geodesic.distance([lat1], [lon1], [lat2], [lon2])[0] == pytest.approx(54972.271, abs=1e-3)
+    lat, lon = geodesic.destination([lat1], [lon1], [dms(306, 52, 5.37)], [54972.271])
+    assert lat[0] == pytest.approx(lat2, abs=1e-6) and lon[0] == pytest.approx(lon2, abs=1e-6)
+    # A quarter of the equator and of a meridian, whose lengths follow from the ellipsoid's axes.
+    assert geodesic.distance([0.0], [10.0], [0.0], [11.0])[0] == pytest.approx(6378137 * np.pi / 180, abs=1e-3)
+    assert geodesic.distance([0.0], [0.0], [90.0], [0.0])[0] == pytest.approx(10001965.729, abs=1e-2)
+    assert geodesic.distance([-33.0], [18.0], [-33.0], [18.0])[0] == 0
 
 
 def test_destination_and_distance_agree():
@@ -35,9 +45,12 @@ def test_destination_and_distance_agree():
 @pytest.mark.parametrize(
     ("given", "expected"),
     [
-        ("", None), (" ", None), ("X", None), ("N 40", None), ("N 40 W", None), ("40 7X", None), ("99 7", None), ("40 190", None), ("40 7", (40, 7)), ("40 -7", (40, -7)), ("+40 -7", (40, -7)), ("N40 E7", (40, 7)),
-        ("40 N E 7", (40, 7)), ("40 N 7 E  ", (40, 7)), ("40.12 7.12", (40.12, 7.12)), ("40,123 -7,123", (40.123, -7.123)), ("50°5'8.860\"N 14°24'37.592\"E", (50.0857944, 14.4104422)), ("N 50°5.14767' E 14°24.62653'", (50.0857944, 14.4104422)),
-        ("50.02071° 14.57931°", (50.02071, 14.57931)), ("50° 1.243' 14° 34.759'", (50.0207167, 14.5793167)), ("N 050° 5.14767, E 14° 24.62653", (50.0857944, 14.4104422)), ("S 3 W 4", (-3, -4)),
+        # Nothing, words, one number, a side without the other, a number with a word's letter, and numbers out of range.
+        ("", None), ("   ", None), ("here", None), ("S 33", None), ("S 33 E", None), ("33 18k", None), ("91 18", None), ("33 181", None),
+        # Plain numbers, signs, sides before and behind, decimal commas.
+        ("33 18", (33, 18)), ("33 -18", (33, -18)), ("+33 -18", (33, -18)), ("S33 E18", (-33, 18)), ("33 S E 18", (-33, 18)), ("33 S 18 W  ", (-33, -18)), ("33.92 18.42", (33.92, 18.42)), ("33,925 -18,424", (33.925, -18.424)),
+        # Degrees, minutes and seconds of Sydney, Tokyo and the Cape, with and without marks.
+        ("33°52'7.680\"S 151°12'33.480\"E", (-33.8688, 151.2093)), ("N 35°41.370' E 139°41.502'", (35.6895, 139.6917)), ("33.92490° 18.42410°", (33.9249, 18.4241)), ("35° 41.370' 139° 41.502'", (35.6895, 139.6917)), ("N 035° 41.370, E 139° 41.502", (35.6895, 139.6917)), ("S 34 W 18", (-34, -18)),
     ],
 )
 def test_coordinates_from_text(spark, given, expected):
