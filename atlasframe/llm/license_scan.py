@@ -53,9 +53,15 @@ distributed under the license is distributed on an as is basis without warrantie
 see the license for the specific language governing permissions and limitations under the license]]"""
 UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute
 this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""
-GPL = """is free software you can redistribute it and or modify it under the terms of the GNU {{kind:0-1}} general public license
+GPL = """is free software you can redistribute it and or modify it under the terms of the GNU general public license
 [[version {{number:1-2}}]] as published by the free software foundation"""
 
+#: Identifiers of the SPDX list, as words, with their labels.
+SPDX = (
+    ("MIT", "mit"), ("Apache 2 0", "apache-2"), ("BSD 2 Clause", "bsd-2"), ("BSD 3 Clause", "bsd-3"), ("ISC", "isc"), ("Zlib", "zlib"), ("Unlicense", "unlicense"), ("MPL 2 0", "mpl-2"), ("GPL 2 0", "gpl-2"), ("GPL 3 0", "gpl-3"), ("LGPL 2 1", "lgpl-2.1"),
+    ("LGPL 3 0", "lgpl-3"), ("AGPL 3 0", "agpl-3"), ("CC0 1 0", "cc0"), ("CC BY 4 0", "cc-by"), ("CC BY SA 4 0", "cc-by-sa"), ("CC BY NC 4 0", "cc-by-nc"), ("CC BY NC SA 4 0", "cc-by-nc-sa"), ("CC BY NC ND 4 0", "cc-by-nc-nd"),
+)
+
 #: (label, anchor, template): whole licenses, then their notices.
 TEMPLATES = (
     ("mit", "sublicense", MIT),
@@ -72,14 +78,23 @@ TEMPLATES = (
     ("gpl-2", "gnu", "under the [[terms of the]] GNU general public license [[as published by the free software foundation]] [[either]] version 2"),
     ("gpl-3", "gnu", "under the [[terms of the]] GNU general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]] [[or any later version]]"),
     ("lgpl", "lesser", "under the [[terms of the]] GNU lesser general public license"),
+    ("lgpl-2.1", "lesser", "under the [[terms of the]] GNU lesser general public license [[as published by the free software foundation]] [[either]] version 2 1"),
+    ("lgpl-3", "lesser", "under the [[terms of the]] GNU lesser general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("agpl", "affero", "under the [[terms of the]] GNU Affero general public license"),
+    ("agpl-3", "affero", "under the [[terms of the]] GNU Affero general public license [[as published by the free software foundation]] [[either]] version 3"),
     ("mpl-2", "mozilla", "subject to the terms of the Mozilla public license [[v]] [[version]] 2 [[0]]"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted [[provided that the following conditions are met]]"),
     ("isc", "isc", "under the [[terms of the]] ISC license"),
     ("cc-by-nc", "cc", "licensed under [[a]] CC BY NC [[{{variant:0-1}} 4 0]]"),
-    ("cc-by-nc", "noncommercial", "under [[a]] [[the]] creative commons attribution noncommercial {{variant:0-2}} license"),
+    ("cc-by-nc-sa", "cc", "licensed under [[a]] CC BY NC SA [[4 0]]"),
+    ("cc-by-nc-nd", "cc", "licensed under [[a]] CC BY NC ND [[4 0]]"),
+    ("cc-by-nc", "noncommercial", "under [[a]] [[the]] creative commons attribution noncommercial [[4 0]] [[international]] [[public]] license"),
+    ("cc-by-nc-sa", "noncommercial", "under [[a]] [[the]] creative commons attribution noncommercial sharealike [[4 0]] [[international]] [[public]] license"),
+    ("cc-by-nc-nd", "noncommercial", "under [[a]] [[the]] creative commons attribution noncommercial noderivatives [[4 0]] [[international]] [[public]] license"),
     ("cc-by", "cc", "licensed under [[a]] CC BY 4 0"),
     ("cc-by-sa", "cc", "licensed under [[a]] CC BY SA [[4 0]]"),
     ("cc0", "cc0", "under [[the]] CC0 [[1 0]]"),
+    *((label, "spdx", f"SPDX license identifier {name}") for name, label in SPDX),
 )
 
 

@@ -87,6 +87,24 @@ def test_template_markup():
     assert [run(x.split()) for x in ("a maybe b q c", "a b q c", "a b q r c", "a b c", "a b q r s c", "a other b q c", "b q c")] == [True, True, True, False, False, False, False]
 
 
+NOTICES = [
+    # Notices as projects print them; what they must and must not be taken for.
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lgpl,lgpl-2.1"),
+    ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License.", "lgpl,lgpl-3"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "agpl,agpl-3"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "gpl,gpl-3"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation.", "gpl,gpl-2"),
+    ("// SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3"), ("// SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("# SPDX-License-Identifier: Apache-2.0", "apache-2"), ("SPDX-License-Identifier: LGPL-2.1", "lgpl-2.1"),
+    ("It is licensed under a CC BY NC SA 4.0 license.", "cc-by-nc,cc-by-nc-sa"), ("It is licensed under CC BY-NC-ND 4.0.", "cc-by-nc,cc-by-nc-nd"), ("under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+    ("under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"), ("the GNU project and its lesser known license", ""),
+]
+
+
+def test_license_notices_have_their_own_labels(spark):
+    docs = cases.documents(spark, [text for text, _ in NOTICES])
+    assert {r.doc_id: r.labels for r in license_scan.scan_licenses(docs).collect()} == {k + 1: labels for k, (_, labels) in enumerate(NOTICES)}
+
+
 def test_license_empty_table(spark):
     assert license_scan.scan_licenses(cases.no_documents(spark)).collect() == []
 
