@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import spherical_distance
-from ..session import written
+from ..session import discard, written
 
 #: km/h by type and vehicle; 0 can't be used.
 SPEEDS = {
@@ -177,7 +177,7 @@ def costs_from(sources: DataFrame, graph: DataFrame, limit: float | None = None)
     """(source, node_id, cost, hops, prev_id): the least cost from each source (source, node_id, and a cost to begin with if there is one) to every node it reaches.
 
     graph: (from_id, to_id, cost), costs not negative. Each round joins only nodes whose cost fell in the round before with their edges and keeps the least
-    cost of each node; it ends when no cost falls. Every round is a written table. Ties go to the smaller predecessor.
+    cost of each node; it ends when no cost falls. Every round is a written table, which the next one replaces. Ties go to the smaller predecessor.
     """
     lightest = graph.groupBy("from_id", "to_id").agg(F.min("cost").alias("cost"))
     lightest = written(lightest)
@@ -195,12 +195,64 @@ def costs_from(sources: DataFrame, graph: DataFrame, limit: float | None = None)
         both = now.withColumn("fresh", F.lit(False)).unionByName(new)
         # An old row wins a tie against a new one (false sorts first), so nothing moves without need.
         best = both.groupBy("source", "node_id").agg(F.min(F.struct("cost", "fresh", "prev_id", "hops")).alias("b"))
-        now = written(best.select("source", "node_id", "b.cost", "b.hops", "b.prev_id", "b.fresh"))
+        before, now = now, written(best.select("source", "node_id", "b.cost", "b.hops", "b.prev_id", "b.fresh"))
+        discard(before)
         if now.where("fresh").isEmpty():
             break
     return now.select("source", "node_id", "cost", "hops", "prev_id")
 
 
+def landmark_costs(landmarks: DataFrame, graph: DataFrame, limit: float | None = None) -> DataFrame:
+    """(node_id, away, back): for each node the costs from the landmarks (node_id) to it and from it to them, as maps by landmark. Nodes beyond limit of a landmark lack it.
+
+    A few landmarks at the rim of the map serve all searches over a graph, so this table is made once and kept with the graph.
+    """
+    starts = landmarks.select(F.col("node_id").alias("source"), "node_id")
+    turned = graph.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "cost")
+    ways = [costs_from(starts, g, limit).select("node_id", "source", "cost", F.lit(k).alias("way")) for k, g in enumerate((graph, turned))]
+    of = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("way") == k, F.struct("source", "cost")))))
+    return written(ways[0].unionByName(ways[1]).groupBy("node_id").agg(of(0).alias("away"), of(1).alias("back")))
+
+
+def _least_cost(at: tuple[Column, Column], target: tuple[Column, Column]) -> Column:
+    """A bound from below of the cost from a node to a target by the triangle inequality, from their (away, back) maps; 0 without a landmark in common."""
+    ahead = F.transform(F.map_entries(target[0]), lambda e: e["value"] - F.try_element_at(at[0], e["key"]))
+    behind = F.transform(F.map_entries(at[1]), lambda e: e["value"] - F.try_element_at(target[1], e["key"]))
+    top = lambda values: F.coalesce(F.array_max(F.array_compact(values)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.coalesce(top(ahead), F.lit(0.0)), F.coalesce(top(behind), F.lit(0.0)))
+
+
+def search_to(pairs: DataFrame, graph: DataFrame, known: DataFrame) -> DataFrame:
+    """(source, target, node_id, cost, prev_id): what a search from each source to its target (source, target) settles; the rows of the target itself hold the answers.
+
+    known is landmark_costs of the same graph. A node is only gone on from while its cost and the bound to the target from below don't exceed the best
+    cost known: at first that of a way over a landmark, later the target's own. Costs to targets are those of costs_from; targets that can't be reached have no row.
+    """
+    lightest = written(graph.groupBy("from_id", "to_id").agg(F.min("cost").alias("cost")))
+    none = F.lit(None).cast(dict(graph.dtypes)["from_id"])
+    of = lambda name, to: known.select(F.col("node_id").alias(name), F.col("away").alias(f"{to}_away"), F.col("back").alias(f"{to}_back"))
+    asked = pairs.select("source", "target").distinct().join(of("source", "s"), "source", "left").join(of("target", "t"), "target", "left")
+    over = F.array_min(F.array_compact(F.transform(F.map_entries("s_back"), lambda e: e["value"] + F.try_element_at("t_away", e["key"]))))
+    asked = written(asked.select("source", "target", "t_away", "t_back", F.coalesce(over, F.lit(float("inf"))).alias("over")))
+    now = written(asked.select("source", "target", F.col("source").alias("node_id"), F.lit(0.0).alias("cost"), none.alias("prev_id"), F.lit(True).alias("fresh")))
+    while True:
+        best = now.where("node_id = target").select("source", "target", F.col("cost").alias("found"))
+        limits = asked.join(best, ["source", "target"], "left").withColumn("most", F.least("over", F.coalesce("found", F.lit(float("inf")))))
+        moved = now.where("fresh").select("source", "target", F.col("node_id").alias("from_id"), F.col("cost").alias("c0")).join(lightest, "from_id")
+        new = moved.select("source", "target", F.col("to_id").alias("node_id"), (F.col("c0") + F.col("cost")).alias("cost"), F.col("from_id").alias("prev_id"), F.lit(True).alias("fresh"))
+        judged = new.join(limits, ["source", "target"]).join(of("node_id", "n"), "node_id", "left")
+        least = F.coalesce(_least_cost((F.col("n_away"), F.col("n_back")), (F.col("t_away"), F.col("t_back"))), F.lit(0.0))
+        # A little more than the best cost, as sums of one way's costs in another order may differ in their last digits.
+        kept = judged.where(F.col("cost") + least <= F.col("most") * (1 + 1e-12) + 1e-12).select(*new.columns)
+        both = now.withColumn("fresh", F.lit(False)).unionByName(kept)
+        top = both.groupBy("source", "target", "node_id").agg(F.min(F.struct("cost", "fresh", "prev_id")).alias("b"))
+        before, now = now, written(top.select("source", "target", "node_id", "b.cost", "b.prev_id", "b.fresh"))
+        discard(before)
+        if now.where("fresh").isEmpty():
+            break
+    return now.drop("fresh")
+
+
 def paths_to(targets: DataFrame, costs: DataFrame) -> DataFrame:
     """(source, target, pos, node_id): the nodes of the cheapest path from each source to each target (source, target), from the target's end back, pos 0 the source."""
     step = written(targets.join(costs.withColumnRenamed("node_id", "target"), ["source", "target"]).select("source", "target", F.col("target").alias("node_id"), "prev_id", F.lit(0).alias("back")))

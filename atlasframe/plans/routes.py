@@ -75,6 +75,22 @@ def g10_path_costs(spark, sf_dir):
     return routing.costs_from(sources, g, limit=1.8).select("source", "node_id", F.round("cost", 6).alias("km"))
 
 
+#: Steps north and east from a search's source to its targets.
+_TARGETS = ((1, 2), (2, -3), (-2, 4), (5, 1), (-3, -3))
+
+
+@query(sql("ways", "way_points")(f"{_EDGES}{_relaxed(9, 1.8)} WHERE node_id - source IN ({', '.join(str(y * 1000 + x) for y, x in _TARGETS)})"))
+def g10_goal_directed(spark, sf_dir):
+    """Kilometres from four crossings to some targets each, by searches that landmarks around them guide; of costs up to 1.8 km."""
+    g = _graph(spark, sf_dir).withColumn("cost", routing.shortest_cost())
+    rim = [y * 1000 + x for y in (min(SOURCES) - 6, max(SOURCES) + 6) for x in (min(SOURCES) - 6, max(SOURCES) + 6)]
+    known = routing.landmark_costs(spark.createDataFrame([(n,) for n in rim], "node_id long"), g, limit=4.0)
+    nodes = view(spark, sf_dir, "way_points").select(F.col("node_id").alias("target")).distinct()
+    pairs = spark.createDataFrame([(y * 1000 + x, (y + dy) * 1000 + x + dx) for y in SOURCES for x in SOURCES for dy, dx in _TARGETS], "source long, target long").join(nodes, "target")
+    found = routing.search_to(pairs, g, known).where("node_id = target and cost <= 1.8")
+    return found.select("source", "node_id", F.round("cost", 6).alias("km"))
+
+
 _RESTRICTED, _BEGIN, _LIMIT_HOURS = "way_id % 11 = 0", "way_id % 500 = 0", 0.02
 #: Edges as states of a search by car: their hours, restrictions of turns as in g5, turns with what a change of ways costs.
 _TURNS = f"""{_EDGES}, drive AS MATERIALIZED (SELECT from_id, to_id, way_id, any_value(type) AS type, any_value({_CAR}) AS speed, min(metres) / 1000 / least(160, any_value({_CAR})) AS hours, {_RESTRICTED} AS shut FROM edges WHERE {_CAR} > 0 GROUP BY from_id, to_id, way_id),
