@@ -161,8 +161,11 @@ def crossings(lines: DataFrame, others: DataFrame, level: int | None = None) ->
 
     def edges(df: DataFrame, key: str, name: str) -> DataFrame:
         e = df.select(key, F.explode(shapes.segments(F.col("points"))).alias(name)).withColumn(f"{name}_box", geo.box_of_points(F.array(f"{name}.a", f"{name}.b")))
-        return e.withColumn("tile", F.explode(geo.tiles_of_box(F.col(f"{name}_box"), level)))
+        return e.withColumn("tile", F.explode(geo.tiles_of_box(F.col(f"{name}_box"), level))).repartition(parts, "tile")
 
+    # Few bytes make many pairs here, so partitions must not be merged by their bytes.
+    spark = lines.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     p, q = F.col("u_box"), F.col("v_box")
     corner = geo.tile(F.greatest(p["min_lat"], q["min_lat"]), F.greatest(p["min_lon"], q["min_lon"]), level)
     near = edges(lines, "a_id", "u").join(edges(others, "b_id", "v"), "tile").where(geo.boxes_meet(p, q) & (corner == F.col("tile")))
