@@ -248,7 +248,10 @@ def text_under(page: Page, key: bytes | None) -> str:
         free_of[own] += len(text) * free
         if nodes[node].tag in _PROSE or len(text) >= LABEL or _SENTENCE.search(text):
             told.add(own)
-    belongs = lambda own: own in told and 2 * free_of[own] >= size[own]
+    # A container that outweighs the winners is their rival, and lost.
+    most = sum(len(text) * free for node, text, free in page.blocks if inside[node])
+    rival = lambda own: isinstance(own, int) and nodes[own].weight > 0 and free_of[own] > most
+    belongs = lambda own: own in told and 2 * free_of[own] >= size[own] and not rival(own)
     return "\n".join(text for i, (node, text, _) in enumerate(page.blocks) if inside[node] or not named[node] and belongs(("block", i) if around[node] else part[node]))
 
 

@@ -61,6 +61,8 @@ def plain_text(page, key):
         return ""
     prose = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "blockquote"}
     good = {part for part, blocks in parts.items() if any(tag in prose or len(x) >= 80 or x.rstrip("\"'”’»)").endswith(tuple(".!?…。！？")) for tag, x, _ in blocks) and 2 * sum(len(x) * f for _, x, f in blocks) >= sum(len(x) for _, x, _ in blocks)}
+    free = lambda part: sum(len(x) * f for _, x, f in parts[part])
+    good -= {part for part in good if isinstance(part, int) and nodes[part].weight > 0 and free(part) > free(("in",))}
     named = lambda node: any(nodes[k].told and k not in holds for k in chain(nodes, node))
     return "\n".join(text for i, (node, text, _) in enumerate(page.blocks) if own[i] == ("in",) or (own[i] in good and not named(node)))
 
