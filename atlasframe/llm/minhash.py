@@ -13,7 +13,8 @@
    triangle inequality links any two classes whose w add up to 0 or less. So all are linked with the most central class
    whose w is at most minus its own: in a group of edits of one text nearly all, without a comparison.
 5. Any other linked pair shares at least (w_a + w_b) / 2 (100 + percent) elements of its differences, so it shares one
-   of the rarest d - that + 1 of either. Only those are indexed, in bands of w so that the bound is close.
+   of the rarest d - that + 1 of either. Only those are indexed, in bands of w so that the bound is close. Classes that
+   by a part of their differences can't share so many, such as texts with one line in common, leave before they are counted.
    Lists of up to LISTED entries propose pairs, decided by the size of the intersection of their differences.
 6. Classes in longer lists than that, such as those that lack overlapping parts of one text, are compared block by block: every pair
    of components, by a product of matrices of bounded size.
@@ -23,11 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize, workers_import_us
+from .storage import discard, materialize, workers_import_us
 from .textbatch import SOLID, map_text, mix, shingle_hashes, words_of
 
 SHINGLE, PERCENT = 5, 85
@@ -218,10 +219,19 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     return materialize(posted.join(posted.groupBy("value").agg(F.count("*").alias("long")).where("long > 1"), "value"))
 
 
+def _most_held(t: pa.Table) -> pa.Table:
+    """(hub, element, count) of the elements that more than half of the rows of t, a part of one hub, hold."""
+    element, count = np.unique(t.column("elements").combine_chunks().flatten().to_numpy(), return_counts=True)
+    most = 2 * count > len(t)
+    return pa.table({"hub": pa.array(np.full(most.sum(), t.column("hub")[0].as_py()), pa.int64()), "element": pa.array(element[most], pa.int64()), "count": pa.array(count[most], pa.int64())})
+
+
 def _centred(diff: DataFrame, percent: int) -> DataFrame:
     """diff (hub, class, n, elements) by differences from the centre of each hub's classes, with d and w, see 3 and 4."""
-    rows = materialize(diff.groupBy("hub").agg(F.count("*").alias("rows")))
-    held = diff.select("hub", F.explode("elements").alias("element")).groupBy("hub", "element").count()
+    rows = materialize(diff.groupBy("hub").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / ROWS).cast("int").alias("parts")))
+    parts = diff.join(rows, "hub").select("hub", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "elements")
+    # Any set can be the centre; this one is close to all. What most of a hub's rows hold, most of some part hold.
+    held = parts.groupBy("hub", "part").applyInArrow(_most_held, "hub long, element long, count long").groupBy("hub", "element").agg(F.sum("count").alias("count"))
     most = held.join(rows, "hub").where(2 * F.col("count") > F.col("rows")).groupBy("hub").agg(F.collect_list("element").alias("most"))
     moved = diff.join(materialize(most), "hub", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
     moved = moved.withColumn("elements", F.concat(F.array_except("elements", "most"), F.array_except("most", "elements")))
@@ -229,32 +239,48 @@ def _centred(diff: DataFrame, percent: int) -> DataFrame:
     return materialize(moved.select("hub", "class", "n", "elements", d.alias("d"), ((100 + percent) * d - (100 - percent) * F.col("n")).alias("w")))
 
 
+def _that_meet(rows: DataFrame, least: Column) -> DataFrame:
+    """The rows (hub, class, component, elements, d) that may share least elements or more with a row of their hub in another component.
+
+    Two sets that share so many share k of the first d - least + k of either in any order, here that of the numbers, for
+    any k up to least. So a text that has but a line in common with its group goes by a part of its elements.
+    """
+    k = F.ceil(least / 8)
+    prefix = F.when(least <= F.col("d"), F.col("d") - least + k).otherwise(0).cast("int")
+    first = materialize(rows.select("hub", "class", "component", k.alias("k"), F.explode(F.slice(F.array_sort("elements"), 1, prefix)).alias("element")))
+    met = first.groupBy("hub", "element").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two").select("hub", "element")
+    near = materialize(first.join(met, ["hub", "element"]).groupBy("hub", "class").agg(F.count("*").alias("met"), F.first("k").alias("k")).where("met >= k").select("hub", "class"))
+    discard(first)
+    return materialize(rows.join(near, ["hub", "class"], "left_semi"))
+
+
 def _rare_lists(centred: DataFrame, middle: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Index and probes (hub, element, band, class, at) of 5 for rows (hub, class, component, n, elements, d, w) and middle (hub, low, home, size).
 
     Of a pair the class with the smaller w is looked for in the index, by the other's probes; at is the place of the
     element in the class's order from rare to frequent. low is the least w of the hub, home the component of the class that has it.
     """
-    # Only hubs that hold other components take part, and of their elements those that two classes hold.
+    # Only hubs that hold other components take part.
     rows = centred.join(middle, "hub").withColumn("rest", F.col("component") != F.col("home"))
-    some = rows.where("rest").select("hub").distinct()
-    rows = materialize(rows.join(some, "hub", "left_semi"))
-    spread = rows.select("hub", "class", F.explode("elements").alias("element"))
-    often = spread.groupBy("hub", "element").agg(F.count("*").alias("count")).where("count > 1")
-    order = spread.join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("count", "element"))).alias("order"))
-    x = rows.drop("elements").join(order, ["hub", "class"]).withColumn("alone", F.col("d") - F.size("order"))
+    some = materialize(rows.where("rest").select("hub").distinct())
     unit, reach = 100 + percent, 100 - percent
     width = F.greatest(F.lit(2 * unit), F.floor(reach * F.col("size") / 4))
     need = lambda w: F.greatest(F.lit(1), F.ceil(w / unit))
     # A class at home is linked with others only, whose w is above -low.
     other = 1 - F.col("low")
     least = need(F.when(F.col("rest"), F.col("w")).otherwise((F.col("w") + F.greatest("w", other)) / 2))
+    lowest = F.greatest(F.col("low"), F.floor(F.col("w") - 200 * reach * F.col("n") / percent))
+    lowest = F.when(F.col("rest"), lowest).otherwise(F.greatest(lowest, other))
+    rows = _that_meet(rows.join(some, "hub", "left_semi"), F.when(lowest <= F.col("w"), need((lowest + F.col("w")) / 2)).otherwise(least))
+    # Of their elements those that two classes hold.
+    spread = rows.select("hub", "class", F.explode("elements").alias("element"))
+    often = spread.groupBy("hub", "element").agg(F.count("*").alias("count")).where("count > 1")
+    order = spread.join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("count", "element"))).alias("order"))
+    x = materialize(rows.drop("elements").join(order, ["hub", "class"]).withColumn("alone", F.col("d") - F.size("order")))
     column = lambda k, prefix: F.transform(F.slice("order", 1, prefix), lambda x, i: F.struct(x["element"].alias("element"), (F.col("alone") + i + 1).alias("at"), k.alias("band")))
     kept = lambda prefix: F.greatest(F.lit(0), F.least(prefix, F.col("d")) - F.col("alone")).cast("int")
     picked = ("hub", "class", "component", "rest", "n", "d", "w")
     index = x.select(*picked, F.explode(column(F.floor(F.col("w") / width), kept(F.col("d") - least + 1))).alias("e")).select(*picked, "e.*")
-    lowest = F.greatest(F.col("low"), F.floor(F.col("w") - 200 * reach * F.col("n") / percent))
-    lowest = F.when(F.col("rest"), lowest).otherwise(F.greatest(lowest, other))
     bands = F.sequence(F.floor(lowest / width), F.floor(F.col("w") / width))
     probes = x.where(lowest <= F.col("w")).withColumn("band", F.explode(bands))
     share = need((F.greatest(F.col("band") * width, lowest) + F.col("w")) / 2)

@@ -130,6 +130,34 @@ def test_near_duplicates_of_a_large_group(spark, seed, percent):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(cases.documents(spark, texts), percent=percent).collect()} == expected
 
 
+def test_texts_with_a_passage_in_common_leave_early(spark):
+    """Differences of their own go by a part of their elements; any two that share enough stay, whatever else the hub holds."""
+    rng = random.Random(8)
+    word = lambda: rng.randint(-(1 << 62), 1 << 62)
+    line = [word() for _ in range(8)]
+    rows = [(1, k, k, line + [word() for _ in range(100)]) for k in range(300)]
+    for k in range(300, 340, 2):
+        own = [word() for _ in range(100)]
+        rows += [(1, k, k, line + own), (1, k + 1, k + 1, own[: rng.randint(82, 100)] + [word() for _ in range(8)])]
+    diff = spark.createDataFrame(rows, "hub long, class long, component long, elements array<long>").withColumn("d", F.size("elements").cast("long"))
+    assert sorted(r["class"] for r in minhash._that_meet(diff, F.lit(82)).collect()) == list(range(300, 340))
+    assert {r["class"] for r in minhash._that_meet(diff, F.lit(1)).collect()} == set(range(340))
+
+
+def test_groups_among_texts_with_a_passage_in_common(spark):
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        own = [f"o{rng.randint(0, 10**9)}" for _ in range(70)]
+        texts += [" ".join(own[:20] + passage + own[20:])] + [edited(own[:20] + passage + own[20:], rng, 1 + k % 4) for _ in range(k % 3)]
+    base = [f"g{rng.randint(0, 10**9)}" for _ in range(70)] + passage
+    texts += [edited(base, rng, 1 + k % 5) for k in range(60)]
+    docs = cases.documents(spark, texts)
+    expected = plain_groups([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == expected
+
+
 def test_sets_of_one_class_hash_stay_apart(spark):
     rows = [(1, 1, 3, 50, 7, [1, 2, 3]), (2, 2, 3, 50, 7, [1, 2, 3]), (3, 3, 3, 50, 8, [4, 5, 6])]
     own = spark.createDataFrame(rows, "doc_id long, row_key long, n_shingles long, class long, twin long, sketch array<long>")
