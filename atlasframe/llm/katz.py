@@ -119,9 +119,11 @@ def _discount_column(count: Column, d: list[float]) -> Column:
 
 
 class _Runs:
-    """Word ids of consecutive texts until there are RUN tokens."""
+    """Consecutive texts until there are RUN tokens, and word ids."""
 
-    def __init__(self, hot: np.ndarray | None):
+    def __init__(self, hot: np.ndarray | None, f=None):
+        """f(first word of each text and the end, hashes): what is kept of a chunk, the hashes by default."""
+        self.f = f or (lambda bounds, hashes: hashes)
         self.order = np.argsort(hot) if hot is not None else None
         self.hot = _Finder(hot[self.order]) if hot is not None else None
 
@@ -132,20 +134,25 @@ class _Runs:
         return ids
 
     def read(self, batches, n_keep: int):
-        """(kept rows, first word of each text and the end, hashes) for runs of texts; the text is the last column."""
-        kept, sizes, hashes, total = [], [], [], 0
+        """Runs of texts as lists of chunks (kept rows, first word of each text and the end, f of both and the hashes of their words); the text is the last column.
+
+        f is applied to each chunk as it is read, so that what it needs on the way is held for one chunk and not for a run.
+        """
+        run, total = [], 0
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(n_keep)):
                 w = words_of(data, offsets, SOLID)
-                kept.append(pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(n_keep)], names=[str(k) for k in range(n_keep)]))
-                sizes.append(np.diff(w.bounds))
-                hashes.append(w.hash.view(np.int64))
-                total += len(w.hash) + b - a
+                # Copies: slices would hold the texts of their batch.
+                kept = pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(np.arange(a, b))) for k in range(n_keep)], names=[str(k) for k in range(n_keep)])
+                bounds, hashes = w.bounds, w.hash.view(np.int64)
+                total += len(hashes) + b - a
+                del w
+                run.append((kept, bounds, self.f(bounds, hashes)))
                 if total >= RUN:
-                    yield pa.Table.from_batches(kept), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(hashes)
-                    kept, sizes, hashes, total = [], [], [], 0
-        if kept:
-            yield pa.Table.from_batches(kept), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(hashes)
+                    yield run
+                    run, total = [], 0
+        if run:
+            yield run
 
     def bigrams(self, bounds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, h, w) of every token, the end of each text included."""
@@ -186,9 +193,10 @@ def count_words(train: DataFrame) -> DataFrame:
             first, total = _sums(key, n)
             return key[first], total
 
-        for _, bounds, hashes in _Runs(None).read(batches, 0):
+        for chunks in _Runs(None).read(batches, 0):
+            hashes = np.concatenate([x for _, _, x in chunks])
             first, n = _sums(hashes)
-            held.append((np.append(hashes[first], END), np.append(n, len(bounds) - 1)))
+            held.append((np.append(hashes[first], END), np.append(n, sum(len(bounds) - 1 for _, bounds, _ in chunks))))
             if sum(len(k) for k, _ in held) > RUN:
                 held[:] = [merged()]
                 if len(held[0][0]) > RUN:
@@ -209,9 +217,10 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
     """(h, w, r, c) of bigrams seen MIN_COUNT times or more, c the count of w where it is not hot (else 0); rows with null h give the number of types (w) of each smaller count r up to GT_LIMIT + 1."""
 
     def count(batches):
-        runs = _Runs(hot.value)
-        for _, bounds, hashes in runs.read(batches, 0):
-            _, h, w = runs.bigrams(bounds, hashes)
+        runs = _Runs(hot.value, lambda bounds, hashes: runs.bigrams(bounds, hashes)[1:])
+        for chunks in runs.read(batches, 0):
+            h, w = (np.concatenate([x[k] for _, _, x in chunks]) for k in (0, 1))
+            chunks.clear()
             first, n = _sums(_pair(h, w))
             h, w = h[first], w[first]
             bucket = _bucket(h, w, n_buckets)
@@ -223,10 +232,14 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
         first, r = _sums(_pair(h, w), n)
         # By history: the table is smaller so, and what follows keeps most of this order.
         by_h = np.argsort(h[first])
-        h, w, r = h[first][by_h], w[first][by_h], r[by_h]
+        first = first[by_h]
+        h, w, r = h[first], w[first], r[by_h]
+        del n, first, by_h
         # All pairs that end in a word which is not hot are here, so their counts add up to the word's.
-        _, own = np.unique(w, return_inverse=True)
-        c = np.where(w < 0, np.bincount(own, r)[own].astype(np.int64), 0) if len(w) else r
+        c, tail = np.zeros(len(w), np.int64), np.flatnonzero(w < 0)
+        _, own = np.unique(w[tail], return_inverse=True)
+        if len(tail):
+            c[tail] = np.bincount(own, r[tail])[own]
         some = r >= MIN_COUNT
         small = np.bincount(r[r <= GT_LIMIT + 1], minlength=GT_LIMIT + 2)[1:]
         columns = {"h": np.append(h[some], small), "w": np.append(w[some], small), "r": np.append(r[some], np.arange(1, GT_LIMIT + 2)), "c": np.append(c[some], 0 * small)}
@@ -334,8 +347,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def ask(batches):
         hot, values, gram_keys, gram_values = shared.value
-        runs, grams, number = _Runs(hot), _Finder(gram_keys), TaskContext.get().partitionId() << 32
-        for kept, bounds, hashes in runs.read(batches, 2):
+        grams, number = _Finder(gram_keys), TaskContext.get().partitionId() << 32
+
+        def look_up(bounds, hashes):
+            """(sums of each text, (text, h, w, n) of what is asked for) of a chunk."""
             at, h, w = runs.bigrams(bounds, hashes)
             n_texts = len(bounds) - 1
             of_hot = w >= 0
@@ -346,13 +361,23 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             met, where = grams.find(_pair(h, w))
             log_p[met] += gram_values[where[met]]
             own = [np.bincount(at, x, n_texts) for x in (log_p, np.where(of_hot, base_of(count), 0.0), (count > 0).astype(float), np.ones(len(at)))]
-            meta = [np.asarray(kept.column(0).fill_null(0).to_numpy(), np.int64), np.asarray(kept.column(0).is_null().to_numpy(), np.int64), np.asarray(kept.column(1).to_numpy(), np.int64)]
             # Other pairs, and words that are not hot (alone where the pair is known), are asked for once for each text.
             asked = ~met | ~of_hot
             ask_text, ask_w = at[asked], w[asked]
             ask_h = np.where(met[asked], ALONE, h[asked])
             first, n = _sums(_pair(_pair(ask_h, ask_w), ask_text.astype(np.int64)))
-            ask_text, ask_h, ask_w = ask_text[first], ask_h[first], ask_w[first]
+            return own, (ask_text[first], ask_h[first], ask_w[first], n)
+
+        runs = _Runs(hot, look_up)
+        for chunks in runs.read(batches, 2):
+            first_text = np.cumsum([0, *(len(bounds) - 1 for _, bounds, _ in chunks)])
+            n_texts = int(first_text[-1])
+            kept = pa.Table.from_batches([x for x, _, _ in chunks])
+            own = [np.concatenate([x[k] for _, _, (x, _) in chunks]) for k in range(4)]
+            meta = [np.asarray(kept.column(0).fill_null(0).to_numpy(), np.int64), np.asarray(kept.column(0).is_null().to_numpy(), np.int64), np.asarray(kept.column(1).to_numpy(), np.int64)]
+            ask_text = np.concatenate([x[0] + t for t, (_, _, (_, x)) in zip(first_text, chunks, strict=False)])
+            ask_h, ask_w, n = (np.concatenate([x[k] for _, _, (_, x) in chunks]) for k in (1, 2, 3))
+            chunks.clear()
             bucket = _bucket(ask_h, ask_w, n_buckets)
             parts = _grouped(bucket, np.argsort(bucket * n_texts + ask_text))
             rows = {k: [] for k in kinds}

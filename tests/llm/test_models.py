@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,23 @@ def test_katz_empty(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (1, 0, 0, 0.0, 0.0)
 
 
+def test_katz_looks_up_chunks_of_a_run():
+    """What a look-up needs on the way is held for one chunk of texts, not for a run, and no texts stay with a run."""
+    texts = pa.array([f"w{k} " * 5000 for k in range(400)] + [None])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(401)), texts], names=["doc_id", "t"])
+    sizes = []
+
+    def f(bounds, hashes):
+        sizes.append(len(hashes))
+        return hashes[:1]
+
+    runs = list(katz._Runs(None, f).read([batch], 1))
+    assert sum(sizes) == 2_000_000 and max(sizes) <= 1 << 19 and [len(x) for x in runs][0] > 1 and len(runs) == 2
+    kept = [k for run in runs for k, _, _ in run]
+    assert [i for k in kept for i in k.column(0).to_pylist()] == list(range(401))
+    assert all(k.get_total_buffer_size() <= 8 * len(k) + 64 for k in kept)
+
+
 # ---- packing
 
 
