@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BucketedTable, discard, materialize, workers_import_us
+from .storage import BucketedTable, batches_of, discard, materialize, workers_import_us
 from .textbatch import SOLID, mix, text_chunks, words_of
 
 HOT, HOT_GRAMS = 1 << 16, 1 << 18
 MIN_COUNT, GT_LIMIT = 1, 5
 #: Tokens of a run of texts that is packed at once, and of a bucket of keys on average.
 RUN, BUCKET = 1 << 20, 1 << 20
+#: Rows that a Python worker is handed at once.
+BATCH = 1 << 11
 #: Parts of the histories whose bigrams are joined with them one after the other, so that a shuffle holds one part only; most files of the table of bigrams at a time.
 PARTS, MOST_FILES = 2, 1 << 16
 #: Ids: hot words by rank, then these; other words are negative (their hash).
@@ -66,7 +68,8 @@ class _Finder:
         bits = min(24, len(keys).bit_length() + 3)
         self.shift = np.uint64(64 - bits)
         n = np.bincount(self._slots(keys), minlength=1 << bits)
-        self.first, self.steps = (np.cumsum(n) - n).astype(np.int32), int(n.max())
+        self.first, self.steps = np.zeros(1 << bits, np.int32), int(n.max())
+        np.cumsum(n[:-1], out=self.first[1:], dtype=np.int32)
 
     def _slots(self, x: np.ndarray) -> np.ndarray:
         return ((x.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
@@ -447,5 +450,6 @@ def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     unknown and has probability 1 as the one kind of token there is.
     """
     out = is_held_out(doc_id)
-    model = Model(docs.where(~out).select(F.col(text).alias("t")), **model_options)
-    return score(docs, model, doc_id, text, out).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    with batches_of(docs.sparkSession, BATCH):
+        model = Model(docs.where(~out).select(F.col(text).alias("t")), **model_options)
+        return materialize(score(docs, model, doc_id, text, out).withColumn("train_tokens", F.lit(model.tokens).cast("long")))

@@ -133,6 +133,14 @@ def test_katz_looks_up_chunks_of_a_run():
     assert all(k.get_total_buffer_size() <= 8 * len(k) + 64 for k in kept)
 
 
+def test_katz_leaves_the_size_of_batches_as_it_was(spark, monkeypatch):
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], katz.score
+    before = spark.conf.get(key)
+    monkeypatch.setattr(katz, "score", lambda *a: seen.append(spark.conf.get(key)) or plain(*a))
+    assert katz.train_and_score(cases.documents(spark, ["a b", "b c"])).count() == 2
+    assert seen == [str(katz.BATCH)] and spark.conf.get(key) == before
+
+
 # ---- packing
 
 
