@@ -1,6 +1,6 @@
 """Katz backoff language model over bigrams, counted, normalised and evaluated as joins of tables.
 
-    p(w | h) = d_r r / C(h)               if (h, w) was seen r >= MIN_COUNT times in training, once is enough
+    p(w | h) = d_r r / C(h)               if (h, w) was seen r times in training, once is enough
              = alpha(h) p(w)              otherwise
     p(w)     = d_c c / N                  if w was seen c times, the rest of the mass for all unknown words together
 
@@ -15,9 +15,12 @@ grows with the corpus is held by the driver or by one task.
 
 Pairs lie in buckets: by their second word where it is not hot, else by both. So the count of a word that is not hot is
 the sum of its pairs' counts within its bucket (each token ends exactly one pair), one question about a pair brings the
-word's own values too, and the table of bigrams is written by bucket and read for scoring without a shuffle. A group
-holds BUCKET tokens on average, and one word's share at most more: a word outside the HOT ones has fewer than 1 / HOT of
-all tokens. Intermediate tables are deleted, and shuffles end, once the table that needs them is written.
+word's own values too, and the table of bigrams is written by bucket and read for scoring without a shuffle. A history
+has a bucket as if it were a word alone: the buckets of its pairs send their sums there, one row for each two buckets,
+and get back what the pairs need of it. A group holds BUCKET tokens on average, and one word's share at most more: a word
+outside the HOT ones has fewer than 1 / HOT of all tokens, and any history one row of sums for each bucket. Tables hold
+a bucket in a row, its columns packed, so that pairs are never rows one by one. Intermediate tables are deleted, and
+shuffles end, once the table that needs them is written.
 """
 
 from __future__ import annotations
@@ -34,13 +37,13 @@ from .storage import BucketedTable, batches_of, discard, materialize, workers_im
 from .textbatch import SOLID, mix, text_chunks, words_of
 
 HOT, HOT_GRAMS = 1 << 16, 1 << 18
-MIN_COUNT, GT_LIMIT = 1, 5
+GT_LIMIT = 5
 #: Tokens of a run of texts that is packed at once, and of a bucket of keys on average.
 RUN, BUCKET = 1 << 20, 1 << 20
-#: Rows that a Python worker is handed at once.
-BATCH = 1 << 11
-#: Parts of the histories whose bigrams are joined with them one after the other, so that a shuffle holds one part only; most files of the table of bigrams at a time.
-PARTS, MOST_FILES = 2, 1 << 16
+#: Rows that a Python worker is handed at once; rows of whole buckets.
+BATCH, BUCKETS_AT_ONCE = 1 << 11, 1 << 3
+#: Most files of a table of buckets.
+MOST_FILES = 1 << 16
 #: Ids: hot words by rank, then these; other words are negative (their hash).
 BEGIN, END, ALONE = HOT, HOT + 1, HOT + 2
 _PRIME = (1 << 31) - 1
@@ -98,9 +101,12 @@ def _grouped(bucket: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarra
     return list(zip(sorted_[first].tolist(), np.split(order, first[1:]), strict=True)) if len(first) else []
 
 
-def _bucket_column(n: int) -> Column:
-    of_history = F.when(F.col("w") < 0, F.lit(0).cast("long")).otherwise(F.pmod("h", F.lit(_PRIME)) * 40503)
-    return ((of_history + F.pmod("w", F.lit(_PRIME)) * 30011) % n).cast("int")
+def _histories(h: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Of pairs that lie by history: the first place of each history, and (bucket, numbers of its histories) of the histories' own buckets."""
+    # The complement differs from what it is the complement of.
+    first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+    bucket = _bucket(np.zeros(len(first), np.int64), h[first], n)
+    return first, _grouped(bucket, np.argsort(bucket, kind="stable"))
 
 
 def discounts(counts: dict[int, int], least: int = 1, limit: int = GT_LIMIT) -> list[float]:
@@ -121,6 +127,26 @@ def _discount_column(count: Column, d: list[float]) -> Column:
     return F.when(count < len(d), of_small).otherwise(1.0) * count
 
 
+def _discounted(count: np.ndarray, d: list[float]) -> np.ndarray:
+    """d_r r of counts r."""
+    return np.append(d, 1.0)[np.minimum(count, len(d))] * count
+
+
+def _step(count: np.ndarray) -> np.ndarray:
+    """Counts from 1 by the logarithm, in steps that a histogram can hold."""
+    return np.floor(np.log2(count) * 8).astype(np.int64)
+
+
+def _least_step(sizes: dict[int, int], most: int) -> int | None:
+    """The step from which on there are at most that many, by the number in each step."""
+    bound, total = None, 0
+    for at, n in sorted(sizes.items(), reverse=True):
+        if total + n > most:
+            break
+        bound, total = at, total + n
+    return bound
+
+
 class _Runs:
     """Consecutive texts until there are RUN tokens, and word ids."""
 
@@ -216,8 +242,8 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
 
-def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
-    """(h, w, r, c) of bigrams seen MIN_COUNT times or more, c the count of w where it is not hot (else 0); rows with null h give the number of types (w) of each smaller count r up to GT_LIMIT + 1."""
+def count_bigrams(train: DataFrame, hot, n_buckets: int, n_files: int) -> DataFrame:
+    """A row for each bucket: its bigrams by history (packs h, w, r and c, the count of w where it is not hot, else 0), types, the number of bigrams of each count r up to GT_LIMIT + 1, and steps, of each step of r. A bucket's row lies in the part of n_files that its number's hash names."""
 
     def count(batches):
         runs = _Runs(hot.value, lambda bounds, hashes: runs.bigrams(bounds, hashes)[1:])
@@ -230,10 +256,10 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
             own = _grouped(bucket, np.argsort(bucket))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in own], pa.int32()), *(pa.array([pack(x[at]) for _, at in own], pa.binary()) for x in (h, w, n))], names=["bucket", "h", "w", "n"])
 
-    def add(t: pa.Table) -> pa.Table:
+    def add(key: tuple, t: pa.Table) -> pa.Table:
         h, w, n = (np.concatenate([unpack(x.as_py()) for x in t.column(k)]) for k in ("h", "w", "n"))
         first, r = _sums(_pair(h, w), n)
-        # By history: the table is smaller so, and what follows keeps most of this order.
+        # By history: the table is smaller so, and what follows finds the histories without sorting.
         by_h = np.argsort(h[first])
         first = first[by_h]
         h, w, r = h[first], w[first], r[by_h]
@@ -243,34 +269,102 @@ def count_bigrams(train: DataFrame, hot, n_buckets: int) -> DataFrame:
         _, own = np.unique(w[tail], return_inverse=True)
         if len(tail):
             c[tail] = np.bincount(own, r[tail])[own]
-        some = r >= MIN_COUNT
-        small = np.bincount(r[r <= GT_LIMIT + 1], minlength=GT_LIMIT + 2)[1:]
-        columns = {"h": np.append(h[some], small), "w": np.append(w[some], small), "r": np.append(r[some], np.arange(1, GT_LIMIT + 2)), "c": np.append(c[some], 0 * small)}
-        no_pair = np.arange(some.sum() + len(small)) >= some.sum()
-        return pa.table({k: pa.array(x, pa.int64(), mask=no_pair if k == "h" else None) for k, x in columns.items()})
+        lists = [np.bincount(r[r <= GT_LIMIT + 1], minlength=GT_LIMIT + 2), np.bincount(_step(r))]
+        return pa.table([[key[0].as_py()], *([pack(x)] for x in (h, w, r, c)), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in lists)], schema=pa.schema(fields))
 
+    fields = [("bucket", pa.int32()), *((k, pa.binary()) for k in ("h", "w", "r", "c")), *((k, pa.list_(pa.int64())) for k in ("types", "steps"))]
     packs = train.mapInArrow(count, "bucket int, h binary, w binary, n binary")
-    return packs.groupBy("bucket").applyInArrow(add, "h long, w long, r long, c long")
+    return packs.repartition(n_files, "bucket").groupBy("bucket").applyInArrow(add, "bucket int, h binary, w binary, r binary, c binary, types array<long>, steps array<long>")
+
+
+def normalise(grams: DataFrame, n_buckets: int, n_files: int, hot_p, p_of, d2: list[float], least_step: int | None) -> DataFrame:
+    """A row for each bucket: its bigrams and, with h = ALONE, its words that are not hot (packs h, w, r, delta and count, see Model), the keys of its bigrams of least_step or more (often, often_delta) and its hot histories (hot, hot_alpha). Rows lie in the parts in which those of grams are.
+
+    grams: rows of count_bigrams(), read from a table of n_files parts. hot_p: broadcast p of hot words by id; p_of(counts): p of other words.
+    """
+
+    def pairs(row: dict) -> tuple[np.ndarray, ...]:
+        """h, w, r and the pairs' discounted counts and p(w)."""
+        h, w, r, c = (unpack(row[k]) for k in ("h", "w", "r", "c"))
+        of_hot = w >= 0
+        return h, w, r, _discounted(r, d2), np.where(of_hot, hot_p.value[np.where(of_hot, w, 0)], p_of(c))
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, _, r, mass, p = pairs(row)
+                first, parts = _histories(h, n_buckets)
+                sums = [h[first], *(np.add.reduceat(x, first).view(np.int64) for x in (mass, p, r))]
+                packs = [pack(np.concatenate([x[at] for x in sums])) for _, at in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([row["bucket"]] * len(parts), pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "asker", "sums"])
+
+    def answer(key: tuple, t: pa.Table) -> pa.Table:
+        """What each asker's histories cost their pairs, in its order; a row of the bucket itself has the histories' values."""
+        rows = sorted(t.to_pylist(), key=lambda row: row["asker"])
+        sums = [unpack(row.pop("sums")).reshape(4, -1) for row in rows]
+        ids, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+        mass, p = (np.bincount(at, np.concatenate([x[k] for x in sums]).view(np.float64)) for k in (1, 2))
+        n = np.bincount(at, np.concatenate([x[3] for x in sums]))
+        # Each token but the end is a history once, so the counts of its pairs add up to its own.
+        total = np.where(mass < n - 1e-9, n, n + 1)
+        log_alpha = np.log10((1 - mass / total) / np.maximum(1 - p, 1e-12))
+        costs = np.split((np.log10(total) + log_alpha)[at], np.cumsum([x.shape[1] for x in sums])[:-1])
+        own = key[0].as_py()
+        return pa.table(
+            {
+                "bucket": pa.array([*(row["asker"] for row in rows), own], pa.int32()),
+                "of": pa.array([own] * (len(rows) + 1), pa.int32()),
+                "cost": pa.array([*map(pack, costs), None], pa.binary()),
+                **{k: pa.array([None] * len(rows) + [pack(x)], pa.binary()) for k, x in (("id", ids), ("n", n.astype(np.int64)), ("log_alpha", log_alpha))},
+            }
+        )
+
+    def complete(key: tuple, answers: pa.Table, own: pa.Table) -> pa.Table:
+        none, no_values = np.zeros(0, np.int64), np.zeros(0)
+        h, w, r, delta, often, hot, hot_alpha = none, none, none, no_values, none, none, no_values
+        count, answered = none, answers.to_pylist()
+        for row in own.to_pylist():
+            h, w, r, mass, p = pairs(row)
+            first, parts = _histories(h, n_buckets)
+            places, cost = dict(parts), np.zeros(len(first))
+            for x in answered:
+                if x["cost"] is not None:
+                    cost[places[x["of"]]] = unpack(x["cost"], np.float64)
+            delta = np.log10(mass) - np.repeat(cost, np.diff(first, append=len(h))) - np.log10(p)
+            often = np.flatnonzero(_step(r) >= least_step) if least_step is not None else none
+            del mass, p
+        often, often_delta, count = _pair(h[often], w[often]), delta[often], np.zeros(len(h), np.int64)
+        for x in answered:
+            if x["id"] is not None:
+                ids, n, log_alpha = unpack(x["id"]), unpack(x["n"]), unpack(x["log_alpha"], np.float64)
+                tail = ids < 0
+                hot, hot_alpha, ids, n = ids[~tail], log_alpha[~tail], ids[tail], n[tail]
+                h, w, r = np.append(h, np.full_like(ids, ALONE)), np.append(w, ids), np.append(r, np.zeros_like(ids))
+                delta, count = np.append(delta, np.log10(p_of(n)) + log_alpha[tail]), np.append(count, n)
+        packs = {"h": h, "w": w, "r": r, "delta": delta, "count": count, "often": often, "often_delta": often_delta, "hot": hot, "hot_alpha": hot_alpha}
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), **{k: pa.array([pack(x)], pa.binary()) for k, x in packs.items()}})
+
+    asked = grams.select("bucket", "h", "w", "r", "c").mapInArrow(ask, "bucket int, asker int, sums binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, of int, cost binary, id binary, n binary, log_alpha binary")
+    own = grams.select("bucket", "h", "w", "r", "c")
+    fields = ", ".join(f"{k} binary" for k in ("h", "w", "r", "delta", "count", "often", "often_delta", "hot", "hot_alpha"))
+    return answers.repartition(n_files, "bucket").groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(complete, f"bucket int, {fields}")
 
 
 def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
     """The rows with the largest counts, most of them at most: all from a count on that a histogram over logarithms (a few hundred rows) gives. Nothing is sorted."""
     step = F.floor(F.log2(F.col(count)) * 8)
-    sizes = sorted(((r["step"], r["count"]) for r in rows.groupBy(step.alias("step")).count().collect()), reverse=True)
-    bound, total = None, 0
-    for at, n in sizes:
-        if total + n > most:
-            break
-        bound, total = at, total + n
+    bound = _least_step({r["step"]: r["count"] for r in rows.groupBy(step.alias("step")).count().collect()}, most)
     return rows.where(F.lit(False)) if bound is None else rows.where(step >= bound)
 
 
 class Model:
     """Tables and numbers of a trained model.
 
-    hot_words (w, n, log_p, log_alpha) and bigrams (h, w, r, delta, count, bucket) are written tables, bigrams by bucket; delta is what a
-    seen pair adds to log p(w) + log alpha(h). table holds the bigrams and, with h = ALONE, each word w that is not hot: delta is its
-    log p + log alpha and count its count. hot: hashes of hot words by rank; hot_values: their n, log_p and log_alpha by id.
+    hot_words (w, n, log_p, log_alpha) and bigrams (h, w, r, delta, count, bucket) are tables; delta is what a seen pair adds to
+    log p(w) + log alpha(h). table is written and holds, packed in a row for each bucket, the bigrams and, with h = ALONE, each word w that
+    is not hot: delta is its log p + log alpha and count its count. hot: hashes of hot words by rank; hot_values: their n, log_p and
+    log_alpha by id.
     """
 
     def __init__(self, train: DataFrame, hot_words: int = HOT, hot_grams: int = HOT_GRAMS, bucket: int = BUCKET):
@@ -284,60 +378,58 @@ class Model:
         self.hot = top["hash"].to_numpy(np.int64)
         self.shared_hot = spark.sparkContext.broadcast(self.hot)
         self.n_buckets = max(1, -(-self.tokens // bucket))
-        ranks = spark.createDataFrame(top[["hash"]].assign(rank=np.arange(len(top))), "hash long, rank long")
         texts = words.where(F.col("hash") == END).select("n").first()
         self.texts = int(texts["n"]) if texts else 0
 
         counts = {r["n"]: r["count"] for r in words.where(F.col("n") <= GT_LIMIT + 1).groupBy("n").count().collect()}
         d1 = discounts(counts)
         known = float(words.agg(F.sum(_discount_column(F.col("n"), d1))).first()[0] or 0.0) / max(1, self.tokens)
+        discard(words)
         # Without singletons nothing would be left for unknown words.
         self.scale = 1.0 if known < 1 else self.tokens / (self.tokens + 1)
         self.unknown = log10(max(1 - known * self.scale, 1e-12)) if self.tokens else 0.0
-        p_of = lambda count: _discount_column(F.col(count), d1) * (self.scale / max(1, self.tokens))
-        of_id = F.when(F.col("hash") == END, END).otherwise(F.coalesce("rank", F.col("hash").bitwiseOR(F.lit(-(1 << 63)))))
-        named = words.join(F.broadcast(ranks), "hash", "left").select(of_id.alias("id"), "n", p_of("n").alias("p"))
-        # The hot words and END, a number of rows that fits every task.
-        hot, tail = materialize(named.where("id >= 0")), named.where("id < 0")
-        begin = spark.createDataFrame([(BEGIN, self.texts, None)], "id long, n long, p double")
-
-        part_of = lambda h: F.pmod(F.xxhash64(h), F.lit(PARTS)).cast("int")
-        grams = materialize(count_bigrams(train, self.shared_hot, self.n_buckets).withColumn("part", part_of("h")))
-        kinds = {r["r"]: int(r["n"]) for r in grams.where("h is null").groupBy("r").agg(F.sum("w").alias("n")).collect()}
-        d2 = discounts(kinds, MIN_COUNT)
-        of_hot = F.broadcast(hot.select(F.col("id").alias("w"), F.col("p").alias("p_hot")))
-        own = grams.where("h is not null").join(of_hot, "w", "left").select("h", "w", "r", "part", _discount_column(F.col("r"), d2).alias("mass"), F.coalesce("p_hot", p_of("c")).alias("p_w"))
-
-        # Each token but the end is a history once, so the counts of its pairs add up to its own.
-        after = own.groupBy("h").agg(F.sum("mass").alias("mass_h"), F.sum("p_w").alias("p_h"), F.sum("r").alias("n_h"))
-        total = F.when(F.col("mass_h") < F.col("n_h") - 1e-9, F.col("n_h")).otherwise(F.col("n_h") + 1)
-        left = F.log10((1 - F.col("mass_h") / total) / F.greatest(1 - F.col("p_h"), F.lit(1e-12)))
-        after = materialize(after.select(F.col("h").alias("id"), total.cast("double").alias("c_h"), left.alias("log_alpha")))
-        # One row per history; the hot ones fit every task, the others are joined by their own keys.
-        side = after.select(F.col("id").alias("h"), "c_h", "log_alpha")
-        delta = F.log10(F.col("mass") / F.col("c_h")) - F.col("log_alpha") - F.log10("p_w")
-        no_count, bucket_of = F.lit(0).cast("long").alias("count"), _bucket_column(self.n_buckets).alias("bucket")
-        table = BucketedTable(spark, "bucket", min(-(-self.tokens // BUCKET) or 1, MOST_FILES))
-        for k in range(PARTS):
-            rows = own.where(F.col("part") == k)
-            of_hot = rows.where("h >= 0").join(F.broadcast(side.where("h >= 0")), "h")
-            of_tail = rows.where("h < 0").join(side.where((F.col("h") < 0) & (part_of("h") == k)), "h")
-            table.append(of_hot.unionByName(of_tail).select("h", "w", "r", delta.alias("delta"), no_count, bucket_of))
-        fields = lambda x: x.select(F.col("id").alias("w"), "n", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
-        alone = fields(tail.join(after.where("id < 0"), "id", "left")).withColumn("h", F.lit(ALONE).cast("long"))
-        table.append(alone.select("h", "w", F.lit(0).cast("long").alias("r"), (F.col("log_p") + F.col("log_alpha")).alias("delta"), F.col("n").alias("count"), bucket_of))
-        self.hot_words = materialize(fields(hot.unionByName(begin).join(F.broadcast(after.where("id >= 0")), "id", "left")))
-        discard(words, hot, grams, after)
+        of_token = self.scale / max(1, self.tokens)
+        p_of = lambda count: _discounted(count, d1) * of_token
+        # The words that fit every task: hot ones, END and BEGIN.
+        ids, n = np.append(np.arange(len(top)), [END, BEGIN]), np.append(top["n"].to_numpy(np.int64), [self.texts] * 2)
+        hot_p = np.zeros(ALONE)
+        hot_p[ids] = p_of(n)
+
+        n_files = min(-(-self.tokens // BUCKET) or 1, MOST_FILES)
+        written = BucketedTable(spark, "bucket", n_files)
+        written.append(count_bigrams(train, self.shared_hot, self.n_buckets, n_files), in_parts=True)
+        grams = written.read()
+        sums = lambda k: {r["pos"]: int(r["n"]) for r in grams.select(F.posexplode(k).alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+        d2 = discounts(sums("types"))
+        table = BucketedTable(spark, "bucket", n_files)
+        with batches_of(spark, BUCKETS_AT_ONCE):
+            table.append(normalise(grams, self.n_buckets, n_files, spark.sparkContext.broadcast(hot_p), p_of, d2, _least_step(sums("steps"), hot_grams)), in_parts=True)
+        written.drop()
         self.table = table.read()
-        self.bigrams = self.table.where(F.col("h") != ALONE)
-        values = np.zeros((ALONE + 1, 3))
-        for r in self.hot_words.toPandas().itertuples():
-            values[r.w] = r.n, 0.0 if r.log_p is None or r.log_p != r.log_p else r.log_p, r.log_alpha
-        self.hot_values = values
-        often = most_frequent(self.bigrams, "r", hot_grams).select("h", "w", "delta").toPandas()  # hot_grams rows at most
-        key = _pair(often["h"].to_numpy(np.int64), often["w"].to_numpy(np.int64))
+
+        shared = self.table.select("often", "often_delta", "hot", "hot_alpha").collect()  # hot_grams and hot_words entries at most
+        one = lambda k, kind=np.int64: np.concatenate([np.zeros(0, kind), *(unpack(r[k], kind) for r in shared)])
+        key = one("often")
         order = np.argsort(key)
-        self.hot_grams = key[order], often["delta"].to_numpy(float)[order]
+        self.hot_grams = key[order], one("often_delta", np.float64)[order]
+        log_p = np.log10(hot_p, where=hot_p > 0, out=np.zeros(ALONE))
+        log_p[BEGIN] = 0.0
+        self.hot_values = values = np.zeros((ALONE + 1, 3))
+        values[ids, 0], values[ids, 1], values[one("hot"), 2] = n, log_p[ids], one("hot_alpha", np.float64)
+        some = (ids == BEGIN) | (n > 0)
+        ids, n = ids[some], n[some]
+        self.hot_words = spark.createDataFrame(pa.table({"w": ids, "n": n, "log_p": pa.array(values[ids, 1], mask=ids == BEGIN), "log_alpha": values[ids, 2]}))
+
+    @property
+    def bigrams(self) -> DataFrame:
+        def rows(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    h, w, r, count = (unpack(row[k]) for k in ("h", "w", "r", "count"))
+                    yield _table(h=h, w=w, r=r, delta=unpack(row["delta"], np.float64), count=count, bucket=np.full(len(h), row["bucket"], np.int32))
+
+        packed = self.table.select("h", "w", "r", "delta", "count", "bucket")
+        return packed.mapInArrow(rows, "h long, w long, r long, delta double, count long, bucket int").where(F.col("h") != ALONE)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -396,11 +488,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     answer_schema = "run long, text binary, sums binary, ids binary, meta binary, own binary"
 
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-        # A last entry of no word, so that there is one.
-        key = _pair(table.column("h").to_numpy(), table.column("w").to_numpy())
+        held = table.to_pylist()
+        of = lambda k, kind=np.int64: np.concatenate([np.zeros(0, kind), *(unpack(row.pop(k), kind) for row in held)])
+        key = _pair(of("h"), of("w"))
         order = np.argsort(key)
         known = _Finder(key[order])
-        value, count = np.append(table.column("delta").to_numpy()[order], 0.0), np.append(table.column("count").to_numpy()[order], 0)
+        # A last entry of no word, so that there is one.
+        value, count = np.append(of("delta", np.float64)[order], 0.0), np.append(of("count")[order], 0)
         out: dict[str, list] = {k: [] for k in ("run", "text", "sums", "ids", "meta", "own")}
         for row in asked.to_pylist():
             if row["own"] is not None:

@@ -116,6 +116,41 @@ def test_katz_empty(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (1, 0, 0, 0.0, 0.0)
 
 
+def test_katz_tables_hold_a_bucket_in_a_row(spark, monkeypatch):
+    """Pairs are no rows of Spark one by one, and a bucket's row goes to the part that it is written in without another shuffle."""
+    docs = cases.small(spark, "documents").limit(60).select("text")
+    texts = [r.text for r in docs.collect()]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    plain, seen, append = PlainKatz(texts), [], katz.BucketedTable.append
+    monkeypatch.setattr(katz.BucketedTable, "append", lambda self, rows, **options: seen.append((rows._jdf.queryExecution().executedPlan().toString(), options)) or append(self, rows, **options))
+    monkeypatch.setattr(katz, "BUCKET", 2000)
+    model = katz.Model(docs, hot_words=20, hot_grams=5, bucket=700)
+    assert model.n_buckets > 5 and model.table.count() == model.table.select("bucket").distinct().count() <= model.n_buckets
+    assert len(seen) == 2 and all(options == {"in_parts": True} for _, options in seen)
+    # One exchange for the packs of texts; one for the sums of histories and one for their answers.
+    assert [plan.count("Exchange hashpartitioning") for plan, _ in seen] == [1, 2]
+    found = model.bigrams.collect()
+    assert sorted(r.r for r in found) == sorted(plain.bi.values())
+    # A seen pair's delta, with what its words have alone, gives its probability.
+    alone = {w: (p, plain.alpha.get(w, 1.0)) for w, p in plain.p.items()} | {katz.BEGIN: (None, plain.alpha[katz.BEGIN])}
+    expected = sorted(log10(plain.prob(h, w)) - log10(alone[w][0]) - log10(alone[h][1]) for h, w in plain.bi)
+    assert np.allclose(sorted(r.delta for r in found), expected, rtol=1e-9, atol=1e-9)
+
+
+def test_katz_histories_of_extreme_ids():
+    low, high = -(1 << 63), (1 << 63) - 1
+    h = np.array([low, low, -1, 0, 0, 0, 1, high])
+    first, parts = katz._histories(h, 3)
+    assert first.tolist() == [0, 2, 3, 6, 7]
+    assert sorted(i for _, at in parts for i in at) == list(range(5)) and len({b for b, _ in parts}) == len(parts)
+    # A history that is a word alone asks where the word itself lies.
+    assert all(katz._bucket(np.array([katz.ALONE]), h[first][[i]], 3)[0] == b for b, at in parts for i in at if h[first][i] < 0)
+    assert [len(x) for x in katz._histories(h[:0], 3)] == [0, 0]
+    counts = np.arange(1, 12)
+    d = katz.discounts(Counter([1] * 9 + [2] * 5 + [3] * 3 + [4] * 2 + [5, 6]))
+    assert katz._discounted(counts, d).tolist() == [d[r] * r if r < 6 else r for r in counts]
+
+
 def test_katz_looks_up_chunks_of_a_run():
     """What a look-up needs on the way is held for one chunk of texts, not for a run, and no texts stay with a run."""
     texts = pa.array([f"w{k} " * 5000 for k in range(400)] + [None])
