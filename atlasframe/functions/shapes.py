@@ -52,6 +52,11 @@ def centroid(points: Column) -> Column:
 
 def position_in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     """1 inside, 0 on a vertex, -1 outside, by the even-odd rule; edges count half-open, so a point on the upper edge is outside."""
+    return F.when(F.exists(ring, lambda p: (p["lat"] == lat) & (p["lon"] == lon)), 0).when(holds_half_open(lat, lon, ring), 1).otherwise(-1)
+
+
+def holds_half_open(lat: Column, lon: Column, ring: Column) -> Column:
+    """The even-odd rule alone, for vertices too: of rings that lie side by side only one holds a point on their border."""
 
     def crossed(s: Column) -> Column:
         a, b = s["a"], s["b"]
@@ -59,8 +64,7 @@ def position_in_ring(lat: Column, lon: Column, ring: Column) -> Column:
         rise = F.when(b["lat"] == a["lat"], F.lit(1.0)).otherwise(b["lat"] - a["lat"])  # never used where 1.0 stands
         return spans & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / rise + a["lon"])
 
-    inside = F.size(F.filter(segments(ring, True), crossed)) % 2 == 1
-    return F.when(F.exists(ring, lambda p: (p["lat"] == lat) & (p["lon"] == lon)), 0).when(inside, 1).otherwise(-1)
+    return F.size(F.filter(segments(ring, True), crossed)) % 2 == 1
 
 
 def in_ring(lat: Column, lon: Column, ring: Column) -> Column:

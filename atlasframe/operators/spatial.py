@@ -115,11 +115,11 @@ def nearest(searches: DataFrame, objects: DataFrame, radius: float, level: int =
 
 
 def containing(points: DataFrame, regions: DataFrame, level: int = 9) -> DataFrame:
-    """Each point (key, lat, lon) with all regions (region_id, ring) that hold it: (key, region_id, size in square degrees of the region's box)."""
+    """Each point (key, lat, lon) with all regions (region_id, ring) that hold it: (key, region_id, size in square degrees of the region's box). Borders and corners count half-open, so neighbours share no point."""
     boxed = regions.select("region_id", "ring", geo.box_of_points(F.col("ring")).alias("box"))
     tiles = boxed.select("*", F.explode(geo.tiles_of_box(F.col("box"), level)).alias("tile"))
     met = points.select("key", "lat", "lon", geo.tile(F.col("lat"), F.col("lon"), level).alias("tile")).join(tiles, "tile")
-    held = met.where(geo.in_box(F.col("lat"), F.col("lon"), F.col("box")) & shapes.in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
+    held = met.where(geo.in_box(F.col("lat"), F.col("lon"), F.col("box")) & shapes.holds_half_open(F.col("lat"), F.col("lon"), F.col("ring")))
     return held.select("key", "region_id", geo.box_size(F.col("box")).alias("size"))
 
 
