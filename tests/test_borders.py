@@ -23,3 +23,7 @@ def given(spark):
 def test_a_corner_lies_in_one_of_the_regions_around_it(spark):
     held = spatial.containing(*given(spark)).groupBy("key").agg(F.sort_array(F.collect_list("region_id")).alias("r"))
     assert {x.key: x.r for x in held.collect()} == {1: [4, 9], 2: [2, 9], 3: [3, 9], 5: [1, 9]}
+
+
+def test_the_smallest_region_of_a_corner_is_the_one_north_east_of_it(spark):
+    assert {x.key: x.region_id for x in spatial.smallest_containing(*given(spark)).collect()} == {1: 4, 2: 2, 3: 3, 5: 1}
