@@ -27,3 +27,10 @@ def test_a_corner_lies_in_one_of_the_regions_around_it(spark):
 
 def test_the_smallest_region_of_a_corner_is_the_one_north_east_of_it(spark):
     assert {x.key: x.region_id for x in spatial.smallest_containing(*given(spark)).collect()} == {1: 4, 2: 2, 3: 3, 5: 1}
+
+
+def test_a_place_on_a_corner_names_the_region_north_east_of_it(spark):
+    rows = [(k, f"R{k}", 2 if k == 9 else 8, ring) for k, ring in SQUARES]
+    b = spark.createDataFrame(rows, "region_id long, name string, level int, ring array<struct<lat:double,lon:double>>")
+    places = spark.createDataFrame([(1, "Eck", 1.0, 1.0), (2, "Rand", 1.0, 0.5)], "node_id long, name string, lat double, lon double")
+    assert sorted(map(tuple, region_tree.build_aliases(places, region_tree.build_regions(b), b).collect())) == [(3, 2, "Rand"), (4, 1, "Eck")]
