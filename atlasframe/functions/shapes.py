@@ -120,11 +120,12 @@ def meeting_point(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
 
 
 def nearest_on_segment(p: Column, s: Column) -> Column:
-    """struct<far, lat, lon>: planar distance in degrees to a segment and the closest point on it; a segment of no length is infinitely far."""
+    """struct<far, lat, lon>: planar distance in degrees to a segment and the closest point on it; a segment of no length is infinitely far and has no point."""
     a, b = s["a"], s["b"]
     dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
     square = dx * dx + dy * dy
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["lon"] - a["lon"]) * dx + (p["lat"] - a["lat"]) * dy) / F.nullif(square, F.lit(0.0))))
+    # greatest and least pass nulls over.
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["lon"] - a["lon"]) * dx + (p["lat"] - a["lat"]) * dy) / F.nullif(square, F.lit(0.0)))))
     lat, lon = a["lat"] + t * dy, a["lon"] + t * dx
     far = F.coalesce(F.sqrt((p["lon"] - lon) * (p["lon"] - lon) + (p["lat"] - lat) * (p["lat"] - lat)), F.lit(INFINITE))
     return F.struct(far.alias("far"), lat.alias("lat"), lon.alias("lon"))
