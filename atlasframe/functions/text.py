@@ -106,10 +106,10 @@ def count_words(text: Column) -> Column:
     return F.size(split_at_space(text))
 
 
-def byte_size(number: Column) -> Column:
-    """Such as 1.5 MiB; halves go to the even digit. Steps of 1024 and their names."""
-    found = None
-    for unit, power in (("TiB", 4), ("GiB", 3), ("MiB", 2), ("KiB", 1)):
+def byte_size(number: Column, largest: str = "TiB") -> Column:
+    """Such as 1.5 MiB, in units up to the largest; halves go to the even digit. Steps of 1024 and their names."""
+    found, units = None, ("TiB", "GiB", "MiB", "KiB")
+    for unit, power in list(zip(units, (4, 3, 2, 1), strict=True))[units.index(largest) :]:
         text = F.concat(F.format_string("%.1f", F.bround(number / 1024.0**power, 1)), F.lit(f" {unit}"))
         found = F.when(number >= 1024**power, text) if found is None else found.when(number >= 1024**power, text)
     return found.otherwise(F.concat(number.cast("string"), F.lit(" B")))

@@ -16,3 +16,10 @@ def test_a_route_without_length_holds_no_position(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = {(x.route, x.key): x.distance for x in catalog.QUERIES["j16_matched_positions"](spark, str(tmp_path)).collect()}
     assert found[1, 0] is None and found[2, 0] == 0.0
+
+
+def test_sizes_stop_at_the_largest_unit(spark, tmp_path):
+    n = spark.createDataFrame([(2**30,), (2**40,), (1536,)], "n long")
+    assert [tuple(r) for r in n.select(text.byte_size(F.col("n")), text.byte_size(F.col("n"), "MiB")).collect()] == [("1.0 GiB", "1024.0 MiB"), ("1.0 TiB", "1048576.0 MiB"), ("1.5 KiB", "1.5 KiB")]
+    spark.createDataFrame([(1_076_972, "a b")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.QUERIES["y6_formats"](spark, str(tmp_path)).first()["bytes"] == "1024.0 MiB"
