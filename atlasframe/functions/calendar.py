@@ -17,6 +17,11 @@ ALTITUDES = {"sunrise": -0.833, "civil": -6.0, "nautical": -12.0, "astronomical"
 _INTERVALS = "array<struct<from:string,to:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """use of a value that is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def opening_hours(text: Column, explicit_closed: bool = False) -> Column:
     """Array of struct<day, intervals: array<struct<from, to>>> by day; null if any part can't be read.
 
@@ -28,37 +33,41 @@ def opening_hours(text: Column, explicit_closed: bool = False) -> Column:
 
     def named(part: Column) -> Column:
         """Array of day numbers from 1; one 0 marks what can't be read."""
-        ends = split_list(part, "-")
-        low, high = number(F.get(ends, F.lit(0)), False), number(F.get(ends, F.lit(1)), False)
-        span = F.when((F.size(ends) != 2) | (low == 0) | (high == 0), F.array(F.lit(0).cast("long"))).when(low > high, F.array().cast("array<bigint>")).otherwise(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, low, F.lit(1))))
-        return F.when(F.contains(part, F.lit("-")), span).otherwise(F.array(number(part, True)))
+        none = F.array(F.lit(0).cast("long"))
+
+        def span(e: Column) -> Column:
+            low, high = e["low"], e["high"]
+            return F.when(low.isNull() | high.isNull() | (low == 0) | (high == 0), none).when(low > high, F.array().cast("array<bigint>")).otherwise(F.sequence(low, high))
+
+        place = lambda ends, k: F.when(F.size(ends) == 2, number(F.get(ends, F.lit(k)), False))
+        days_between = _bound(_bound(split_list(part, "-"), lambda ends: F.struct(place(ends, 0).alias("low"), place(ends, 1).alias("high"))), span)
+        return F.when(F.contains(part, F.lit("-")), days_between).otherwise(F.array(number(part, True)))
 
     def time_ok(t: Column) -> Column:
-        p = split_list(t, ":")
-        return F.coalesce((F.size(p) == 2) & to_number(F.get(p, F.lit(0)), "int").between(0, 48) & to_number(F.get(p, F.lit(1)), "int").between(0, 59), F.lit(False))
+        within = lambda p, k, most: _bound(to_number(F.get(p, F.lit(k)), "int"), lambda n: n.between(0, most))
+        return F.coalesce(_bound(split_list(t, ":"), lambda p: (F.size(p) == 2) & within(p, 0, 48) & within(p, 1, 59)), F.lit(False))
 
     def interval(t: Column) -> Column:
-        p = split_list(F.trim(t), "-")
-        return F.when((F.size(p) == 2) & time_ok(F.get(p, F.lit(0))) & time_ok(F.get(p, F.lit(1))), F.struct(F.get(p, F.lit(0)).alias("from"), F.get(p, F.lit(1)).alias("to")))
+        ends = lambda p: F.struct(F.get(p, F.lit(0)).alias("from"), F.get(p, F.lit(1)).alias("to"))
+        return _bound(split_list(F.trim(t), "-"), lambda p: F.when((F.size(p) == 2) & time_ok(F.get(p, F.lit(0))) & time_ok(F.get(p, F.lit(1))), ends(p)))
 
-    def rule(r: Column) -> Column:
-        pair = split_pair(F.trim(r), " ")
+    def rule(pair: Column) -> Column:
         hours = F.when(pair["tail"] == "off", F.array().cast(_INTERVALS)).otherwise(F.transform(split_list(pair["tail"], ","), interval))
         return F.struct(F.flatten(F.transform(split_list(pair["head"], ","), named)).alias("days"), hours.alias("intervals"))
 
-    rules = F.transform(split_list(text, ";"), rule)
-    ok = F.forall(rules, lambda r: F.coalesce(r["days"].isNotNull() & ~F.array_contains(r["days"], 0) & ~F.exists(r["intervals"], lambda i: i.isNull()), F.lit(False)))
+    ok = lambda rules: F.forall(rules, lambda r: F.coalesce(r["days"].isNotNull() & ~F.array_contains(r["days"], 0) & ~F.exists(r["intervals"], lambda i: i.isNull()), F.lit(False)))
 
-    def of_day(d: Column) -> Column:
+    def of_day(rules: Column, d: Column) -> Column:
         own = F.filter(rules, lambda r: F.array_contains(r["days"], d))
         hours = F.try_element_at(own, F.lit(-1))["intervals"]
         closed = F.when(F.lit(explicit_closed) & (d <= 7), F.array().cast(_INTERVALS))
         return F.struct(F.get(days, (d - 1).cast("int")).alias("day"), F.coalesce(hours, closed).alias("intervals"))
 
-    weekly = F.filter(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long")), of_day), lambda x: x["intervals"].isNotNull())
+    weekly = lambda rules: F.filter(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long")), lambda d: of_day(rules, d)), lambda x: x["intervals"].isNotNull())
     whole = F.array(F.struct(F.lit("00:00").alias("from"), F.lit("24:00").alias("to")))
     always = F.transform(F.slice(days, 1, 7), lambda d: F.struct(d.alias("day"), whole.alias("intervals")))
-    return F.when(text == "24/7", always).when(ok, weekly)
+    rules = lambda t: F.transform(split_list(t, ";"), lambda r: _bound(split_pair(F.trim(r), " "), rule))
+    return _bound(text, lambda t: F.when(t == "24/7", always).otherwise(_bound(rules(t), lambda r: F.when(ok(r), weekly(r)))))
 
 
 def is_open(hours: Column, day: Column, minute: Column) -> Column:

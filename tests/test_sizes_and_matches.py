@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from atlasframe import catalog
-from atlasframe.functions import text
+from atlasframe.functions import calendar, text
 
 
 def test_a_route_without_length_holds_no_position(spark, tmp_path):
@@ -23,3 +23,13 @@ def test_sizes_stop_at_the_largest_unit(spark, tmp_path):
     assert [tuple(r) for r in n.select(text.byte_size(F.col("n")), text.byte_size(F.col("n"), "MiB")).collect()] == [("1.0 GiB", "1024.0 MiB"), ("1.0 TiB", "1048576.0 MiB"), ("1.5 KiB", "1.5 KiB")]
     spark.createDataFrame([(1_076_972, "a b")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     assert catalog.QUERIES["y6_formats"](spark, str(tmp_path)).first()["bytes"] == "1024.0 MiB"
+
+
+def test_opening_hours_of_thousands_of_texts_take_seconds(spark):
+    import time
+
+    hours = F.concat(F.lit("Mo-Fr 08:00-18:00,19:00-2"), F.col("id") % 4, F.lit(":00; Sa off; Su 10:00-12:00"))
+    rows = spark.range(0, 4000, 1, 1).withColumn("hours", calendar.opening_hours(hours))
+    began = time.time()
+    assert rows.where(F.size("hours") == 7).count() == 4000
+    assert time.time() - began < 30
