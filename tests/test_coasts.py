@@ -81,3 +81,14 @@ def test_lines_through_corners_and_along_borders(spark):
     diamond = [(10.0, 9.0), (11.0, 10.0), (10.0, 11.0), (9.0, 10.0), (10.0, 9.0)]
     found = coasts.ground_sizes(coasts.ground_polygons(lines(spark, [diamond]), LEVEL), LEVEL).collect()
     assert all(abs(r.land + r.water - 1) < 1e-9 for r in found) and sum(r.land for r in found) == pytest.approx(2)
+
+
+def test_a_cell_may_go_over_several_batches():
+    """Cells stream through one task in order instead of a call for each; where batches end makes no difference."""
+    import pandas as pd
+
+    rows = [(0, 0, 1, 0, 0.5, 2.5, None, None), (0, 0, 2, 0, 2.7, 0.3, None, None), (0, 1, 3, 0, float("nan"), 1.5, "a", None), (5, 0, 4, 0, 3.5, 1.5, None, None)]
+    heads = pd.DataFrame(rows, columns=["x", "y", "way", "k", "enter", "leave", "start", "end"])
+    whole, parts = ([tuple(r)[:5] for t in coasts._rings_of_cells(b) for r in t.itertuples(index=False)] for b in (iter([heads]), iter([heads[:1], heads[1:3], heads[3:]])))
+    assert whole == parts and [r[:5] for r in whole if r[0] == 5] == [(5, 0, "water", 0, 0), (5, 0, "land", 0, 0)]
+    assert [r[2] for r in whole if r[1] == 1] == ["unknown"] and {r[2] for r in whole if r[:2] == (0, 0)} == {"water", "land"}
