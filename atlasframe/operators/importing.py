@@ -267,12 +267,13 @@ def filled_water(cells: DataFrame, within: DataFrame, rounds: int = 20) -> DataF
 
 def filled_land(cells: DataFrame) -> DataFrame:
     """cells (x, y, state) where runs of unknown cells between land or coast on one side and land on the other, in a row or a column, have become land; repeated until nothing changes."""
-    now = cells
+    now = written(cells)
     while True:
         changed = now
         for line, along in (("y", "x"), ("x", "y")):
             before = F.last(F.when(F.col("state") != "unknown", F.struct("state", along)), True).over(Window.partitionBy(line).orderBy(along).rowsBetween(Window.unboundedPreceding, -1))
-            after = F.first(F.when(F.col("state") != "unknown", F.struct("state", along)), True).over(Window.partitionBy(line).orderBy(along).rowsBetween(1, Window.unboundedFollowing))
+            # From the other end, as a frame up to the last row would be read anew for each row.
+            after = F.last(F.when(F.col("state") != "unknown", F.struct("state", along)), True).over(Window.partitionBy(line).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, -1))
             marked = changed.withColumns({"b": before, "a": after})
             solid = (F.col("b.state").isin("land", "coast") & (F.col("a.state") == "land")) | ((F.col("b.state") == "land") & F.col("a.state").isin("land", "coast"))
             changed = marked.withColumn("state", F.when((F.col("state") == "unknown") & F.coalesce(solid, F.lit(False)), "land").otherwise(F.col("state"))).drop("a", "b")

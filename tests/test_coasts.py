@@ -92,3 +92,18 @@ def test_a_cell_may_go_over_several_batches():
     whole, parts = ([tuple(r)[:5] for t in coasts._rings_of_cells(b) for r in t.itertuples(index=False)] for b in (iter([heads]), iter([heads[:1], heads[1:3], heads[3:]])))
     assert whole == parts and [r[:5] for r in whole if r[0] == 5] == [(5, 0, "water", 0, 0), (5, 0, "land", 0, 0)]
     assert [r[2] for r in whole if r[1] == 1] == ["unknown"] and {r[2] for r in whole if r[:2] == (0, 0)} == {"water", "land"}
+
+
+def test_long_rows_of_cells_fill_from_both_ends(spark):
+    """Looking ahead costs no pass over the rest of the row for each cell."""
+    from pyspark.sql import functions as F
+
+    from atlasframe.operators import importing
+
+    n = 60_000
+    row = spark.range(n).select(F.col("id").alias("x"), F.lit(0).cast("long").alias("y"), F.when(F.col("id") == 0, "coast").when(F.col("id") == n - 1, "land").otherwise("unknown").alias("state"))
+    import time
+
+    began = time.time()
+    assert {r.state: r["count"] for r in importing.filled_land(row).groupBy("state").count().collect()} == {"coast": 1, "land": n - 1}
+    assert time.time() - began < 60
