@@ -107,3 +107,19 @@ def test_long_rows_of_cells_fill_from_both_ends(spark):
     began = time.time()
     assert {r.state: r["count"] for r in importing.filled_land(row).groupBy("state").count().collect()} == {"coast": 1, "land": n - 1}
     assert time.time() - began < 60
+
+
+def test_water_spreads_a_ring_a_round(spark, monkeypatch):
+    """A table is written for what becomes water in a round, not for all cells again."""
+    from pyspark.sql import functions as F
+
+    from atlasframe.operators import importing
+
+    sizes, write = [], importing.written
+    monkeypatch.setattr(importing, "written", lambda df: sizes.append((t := write(df)).count()) or t)
+    block = spark.range(21 * 21).select((F.col("id") % 21).alias("x"), F.floor(F.col("id") / 21).alias("y"))
+    known = spark.createDataFrame([(10, 10, "water"), (10, 12, "coast"), (30, 3, "coast")], "x long, y long, state string")
+    got = {(r.x, r.y): r.state for r in importing.filled_water(known, block, 4).collect()}
+    assert got[10, 6] == got[9, 13 - 2] == "water" and got[10, 12] == "coast" and got[10, 5] == got[10, 13] == "unknown" and got[30, 3] == "coast"
+    assert len(got) == 442 and sum(v == "water" for v in got.values()) == 38
+    assert sizes[0] == 441 and max(sizes[1:]) < 20
