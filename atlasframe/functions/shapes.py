@@ -195,46 +195,56 @@ def simplified(points: Column, tolerance: float) -> Column:
     return f(points)
 
 
-def _inside(p: np.ndarray, ring: np.ndarray) -> bool:
-    a, b = ring, np.roll(ring, -1, 0)
-    spans = (a[:, 0] <= p[0]) != (b[:, 0] <= p[0])
+def _depths(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far points p[..., 2] lie from the nearest of their edges from a to b[..., n, 2], negative outside of these."""
+    p, d = p[..., None, :], b - a
+    spans = (a[..., 0] <= p[..., 0]) != (b[..., 0] <= p[..., 0])
     with np.errstate(divide="ignore", invalid="ignore"):
-        at = (b[:, 1] - a[:, 1]) * (p[0] - a[:, 0]) / (b[:, 0] - a[:, 0]) + a[:, 1]
-    return bool((spans & (p[1] < at)).sum() % 2)
-
-
-def _edge_distance(p: np.ndarray, ring: np.ndarray) -> float:
-    a, d = ring, np.roll(ring, -1, 0) - ring
-    square = (d**2).sum(1)
-    t = np.clip(((p - a) * d).sum(1) / np.where(square > 0, square, 1), 0, 1)
-    return float(np.sqrt(((a + t[:, None] * d - p) ** 2).sum(1)).min())
-
-
-def innermost_point(ring: np.ndarray, precision: float) -> np.ndarray:
-    """The point inside that is farthest from the ring, by quartering cells best first."""
-    signed = lambda p: _edge_distance(p, ring) * (1 if _inside(p, ring) else -1)
-    low, high = ring.min(0), ring.max(0)
-    half = max((high - low).min() / 2, precision / 2)
-    best = ring.mean(0)
-    best_far = signed(best)
-    queue = []
-    for lat in np.arange(low[0] + half, high[0] + half, 2 * half):
-        for lon in np.arange(low[1] + half, high[1] + half, 2 * half):
-            c = np.array([lat, lon])
-            d = signed(c)
-            heapq.heappush(queue, (-(d + half * 2**0.5), lat, lon, half, d))
-    while queue:
-        bound, lat, lon, h, d = heapq.heappop(queue)
-        if d > best_far:
-            best, best_far = np.array([lat, lon]), d
-        if -bound - best_far <= precision:
-            break
-        h /= 2
-        for dy in (-h, h):
-            for dx in (-h, h):
-                d = signed(np.array([lat + dy, lon + dx]))
-                heapq.heappush(queue, (-(d + h * 2**0.5), lat + dy, lon + dx, h, d))
-    return best
+        at = d[..., 1] * (p[..., 0] - a[..., 0]) / d[..., 0] + a[..., 1]
+    inside = (spans & (p[..., 1] < at)).sum(-1) % 2 == 1
+    square = (d**2).sum(-1)
+    t = np.clip(((p - a) * d).sum(-1) / np.where(square > 0, square, 1), 0, 1)
+    far = np.sqrt(((a + t[..., None] * d - p) ** 2).sum(-1)).min(-1)
+    return np.where(inside, far, -far)
+
+
+def innermost_points(rings: list[np.ndarray], precision: float) -> np.ndarray:
+    """For each ring the point inside that is farthest from it, by quartering cells best first; the rings take their steps together, so that many small ones cost one numpy call a step."""
+    n = max(map(len, rings))
+    # Rings are filled up with their first point: edges without length, beside no other points than those that are there.
+    a = np.stack([np.concatenate([r, np.repeat(r[:1], n - len(r), 0)]) for r in rings])
+    b = np.roll(a, -1, 1)
+    best = [r.mean(0) for r in rings]
+    best_far = _depths(np.array(best), a, b).tolist()
+    queues = []
+    for k, r in enumerate(rings):
+        low, high = r.min(0), r.max(0)
+        half = max((high - low).min() / 2, precision / 2)
+        cells = np.array([(lat, lon) for lat in np.arange(low[0] + half, high[0] + half, 2 * half) for lon in np.arange(low[1] + half, high[1] + half, 2 * half)]).reshape(-1, 2)
+        queue = [(-(d + half * 2**0.5), lat, lon, half, d) for (lat, lon), d in zip(cells.tolist(), _depths(cells, a[k], b[k]).tolist(), strict=True)]
+        heapq.heapify(queue)
+        queues.append(queue)
+    active = range(len(rings))
+    while True:
+        going, sizes, cells = [], [], []
+        for k in active:
+            if not queues[k]:
+                continue
+            bound, lat, lon, h, d = heapq.heappop(queues[k])
+            if d > best_far[k]:
+                best[k], best_far[k] = (lat, lon), d
+            if -bound - best_far[k] > precision:
+                h /= 2
+                going.append(k)
+                sizes.append(h)
+                cells.append([(lat - h, lon - h), (lat - h, lon + h), (lat + h, lon - h), (lat + h, lon + h)])
+        if not going:
+            return np.array(best, float)
+        deep = _depths(np.array(cells), a[going][:, None], b[going][:, None]).tolist()
+        for k, h, four, depths in zip(going, sizes, cells, deep, strict=True):
+            for (lat, lon), d in zip(four, depths, strict=True):
+                heapq.heappush(queues[k], (-(d + h * 2**0.5), lat, lon, h, d))
+        active = going
 
 
 def polygon_centre(ring: Column, precision: float = 1e-5) -> Column:
@@ -242,8 +252,14 @@ def polygon_centre(ring: Column, precision: float = 1e-5) -> Column:
 
     @F.pandas_udf("lat double, lon double")
     def f(rings: pd.Series) -> pd.DataFrame:
-        found = [innermost_point(_xy(r), precision) if r is not None and len(r) > 2 else (np.nan, np.nan) for r in rings]
-        return pd.DataFrame(np.array(found, float).reshape(-1, 2), columns=["lat", "lon"])
+        found = np.full((len(rings), 2), np.nan)
+        # Rings of about one size together, so that filling up costs little.
+        todo = sorted(((len(r), k) for k, r in enumerate(rings) if r is not None and len(r) > 2), reverse=True)
+        while todo:
+            together = [k for _, k in todo[: max(1, 40_000 // todo[0][0])]]
+            todo = todo[len(together) :]
+            found[together] = innermost_points([_xy(rings.iloc[k]) for k in together], precision)
+        return pd.DataFrame(found, columns=["lat", "lon"])
 
     return f(ring)
 

@@ -33,3 +33,18 @@ def test_opening_hours_of_thousands_of_texts_take_seconds(spark):
     began = time.time()
     assert rows.where(F.size("hours") == 7).count() == 4000
     assert time.time() - began < 30
+
+
+def test_innermost_points_of_a_thousand_rings_take_a_second_or_two():
+    import time
+
+    import numpy as np
+
+    from atlasframe.functions import shapes
+
+    house = np.array([(-1, -1), (-1, 1), (1, 1), (1.5, 0), (1, -1)]) * 0.02
+    rings = [house + (k % 40, k % 70) for k in range(1000)] + [np.array([(0.0, 0.0), (0.0, 4.0), (2.0, 4.0), (2.0, 0.0)])]
+    began = time.time()
+    found = shapes.innermost_points(rings, 1e-4)
+    assert time.time() - began < 15
+    assert np.allclose(found[:1000] - [(k % 40, k % 70) for k in range(1000)], found[0], atol=2e-4) and abs(found[-1][0] - 1) < 1e-3
