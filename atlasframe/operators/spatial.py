@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, shapes
 from ..functions.geodesic import ellipsoidal_distance
-from ..session import share_package
+from ..session import share_package, written
 
 #: Level of the tile grid where joins meet: cells of about 2.4 by 1.2 km at the equator.
 LEVEL = 14
@@ -173,6 +173,27 @@ def crossings(lines: DataFrame, others: DataFrame, level: int | None = None) ->
     return met.select("a_id", "b_id", "at.lat", "at.lon")
 
 
+def crossing_lines(lines: DataFrame, others: DataFrame, place: Column, level: int | None = None) -> DataFrame:
+    """(a_id, b_id, place): which of lines (a_id, points) and others (b_id, points) cross at which place, a Column of lat and lon; each once.
+
+    Edges that many lines share are crossed once, as shapes. Where all shapes of both sides that meet at a place cross each other there, all lines
+    through it do, so pairs come from one join by place and aren't shuffled; only at other places are they made by shape and made distinct.
+    """
+    spark = lines.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    edges = lambda df, key, name: df.select(key, F.explode(shapes.segments(F.col("points"))).alias(name))
+    drawn = lambda e, key, name: e.select(name).distinct().select(F.col(name).alias(key), F.array(f"{name}.a", f"{name}.b").alias("points"))
+    a, b = edges(lines, "a_id", "u"), edges(others, "b_id", "v")
+    found = crossings(drawn(a, "a_id", "u"), drawn(b, "b_id", "v"), level)
+    met = written(found.select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), place.alias("place")).distinct())
+    sizes = met.groupBy("place").agg(F.countDistinct("u").alias("n_u"), F.countDistinct("v").alias("n_v"), F.count("*").alias("n"))
+    whole = sizes.where(F.col("n_u") * F.col("n_v") == F.col("n")).select("place")
+    full, rest = met.join(whole, "place", "left_semi"), met.join(whole, "place", "left_anti")
+    through = lambda e, key, name: full.select("place", name).distinct().join(e, name).select("place", key).distinct().repartition(parts, "place")
+    pairs = through(a, "a_id", "u").join(through(b, "b_id", "v"), "place").select("a_id", "b_id", "place")
+    return pairs.unionByName(rest.join(a, "u").join(b, "v").select("a_id", "b_id", "place").distinct())
+
+
 # ---- grids
 
 

@@ -143,9 +143,9 @@ WHERE wa.upright = 1 AND wb.upright = 0 GROUP BY ALL"""))
 def j18_path_crossings(spark, sf_dir):
     """Upright ways cross level ones at the grid's nodes."""
     w = way_lines(spark, sf_dir)
-    met = spatial.crossings(w.where("upright = 1").select(F.col("way_id").alias("a_id"), "points"), w.where("upright = 0").select(F.col("way_id").alias("b_id"), "points"))
     node = F.round((F.col("lat") - 48) * 500).cast("long") * 1000 + F.round((F.col("lon") - 8) * 1000 / 3).cast("long")
-    return met.select("a_id", "b_id", node.alias("node_id")).distinct()
+    met = spatial.crossing_lines(w.where("upright = 1").select(F.col("way_id").alias("a_id"), "points"), w.where("upright = 0").select(F.col("way_id").alias("b_id"), "points"), node)
+    return met.withColumnRenamed("place", "node_id")
 
 
 @query(sql("areas", "corners")("""SELECT type, count(*) AS n_cells FROM (SELECT DISTINCT type, unnest(generate_series(CAST(floor((x1 + 180) / (360 / CAST(4096 AS DOUBLE))) AS BIGINT), CAST(floor((x2 + 180) / (360 / CAST(4096 AS DOUBLE))) AS BIGINT))) AS x, y FROM (
