@@ -181,18 +181,26 @@ def thinned(xy: np.ndarray, tolerance: float) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def simplified(points: Column, tolerance: float) -> Column:
+def simplified(points: Column, tolerance: float | Column) -> Column:
     """The line with fewer points, in degrees of tolerance."""
 
     @F.pandas_udf(_LINE)
-    def f(lines: pd.Series) -> pd.Series:
+    def f(lines: pd.Series, tolerances: pd.Series) -> pd.Series:
         out = []
-        for line in lines:
+        for line, most in zip(lines, tolerances, strict=True):
             xy = _xy(line if line is not None else [])
-            out.append(_rows(xy[thinned(xy, tolerance)]))
+            out.append(_rows(xy[thinned(xy, most)]) if len(xy) else [])
         return pd.Series(out)
 
-    return f(points)
+    return f(points, tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance)))
+
+
+def bend(points: Column) -> Column:
+    """How far, in degrees, a line's points lie at most from the straight line through its ends, or from its end if both are one; null without points."""
+    a, b = F.get(points, F.lit(0)), F.try_element_at(points, F.lit(-1))
+    dy, dx = b["lat"] - a["lat"], b["lon"] - a["lon"]
+    off = lambda p: F.abs((p["lat"] - a["lat"]) * dx - (p["lon"] - a["lon"]) * dy) / F.hypot(dy, dx)
+    return F.array_max(F.transform(points, lambda p: F.when((dy == 0) & (dx == 0), F.hypot(p["lat"] - a["lat"], p["lon"] - a["lon"])).otherwise(off(p))))
 
 
 def _depths(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

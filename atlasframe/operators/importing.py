@@ -177,17 +177,20 @@ def reduced_line(p: Column) -> Column:
 def low_zoom(lines: DataFrame, key: str, points: str, zooms: list[int], tile_pixels: int = 256, closed: bool = False) -> DataFrame:
     """(key, zoom, points): lines in fewer points for each zoom level, with an eighth of a pixel as tolerance; what is a pixel or smaller in both directions is left out."""
     share_package(lines.sparkSession)
-    parts = []
-    for zoom in zooms:
-        pixel = 360.0 / (tile_pixels << zoom)
-        b = geo.box_of_points(F.col(points))
-        seen = lines.where(((b["max_lat"] - b["min_lat"]) > pixel) | ((b["max_lon"] - b["min_lon"]) > pixel))
-        thin = seen.select(key, F.lit(zoom).alias("zoom"), shapes.simplified(F.col(points), pixel / 8).alias("points"))
-        parts.append(thin.where(F.size("points") >= (3 if closed else 2)))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    p = F.col("af_points")
+    plain = F.transform(points, lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
+    steps = F.array(*[F.struct(F.lit(z).alias("zoom"), F.lit(360.0 / (tile_pixels << z)).alias("pixel")) for z in zooms])
+    # All zooms in one pass; box and bend are computed once for a line.
+    measured = lines.select(key, plain.alias("af_points")).select(key, "af_points", geo.box_of_points(p).alias("b"), shapes.bend(p).alias("bend"))
+    seen = measured.select("*", F.explode(steps).alias("z")).where(((F.col("b.max_lat") - F.col("b.min_lat")) > F.col("z.pixel")) | ((F.col("b.max_lon") - F.col("b.min_lon")) > F.col("z.pixel")))
+    tolerance = F.col("z.pixel") / 8
+    # Lines that are surely straight enough keep their ends without going through Python.
+    straight = F.coalesce((F.size(p) <= 2) | (F.col("bend") < tolerance * (1 - 1e-9)), F.lit(False))
+    ends = F.when(F.size(p) <= 2, p).otherwise(F.array(F.get(p, F.lit(0)), F.try_element_at(p, F.lit(-1))))
+    thin = F.when(straight, ends).otherwise(shapes.simplified(F.when(~straight, p), tolerance))
+    found = seen.select(key, "z.zoom", thin.alias(points))
+    # An open line larger than a pixel keeps two ends; a condition on its points would send it to Python twice.
+    return found.where(F.size(points) >= 3) if closed else found
 
 
 def route_chains(members: DataFrame, ways: DataFrame) -> DataFrame:
