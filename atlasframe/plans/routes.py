@@ -331,8 +331,12 @@ def g17_route_points(spark, sf_dir):
 def g18_route_junctions(spark, sf_dir):
     """What meets at the nodes of each way, taken as a route."""
     points = way_points(spark, sf_dir)
-    met = points.join(routing.junction_objects(points), "node_id")
-    return met.select(F.col("way_id").alias("route"), "idx", F.array_join(F.transform("way_ids", lambda i: i.cast("string")), ",").alias("ways"))
+    # The text of a node is made once, not for each way that comes through.
+    texts = routing.junction_objects(points).select("node_id", F.array_join(F.transform("way_ids", lambda i: i.cast("string")), ",").alias("ways"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # Few bytes of numbers make long rows, so partitions must not be merged by their bytes.
+    met = points.select("node_id", "way_id", "idx").repartition(parts, "node_id").join(texts.repartition(parts, "node_id"), "node_id")
+    return met.select(F.col("way_id").alias("route"), "idx", "ways")
 
 
 _WEIGHT = haversine("lat", "lon", "nlat", "nlon")

@@ -20,3 +20,11 @@ def test_straight_lines_keep_their_ends_without_python(spark, monkeypatch):
     assert got[1, 4] == [(0, 0), (2, 2)] and got[1, 0] == got[1, 4] and got[2, 4] == rows[1][1] and (3, 4) not in got and got[3, 12] == rows[2][1]
     assert got[4, 0] == rows[3][1] and got[5, 4] == rows[4][1] and got[6, 4] == [(0, 0), (4, 0)] and len(got[6, 12]) == 3
     assert len(asked) == 1
+
+
+def test_a_node_with_many_ways_makes_its_text_once(spark, tmp_path):
+    """Each row of a way names all ways of its node; the text comes from the node."""
+    from atlasframe.plans import routes
+
+    plan = routes.g18_route_junctions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("array_join(")
